@@ -73,11 +73,11 @@ def _classes(rows: list[np.ndarray], within: bool) -> tuple[list[np.ndarray], np
     seed, context, k, at, _ = rows
     order = np.lexsort((at, k, context, seed))
     rows = [r[order] for r in rows]
-    seed, context, k = rows[:3]
+    seed, context, k, at, _ = rows
     new = np.ones(len(seed), bool)
     new[1:] = (seed[1:] != seed[:-1]) | (context[1:] != context[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(seed)), 0)) if len(seed) else np.zeros(0, np.int64)
-    copy = ~new if within else k > k[head]
+    copy = (k > k[head]) | (at != at[head]) if within else k > k[head]
     return rows, new, copy
 
 
