@@ -18,6 +18,7 @@ from lociframe.llm.common import n_parts
 
 PACKED = "bucket int, kind int, cols binary"
 FLUSH = 1_500_000  # rows packed together
+PASS = 20_000  # rows that need no company, in one pack
 
 
 def _pack(rows: list[np.ndarray], bucket: np.ndarray, kind: int, n: int) -> Iterator[tuple[int, int, bytes]]:
@@ -31,11 +32,15 @@ def _pack(rows: list[np.ndarray], bucket: np.ndarray, kind: int, n: int) -> Iter
 
 def _flush(parts: list[list[np.ndarray]], n: int) -> pa.RecordBatch | None:
     rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    key = rows[0]
-    if not len(key):
+    if not len(rows[0]):
         return None
-    order = np.argsort(key, kind="stable")
-    k = key[order]
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [r[order] for r in rows]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    rows = [r[new] for r in rows]
+    key = k = rows[0]
+    order = np.arange(len(k))
     twice = np.zeros(len(k), bool)
     same = k[1:] == k[:-1]
     twice[1:] |= same
@@ -44,16 +49,16 @@ def _flush(parts: list[list[np.ndarray]], n: int) -> pa.RecordBatch | None:
     first[1:] = ~same
     home = lambda x: (x.view(np.uint64) >> np.uint64(40)).astype(np.int64) % n
     once, many, mark = order[~twice], order[twice], k[twice & first]
-    out = [*_pack([r[once] for r in rows], home(key[once]), 0, n), *_pack([r[many] for r in rows], np.arange(len(many)) % n, 1, n), *_pack([mark], home(mark), 2, n)]
+    out = [*_pack([r[once] for r in rows], home(key[once]), 0, n), *_pack([r[many] for r in rows], (np.arange(len(many)) // PASS + int(k[:1].sum())) % n, 1, n), *_pack([mark], home(mark), 2, n)]
     return pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "kind", "cols"])
 
 
 def repeated(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], schema: list[tuple[str, str]]) -> DataFrame:
-    """Rows that mapper makes of df's batches, for keys (the first column, long) that at least two rows have.
+    """Rows that mapper makes of df's batches, for keys (the first column) with at least two values in the second column.
 
-    schema: names with numpy dtypes 'i8' or 'i4'. A key met twice in one text counts as repeated.
+    schema: names with numpy dtypes 'i8' or 'i4', the first two 'i8'. Equal (key, second) pairs of a batch become one row.
     """
-    n = 4 * n_parts(df.sparkSession)
+    n = n_parts(df.sparkSession)
     types = [np.dtype(t) for _, t in schema]
     width = sum(t.itemsize for t in types)
 
@@ -93,17 +98,18 @@ def repeated(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.
                 yield table(unpack(passed))
         cols = unpack(single)
         single.clear()
-        key = np.concatenate([cols[0], *marks])
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = k[1:] == k[:-1]
-        twice = np.zeros(len(k), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        found = order[twice]
-        found = np.sort(found[found < len(cols[0])])
+        order = np.lexsort((cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        key, second = cols[:2]
+        if not len(key):
+            return
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new = new_key | np.concatenate([[True], second[1:] != second[:-1]])
+        group = np.cumsum(new_key) - 1
+        several = (np.bincount(group, weights=new)[group] > 1) | np.isin(key, np.concatenate([np.zeros(0, np.int64), *marks]))
+        found = np.flatnonzero(several & new)
         for i in range(0, len(found), 200_000):
             yield table([c[found[i : i + 200_000]] for c in cols])
 
     ddl = ", ".join(f"{name} {'long' if t == 'i8' else 'int'}" for name, t in schema)
-    return df.mapInArrow(pack, PACKED).repartition(n // 4, "bucket").mapInArrow(keep, ddl)
+    return df.mapInArrow(pack, PACKED).repartitionById(n, "bucket").mapInArrow(keep, ddl)

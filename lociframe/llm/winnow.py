@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import as_long, mix, n_parts, powers, prefix_sums, BASE_INV
-from lociframe.llm.repeats import FLUSH, PACKED, _pack
+from lociframe.llm.repeats import FLUSH, PACKED, PASS, _pack
 
 POS_BITS = np.uint64(30)
 POS_MASK = np.uint64((1 << 30) - 1)
@@ -93,7 +93,7 @@ def _group_sizes(seed: np.ndarray, counted: np.ndarray) -> np.ndarray:
 def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], within: bool) -> DataFrame:
     """Rows (role, k, at, n): SPAN for a row of mapper (seed, context, k, at, n) with an equal (seed, context) earlier,
     that is of smaller k or, if within, of smaller (k, at); REP for first rows of a seed that has several contexts."""
-    n = 4 * n_parts(df.sparkSession)
+    n = n_parts(df.sparkSession)
     names = ["bucket", "kind", "cols"]
 
     def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
@@ -104,7 +104,7 @@ def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.n
         crowd = _group_sizes(rest[0], np.ones(len(rest[0]))) > CROWD
         home = lambda x: (x.view(np.uint64) >> np.uint64(40)).astype(np.int64) % n
         marks = np.unique(rest[0][crowd])
-        spread = lambda x: np.arange(len(x)) % n
+        spread = lambda x: (np.arange(len(x)) // PASS + int(x[:1].sum())) % n
         out = [*_pack(spans, spread(spans[0]), 3, n), *_pack([r[crowd] for r in rest], spread(rest[0][crowd]), 1, n), *_pack([r[~crowd] for r in rest], home(rest[0][~crowd]), 0, n), *_pack([marks], home(marks), 2, n)]
         return pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=names)
 
@@ -151,7 +151,7 @@ def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.n
         yield from table(SPAN, [r[copy] for r in rows])
         yield from table(REP, [r[several & ~copy] for r in rows])
 
-    return df.mapInArrow(pack, PACKED).repartition(n // 4, "bucket").mapInArrow(meet, "role int, k long, at int, n int")
+    return df.mapInArrow(pack, PACKED).repartitionById(n, "bucket").mapInArrow(meet, "role int, k long, at int, n int")
 
 
 def per_doc(docs: DataFrame, found: DataFrame) -> DataFrame:
