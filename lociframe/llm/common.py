@@ -39,7 +39,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def doc_id(k: str = "k"):
-    return F.when(F.col(k) != F.lit(NO_ID), F.col(k)).alias("doc_id")
+    return F.nullif(F.col(k), F.lit(NO_ID)).alias("doc_id")
 
 
 # --- numpy over batches of texts -------------------------------------------------------------------------------------

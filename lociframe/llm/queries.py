@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators, and DuckDB SQL where it can express them."""
 
+from lociframe.llm.jaccard_join import op6_jaccard_join
 from lociframe.llm.substring_dedup import op8_substring_dedup
 from lociframe.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
