@@ -1,10 +1,16 @@
 """The registered queries of the training-data operators, and DuckDB SQL where it can express them."""
 
 from lociframe.llm.jaccard_join import op6_jaccard_join
+from lociframe.llm.language_id import op4_language_id
+from lociframe.llm.packing import op1_best_fit_packing
+from lociframe.llm.quality_rules import op3_quality_rules
 from lociframe.llm.substring_dedup import op8_substring_dedup
 from lociframe.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
