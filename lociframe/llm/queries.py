@@ -1,7 +1,9 @@
 """The registered queries of the training-data operators, and DuckDB SQL where it can express them."""
 
+from lociframe.llm.fingerprints import op7_fingerprints
 from lociframe.llm.jaccard_join import op6_jaccard_join
 from lociframe.llm.language_id import op4_language_id
+from lociframe.llm.mixing import op9_source_mixing
 from lociframe.llm.packing import op1_best_fit_packing
 from lociframe.llm.quality_rules import op3_quality_rules
 from lociframe.llm.substring_dedup import op8_substring_dedup
@@ -13,7 +15,9 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_fingerprints": op7_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_source_mixing": op9_source_mixing,
 }
 
 ORACLE = {}
