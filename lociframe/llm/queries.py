@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators, and DuckDB SQL where it can express them."""
 
 from lociframe.llm.fingerprints import op7_fingerprints
+from lociframe.llm.html_extraction import op2_html_extraction
 from lociframe.llm.jaccard_join import op6_jaccard_join
 from lociframe.llm.language_id import op4_language_id
+from lociframe.llm.license_scan import op10_license_scan
 from lociframe.llm.mixing import op9_source_mixing
 from lociframe.llm.packing import op1_best_fit_packing
 from lociframe.llm.quality_rules import op3_quality_rules
@@ -11,6 +13,7 @@ from lociframe.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -18,6 +21,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE = {}
