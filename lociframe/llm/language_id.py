@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lociframe.llm.common import NO_ID, chunks, buffers, doc_id, keyed
+from lociframe.llm.common import NO_ID, buffers, chunks, keyed
 
 ORDERS = (1, 2, 3)  # n-gram lengths; a gram is packed into 21 bits a character
 PROFILE = 1000  # n-grams of a language profile
@@ -62,8 +62,8 @@ def letter_runs(batch: pa.RecordBatch, letters: Letters):
         yield i, j, flat, np.repeat(np.arange(j - i), size)
 
 
-def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("k").cast("string").cast("binary")), F.lit(5)) == 0
+def held_out(key: Column) -> Column:
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0
 
 
 def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
@@ -154,6 +154,14 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
+def label_languages(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
+    """docs with held_out, lang_pred and score; see identify. text and lang are read, other columns pass through."""
+    train = keyed(docs, "lang").where((F.col("k") != NO_ID) & ~held_out(F.col("k")))
+    profiles = learn(train.select("text", "lang"), profile, sample)
+    rows = docs.withColumn("held_out", F.col("doc_id").isNotNull() & held_out(F.col("doc_id")))
+    return predict(rows, profiles, top)
+
+
 def identify(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
     """One row per row of documents: doc_id, held_out, lang_pred, score.
 
@@ -161,9 +169,7 @@ def identify(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: in
     no letter gets `und` and score 0, as does every text if nothing could be learned. A null doc_id is never held out and
     never learned from. Rows that share a doc_id are predicted each. Other columns are ignored.
     """
-    own = keyed(docs, "lang").withColumn("held_out", (F.col("k") != NO_ID) & held_out())
-    profiles = learn(own.where(~F.col("held_out") & (F.col("k") != NO_ID)).select("text", "lang"), profile, sample)
-    return predict(own.select("k", "held_out", "text"), profiles, top).select(doc_id(), "held_out", "lang_pred", "score")
+    return label_languages(docs.select("doc_id", "text", "lang"), profile, top, sample).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import doc_id, keyed, materialise
+from lociframe.llm.common import NO_ID, doc_id, keyed, materialise
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3  # times a source, and so a document, is taken at most
@@ -96,30 +96,61 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
 
 
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sid, row, block, n): how many words of a document lie in each block; docs: sid, row, start, size."""
+    """(sid, row, block, at, n): the words at .. at + n - 1 of a document lie in a block; docs: sid, row, start, size."""
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = docs.where("size > 0").select("sid", "row", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return parts.select("sid", "row", "block", (end - F.greatest(F.col("start"), F.col("block") * block)).alias("n"))
+    begin = F.greatest(F.col("start"), F.col("block") * block)
+    return parts.select("sid", "row", "block", (begin - F.col("start")).alias("at"), (end - begin).alias("n"))
+
+
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+def _taken(rows: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """rows (k, source, size, row; materialised) with source_size and target; and (row, block, times, at, n) of the blocks
+    the mix takes: words at .. at + n - 1 of the row's document."""
+    sources = materialise(targets(rows))
+    named = rows.join(sources.select("sid", F.col("source").alias("source2"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source2"))).drop("source", "source2")
+    buckets = max(1, rows.count() // BUCKET)
+    placed = materialise(offsets(named.select("sid", "k", "size", "row"), buckets))
+    times = slots(sources, block, shard).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    return named, blocks(placed, block).join(times, ["sid", "block"])
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """One row per row of documents: doc_id, size, source_size, target, taken.
 
-    size counts words [^\\\\x20\\\\x09-\\\\x0D]+ (null text: 0). taken is how many of the document's words the mix takes, repeats
+    size counts words [^\\x20\\x09-\\x0D]+ (null text: 0). taken is how many of the document's words the mix takes, repeats
     counted, at most REPEATS times size. A null source is a source of its own; a source without words has target 0. Rows that
     share a doc_id are documents each. An empty table, or one without words, takes nothing. Other columns are ignored.
     A rerun gives the same result: what is drawn depends on source, shard and place only. Equal rows are interchangeable.
     """
-    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    words = F.regexp_count("text", F.lit(WORD)).cast("long")
     rows = materialise(keyed(docs, "source").select("k", "source", words.alias("size")).withColumn("row", F.monotonically_increasing_id()))
-    sources = materialise(targets(rows))
-    named = rows.join(sources.select("sid", F.col("source").alias("source2"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source2"))).drop("source", "source2")
-    buckets = max(1, rows.count() // BUCKET)
-    placed = materialise(offsets(named.select("sid", "k", "size", "row"), buckets))
-    taken = slots(sources, block, shard).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    parts = blocks(placed, block).join(taken, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    return named.join(parts, "row", "left").select(doc_id(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    named, parts = _taken(rows, block, shard)
+    taken = parts.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    return named.join(taken, "row", "left").select(doc_id(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix itself, as documents: the columns of docs, text holding what the mix takes of a document.
+
+    That is the document's taken blocks in order, once for every pass through the source, a line break between passes. A
+    document taken whole in one pass keeps its text as it is. Documents of which nothing is taken have no row. See mix for
+    nulls, ties and empty tables.
+    """
+    words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    kept = materialise(docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__size": F.coalesce(words, F.lit(0)), "__row": F.monotonically_increasing_id()}))
+    _, parts = _taken(kept.select(F.col("__k").alias("k"), "source", F.col("__size").alias("size"), F.col("__row").alias("row")), block, shard)
+    lists = parts.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("at", "n", "times"))).alias("__parts"))
+    tokens = F.regexp_extract_all("text", F.lit(WORD + "[\\x20\\x09-\\x0D]*"), F.lit(0))
+    one = lambda p: F.array_join(F.transform(F.filter("__parts", lambda x: x["times"] >= p), lambda x: F.array_join(F.slice("__tokens", (x["at"] + 1).cast("int"), x["n"].cast("int")), "")), "")
+    passes = F.filter(F.array(*(one(p) for p in range(1, REPEATS + 1))), lambda x: x != "")
+    whole = F.forall("__parts", lambda x: x["times"] == 1) & (F.aggregate("__parts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]) == F.col("__size"))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(passes, "\n"))
+    out = kept.join(lists, "__row").withColumn("__tokens", tokens).withColumn("text", text)
+    return out.select(*docs.columns)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
