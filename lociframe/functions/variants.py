@@ -23,7 +23,8 @@ def allele_type(ref: Column, alt: Column) -> Column:
     most = F.least(rn, an) - 1
     suffix = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda x, i: F.struct((x["n"] + (x["on"] & (i <= most) & (back(r, i) == back(a, i))).cast("int")).alias("n"), (x["on"] & (i <= most) & (back(r, i) == back(a, i))).alias("on")))["n"]
     rl, al = rn - suffix, an - suffix
-    rest = F.when((rl == 1) & (al == 1), "snp").when((rl == 1) & (F.substring(r, 1, 1) == F.substring(a, 1, 1)), "ins").when((al == 1) & (F.substring(r, 1, 1) == F.substring(a, 1, 1)), "del").when(rl == al, "mnp").otherwise("other")
+    last = lambda s, i: F.substring(s, i, F.lit(1))
+    rest = F.when((rl == 1) & (al == 1), "snp").when((rl == 1) & (last(r, rl) == last(a, al)), "ins").when((al == 1) & (last(r, rl) == last(a, al)), "del").when(rl == al, "mnp").otherwise("other")
     return (
         F.when(alt == "*", "overlap")
         .when((n == 1) & (m == 1), F.when(alt.isin(".", "X") | (F.upper(ref) == F.upper(alt)), "ref").otherwise("snp"))

@@ -84,7 +84,7 @@ def variant_types(spark, d):
     return t.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT count(*) AS records, 0 AS no_alts, count(*) FILTER (type = 'snp') AS snps, 0 AS mnps, count(*) FILTER (type IN ('ins', 'del')) AS indels, 0 AS others, 0 AS multiallelic
+@query(f"""SELECT count(*) AS records, CAST(0 AS BIGINT) AS no_alts, count(*) FILTER (type = 'snp') AS snps, CAST(0 AS BIGINT) AS mnps, count(*) FILTER (type IN ('ins', 'del')) AS indels, CAST(0 AS BIGINT) AS others, CAST(0 AS BIGINT) AS multiallelic
  FROM (SELECT {TYPE_SQL} AS type FROM {S})""")
 def record_types(spark, d):
     return A.record_types(listed(sites(spark, d)))
@@ -149,7 +149,7 @@ def query_format(spark, d):
 
 # --- genotype aggregates
 FILL = """SELECT {keys}, count(*) FILTER (GT <> './.') * 2 AS AN, CAST(sum(CASE GT WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 0 END) AS BIGINT) AS AC, count(*) FILTER (GT <> './.') AS NS,
- count(*) FILTER (GT = '0/1') AS AC_Het, 2 * count(*) FILTER (GT = '1/1') AS AC_Hom, 0 AS AC_Hemi, count(*) FILTER (GT = '0/0') AS n_hom_ref, count(*) FILTER (GT = '1/1') AS n_hom_alt, count(*) AS n_all FROM {src} GROUP BY {keys}"""
+ count(*) FILTER (GT = '0/1') AS AC_Het, 2 * count(*) FILTER (GT = '1/1') AS AC_Hom, CAST(0 AS BIGINT) AS AC_Hemi, count(*) FILTER (GT = '0/0') AS n_hom_ref, count(*) FILTER (GT = '1/1') AS n_hom_alt, count(*) AS n_all FROM {src} GROUP BY {keys}"""
 FILLED = "SELECT {keys}, AN, AC, NS, AC_Het, AC_Hom, AC_Hemi, round(CASE WHEN AN > 0 THEN AC / AN ELSE 0 END, 6) AS AF, round(CASE WHEN AN > 0 THEN least(AC / AN, 1 - AC / AN) ELSE 0 END, 6) AS MAF, round(1 - NS / n_all, 6) AS F_MISSING FROM ({fill})"
 COLUMNS = ["AN", "AC", "NS", "AC_Het", "AC_Hom", "AC_Hemi"]
 
@@ -226,7 +226,7 @@ def contrast_assoc(spark, d):
 
 
 @query(f"""SELECT sample_id, threshold, round(sum(dose * beta), 4) AS score, count(*) AS n FROM (SELECT *, CASE GT WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 0 END AS dose, ((site_id * 37) % 201 - 100) / 100.0 AS beta, (site_id * 53 % 1000) / 1000.0 AS p FROM {G} WHERE GT <> './.'),
- (SELECT unnest([0.05, 0.5, 1.0]) AS threshold) t WHERE p <= threshold GROUP BY sample_id, threshold""")
+ (SELECT unnest([0.05, 0.5, 1.0]::DOUBLE[]) AS threshold) t WHERE p <= threshold GROUP BY sample_id, threshold""")
 def prs_score(spark, d):
     weights = sites(spark, d).select("site_id", (((F.col("site_id") * 37) % 201 - 100) / 100.0).alias("beta"), ((F.col("site_id") * 53 % 1000) / 1000.0).alias("p"))
     s = A.polygenic_scores(genotypes(spark, d), weights, [0.05, 0.5, 1.0])
@@ -339,7 +339,7 @@ def isec_exact_sets(spark, d):
     return J.intersection(*(s.where(F.col("site_id") % m == 0) for m in (2, 3, 5)), count="~101").select(*J.SITE_KEY)
 
 
-@query(f"SELECT CHROM, POS, REF, ALT, CASE WHEN site_id % 3 = 0 THEN 1 ELSE 2 END AS n_sets, site_id * (CASE WHEN site_id % 3 = 0 THEN 1 ELSE 2 END) AS dp, QUAL, CASE WHEN site_id % 3 = 0 THEN event_type ELSE concat(event_type, ',', event_type) END AS event_type FROM {S}")
+@query(f"SELECT CHROM, POS, REF, ALT, CAST(CASE WHEN site_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_sets, site_id * (CASE WHEN site_id % 3 = 0 THEN 1 ELSE 2 END) AS dp, QUAL, CASE WHEN site_id % 3 = 0 THEN event_type ELSE concat(event_type, ',', event_type) END AS event_type FROM {S}")
 def merge_info(spark, d):
     a, b = (x.withColumn("dp", F.col("site_id")) for x in (sites(spark, d), other(spark, d)))
     return J.merge_sites(a, b, rules={"dp": "sum", "QUAL": "max", "event_type": "join"})
