@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import NO_ID, doc_id, keyed, materialise
+from lociframe.llm.common import NO_ID, doc_id, keyed, materialise, n_parts
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3  # times a source, and so a document, is taken at most
@@ -67,11 +67,13 @@ def permuted(index: Column, n: Column, *seed: Column) -> Column:
     b = F.ceil(n / a).cast("long")
 
     def network(x: Column) -> Column:
-        left, right = F.floor(x / b), x % b
-        for r in range(ROUNDS):
-            left = (left + F.pmod(F.xxhash64(F.lit(2 * r), right, *seed), a)) % a
-            right = (right + F.pmod(F.xxhash64(F.lit(2 * r + 1), left, *seed), b)) % b
-        return left * b + right
+        def turn(pair: Column, r: Column) -> Column:
+            left = (pair["left"] + F.pmod(F.xxhash64(r, pair["right"], *seed), a)) % a
+            right = (pair["right"] + F.pmod(F.xxhash64(-1 - r, left, *seed), b)) % b
+            return F.struct(left.alias("left"), right.alias("right"))
+
+        start = F.struct(F.floor(x / b).alias("left"), (x % b).alias("right"))
+        return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, turn, lambda pair: pair["left"] * b + pair["right"])
 
     return F.aggregate(F.sequence(F.lit(2), F.lit(STEPS)), _once(network, index), lambda x, _: F.when(x < n, x).otherwise(_once(network, x)))
 
@@ -90,6 +92,7 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     s = s.withColumn("n", (F.floor(F.col("upto") * size + draw) - F.floor(F.col("from") * size + draw)).cast("long"))
     s = s.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("n", F.least("n", REPEATS * F.col("n_blocks") - F.col("first"))).where("n > 0")
+    s = s.repartition(n_parts(s.sparkSession), "sid", "shard")  # slots are made evenly over all tasks
     s = s.select("sid", "source_size", "n_blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     taken = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("n_blocks")))
     return s.select("sid", "source_size", "shard", "slot", taken.alias("block"))
