@@ -11,7 +11,7 @@ from lociframe.functions import variants as V
 def with_trios(nested: DataFrame, trios: list[tuple[int, int, int]]) -> DataFrame:
     """A row per site and trio (child, father, mother) with their genotypes. The pedigree is a short list of the caller's;
     genotypes are read from the site's own array, so nothing is shuffled."""
-    gt = lambda i: F.filter("samples", lambda s: s["sample_id"] == i)[0]["GT"]
+    gt = lambda i: F.get(F.filter("samples", lambda s: s["sample_id"] == i), F.lit(0))["GT"]
     rows = F.array(*(F.struct(F.lit(c).alias("child"), F.lit(f).alias("father"), F.lit(m).alias("mother"), gt(c).alias("gt_child"), gt(f).alias("gt_father"), gt(m).alias("gt_mother")) for c, f, m in trios))
     return nested.select(*[c for c in nested.columns if c != "samples"], F.inline(rows))
 
