@@ -98,25 +98,24 @@ def level_start(level: int) -> int:
     return 1 << level if level > 3 else 9
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: float, similarity: int = SIMILARITY) -> np.ndarray:
-    """Signatures of a set: linked sets share one. Sizes fall in levels; a set near the next level also gives that one's."""
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.uint64)
+def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: float, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set, single tokens and combinations: linked sets share one. Sizes fall in levels; a set near the
+    next level also gives that one's combinations."""
+    n, none = len(tokens), np.zeros(0, np.uint64)
     need = removals(n, similarity) + 1
     cell = counts[(tokens >> np.uint64(46)).astype(np.int64)]
     by = np.argsort(cell, kind="stable")
     tokens, n_rare = tokens[by], int(np.searchsorted(cell[by], frequent_from))
     rare, many = tokens[:n_rare], tokens[n_rare:]
     if n_rare >= need:
-        return mix(rare[:need])
+        return mix(rare[:need]), none
     level = n.bit_length() - 1 if n > 8 else 0
     above = 3 if level == 0 else level + 1
-    out = [rare]
+    single, out = [rare], [none]
     for lv in (level, above) if 100 * n >= similarity * level_start(above) else (level,):
         left = need - n_rare
         if lv == 0:
-            out.append(many[:left])
+            single.append(many[:left])
             continue
         cls = ((many >> np.uint64(16)) % np.uint64(max(1, (1 << lv) // 8))).astype(np.int64)
         _, firsts = np.unique(cls, return_index=True)
@@ -131,28 +130,31 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: float, sim
                 break
             a, b = t[:-gap][same], t[gap:][same]
             out.append(mix(mix(np.minimum(a, b)) * BASE + np.maximum(a, b) + np.uint64(lv)))
-    return mix(np.unique(np.concatenate(out)))
+    return mix(np.concatenate(single)), mix(np.unique(np.concatenate(out)))
 
 
 def shared_signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(sig, c, m): signatures that at least two different sets have; m is twice a set's size, plus 1 if it has single tokens only."""
+    """(sig, c, n, p): signatures that at least two different sets have. n is the set's size, p twice the number of single
+    tokens among the set's signatures, plus 1 if this signature is one."""
     mean = counts.sum() / CELLS
     shared = docs.sparkSession.sparkContext.broadcast((counts, mean + 8 * np.sqrt(mean) + 32))
 
     def run(batch):
         counts, frequent_from = shared.value
         seen: set[int] = set()
-        sigs, cs, ms = [], [], []
+        sigs, cs, ns, ps = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int32)]
         for _, tokens in shingle_sets(batch.column("text")):
             if len(tokens) and (c := set_class(tokens)) not in seen:
                 seen.add(c)
-                sigs.append(signatures(tokens, counts, frequent_from))
+                single, combined = signatures(tokens, counts, frequent_from)
+                sigs += [single, combined]
+                ps += [np.full(len(single), 2 * len(single) + 1, np.int32), np.full(len(combined), 2 * len(single), np.int32)]
                 cs.append(c)
-                ms.append(2 * len(tokens) + (len(sigs[-1]) == removals(len(tokens)) + 1))
-        m = [len(s) for s in sigs]
-        yield [as_long(np.concatenate(sigs)) if sigs else np.zeros(0, np.int64), np.repeat(np.array(cs, np.int64), m), np.repeat(np.array(ms, np.int32), m)]
+                ns.append(len(tokens))
+        m = [len(x) + len(y) for x, y in zip(sigs[1::2], sigs[2::2], strict=True)]
+        yield [as_long(np.concatenate(sigs)), np.repeat(np.array(cs, np.int64), m), np.repeat(np.array(ns, np.int32), m), np.concatenate(ps)]
 
-    return materialise(repeated(docs, run, [("sig", "i8"), ("c", "i8"), ("m", "i4")]))
+    return materialise(repeated(docs, run, [("sig", "i8"), ("c", "i8"), ("n", "i4"), ("p", "i4")]))
 
 
 FILTER_BITS = 1 << 23  # of the fixed-size filter that spares shuffling the sets of documents outside all pairs
@@ -173,14 +175,14 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets reach the similarity. A set travels as 48 bits a token."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(sides.select("c").distinct().join(classes, "c").select("k")))
+def token_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, tokens) for at least the classes in wanted (c): a set as 48 bits a token."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(id_filter(wanted.join(classes, "c").select("k")))
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
-            hit = wanted.value[(mix(batch.column("k").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)]
+            hit = bits.value[(mix(batch.column("k").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)]
             part = batch.filter(pa.array(hit))
             seen, out = set(), []
             for _, tokens in shingle_sets(part.column("text")):
@@ -189,9 +191,17 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
                     out.append((c, (tokens >> np.uint64(32)).astype(np.uint32).tobytes() + (tokens >> np.uint64(16)).astype(np.uint16).tobytes()))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["c", "tokens"])
 
-    def tokens_of(blob: bytes) -> np.ndarray:
-        n = len(blob) // 6
-        return (np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, np.uint16, n, 4 * n)
+    return docs.mapInArrow(run, "c long, tokens binary")
+
+
+def tokens_of(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return (np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, np.uint16, n, 4 * n)
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """Those of pairs (a, b) of classes whose sets reach the similarity."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
 
     def compare(batches):
         for batch in batches:
@@ -203,35 +213,122 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
                 linked.append(100 * shared >= similarity * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    found = sides.join(docs.mapInArrow(sets, "c long, tokens binary"), "c")
+    found = sides.join(token_sets(docs, classes, sides.select("c").distinct()), "c")
     return found.groupBy("a", "b").agg(F.collect_list(F.struct("c", "tokens")).alias("two")).mapInArrow(compare, "a long, b long")
 
 
-def near_sizes(x, y):
-    return 100 * F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+BLOCK = 1000  # sets of a cluster that meet one another in one task; larger clusters meet block by block
+DENSE = 32  # tokens that so many sets share are counted by matrix products
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens every two of the sets share."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    first = np.flatnonzero(new)
+    df = np.diff(np.append(first, len(tokens)))
+    out = np.zeros(m * m, np.float32)
+    for d in np.unique(df[(df > 1) & (df < DENSE)]).tolist():
+        at = first[df == d]
+        i, j = np.triu_indices(d, 1)
+        for lo in range(0, len(at), max(1, 2_000_000 // len(i))):
+            some = owner[at[lo : lo + max(1, 2_000_000 // len(i))][:, None] + np.arange(d)]
+            key, n = np.unique((some[:, i] * m + some[:, j]).ravel(), return_counts=True)
+            out[key] += n
+    out = out.reshape(m, m)
+    out += out.T
+    dense = np.flatnonzero(df >= DENSE)
+    for lo in range(0, len(dense), 2048):
+        part = dense[lo : lo + 2048]
+        table = np.zeros((m, len(part)), np.float32)
+        rows = np.concatenate([owner[first[x] : first[x] + df[x]] for x in part])
+        table[rows, np.repeat(np.arange(len(part)), df[part])] = 1
+        out += table @ table.T
+    return out
+
+
+def cluster_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, key, similarity: int = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect what links connect among sets that share a signature and differ in label.
+
+    rows: sig, c, n, u, label. Lists with one hub make a cluster, so sets that share many signatures meet once or a few times
+    only; the hub itself has been compared with all before. In a cluster all sets of different labels are compared, block against block, and a spanning forest of the
+    links is returned: at most one edge per set.
+    """
+    hubs = materialise(rows.groupBy("sig").agg(F.min_by("c", key).alias("hub")))
+    members = rows.join(hubs, "sig").where("c <> hub").select("hub", "c", "n", "u", "label").distinct()
+    sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    members = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    members = members.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("hub", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "c", "n", "u", "label")
+
+    def hopeful(table: pa.Table) -> pa.Table:
+        """Members that by the bounds may be similar to one of another label."""
+        n, u, label, own = (table.column(x).to_numpy() for x in ("n", "u", "label", "own"))
+        most = np.minimum(np.maximum((n - u)[:, None], (n - u)[None, :]), np.minimum(n[:, None], n[None, :]))
+        may = (100 * most >= similarity * (n[:, None] + n[None, :] - most)) & (label[:, None] != label[None, :])
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            may &= own[:, None] != own[None, :]
+        return table.filter(pa.array(may.any(1)))
+
+    members = materialise(members.groupBy("hub", "i", "j").applyInArrow(hopeful, members.schema).drop("n", "u"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        c, at = np.unique(table.column("c").to_numpy(), return_index=True)
+        table = table.take(pa.array(at))
+        label, own = table.column("label").to_numpy(), table.column("own").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sets = [tokens_of(b) for b in table.column("tokens").to_pylist()]
+        n = np.array([len(s) for s in sets], np.float32)
+        both = shared_counts(sets)
+        near = (100 * both >= similarity * (n[:, None] + n[None, :] - both)) & (label[:, None] != label[None, :])
+        if i != j:
+            near &= own[:, None] != own[None, :]
+        seen, edges = np.zeros(len(c), bool), []
+        for s in np.flatnonzero(near.any(1)):
+            if seen[s]:
+                continue
+            seen[s], front = True, [s]
+            while len(front):
+                x = front.pop()
+                fresh = np.flatnonzero(near[x] & ~seen)
+                seen[fresh] = True
+                edges += [(c[x], c[y]) for y in fresh]
+                front += fresh.tolist()
+        return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
+
+    found = members.join(token_sets(docs, classes, members.select("c").distinct()), "c")
+    return found.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def possible(most, n, n2):
+    """Whether sets of sizes n and n2 can reach the similarity if they share `most` tokens or fewer."""
+    most = F.least(most, n, n2)
+    return 100 * most >= SIMILARITY * (n + n2 - most)
 
 
 def links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that connect what all links connect. Not all pairs of a group are compared:
-    first each set of a signature's list with the list's hub, its least class; then, of all pairs that share a signature,
-    those that are in different components still and whose shared signatures leave the similarity possible."""
-    shared = shared.withColumn("n", F.col("m").bitwiseAND(-2) / 2)
-    hubs = materialise(shared.groupBy("sig").agg(F.min("c").alias("hub"), F.min_by("n", "c").alias("hub_n")))
-    star = materialise(shared.join(hubs, "sig").where(F.col("c") != F.col("hub")).where(near_sizes(F.col("n"), F.col("hub_n"))).select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct())
-    first = materialise(verified(docs, classes, star))
-    label = components(first)
-    named = shared.join(label, F.col("c") == F.col("node"), "left").select("sig", "c", "n", "m", F.coalesce("component", "c").alias("label"))
+    """Edges (a, b) between classes that connect what all links connect, without a row for each pair of a group.
+
+    First every set is compared with one hub of each of its signatures, the set with the fewest tokens of its own. Of two
+    sets, the one whose prefix ends first has each of its single tokens in the other's prefix or not in the other set at
+    all; so with u of x's single tokens in nobody's prefix, at most n - u tokens of x are shared, and pairs that cannot be
+    similar then are left out. What several components still share signatures is compared in clusters.
+    """
+    single, p = F.col("p") % 2 == 1, F.floor(F.col("p") / 2)
+    own = shared.groupBy("c").agg(F.count_if(single).alias("v"))
+    members = materialise(shared.join(own, "c").select("sig", "c", F.col("n").cast("long").alias("n"), (p - F.col("v")).alias("u")))
+    key = F.col("u") * (1 << 44) + F.col("n") * (1 << 20) + F.col("c").bitwiseAND(F.lit((1 << 20) - 1))
+    hubs = materialise(members.groupBy("sig").agg(F.min_by("c", key).alias("hub"), F.min_by("n", key).alias("n2"), F.min_by("u", key).alias("u2")))
+    star = members.join(hubs, "sig").where("c <> hub").where(possible(F.greatest(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")), F.col("n"), F.col("n2")))
+    edges = materialise(verified(docs, classes, materialise(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct())))
+    named = members.join(components(edges), F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("component", "c")).drop("node", "component")
     several = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    named = materialise(named.join(several, "sig"))
-    other = named.select("sig", F.col("c").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("label").alias("label2"))
-    pairs = named.join(other, "sig").where("c < b and label <> label2").where(near_sizes(F.col("n"), F.col("n2")))
-    pairs = pairs.groupBy(F.col("c").alias("a"), "b").agg(F.count("*").alias("s"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("m").alias("m"), F.first("m2").alias("m2"))
-    # With single tokens only, the prefix that ends first has need - s tokens that the other set lacks.
-    need = lambda n: n - F.ceil(n * SIMILARITY / 100) + 1
-    most = F.greatest(F.col("n") - need(F.col("n")), F.col("n2") - need(F.col("n2"))) + F.col("s")
-    possible = (F.col("m") % 2 == 0) | (F.col("m2") % 2 == 0) | (100 * most >= SIMILARITY * (F.col("n") + F.col("n2") - most))
-    rest = materialise(pairs.where(possible).select("a", "b").join(star, ["a", "b"], "left_anti"))
-    return first if rest.isEmpty() else first.unionByName(verified(docs, classes, rest))
+    rows = materialise(named.join(several, "sig"))
+    return edges if rows.isEmpty() else edges.unionByName(cluster_links(docs, classes, rows, key))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
