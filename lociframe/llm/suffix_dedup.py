@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lociframe.llm.common import BASE_INV, BYTE, as_long, buffers, chunks, doc_id, keyed, materialise, mix, powers, prefix_sums
 from lociframe.llm.winnow import REP, SPAN, covered, per_doc, resolve, run_lists, seed_runs, windows_of
 
-LENGTH, SEED, SHALLOW = 100, 24, 16
+LENGTH, SEED, SHALLOW = 100, 32, 16
 SORT_BYTES = 1_000_000  # text whose suffixes a task sorts at once
 
 
