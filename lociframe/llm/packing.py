@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,56 +14,132 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lociframe.llm.common import as_long, buffers, chunks, doc_id, keyed, materialise, n_parts, word_hashes, words
+from lociframe.llm.common import IS_SEP, as_long, buffers, chunks, doc_id, keyed, materialise, mix, n_parts, word_hashes, words
 
 LENGTH = 2048
 GROUP = 4096  # pieces packed together; the waste is under one sequence a group
-CACHE = 400_000  # words whose ids a task remembers at most
+CACHE = 700_000  # units whose ids a Python worker remembers at most
+TOGETHER = 256  # plain units encoded as one text
 END_ID = 0
 
 
+# Kinds of bytes
+LETTER, MARK, DIGIT, OTHER = 1, 2, 3, 4
+KIND = np.full(256, OTHER, np.uint8)
+KIND[IS_SEP] = 0
+KIND[33:127] = MARK
+KIND[48:58] = DIGIT
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[ord("'")] = OTHER  # the tokenizer joins it with letters
+
+
+def units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the units of texts, each text's first, and which are plain: the runs of letters (ASCII and Latin-1),
+    digits and ASCII marks of every word, of which letters and marks are plain; a word with anything else is one unit."""
+    start, end, _ = words(raw, offs)
+    if not len(start):
+        return start, end, np.zeros(len(offs), np.int64), np.zeros(0, bool)
+    kind = KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    low = raw[lead + 1]
+    lead = lead[(low >= 0x80) & (low <= 0xBF) & (low != 0x97) & (low != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    kind[np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))] = OTHER  # may begin a special token
+    odd = np.concatenate([[0], np.cumsum(kind == OTHER)])
+    whole = odd[end] > odd[start]
+    change = np.zeros(len(raw), bool)
+    change[1:] = kind[1:] != kind[:-1]
+    inside = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(inside, start[whole], 1)
+    np.add.at(inside, end[whole], -1)
+    change &= (np.cumsum(inside)[:-1] == 0) & (kind != 0)
+    change[start] = True
+    begin = np.flatnonzero(change)
+    word = np.searchsorted(start, begin, side="right") - 1
+    stop = end[word]
+    same = word[1:] == word[:-1]
+    stop[:-1][same] = begin[1:][same]
+    plain = (kind[begin] == LETTER) | (kind[begin] == MARK)
+    return begin, stop, np.searchsorted(begin, offs), plain & ~whole[word]
+
+
 class WordTokenizer:
-    """Token ids of texts, found word by word: each distinct word between ASCII white space is encoded once.
+    """Token ids of texts, found unit by unit: each distinct unit of a word, letter case aside, is encoded once.
 
-    Fit for tokenizers that never join characters across white space and drop it, such as word_bpe_49k.json.
+    Fit for tokenizers that lower-case, never join letters, digits, marks or white space with one another, and drop the
+    latter, such as word_bpe_49k.json.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, keys: list[int], texts: list[str], plain: bool) -> None:
+        """Plain units are runs of letters or marks, one word to the tokenizer each: encoded together, they end where its
+        word-end tokens are."""
+        encode = lambda x: [e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        flat = size = None
+        if plain:
+            ids = encode([" ".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)])
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+            size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        if size is None or len(size) != len(texts) or size.sum() != len(flat):
+            ids = encode(texts)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
 
     def __call__(self, text: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         raw, offs = buffers(text)
-        for i, j in chunks(offs):
+        for i, j in chunks(offs, 2_000_000):
             part = raw[offs[i] : offs[j]]
-            start, end, first = words(part, offs[i : j + 1] - offs[i])
-            keys, at, inverse = np.unique(as_long(word_hashes(part, start, end)), return_index=True, return_inverse=True)
-            data, keys = part.tobytes(), keys.tolist()
+            start, end, first, simple = units(part, offs[i : j + 1] - offs[i])
+            h = word_hashes(part, start, end, fold=True)
+            special = np.flatnonzero((part[start] == ord("<")) & (part[np.minimum(start + 1, len(part) - 1)] == ord("|")))
+            if len(special):  # special tokens are in the letter case given
+                h[special] = mix(word_hashes(part, start[special], end[special]))
+            keys, at, inverse = np.unique(as_long(h), return_index=True, return_inverse=True)
             if len(self.known) > CACHE:
-                self.known.clear()
-            new = [(h, x) for h, x in zip(keys, at.tolist(), strict=True) if h not in self.known]
-            for lo in range(0, len(new), 20_000):
-                some = new[lo : lo + 20_000]
-                for (h, _), e in zip(some, self.tokenizer.encode_batch_fast([data[start[x] : end[x]].decode() for _, x in some], add_special_tokens=False), strict=True):
-                    self.known[h] = e.ids
-            ids = [self.known[h] for h in keys]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((t for x in ids for t in x), np.uint32, int(size.sum()))
-            begin = np.cumsum(size) - size
-            n = size[inverse]
+                self.forget()
+            data, known, keys = part.tobytes(), self.known, keys.tolist()
+            new = np.array([n for n, h in enumerate(keys) if h not in known], np.int64)
+            for plain in (True, False):
+                some = new[simple[at[new]] == plain]
+                spans = zip(start[at[some]].tolist(), end[at[some]].tolist(), strict=True)
+                if len(some):
+                    self._learn([keys[n] for n in some], [data[x:y].decode() for x, y in spans], plain)
+            place = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
+            n = self.size[place]
             ends = np.cumsum(n)
-            out = flat[np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(begin[inverse], n)]
+            out = self.flat[np.arange(int(n.sum())) + np.repeat(self.begin[place] - ends + n, n)]
             edges = np.concatenate([[0], ends])[first]
             for r in range(i, j):
                 yield r, out[edges[r - i] : edges[r - i + 1]]
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(k, piece, start, length, ids_crc32[, ids]) for docs (k, text): every document's ids and END_ID, cut every `length` ids."""
 
     def run(batches):
-        tokenize = WordTokenizer(tokenizer)
+        tokenize = word_tokenizer(tokenizer)
         for batch in batches:
             ks, rows = batch.column("k").to_pylist(), []
             for r, ids in tokenize(batch.column("text")):
