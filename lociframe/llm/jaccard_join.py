@@ -226,6 +226,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     m = len(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     tokens = np.concatenate(sets)
+    if not len(tokens):
+        return np.zeros((m, m), np.float32)
     order = np.lexsort((owner, tokens))
     tokens, owner = tokens[order], owner[order]
     new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
@@ -251,12 +253,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cluster_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, key, similarity: int = SIMILARITY) -> DataFrame:
+def cluster_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rows: DataFrame, key, similarity: int = SIMILARITY) -> DataFrame:
     """Edges (a, b) that connect what links connect among sets that share a signature and differ in label.
 
     rows: sig, c, n, u, label. Lists with one hub make a cluster, so sets that share many signatures meet once or a few times
-    only; the hub itself has been compared with all before. In a cluster all sets of different labels are compared, block against block, and a spanning forest of the
-    links is returned: at most one edge per set.
+    only; the hub itself has been compared with all before. Members that by two bounds cannot be similar to any other drop.
+    The rest of a cluster's sets with different labels are compared, block against block, and a spanning forest of the links
+    is returned: at most one edge per set.
     """
     hubs = materialise(rows.groupBy("sig").agg(F.min_by("c", key).alias("hub")))
     members = rows.join(hubs, "sig").where("c <> hub").select("hub", "c", "n", "u", "label").distinct()
@@ -274,7 +277,21 @@ def cluster_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, key, sim
             may &= own[:, None] != own[None, :]
         return table.filter(pa.array(may.any(1)))
 
-    members = materialise(members.groupBy("hub", "i", "j").applyInArrow(hopeful, members.schema).drop("n", "u"))
+    members = materialise(members.groupBy("hub", "i", "j").applyInArrow(hopeful, members.schema))
+    wanted = members.select("c").distinct()
+    single = shared.join(wanted, "c").groupBy("c").agg(F.max(F.floor(F.col("p") / 2)).alias("p"), F.collect_list(F.when(F.col("p") % 2 == 1, F.col("sig"))).alias("sigs"))
+
+    def closer(table: pa.Table) -> pa.Table:
+        """The same by the single tokens that two prefixes share: beyond them, at most n - p tokens of one are in the other."""
+        n, p, label, own = (table.column(x).to_numpy() for x in ("n", "p", "label", "own"))
+        common = shared_counts([np.array(x, np.int64).view(np.uint64) for x in table.column("sigs").to_pylist()])
+        most = np.minimum(np.maximum((n - p)[:, None], (n - p)[None, :]) + common, np.minimum(n[:, None], n[None, :]))
+        may = (100 * most >= similarity * (n[:, None] + n[None, :] - most)) & (label[:, None] != label[None, :])
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            may &= own[:, None] != own[None, :]
+        return table.filter(pa.array(may.any(1))).select(["hub", "i", "j", "own", "c", "label"])
+
+    members = materialise(members.join(single, "c").groupBy("hub", "i", "j").applyInArrow(closer, members.drop("n", "u").schema))
 
     def compare(table: pa.Table) -> pa.Table:
         c, at = np.unique(table.column("c").to_numpy(), return_index=True)
@@ -328,7 +345,7 @@ def links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
     named = members.join(components(edges), F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("component", "c")).drop("node", "component")
     several = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     rows = materialise(named.join(several, "sig"))
-    return edges if rows.isEmpty() else edges.unionByName(cluster_links(docs, classes, rows, key))
+    return edges if rows.isEmpty() else edges.unionByName(cluster_links(docs, classes, shared, rows, key))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
