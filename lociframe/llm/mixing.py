@@ -118,7 +118,8 @@ def _taken(rows: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFram
     buckets = max(1, rows.count() // BUCKET)
     placed = materialise(offsets(named.select("sid", "k", "size", "row"), buckets))
     times = slots(sources, block, shard).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return named, blocks(placed, block).join(times, ["sid", "block"])
+    # The planner takes exploded sides for as small as what they are made from, and would broadcast them.
+    return named, blocks(placed, block).hint("merge").join(times, ["sid", "block"])
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     rows = materialise(keyed(docs, "source").select("k", "source", words.alias("size")).withColumn("row", F.monotonically_increasing_id()))
     named, parts = _taken(rows, block, shard)
     taken = parts.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    return named.join(taken, "row", "left").select(doc_id(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return named.hint("merge").join(taken, "row", "left").select(doc_id(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -152,7 +153,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) ->
     passes = F.filter(F.array(*(one(p) for p in range(1, REPEATS + 1))), lambda x: x != "")
     whole = F.forall("__parts", lambda x: x["times"] == 1) & (F.aggregate("__parts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]) == F.col("__size"))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(passes, "\n"))
-    out = kept.join(lists, "__row").withColumn("__tokens", tokens).withColumn("text", text)
+    out = kept.hint("merge").join(lists, "__row").withColumn("__tokens", tokens).withColumn("text", text)
     return out.select(*docs.columns)
 
 
