@@ -52,7 +52,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
                     yield [as_long(mix((one[g + window] - one[g]) * back)), as_long(mix((two[g + window] - two[g]) * back)), np.full(len(at), ks[r]), at.astype(np.int32), np.ones(len(at), np.int32)]
 
     found = materialise(resolve(docs, seeds, within=False))
-    windows = resolve(per_doc(docs, found.where(F.col("role") == REP)), extended, within=False)
+    windows = resolve(per_doc(docs, found.where(F.col("role") == REP)), extended, within=False, last=True)
     return found.where(F.col("role") == SPAN).unionByName(windows.where(F.col("role") == SPAN)).select("k", "at", "n")
 
 

@@ -8,7 +8,8 @@ Neighbouring windows that select one seed form a run; the symbols a run covers a
    Where a seed has one context only, nothing else can match. What is left are first runs of seeds with several contexts.
 2. Each seed of those is extended both ways to every window of its run, and windows meet by a 128-bit hash.
 
-Both rounds use `resolve`, which combines in the mapper: of equal rows in a batch only the first one travels.
+Both rounds use `resolve`, which combines in the mapper: of equal rows in a batch only the first document's travel, with
+neighbouring ones folded into one. What a crowded seed has in round 1 skips to round 2; in round 2 every row meets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from lociframe.llm.repeats import FLUSH, PACKED, PASS, _pack
 
 POS_BITS = np.uint64(30)
 POS_MASK = np.uint64((1 << 30) - 1)
-CROWD = 16  # rows of one seed in a batch from which they skip round 1
+CROWD = 16  # contexts of one seed in a batch from which its rows skip round 1
 TYPES = [np.dtype(t) for t in ("i8", "i8", "i8", "i4", "i4")]  # seed, context, k, at, n
 WIDTH = sum(t.itemsize for t in TYPES)
 SPAN, REP = 0, 1
@@ -90,18 +91,43 @@ def _group_sizes(seed: np.ndarray, counted: np.ndarray) -> np.ndarray:
     return np.bincount(group, weights=counted)[group].astype(np.int64)
 
 
-def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], within: bool) -> DataFrame:
+def _folded(rows: list[np.ndarray], first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted rows of which `first` begin a (seed, context), all of a (seed, context) from one k: single windows that follow
+    one another become one row, whose n is minus their number."""
+    at, n = rows[3:]
+    begin = np.ones(len(at), bool)
+    begin[1:] = first[1:] | (n[1:] != 1) | (n[:-1] != 1) | (at[1:] - at[:-1] > 1)
+    begin = np.flatnonzero(begin)
+    end = np.append(begin[1:], len(at)) - 1
+    size = at[end] - at[begin] + 1
+    rows = [r[begin] for r in rows]
+    rows[4] = np.where(size > 1, -size, rows[4]).astype(n.dtype)
+    return rows, first[begin]
+
+
+def _unfolded(k: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.maximum(-n, 1)
+    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(k, size), (np.repeat(at, size) + nth).astype(np.int32), np.maximum(np.repeat(n, size), 1).astype(np.int32)
+
+
+def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], within: bool, last: bool = False) -> DataFrame:
     """Rows (role, k, at, n): SPAN for a row of mapper (seed, context, k, at, n) with an equal (seed, context) earlier,
-    that is of smaller k or, if within, of smaller (k, at); REP for first rows of a seed that has several contexts."""
+    that is of smaller k or, if within, of smaller (k, at); REP for first rows of a seed that has several contexts.
+
+    Rows of a crowded seed may be REP without having met others, unless this is the last round: then all meet, and
+    there are no REP. A batch sends to a seed's bucket what one document has of each of its contexts, at most."""
     n = n_parts(df.sparkSession)
     names = ["bucket", "kind", "cols"]
 
     def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
-        rows, _, copy = _classes([np.concatenate(c) for c in zip(*parts, strict=True)], within)
+        rows, new, copy = _classes([np.concatenate(c) for c in zip(*parts, strict=True)], within)
         if not len(copy):
             return None
-        spans, rest = [r[copy] for r in rows], [r[~copy] for r in rows]
-        crowd = _group_sizes(rest[0], np.ones(len(rest[0]))) > CROWD
+        spans, rest, first = [r[copy] for r in rows], [r[~copy] for r in rows], new[~copy]
+        if not within:
+            rest, first = _folded(rest, first)
+        crowd = (_group_sizes(rest[0], first) > CROWD) & (not last)
         home = lambda x: (x.view(np.uint64) >> np.uint64(40)).astype(np.int64) % n
         marks = np.unique(rest[0][crowd])
         spread = lambda x: (np.arange(len(x)) // PASS + int(x[:1].sum())) % n
@@ -132,7 +158,7 @@ def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.n
 
     def table(role: int, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(rows[0]), 200_000):
-            part = [r[i : i + 200_000] for r in rows[2:]]
+            part = _unfolded(*(r[i : i + 200_000] for r in rows[2:]))
             yield pa.record_batch([pa.array(np.full(len(part[0]), role, np.int32)), *map(pa.array, part)], names=["role", "k", "at", "n"])
 
     def meet(batches):
@@ -149,7 +175,8 @@ def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.n
         single.clear()
         several = (_group_sizes(rows[0], new) > 1) | np.isin(rows[0], np.concatenate(marks))
         yield from table(SPAN, [r[copy] for r in rows])
-        yield from table(REP, [r[several & ~copy] for r in rows])
+        if not last:
+            yield from table(REP, [r[several & ~copy] for r in rows])
 
     return df.mapInArrow(pack, PACKED).repartitionById(n, "bucket").mapInArrow(meet, "role int, k long, at int, n int")
 
