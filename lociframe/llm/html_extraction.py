@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import materialise
 
-MIN_PAGES, SAME_SHARE = 5, 0.9  # a node is template if it was met so often, with the same text in this share
+MIN_PAGES, SAME_SHARE = 5, 0.9  # a node is template if it was met in so many contents, with the same text in this share
 BROADCAST_BYTES = 32_000_000  # wrappers of all hosts together are broadcast up to this size, else joined by shuffling
 DEEPEST = 150  # elements nested deeper count as children of the last level
 TABLE_CELLS = 20_000  # child pairs up to which two nodes' children are aligned by dynamic programming
@@ -267,35 +268,45 @@ def joined(pages: DataFrame, side: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def template_counts(pages: DataFrame, hosts: DataFrame, n_bytes: int) -> DataFrame:
-    """(host, node, n, same): pages in which a wrapper's node has a partner with text, and those where the texts agree."""
+    """(host, node, n, same): contents in which a wrapper's node has a partner with text, and those where the texts agree.
+
+    Pages of a host whose text outside menus, headers and the like is the same are one content, whatever else differs in
+    them; of these the page with the least list of partners counts.
+    """
 
     def run(batches):
         known = Wrappers()
         for batch in batches:
-            counts: dict[tuple[str, int], list[int]] = {}
+            found: dict[tuple[str, bytes], list[int]] = {}
+            met: set[tuple[str, str]] = set()
             for host, page, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
-                if not page or ref is None:
+                if not page or ref is None or (host, page) in met:
                     continue
+                met.add((host, page))
                 wrapper, number = known(ref)
-                for a, b in aligned(parse(page), wrapper):
+                tree, partners = parse(page), []
+                for a, b in aligned(tree, wrapper):
                     if b.tag in ("#root", "html", "body") or a.drop:
                         continue
                     t = text_of(a)
                     if t:
-                        c = counts.setdefault((host, number[id(b)]), [0, 0])
-                        c[0] += 1
-                        c[1] += t == text_of(b)
-            yield pa.record_batch([pa.array([h for h, _ in counts], pa.string()), pa.array([x for _, x in counts], pa.int32()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["host", "node", "n", "same"])
+                        partners.append(2 * number[id(b)] + (t == text_of(b)))
+                content = host, hashlib.blake2b(main_text(tree, set()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                found[content] = min(found.get(content, partners), partners)
+            yield pa.record_batch([pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["host", "content", "partners"])
 
-    return joined(pages.select("host", "html"), hosts, n_bytes).mapInArrow(run, "host string, node int, n long, same long").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    found = joined(pages.select("host", "html"), hosts, n_bytes).mapInArrow(run, "host string, content binary, partners array<int>")
+    one = found.groupBy("host", "content").agg(F.min("partners").alias("partners")).select("host", F.explode("partners").alias("p"))
+    return one.groupBy("host", F.shiftright("p", 1).alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("p") % 2).alias("same"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null, empty and content-free pages have an empty text. A null url, or one without host, counts as host ''. Of hosts with
-    fewer than MIN_PAGES pages nothing is template, and content is told from the rest by where it stands in the page alone.
-    Equal pages are counted each. Columns other than page_id, url and html are ignored.
+    fewer than MIN_PAGES contents nothing is template, and content is told from the rest by where it stands in the page alone.
+    Every page has its row, but pages of a host with the same content count once in telling what is template, as one article
+    under many urls says nothing about the host's other pages. Columns other than page_id, url and html are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", "html", host.alias("host"))
