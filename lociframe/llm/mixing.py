@@ -1,9 +1,10 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-The words of each source, in an order of its documents, are packed into blocks of fixed length. Output shards have a fixed
-number of slots, each for one block. A shard draws how many slots each source gets by systematic sampling of the
-multinomial: every count is the expected one rounded up or down by a draw of the shard. A source's slots are numbered over
-all shards; slot j takes the block that a pseudorandom permutation of the source's block indices, a new one in each
+The words of each source, in an order of its documents, are cut into blocks of at most BLOCK words whose lengths differ by
+one at most. A source gets the slots that its target needs at its own mean block length, rounded up or down by one draw of
+the source. Output shards have about the same number of slots, each for one block, and each source's slots are dealt evenly
+over them: what shards up to any place hold of a source is its expected part, rounded by the same draw. A source's slots are
+numbered over all shards; slot j takes the block that a pseudorandom permutation of the source's block indices, a new one in each
 pass through the source, gives for j. Blocks join slots by index.
 """
 
@@ -16,8 +17,8 @@ from lociframe.llm.common import NO_ID, doc_id, keyed, materialise, n_parts
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3  # times a source, and so a document, is taken at most
-BLOCK = 64  # words in a block
-SHARD = 16384  # slots in an output shard
+BLOCK = 64  # words in a block, at most
+SHARD = 16384  # slots in an output shard, about: less than one a source away from it
 BUCKET = 10_000  # documents whose sizes are summed up in order in one group, about
 ROUNDS, STEPS = 4, 16  # of the permutation; see permuted
 
@@ -84,14 +85,13 @@ def _once(network, x: Column) -> Column:
 
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """(sid, source_size, shard, slot, block): the blocks of every shard; slot numbers a source's slots over all shards."""
-    s = sources.where("source_size > 0").withColumn("upto", F.sum("target").over(Window.orderBy("sid")) / F.col("total")).withColumn("from", F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0.0)))
-    s = s.withColumn("n_slots", F.ceil(F.col("total") / block)).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    s = sources.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    s = s.withColumn("expected", F.col("target") * F.col("n_blocks") / F.col("source_size"))
+    whole = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("n_slots", F.ceil(F.sum("expected").over(whole))).withColumn("draw", F.pmod(F.xxhash64(F.lit("source"), "sid"), F.lit(1 << 52)) / F.lit(float(1 << 52)))
     s = s.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_slots") / shard) - 1)))
-    size = F.least(F.lit(shard), F.col("n_slots") - F.col("shard") * shard)
-    draw = F.pmod(F.xxhash64(F.lit("shard"), "shard"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    s = s.withColumn("n", (F.floor(F.col("upto") * size + draw) - F.floor(F.col("from") * size + draw)).cast("long"))
-    s = s.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("n", F.least("n", REPEATS * F.col("n_blocks") - F.col("first"))).where("n > 0")
+    upto = lambda shards: F.least(F.floor(F.col("expected") * (F.least(shards * shard, F.col("n_slots")) / F.col("n_slots")) + F.col("draw")), REPEATS * F.col("n_blocks"))
+    s = s.withColumn("first", upto(F.col("shard"))).withColumn("n", upto(F.col("shard") + 1) - F.col("first")).where("n > 0")
     s = s.repartition(n_parts(s.sparkSession), "sid", "shard")  # slots are made evenly over all tasks
     s = s.select("sid", "source_size", "n_blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     taken = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("n_blocks")))
@@ -99,11 +99,16 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
 
 
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sid, row, block, at, n): the words at .. at + n - 1 of a document lie in a block; docs: sid, row, start, size."""
-    last = F.floor((F.col("start") + F.col("size") - 1) / block)
-    parts = docs.where("size > 0").select("sid", "row", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    begin = F.greatest(F.col("start"), F.col("block") * block)
+    """(sid, row, block, at, n): the words at .. at + n - 1 of a document lie in a block; docs: sid, source_size, row, start,
+    size. The first blocks of a source are one word longer than its others where its size isn't a multiple."""
+    docs = docs.where("size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    docs = docs.withColumn("short", F.floor(F.col("source_size") / F.col("n_blocks"))).withColumn("n_long", F.col("source_size") - F.col("short") * F.col("n_blocks"))
+    in_long = F.col("n_long") * (F.col("short") + 1)
+    block_of = lambda w: F.when(w < in_long, F.floor(w / (F.col("short") + 1))).otherwise(F.col("n_long") + F.floor((w - in_long) / F.col("short")))
+    start_of = lambda b: b * F.col("short") + F.least(b, F.col("n_long"))
+    parts = docs.withColumn("block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("start") + F.col("size") - 1))))
+    end = F.least(F.col("start") + F.col("size"), start_of(F.col("block") + 1))
+    begin = F.greatest(F.col("start"), start_of(F.col("block")))
     return parts.select("sid", "row", "block", (begin - F.col("start")).alias("at"), (end - begin).alias("n"))
 
 
@@ -116,7 +121,7 @@ def _taken(rows: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFram
     sources = materialise(targets(rows))
     named = rows.join(sources.select("sid", F.col("source").alias("source2"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source2"))).drop("source", "source2")
     buckets = max(1, rows.count() // BUCKET)
-    placed = materialise(offsets(named.select("sid", "k", "size", "row"), buckets))
+    placed = materialise(offsets(named.select("sid", "source_size", "k", "size", "row"), buckets))
     times = slots(sources, block, shard).groupBy("sid", "block").agg(F.count("*").alias("times"))
     # The planner takes exploded sides for as small as what they are made from, and would broadcast them.
     return named, blocks(placed, block).hint("merge").join(times, ["sid", "block"])
@@ -128,7 +133,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     size counts words [^\\x20\\x09-\\x0D]+ (null text: 0). taken is how many of the document's words the mix takes, repeats
     counted, at most REPEATS times size. A null source is a source of its own; a source without words has target 0. Rows that
     share a doc_id are documents each. An empty table, or one without words, takes nothing. Other columns are ignored.
-    A rerun gives the same result: what is drawn depends on source, shard and place only. Equal rows are interchangeable.
+    A source gets less than one slot more or fewer than its target needs. A rerun gives the same result: what is drawn depends on
+    source, shard and place only. Equal rows are interchangeable.
     """
     words = F.regexp_count("text", F.lit(WORD)).cast("long")
     rows = materialise(keyed(docs, "source").select("k", "source", words.alias("size")).withColumn("row", F.monotonically_increasing_id()))
