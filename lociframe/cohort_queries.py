@@ -14,6 +14,8 @@ from lociframe.queries import FILL, G, I, S, other, query
 
 GT2 = "CASE WHEN (h + site_id % 2) % 10 < 5 THEN '0/0' WHEN (h + site_id % 2) % 10 < 8 THEN '0/1' WHEN (h + site_id % 2) % 10 = 8 THEN '1/1' ELSE './.' END"
 
+SPARSE = 0.9  # share of a contig's sites that a sample must have called
+
 
 def second(spark, d):
     h = (F.col("h") + F.col("site_id") % 2) % 10
@@ -137,3 +139,21 @@ def indel_stats(spark, d):
 def munge_columns(spark, d):
     raw = sites(spark, d).where("QUAL is not null").select(F.col("site_id").alias("RSID"), F.col("QUAL").alias("Effect"))
     return C.renamed(raw, {"pos_id": ["rsid", "snp"], "beta": ["effect", "b"]})
+
+
+# --- over all sites, without SQL: ad_bias, check_sparsity and ld_r2 take the part of the table that their SQL compares
+
+
+@query()
+def ad_bias_all(spark, d):
+    return C.allele_bias(nested(spark, d), [(0, 1)]).withColumn("p", F.round("p", 6))
+
+
+@query()
+def check_sparsity_all(spark, d):
+    return C.sparse_share(genotypes(spark, d), SPARSE)
+
+
+@query()
+def ld_r2_all(spark, d):
+    return J.linkage(genotypes(spark, d), T.dosage_from_genotype(F.col("GT")), 100).where("n > 0").withColumn("r2", F.round("r2", 6))

@@ -63,6 +63,15 @@ def sparse_samples(tidy: DataFrame, least: int) -> DataFrame:
     return tidy.groupBy("sample_id", "CHROM").agg(called.alias("n_called")).where(F.col("n_called") < least)
 
 
+def sparse_share(tidy: DataFrame, share: float) -> DataFrame:
+    """Samples and contigs with called genotypes at less than `share` of the contig's sites, those without any row too."""
+    called = F.count_if(~V.in_class(F.col("GT"), "mis"))
+    have = tidy.groupBy("sample_id", "CHROM").agg(called.alias("n_called"))
+    contigs = tidy.groupBy("CHROM").agg(F.count_distinct("site_id").alias("n_sites"))
+    full = tidy.select("sample_id").distinct().crossJoin(contigs).join(have, ["sample_id", "CHROM"], "left")
+    return full.withColumn("n_called", F.coalesce("n_called", F.lit(0))).where(F.col("n_called") < share * F.col("n_sites")).select("sample_id", "CHROM", "n_called", "n_sites")
+
+
 def imputation_quality(nested: DataFrame, probabilities) -> DataFrame:
     """INFO metric of a biallelic site: 1 - mean genotype variance over its expectation; 1 for a monomorphic site.
     probabilities maps a sample struct to its array of three genotype probabilities."""
