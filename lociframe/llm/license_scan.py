@@ -2,12 +2,14 @@
 
 A text's lines are normalised. A template is compared with every stretch of whole lines that begins at a line with one of
 its bigrams and whose number of words lies within the bounds that a Dice coefficient of at least the threshold leaves.
+Templates of which the whole text has too few bigrams are passed over, and a stretch with too many others is given up.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,13 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "bsd-short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "gpl-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "lgpl-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "lgpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "agpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
 }
+# and whole licences, a file each
+TEMPLATES |= {x.name.removesuffix(".txt") + "-text": x.read_text("utf-8") for x in resources.files("lociframe.llm").joinpath("licenses").iterdir() if x.name.endswith(".txt")}
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -70,15 +78,27 @@ class Scanner:
                 self.by_bigram.setdefault(g, []).append(len(self.templates) - 1)
         self.starts = {w for g in self.by_bigram for w in g}
 
+    def possible(self, words: list[str]) -> set[int]:
+        """Templates of which a text of these words has enough bigrams."""
+        shared: Counter = Counter()
+        for g, m in bigrams(words).items():
+            for t in self.by_bigram.get(g, ()):
+                shared[t] += min(m, self.templates[t][1][g])
+        return {t for t, m in shared.items() if 2 * m >= self.threshold * (self.templates[t][2] + self.templates[t][3]) - 1e-6}
+
     def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, dice, first line, line after the last), without overlaps: the best first, then the longest."""
         lines = text.split("\n")
         words = [normalised(x) for x in lines]
         found, grams = [], [list(zip(w, w[1:], strict=False)) for w in words]
+        possible = self.possible([w for own in words for w in own])
+        if not possible:
+            return []
         for i, own in enumerate(grams):
-            for t in sorted({t for g in own for t in self.by_bigram.get(g, ())}):
+            for t in sorted({t for g in own for t in self.by_bigram.get(g, ())} & possible):
                 name, want, n, least, most = self.templates[t]
-                have, m, j, last = Counter(), 0, i, None
+                have, m, same, j, last = Counter(), 0, 0, i, None
+                others = n * (2 - 2 * self.threshold) / self.threshold + 1e-6  # with more, all of the template is not enough
                 while j < len(lines):
                     step = list(grams[j])
                     if last is not None and words[j]:
@@ -86,11 +106,15 @@ class Scanner:
                     m += len(step)
                     if m > most:
                         break
-                    have.update(step)
+                    for g in step:
+                        have[g] += 1
+                        same += have[g] <= want[g]
+                    if m - same > others:
+                        break
                     last = words[j][-1] if words[j] else last
                     j += 1
-                    if m >= least and words[j - 1] and 2 * sum((have & want).values()) >= self.threshold * (m + n) - 1e-9:
-                        found.append((dice(have, want), m, name, i, j))
+                    if m >= least and words[j - 1] and 2 * same >= self.threshold * (m + n) - 1e-9:
+                        found.append((2 * same / (m + n), m, name, i, j))
         out, taken = [], set()
         for d, _, name, i, j in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
             if not taken & set(range(i, j)):
