@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,6 @@ from lociframe.llm.common import materialise
 
 MIN_PAGES, SAME_SHARE = 5, 0.9  # a node is template if it was met in so many contents, with the same text in this share
 BROADCAST_BYTES = 32_000_000  # wrappers of all hosts together are broadcast up to this size, else joined by shuffling
-DEEPEST = 150  # elements nested deeper count as children of the last level
 TABLE_CELLS = 20_000  # child pairs up to which two nodes' children are aligned by dynamic programming
 
 # Element names of the HTML standard.
@@ -56,8 +56,14 @@ class Node:
 def parse(page: str) -> Node:
     """DOM tree of a page; wrong nesting and missing end tags are mended the usual way."""
     root = Node("#root")
-    stack, at, raw = [root], 0, None
+    stack, at = [root], 0
     lower = None
+    n_open: Counter = Counter()
+
+    def close(d: int) -> None:
+        n_open.subtract(x.tag for x in stack[d:])
+        del stack[d:]
+
     scan = TOKEN.search
     while at < len(page):
         m = scan(page, at)
@@ -72,11 +78,11 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if not n_open[tag]:
                 continue
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d].tag == tag:
-                    del stack[d:]
+                    close(d)
                     break
                 if tag in INLINE and stack[d].tag not in INLINE and stack[d].tag != "p":
                     break  # an inline end tag does not end a block
@@ -84,7 +90,7 @@ def parse(page: str) -> Node:
         if tag in CLOSES_P:
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d].tag == "p":
-                    del stack[d:]
+                    close(d)
                     break
                 if stack[d].tag not in INLINE:
                     break
@@ -93,7 +99,7 @@ def parse(page: str) -> Node:
                 if stack[d].tag in SCOPE[tag]:
                     break
                 if stack[d].tag in CLOSED_BY[tag]:
-                    del stack[d:]
+                    close(d)
                     if tag in ("li", "dt", "dd", "option"):
                         break
         attrs = m["attrs"]
@@ -114,8 +120,8 @@ def parse(page: str) -> Node:
             end = lower.find(f"</{tag}", at)
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
         elif tag not in VOID and not (attrs or "").rstrip().endswith("/"):
-            if len(stack) < DEEPEST:
-                stack.append(node)
+            stack.append(node)
+            n_open[tag] += 1
     return root
 
 
@@ -129,16 +135,20 @@ def text_of(node: Node) -> str:
 
 
 def _text(node: Node, out: list[str], skip) -> None:
-    for x in node.parts:
+    todo: list = [node.parts[::-1]]
+    while todo:
+        if not todo[-1]:
+            todo.pop()
+            continue
+        x = todo[-1].pop()
         if isinstance(x, str):
             out.append(x)
         elif not skip(x):
-            apart = x.tag not in INLINE
-            if apart:
-                out.append(" ")
-            _text(x, out, skip)
-            if apart:
+            parts = x.parts[::-1]
+            if x.tag not in INLINE:
                 out.append(" ")
+                parts.insert(0, " ")
+            todo.append(parts)
 
 
 def _runs(kids: list[Node]) -> list[list[Node]]:
@@ -156,10 +166,36 @@ def tree_match(a: Node, b: Node, memo: dict) -> int:
     """Simple tree matching: the most pairs of nodes in order-preserving, top-down agreement."""
     if a.key != b.key:
         return 0
-    got = memo.get((id(a), id(b)))
-    if got is None:
-        got = memo[id(a), id(b)] = 1 + _align(a, b, memo)[0]
-    return got
+    todo = [(a, b)]
+    while todo:  # not by recursion: pages nest as deep as they like
+        p, q = todo[-1]
+        if (id(p), id(q)) not in memo:
+            need = [(u, v) for x, y in _candidates(p, q) for u, v in zip(x, y, strict=False) if (id(u), id(v)) not in memo]
+            if need:
+                todo += need
+                continue
+            memo[id(p), id(q)] = 1 + _align(p, q, memo)[0]
+        todo.pop()
+    return memo[id(a), id(b)]
+
+
+def _greedy(xs: list[list[Node]], ys: list[list[Node]]) -> list[tuple[list[Node], list[Node]]]:
+    """For lists too long for a table: the next run of the same kind is the partner."""
+    pairs, j = [], 0
+    for x in xs:
+        nxt = next((i for i in range(j, min(j + 50, len(ys))) if ys[i][0].key == x[0].key), None)
+        if nxt is not None:
+            pairs.append((x, ys[nxt]))
+            j = nxt + 1
+    return pairs
+
+
+def _candidates(a: Node, b: Node) -> list[tuple[list[Node], list[Node]]]:
+    """The runs of children whose match _align asks for."""
+    xs, ys = _runs(a.kids()), _runs(b.kids())
+    if len(xs) * len(ys) > TABLE_CELLS:
+        return _greedy(xs, ys)
+    return [(x, y) for x in xs for y in ys if x[0].key == y[0].key]
 
 
 def _run_match(x: list[Node], y: list[Node], memo: dict) -> int:
@@ -170,13 +206,8 @@ def _align(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[list[Node], li
     xs, ys = _runs(a.kids()), _runs(b.kids())
     if not xs or not ys:
         return 0, []
-    if len(xs) * len(ys) > TABLE_CELLS:  # too many for a table: the next run of the same kind is the partner
-        pairs, j = [], 0
-        for x in xs:
-            nxt = next((i for i in range(j, min(j + 50, len(ys))) if ys[i][0].key == x[0].key), None)
-            if nxt is not None:
-                pairs.append((x, ys[nxt]))
-                j = nxt + 1
+    if len(xs) * len(ys) > TABLE_CELLS:
+        pairs = _greedy(xs, ys)
         return sum(_run_match(x, y, memo) for x, y in pairs), pairs
     table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs):
@@ -219,13 +250,15 @@ def main_text(page: Node, template: set[int]) -> str:
     regions: list[Node] = []
 
     def find(node: Node, tag: str) -> None:
-        for x in node.kids():
+        todo = node.kids()[::-1]
+        while todo:
+            x = todo.pop()
             if x.drop:
                 continue
             if x.tag == tag:
                 regions.append(x)
             else:
-                find(x, tag)
+                todo += x.kids()[::-1]
 
     for tag in ("article", "main"):
         find(page, tag)
