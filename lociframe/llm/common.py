@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,22 +17,79 @@ NO_ID = -(2**63)  # stands for a null doc_id; it sorts before every other
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; local runs without it use /tmp/checkpoints."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir, or else the context's checkpoint directory, which all executors share.
+    Without either, a local master uses /tmp/checkpoints; a cluster has to name one."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        own = sc._jsc.sc().getCheckpointDir()
+        top = own.get() if own.isDefined() else None
+    if not top:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "/tmp/checkpoints"
     path = f"{top.rstrip('/')}/lociframe-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, fs = _folder(spark, path)
+    fs.deleteOnExit(p)
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back: a lost executor costs no recomputation."""
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def materialise(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet to the shared scratch folder and read it back: a lost executor costs no recomputation.
+    The folder goes when the JVM ends, or earlier by `discard` if `made` is given, a list to which its path is added."""
     path = scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    while made:
+        p, fs = _folder(spark, made.pop())
+        fs.delete(p, True)
+
+
+#: By owner, what empties the tables that a Python worker keeps from one task to the next.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, so that workers, which Spark uses again and again, hold no memory between tasks: other owners'
+    tables go before, and free memory goes back to the system after."""
+
+    @functools.wraps(run)
+    def body(batches):
+        empty_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return body
+
+
+def empty_others(owner: str) -> None:
+    for name, empty in KEPT.items():
+        if name != owner:
+            empty()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

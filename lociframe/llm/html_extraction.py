@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import materialise
+from lociframe.llm.common import lean, materialise
 
 MIN_PAGES, SAME_SHARE = 5, 0.9  # a node is template if it was met in so many contents, with the same text in this share
 BROADCAST_BYTES = 32_000_000  # wrappers of all hosts together are broadcast up to this size, else joined by shuffling
@@ -328,7 +328,7 @@ def template_counts(pages: DataFrame, hosts: DataFrame, n_bytes: int) -> DataFra
                 found[content] = min(found.get(content, partners), partners)
             yield pa.record_batch([pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["host", "content", "partners"])
 
-    found = joined(pages.select("host", "html"), hosts, n_bytes).mapInArrow(run, "host string, content binary, partners array<int>")
+    found = joined(pages.select("host", "html"), hosts, n_bytes).mapInArrow(lean(run), "host string, content binary, partners array<int>")
     one = found.groupBy("host", "content").agg(F.min("partners").alias("partners")).select("host", F.explode("partners").alias("p"))
     return one.groupBy("host", F.shiftright("p", 1).alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("p") % 2).alias("same"))
 
@@ -365,7 +365,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return joined(own, side, n_bytes).mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return joined(own, side, n_bytes).mapInArrow(lean(run), f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

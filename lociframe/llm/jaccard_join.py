@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import BASE, as_long, buffers, chunks, doc_id, keyed, materialise, mix, n_parts, word_hashes, words
+from lociframe.llm.common import BASE, as_long, buffers, chunks, discard, doc_id, give_back, keyed, lean, materialise, mix, n_parts, word_hashes, words
 from lociframe.llm.components import components
 from lociframe.llm.repeats import repeated
 
@@ -52,7 +52,7 @@ def set_class(tokens: np.ndarray) -> int:
     return int(as_long(mix(np.array([mix(tokens).sum() + np.uint64(len(tokens))], np.uint64)))[0]) if len(tokens) else 0
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, made: list[str] | None = None) -> DataFrame:
     """One pass: a row (k, n, c) per document, and the token counts as rows (part, cells), added up within each task."""
 
     def run(batches):
@@ -69,7 +69,7 @@ def scan(docs: DataFrame) -> DataFrame:
         m = len(parts)
         yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(list(parts), pa.int32()), pa.array([counts[p : p + CHUNK_CELLS].tobytes() for p in parts], pa.binary())], names=["k", "n", "c", "part", "cells"])
 
-    return materialise(docs.mapInArrow(run, "k long, n int, c long, part int, cells binary"))
+    return materialise(docs.mapInArrow(lean(run), "k long, n int, c long, part int, cells binary"), made)
 
 
 def token_counts(scanned: DataFrame) -> np.ndarray:
@@ -84,7 +84,7 @@ def token_counts(scanned: DataFrame) -> np.ndarray:
 
     out = np.zeros(CELLS, np.int64)
     cells = scanned.where("part is not null").select("part", "cells")
-    for p, b in cells.repartition(min(CELLS // CHUNK_CELLS, n_parts(scanned.sparkSession)), "part").mapInArrow(add, "part int, cells binary").collect():
+    for p, b in cells.repartition(min(CELLS // CHUNK_CELLS, n_parts(scanned.sparkSession)), "part").mapInArrow(lean(add), "part int, cells binary").collect():
         out[p : p + CHUNK_CELLS] += np.frombuffer(b, np.int64)
     return out
 
@@ -133,7 +133,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent_from: float, sim
     return mix(np.concatenate(single)), mix(np.unique(np.concatenate(out)))
 
 
-def shared_signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def shared_signatures(docs: DataFrame, counts: np.ndarray, made: list[str] | None = None) -> DataFrame:
     """(sig, c, n, p): signatures that at least two different sets have. n is the set's size, p twice the number of single
     tokens among the set's signatures, plus 1 if this signature is one."""
     mean = counts.sum() / CELLS
@@ -154,44 +154,58 @@ def shared_signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         m = [len(x) + len(y) for x, y in zip(sigs[1::2], sigs[2::2], strict=True)]
         yield [as_long(np.concatenate(sigs)), np.repeat(np.array(cs, np.int64), m), np.repeat(np.array(ns, np.int32), m), np.concatenate(ps)]
 
-    return materialise(repeated(docs, run, [("sig", "i8"), ("c", "i8"), ("n", "i4"), ("p", "i4")]))
+    return materialise(repeated(docs, run, [("sig", "i8"), ("c", "i8"), ("n", "i4"), ("p", "i4")]), made)
 
 
-FILTER_BITS = 1 << 23  # of the fixed-size filter that spares shuffling the sets of documents outside all pairs
+LEAST_BITS, MOST_BITS, SLICES = 20, 27, 8  # logarithms of the filter's size, which is at most 16 MB; tasks that build it
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap that has the hash of every id in column k, and others by chance: 1 MB whatever the number of ids."""
+def _slots(k: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(k.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap that has the hash of every id in column k and others by chance, and the logarithm of its size, which follows
+    the number of ids up to a bound; a full filter lets more sets through and loses none."""
+    bits = min(max(LEAST_BITS, (16 * ids.count()).bit_length()), MOST_BITS)
+    width = (1 << bits) // SLICES
+
+    def hashed(batches):
+        for batch in batches:
+            at = _slots(batch.column("k").to_numpy(), bits)
+            yield pa.record_batch([pa.array((at // width).astype(np.int32)), pa.array(at % width)], names=["slice", "at"])
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        own, number = np.zeros(width, bool), None
         for batch in batches:
-            bits[(mix(batch.column("k").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
-        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            if batch.num_rows:
+                own[batch.column("at").to_numpy()], number = True, batch.column("slice")[0].as_py()
+        if number is not None:
+            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["slice", "bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for (b,) in ids.repartition(8).mapInArrow(run, "bits binary").collect():
-        out |= np.frombuffer(b, np.uint8)
-    return np.unpackbits(out).astype(bool)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for number, b in ids.mapInArrow(hashed, "slice int, at long").repartitionById(SLICES, "slice").mapInArrow(run, "slice int, bits binary").collect():
+        out[number * (width // 8) : (number + 1) * (width // 8)] = np.frombuffer(b, np.uint8)
+    return out, bits
 
 
 def token_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(c, tokens) for at least the classes in wanted (c): a set as 48 bits a token."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(id_filter(wanted.join(classes, "c").select("k")))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.join(classes, "c").select("k")))
 
     def run(batches):
+        packed, bits = shared.value
         for batch in batches:
-            hit = bits.value[(mix(batch.column("k").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)]
-            part = batch.filter(pa.array(hit))
+            at = _slots(batch.column("k").to_numpy(), bits)
+            part = batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             seen, out = set(), []
             for _, tokens in shingle_sets(part.column("text")):
-                if (c := set_class(tokens)) not in seen and len(tokens):
+                if len(tokens) and (c := set_class(tokens)) not in seen:
                     seen.add(c)
                     out.append((c, (tokens >> np.uint64(32)).astype(np.uint32).tobytes() + (tokens >> np.uint64(16)).astype(np.uint16).tobytes()))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["c", "tokens"])
 
-    return docs.mapInArrow(run, "c long, tokens binary")
+    return docs.mapInArrow(lean(run), "c long, tokens binary")
 
 
 def tokens_of(blob: bytes) -> np.ndarray:
@@ -199,25 +213,35 @@ def tokens_of(blob: bytes) -> np.ndarray:
     return (np.frombuffer(blob, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(blob, np.uint16, n, 4 * n)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets reach the similarity."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
+TOGETHER = 200_000  # tokens of a hub's members that are compared with it in one group
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, made: list[str] | None = None, similarity: int = SIMILARITY) -> DataFrame:
+    """Edges (a, b) for those of pairs (hub, c, n) of classes whose sets reach the similarity; n: tokens of c.
+
+    A hub's members are dealt by hash into groups of about TOGETHER tokens, and its own set goes once to each group."""
+    groups = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / TOGETHER).alias("groups"))
+    dealt = materialise(pairs.join(groups, "hub").select("hub", F.pmod(F.xxhash64("c"), F.col("groups")).alias("g"), "c"), made)
+    sides = dealt.unionByName(dealt.select("hub", "g", F.col("hub").alias("c")).distinct())
+    wanted = materialise(sides.select("c").distinct(), made)
 
     def compare(batches):
         for batch in batches:
-            linked = []
-            for two in batch.column("two").to_pylist():
-                x, y = {s["c"]: s["tokens"] for s in two}.values()
-                both = np.sort(np.concatenate([tokens_of(x), tokens_of(y)]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= similarity * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            edges = []
+            for hub, sets in zip(batch.column("hub").to_pylist(), batch.column("sets").to_pylist(), strict=True):
+                own = {s["c"]: tokens_of(s["tokens"]) for s in sets}
+                x = own.pop(hub)
+                for c, y in own.items():
+                    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if 100 * shared >= similarity * (len(x) + len(y) - shared):
+                        edges.append((min(hub, c), max(hub, c)))
+            yield pa.record_batch([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    found = sides.join(token_sets(docs, classes, sides.select("c").distinct()), "c")
-    return found.groupBy("a", "b").agg(F.collect_list(F.struct("c", "tokens")).alias("two")).mapInArrow(compare, "a long, b long")
+    found = sides.join(token_sets(docs, classes, wanted), "c")
+    return found.groupBy("hub", "g").agg(F.collect_list(F.struct("c", "tokens")).alias("sets")).mapInArrow(lean(compare), "a long, b long")
 
 
-BLOCK = 1000  # sets of a cluster that meet one another in one task; larger clusters meet block by block
+BLOCK, BLOCK_TOKENS = 1000, 400_000  # sets of a cluster, and tokens in them, that meet in one task, about; larger clusters meet block by block
 DENSE = 32  # tokens that so many sets share are counted by matrix products
 
 
@@ -253,17 +277,17 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cluster_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rows: DataFrame, key, similarity: int = SIMILARITY) -> DataFrame:
+def cluster_links(docs: DataFrame, classes: DataFrame, named: DataFrame, clusters: DataFrame, made: list[str] | None = None, similarity: int = SIMILARITY) -> DataFrame:
     """Edges (a, b) that connect what links connect among sets that share a signature and differ in label.
 
-    rows: sig, c, n, u, label. Lists with one hub make a cluster, so sets that share many signatures meet once or a few times
-    only; the hub itself has been compared with all before. Members that by two bounds cannot be similar to any other drop.
-    The rest of a cluster's sets with different labels are compared, block against block, and a spanning forest of the links
-    is returned: at most one edge per set.
+    named: c, n, p, u, singles, combined, label of every set; clusters: sig, hub. Signatures with one hub make a cluster, so
+    sets that share many signatures meet once or a few times only; the hub itself has been compared with all before. Members
+    that by two bounds cannot be similar to any other drop. The rest of a cluster's sets with different labels are compared,
+    block against block, and a spanning forest of the links is returned: at most one edge per set.
     """
-    hubs = materialise(rows.groupBy("sig").agg(F.min_by("c", key).alias("hub")))
-    members = rows.join(hubs, "sig").where("c <> hub").select("hub", "c", "n", "u", "label").distinct()
-    sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    members = materialise(signed(named, "label").join(clusters, "sig").where("c <> hub").select("hub", "c", "n", "u", "label").distinct(), made)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS))
+    sizes = members.groupBy("hub").agg(blocks.alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub", "blocks")
     members = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
     members = members.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     members = members.select("hub", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "c", "n", "u", "label")
@@ -277,21 +301,20 @@ def cluster_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rows:
             may &= own[:, None] != own[None, :]
         return table.filter(pa.array(may.any(1)))
 
-    members = materialise(members.groupBy("hub", "i", "j").applyInArrow(hopeful, members.schema))
-    wanted = members.select("c").distinct()
-    single = shared.join(wanted, "c").groupBy("c").agg(F.max(F.floor(F.col("p") / 2)).alias("p"), F.collect_list(F.when(F.col("p") % 2 == 1, F.col("sig"))).alias("sigs"))
+    members = materialise(members.groupBy("hub", "i", "j").applyInArrow(hopeful, members.schema), made)
 
     def closer(table: pa.Table) -> pa.Table:
         """The same by the single tokens that two prefixes share: beyond them, at most n - p tokens of one are in the other."""
         n, p, label, own = (table.column(x).to_numpy() for x in ("n", "p", "label", "own"))
-        common = shared_counts([np.array(x, np.int64).view(np.uint64) for x in table.column("sigs").to_pylist()])
+        common = shared_counts([np.array(x, np.int64).view(np.uint64) for x in table.column("singles").to_pylist()])
         most = np.minimum(np.maximum((n - p)[:, None], (n - p)[None, :]) + common, np.minimum(n[:, None], n[None, :]))
         may = (100 * most >= similarity * (n[:, None] + n[None, :] - most)) & (label[:, None] != label[None, :])
         if table.column("i")[0].as_py() != table.column("j")[0].as_py():
             may &= own[:, None] != own[None, :]
         return table.filter(pa.array(may.any(1))).select(["hub", "i", "j", "own", "c", "label"])
 
-    members = materialise(members.join(single, "c").groupBy("hub", "i", "j").applyInArrow(closer, members.drop("n", "u").schema))
+    members = materialise(members.join(named.select("c", "p", "singles"), "c").groupBy("hub", "i", "j").applyInArrow(closer, members.drop("n", "u").schema), made)
+    wanted = materialise(members.select("c").distinct(), made)
 
     def compare(table: pa.Table) -> pa.Table:
         c, at = np.unique(table.column("c").to_numpy(), return_index=True)
@@ -315,9 +338,12 @@ def cluster_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, rows:
                 seen[fresh] = True
                 edges += [(c[x], c[y]) for y in fresh]
                 front += fresh.tolist()
+        del sets, both, near
+        if len(c) > BLOCK // 4:
+            give_back()
         return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
 
-    found = members.join(token_sets(docs, classes, members.select("c").distinct()), "c")
+    found = members.join(token_sets(docs, classes, wanted), "c")
     return found.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
 
 
@@ -327,25 +353,36 @@ def possible(most, n, n2):
     return 100 * most >= SIMILARITY * (n + n2 - most)
 
 
-def links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+def signed(sets: DataFrame, *more: str) -> DataFrame:
+    """A row (sig, c, n, u, ...) for each signature of each set."""
+    return sets.select("c", "n", "u", *more, F.explode(F.concat("singles", "combined")).alias("sig"))
+
+
+def links(docs: DataFrame, classes: DataFrame, shared: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Edges (a, b) between classes that connect what all links connect, without a row for each pair of a group.
 
     First every set is compared with one hub of each of its signatures, the set with the fewest tokens of its own. Of two
     sets, the one whose prefix ends first has each of its single tokens in the other's prefix or not in the other set at
-    all; so with u of x's single tokens in nobody's prefix, at most n - u tokens of x are shared, and pairs that cannot be
-    similar then are left out. What several components still share signatures is compared in clusters.
+    all; so with u of x's single tokens in nobody's prefix, at most n - u tokens of x are shared, and with p single tokens of
+    which `common` are the other's too, at most n - p + common. Pairs that cannot be similar by either bound are left out
+    before any set is read. What several components still share signatures is compared in clusters.
     """
-    single, p = F.col("p") % 2 == 1, F.floor(F.col("p") / 2)
-    own = shared.groupBy("c").agg(F.count_if(single).alias("v"))
-    members = materialise(shared.join(own, "c").select("sig", "c", F.col("n").cast("long").alias("n"), (p - F.col("v")).alias("u")))
+    single = F.col("p") % 2 == 1
+    sets = shared.groupBy("c").agg(F.max("n").cast("long").alias("n"), F.max(F.floor(F.col("p") / 2)).alias("p"), F.collect_set(F.when(single, F.col("sig"))).alias("singles"), F.collect_set(F.when(~single, F.col("sig"))).alias("combined"))
+    sets = materialise(sets.withColumn("u", F.col("p") - F.size("singles")), made)
     key = F.col("u") * (1 << 44) + F.col("n") * (1 << 20) + F.col("c").bitwiseAND(F.lit((1 << 20) - 1))
-    hubs = materialise(members.groupBy("sig").agg(F.min_by("c", key).alias("hub"), F.min_by("n", key).alias("n2"), F.min_by("u", key).alias("u2")))
-    star = members.join(hubs, "sig").where("c <> hub").where(possible(F.greatest(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")), F.col("n"), F.col("n2")))
-    edges = materialise(verified(docs, classes, materialise(star.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct())))
-    named = members.join(components(edges), F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("component", "c")).drop("node", "component")
-    several = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    rows = materialise(named.join(several, "sig"))
-    return edges if rows.isEmpty() else edges.unionByName(cluster_links(docs, classes, shared, rows, key))
+    hubs = signed(sets).groupBy("sig").agg(F.min(key).alias("key"), F.min_by("c", key).alias("hub"))
+    n2, u2 = F.shiftright("key", 20).bitwiseAND(F.lit((1 << 24) - 1)), F.shiftright("key", 44)
+    star = signed(sets).join(hubs, "sig").where("c <> hub").where(possible(F.greatest(F.col("n") - F.col("u"), n2 - u2), F.col("n"), n2))
+    star = star.select("hub", "c").distinct().join(sets.select("c", "n", "p", "singles"), "c")
+    star = star.join(sets.select(F.col("c").alias("hub"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("singles").alias("singles2")), "hub")
+    common = F.size(F.array_intersect("singles", "singles2"))
+    star = star.where(possible(F.greatest(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + common, F.col("n"), F.col("n2")))
+    edges = materialise(verified(docs, classes, materialise(star.select("hub", "c", "n"), made), made), made)
+    named = materialise(sets.join(components(edges), F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("component", "c")).drop("node", "component"), made)
+    live = signed(named, "label").groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("c", key).alias("hub"))
+    clusters = materialise(live.where("lo <> hi").select("sig", "hub"), made)
+    return edges if clusters.isEmpty() else edges.unionByName(cluster_links(docs, classes, named, clusters, made))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -356,13 +393,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others; a component that contains one has a null component_id. Rows that share a doc_id are separate documents with
     that id. Other columns are ignored. Sets are compared as 64-bit hashes of shingles.
     """
-    own = keyed(docs)
+    own, made = keyed(docs), []
     scanned = scan(own)
     rows = scanned.where("part is null").select("k", "n", "c")
     classes = materialise(rows.where("n > 0").groupBy("c").agg(F.min("k").alias("k")))
-    label = components(links(own, classes, shared_signatures(own, token_counts(scanned))))
+    label = components(links(own, classes, shared_signatures(own, token_counts(scanned), made), made))
     named = materialise(classes.join(label, F.col("c") == F.col("node"), "left").select("c", "k", F.coalesce("component", "c").alias("label")))
     ids = materialise(named.join(named.groupBy("label").agg(F.min("k").alias("first")), "label").select("c", "first"))
+    discard(docs.sparkSession, made)
     out = rows.where("n > 0").join(ids, "c").select("k", "n", "first").unionByName(rows.where("n = 0").select("k", "n", F.col("k").alias("first")))
     return out.select(doc_id(), F.col("n").cast("long").alias("n_shingles"), doc_id("first").alias("component_id"))
 

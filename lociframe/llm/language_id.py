@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lociframe.llm.common import NO_ID, buffers, chunks, keyed
+from lociframe.llm.common import NO_ID, buffers, chunks, keyed, lean
 
 ORDERS = (1, 2, 3)  # n-gram lengths; a gram is packed into 21 bits a character
 PROFILE = 1000  # n-grams of a language profile
@@ -86,7 +86,7 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict
                     keys, n = np.unique(g[lang[of + i] == x], return_counts=True)
                     yield pa.record_batch([pa.array([langs[x]] * len(keys)), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= profile)
     out: dict[str, list] = {}
     for lang, gram, _ in sorted(ranked.select("lang", "gram", "rank").collect(), key=lambda r: (r[0], r[2])):
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
                     scores.append(float(1 - min(1.0, d[best] / (longest * max(len(own), 1)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def label_languages(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> DataFrame:

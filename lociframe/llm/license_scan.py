@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import doc_id, keyed
+from lociframe.llm.common import doc_id, keyed, lean
 
 THRESHOLD = 0.9
 MAX_TEMPLATES = 2000  # templates travel to every task; more are refused
@@ -143,7 +143,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
             kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int64()), ("end_line", pa.int64())]))
             yield pa.record_batch([batch.column("k"), pa.array(map(len, rows), pa.int64()), pa.array([sorted({x[0] for x in r}) for r in rows], pa.list_(pa.string())), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64()), pa.array(matches, kind)], names=["k", "n_matches", "licenses", "best_license", "best_dice", "matches"])
 
-    out = keyed(docs).mapInArrow(run, "k long, n_matches long, licenses array<string>, best_license string, best_dice double, matches array<struct<license:string,dice:double,first_line:long,end_line:long>>")
+    out = keyed(docs).mapInArrow(lean(run), "k long, n_matches long, licenses array<string>, best_license string, best_dice double, matches array<struct<license:string,dice:double,first_line:long,end_line:long>>")
     return out.select(doc_id(), "n_matches", "licenses", "best_license", "best_dice", "matches")
 
 

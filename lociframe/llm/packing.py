@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lociframe.llm.common import IS_SEP, as_long, buffers, chunks, doc_id, keyed, materialise, mix, n_parts, word_hashes, words
+from lociframe.llm.common import IS_SEP, KEPT, as_long, buffers, chunks, doc_id, keyed, lean, materialise, mix, n_parts, word_hashes, words
 
 LENGTH = 2048
 GROUP = 4096  # pieces packed together; the waste is under one sequence a group
@@ -135,6 +135,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+KEPT["packing"] = word_tokenizer.cache_clear
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(k, piece, start, length, ids_crc32[, ids]) for docs (k, text): every document's ids and END_ID, cut every `length` ids."""
 
@@ -154,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     ddl = "k long, piece int, start long, length long, ids_crc32 long"
     if with_ids:
         names, types, ddl = [*names, "ids"], [*types, pa.list_(pa.int32())], ddl + ", ids array<int>"
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(lean(run, "packing"), ddl)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +212,7 @@ def place(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame
         yield from rows.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).to_batches()
 
     schema = StructType([*numbered.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    packed = numbered.where("g is not null").withColumn("t", F.col("g") % tasks).repartitionById(tasks, "t").drop("t").mapInArrow(run, schema).drop("g")
+    packed = numbered.where("g is not null").withColumn("t", F.col("g") % tasks).repartitionById(tasks, "t").drop("t").mapInArrow(lean(run, "packing"), schema).drop("g")
     full = numbered.where("g is null").drop("g").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import BASE, buffers, chunks, doc_id, keyed, mix, prefix_sums, BYTE, spans_hash, word_hashes, words
+from lociframe.llm.common import BASE, BYTE, buffers, chunks, doc_id, keyed, lean, mix, prefix_sums, spans_hash, word_hashes, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_bangs"]
 SYMBOL = np.zeros(256, bool)
@@ -73,7 +73,7 @@ def measured(docs: DataFrame) -> DataFrame:
             table = np.concatenate(got)
             yield pa.record_batch([batch.column("k"), *(pa.array(table[:, m]) for m in range(len(MEASURES)))], names=["k", *MEASURES])
 
-    return docs.mapInArrow(run, "k long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return docs.mapInArrow(lean(run), "k long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def _later(key: np.ndarray, text: np.ndarray) -> np.ndarray:

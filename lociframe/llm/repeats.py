@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lociframe.llm.common import n_parts
+from lociframe.llm.common import lean, n_parts
 
 PACKED = "bucket int, kind int, cols binary"
-FLUSH = 1_500_000  # rows packed together
+FLUSH = 800_000  # rows packed together
 PASS = 20_000  # rows that need no company, in one pack
 
 
@@ -112,4 +112,4 @@ def repeated(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.
             yield table([c[found[i : i + 200_000]] for c in cols])
 
     ddl = ", ".join(f"{name} {'long' if t == 'i8' else 'int'}" for name, t in schema)
-    return df.mapInArrow(pack, PACKED).repartitionById(n, "bucket").mapInArrow(keep, ddl)
+    return df.mapInArrow(lean(pack), PACKED).repartitionById(n, "bucket").mapInArrow(lean(keep), ddl)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import BASE_INV, as_long, buffers, chunks, doc_id, keyed, materialise, mix, powers, prefix_sums, word_hashes, words
+from lociframe.llm.common import BASE_INV, as_long, buffers, chunks, doc_id, keyed, lean, materialise, mix, powers, prefix_sums, word_hashes, words
 from lociframe.llm.winnow import REP, SPAN, covered, per_doc, resolve, run_lists, seed_runs, windows_of
 
 WINDOW, SEED = 50, 16
@@ -82,7 +82,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, carr
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
             yield pa.record_batch([batch.column("k"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *(batch.column(c) for c in carry)], names=["k", "n_words", "n_removed", "kept_text", "repeats", *carry])
 
-    out = per_doc(own, repeated_spans(own, window, seed)).mapInArrow(cut, "".join(["k long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,end:long>>", *(f", {c} {kinds[c]}" for c in carry)]))
+    out = per_doc(own, repeated_spans(own, window, seed)).mapInArrow(lean(cut), "".join(["k long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,end:long>>", *(f", {c} {kinds[c]}" for c in carry)]))
     return out.select(doc_id(), "n_words", "n_removed", "kept_text", "repeats", *carry)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import BASE_INV, BYTE, as_long, buffers, chunks, doc_id, keyed, materialise, mix, powers, prefix_sums
+from lociframe.llm.common import BASE_INV, BYTE, as_long, buffers, chunks, doc_id, keyed, lean, materialise, mix, powers, prefix_sums
 from lociframe.llm.winnow import REP, SPAN, covered, per_doc, resolve, run_lists, seed_runs, windows_of
 
 LENGTH, SEED, SHALLOW = 100, 32, 16
@@ -140,7 +140,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                 kept.append((part[~gone] if n_removed[-1] else part).tobytes())
             yield pa.record_batch([batch.column("k"), pa.array(n_bytes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = per_doc(own, repeated_bytes(own, length, seed)).mapInArrow(cut, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = per_doc(own, repeated_bytes(own, length, seed)).mapInArrow(lean(cut), "k long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import as_long, mix, n_parts, powers, prefix_sums, BASE_INV
+from lociframe.llm.common import BASE_INV, as_long, lean, mix, n_parts, powers, prefix_sums
 from lociframe.llm.repeats import FLUSH, PACKED, PASS, _pack
 
 POS_BITS = np.uint64(30)
@@ -178,7 +178,7 @@ def resolve(df: DataFrame, mapper: Callable[[pa.RecordBatch], Iterator[list[np.n
         if not last:
             yield from table(REP, [r[several & ~copy] for r in rows])
 
-    return df.mapInArrow(pack, PACKED).repartitionById(n, "bucket").mapInArrow(meet, "role int, k long, at int, n int")
+    return df.mapInArrow(lean(pack), PACKED).repartitionById(n, "bucket").mapInArrow(lean(meet), "role int, k long, at int, n int")
 
 
 def per_doc(docs: DataFrame, found: DataFrame) -> DataFrame:
