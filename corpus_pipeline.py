@@ -16,8 +16,8 @@ from lociframe.llm.substring_dedup import remove_repeats
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing lang becomes the predicted one. Null texts and texts without a
     letter go. Rows that share a doc_id are judged each."""
-    labelled = label_languages(docs).where(F.col("lang_pred") != UNKNOWN)
-    return labelled.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows, of = label_languages(docs)
+    return rows.where(F.col(of)["lang_pred"] != UNKNOWN).withColumn("lang", F.coalesce("lang", F.col(of)["lang_pred"])).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,7 +74,8 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict
     """
     docs = docs.where("lang is not null and text is not null")
     sizes = docs.groupBy("lang").count().select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("share"))
-    chosen = docs.join(sizes, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang")
+    # one row a language, as the profiles that every task gets anyway: broadcast, so that no text moves
+    chosen = docs.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang")
 
     def count(batches):
         letters = Letters()
@@ -94,8 +95,8 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict
     return {lang: np.array(g, np.int64) for lang, g in out.items()}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
-    """docs (k, text, ...) with lang_pred and score.
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], into: str, top: int = TOP) -> DataFrame:
+    """docs (text, ...) with a column `into`: a struct of lang_pred and score.
 
     A document's n-grams that are in any profile are ranked by frequency, ties by the n-gram; its `top` first are
     compared. A gram's distance to a language is the difference of its two ranks, or the profile's length where the
@@ -149,17 +150,20 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) ->
                     best = int(d.argmin())
                     preds.append(names[best])
                     scores.append(float(1 - min(1.0, d[best] / (longest * max(len(own), 1)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            found = pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add(into, StructType().add("lang_pred", "string").add("score", "double")))
 
 
-def label_languages(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
-    """docs with held_out, lang_pred and score; see identify. text and lang are read, other columns pass through."""
+def label_languages(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> tuple[DataFrame, str]:
+    """docs with one more column, a struct of lang_pred and score, and that column's name, which is none of docs' own; see
+    identify. text and lang are read, other columns pass through."""
+    into = "language"
+    while into in {c.lower() for c in docs.columns}:
+        into += "_"
     train = keyed(docs, "lang").where((F.col("k") != NO_ID) & ~held_out(F.col("k")))
-    profiles = learn(train.select("text", "lang"), profile, sample)
-    rows = docs.withColumn("held_out", F.col("doc_id").isNotNull() & held_out(F.col("doc_id")))
-    return predict(rows, profiles, top)
+    return predict(docs, learn(train.select("text", "lang"), profile, sample), into, top), into
 
 
 def identify(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
@@ -169,7 +173,8 @@ def identify(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: in
     no letter gets `und` and score 0, as does every text if nothing could be learned. A null doc_id is never held out and
     never learned from. Rows that share a doc_id are predicted each. Other columns are ignored.
     """
-    return label_languages(docs.select("doc_id", "text", "lang"), profile, top, sample).select("doc_id", "held_out", "lang_pred", "score")
+    rows, of = label_languages(docs.select("doc_id", "text", "lang"), profile, top, sample)
+    return rows.select("doc_id", (F.col("doc_id").isNotNull() & held_out(F.col("doc_id"))).alias("held_out"), f"{of}.lang_pred", f"{of}.score")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ policies and compute ablations on the bits alone."""
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,15 +12,36 @@ from pyspark.sql import functions as F
 
 from lociframe.llm.common import BASE, BYTE, buffers, chunks, doc_id, keyed, lean, mix, prefix_sums, spans_hash, word_hashes, words
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_bangs"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_bangs", "n_unspaced"]
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def c(name: str) -> Column:
-    return F.col(name)
+# Code points of scripts that put no space between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = [(0x0E00, 0x0E7F), (0x0E80, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)]
+IS_LETTER, IS_CAPITAL, IS_UNSPACED = 1, 2, 4
+
+
+class Classes:
+    """Of every code point: whether it is a letter, a capital letter, a letter of a script without spaces."""
 
+    def __init__(self):
+        self.table = np.full(0x110000, 255, np.uint8)
 
+    def __call__(self, raw: bytes) -> np.ndarray:
+        code = np.frombuffer(raw.decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.table[code]
+        if (out == 255).any():
+            for x in np.unique(code[out == 255]).tolist():
+                kind = unicodedata.category(chr(x))
+                letter = kind[0] == "L"
+                self.table[x] = IS_LETTER * letter + IS_CAPITAL * (kind == "Lu") + IS_UNSPACED * (letter and any(a <= x <= b for a, b in UNSPACED))
+            out = self.table[code]
+        return out
+
+
+def c(name: str) -> Column:
+    return F.col(name)
 
 
 def rules() -> list[tuple[str, Column]]:
@@ -31,7 +54,7 @@ def rules() -> list[tuple[str, Column]]:
         ("duplicate_lines", (c("n_dup_lines") > 2) & (100 * c("n_dup_lines") > 30 * c("n_lines"))),
         ("capitals", 100 * c("n_capitals") > 50 * c("n_letters")),
         ("exclamations", 100 * c("n_bangs") > 50 * c("n_words")),
-        ("long_words", c("word_chars") > 20 * c("n_words")),
+        ("long_words", c("word_chars") - c("n_unspaced") > 20 * c("n_words")),
         ("short_words", 10 * c("word_chars") < 20 * c("n_words")),
         ("no_letters", 100 * c("n_letters") < 25 * c("word_chars")),
     ]
@@ -53,6 +76,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """docs (k, text) with the measurements."""
 
     def run(batches):
+        classes = Classes()
         for batch in batches:
             raw, offs = buffers(batch.column("text"))
             got = [np.zeros((j - i, len(MEASURES)), np.int64) for i, j in chunks(offs)] or [np.zeros((0, len(MEASURES)), np.int64)]
@@ -62,12 +86,10 @@ def measured(docs: DataFrame) -> DataFrame:
                 start, end, first = words(part, at)
                 chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
                 in_words = np.concatenate([[0], np.cumsum(chars[end] - chars[start])])
-                lower, upper = (part >= 97) & (part <= 122), (part >= 65) & (part <= 90)
-                # two-byte letters of Latin-1: capitals are C3 80..9E, small letters C3 9F..BF
-                latin = np.concatenate([[False], (part[:-1] == 0xC3)]) if len(part) else np.zeros(0, bool)
-                upper, lower = upper | (latin & (part < 0x9F)), lower | (latin & (part >= 0x9F))
+                kind = classes(part.tobytes())
+                of = lambda bit: np.diff(np.concatenate([[0], np.cumsum((kind & bit) != 0)])[chars[at]])  # noqa: E731, B023
                 out[:, 0], out[:, 1], out[:, 2] = np.diff(first), np.diff(in_words[first]), per_text(SYMBOL[part])
-                out[:, 6], out[:, 7], out[:, 8] = per_text(lower | upper), per_text(upper), per_text(part == 33)
+                out[:, 6], out[:, 7], out[:, 8], out[:, 9] = of(IS_LETTER), of(IS_CAPITAL), per_text(part == 33), of(IS_UNSPACED)
                 out[:, 3], out[:, 4] = _lines(part, at, start)
                 out[:, 5] = _repeats(word_hashes(part, start, end), first)
             table = np.concatenate(got)

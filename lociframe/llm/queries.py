@@ -7,7 +7,7 @@ from lociframe.llm.language_id import op4_language_id
 from lociframe.llm.license_scan import op10_license_scan
 from lociframe.llm.mixing import op9_source_mixing
 from lociframe.llm.packing import op1_best_fit_packing
-from lociframe.llm.quality_rules import op3_quality_rules
+from lociframe.llm.quality_rules import UNSPACED, op3_quality_rules
 from lociframe.llm.substring_dedup import op8_substring_dedup
 from lociframe.llm.suffix_dedup import op5_suffix_dedup
 
@@ -24,4 +24,55 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE = {}
+WORD = r"[^\x20\x09-\x0D]+"
+WORDS = rf"SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents"
+LETTER, CAPITAL = r"\p{L}", r"\p{Lu}"
+UNSPACED_CLASS = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED)
+
+
+def counted(pattern: str) -> str:
+    return f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))"
+
+
+FAILED = {
+    "few_words": "n_words < 50",
+    "repeated_words": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "100 * n_symbols > 20 * n_words",
+    "duplicate_lines": "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines",
+    "capitals": "100 * n_capitals > 50 * n_letters",
+    "exclamations": "100 * n_bangs > 50 * n_words",
+    "long_words": "word_chars - n_unspaced > 20 * n_words",
+    "short_words": "10 * word_chars < 20 * n_words",
+    "no_letters": "100 * n_letters < 25 * word_chars",
+}
+
+ORACLE = {
+    "op3_quality_rules": rf"""
+WITH w AS ({WORDS}),
+grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS m FROM grams) WHERE m > 1),
+repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + d AS at FROM twice, (VALUES (0), (1), (2)) AS v(d)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(ws) AS n_words, {counted(WORD)} AS word_chars, {counted('[#*$%&|<>]')} AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, {counted(LETTER)} AS n_letters, {counted(CAPITAL)} AS n_capitals, {counted('!')} AS n_bangs, {counted('[' + UNSPACED_CLASS + ']')} AS n_unspaced
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, {" + ".join(f"CASE WHEN {x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(FAILED.values()))} AS failed FROM measured)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM judged""",
+    "op6_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes AS p ON p.doc_id = a JOIN sizes AS q ON q.doc_id = b WHERE 100 * m >= 75 * (p.n + q.n - m)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach AS r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id""",
+    "op8_substring_dedup": rf"""
+WITH w AS ({WORDS}),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + d AS place FROM again, range(50) AS v(d)),
+kept AS (SELECT e.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS text FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w) AS e ANTI JOIN gone USING (doc_id, place) GROUP BY e.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}
