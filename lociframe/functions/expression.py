@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from lociframe.functions import variants as V
 TOKENS = re.compile(r'\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?)|(?P<str>"[^"]*"(?:/i)?)|(?P<op>&&|\|\||==|!=|!~|<=|>=|[-+*/%<>=~&|()\[\],:])|(?P<name>(?:INFO/|FORMAT/|FMT/)?[A-Za-z_][A-Za-z0-9_.]*))')
 LEVELS = [["|", "||"], ["&", "&&"], ["==", "=", "!=", "<", "<=", ">", ">=", "~", "!~"], ["+", "-"], ["*", "/", "%"]]
 FUNCTIONS = {"MAX", "MIN", "AVG", "MEAN", "MEDIAN", "STDEV", "SUM", "ABS", "COUNT", "STRLEN", "PHRED", "BINOM", "N_PASS", "F_PASS"}
+OF_GENOTYPES = {"N_MISSING", "F_MISSING", "AN", "AC", "AF", "MAC", "MAF"}
+EXACT = 16777216  # up to here numbers compare in single precision
+NUMBER = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
 GT_CLASSES = {"mis", "hom", "het", "hap", "ref", "alt", "rr", "ra", "aa", "aA", "r", "a"}
 
 
@@ -102,10 +106,9 @@ class Compiler:
     def _field(self, name: str) -> Value:
         short = name.split("/")[-1]
         sample_only = name.startswith(("FORMAT/", "FMT/"))
-        types = V.types(F.col("REF"), F.col("ALT"))
-        gts = F.transform("samples", lambda s: V.alleles(s["GT"])) if self.sample else None
+        gts = self._genotypes() if short in OF_GENOTYPES and self.sample else None
         computed = {
-            "TYPE": lambda: Value(F.transform(types, lambda t: F.when(t.isin("ins", "del"), "indel").otherwise(t)), vector=True, kind="text", tag="TYPE"),
+            "TYPE": lambda: Value(F.transform(V.types(F.col("REF"), F.col("ALT")), lambda t: F.when(t.isin("ins", "del"), "indel").otherwise(t)), vector=True, kind="text", tag="TYPE"),
             "ILEN": lambda: Value(F.transform("ALT", lambda a: V.indel_length(F.col("REF"), a).cast("double")), vector=True),
             "N_ALT": lambda: Value(F.size("ALT").cast("double")), "N_SAMPLES": lambda: Value(F.size("samples").cast("double")),
             "N_MISSING": lambda: Value(self._missing(gts)), "F_MISSING": lambda: Value(self._missing(gts) / F.size("samples")),
@@ -130,6 +133,10 @@ class Compiler:
             return Value(F.transform("samples", get), per_sample=True, vector=vector, kind=k, tag=short)
         raise ValueError(f"no such field: {name}")
 
+    @staticmethod
+    def _genotypes() -> Column:
+        return F.transform("samples", lambda s: V.alleles(s["GT"]))
+
     @staticmethod
     def _missing(gts: Column) -> Column:
         return F.size(F.filter(gts, lambda a: F.forall(a, lambda x: x.isNull()))).cast("double")
@@ -221,20 +228,38 @@ class Compiler:
     @staticmethod
     def _test(op: str, text: bool):
         def number(x, y):
-            big = (F.abs(x) > 16777216) | (F.abs(y) > 16777216)
-            p, q = x.cast("float"), y.cast("float")
-            plain = {"==": (x == y, p == q), "!=": (x != y, p != q), "<": (x < y, p < q), "<=": (x <= y, p <= q), ">": (x > y, p > q), ">=": (x >= y, p >= q)}[op]
-            both = F.when(big, plain[0]).otherwise(plain[1])
+            big = (F.abs(x) > EXACT) | (F.abs(y) > EXACT)
+            both = F.when(big, NUMBER[op](x, y)).otherwise(NUMBER[op](x.cast("float"), y.cast("float")))
             missing = {"==": x.isNull() & y.isNull(), "!=": x.isNull() != y.isNull()}.get(op, F.lit(False))
             return F.when(x.isNull() | y.isNull(), missing).otherwise(both)
 
         def words(x, y):
             missing = {"==": x.isNull() & y.isNull(), "!=": x.isNull() != y.isNull()}.get(op, F.lit(op == "!~"))
-            hit = {"==": F.arrays_overlap(F.split(x, ","), F.split(y, ",")), "!=": ~F.arrays_overlap(F.split(x, ","), F.split(y, ",")), "~": F.rlike(x, y), "!~": ~F.rlike(x, y)}[op]
+            hit = {"==": lambda: F.arrays_overlap(F.split(x, ","), F.split(y, ",")), "!=": lambda: ~F.arrays_overlap(F.split(x, ","), F.split(y, ",")), "~": lambda: F.rlike(x, y), "!~": lambda: ~F.rlike(x, y)}[op]()
             return F.when(x.isNull() | y.isNull(), missing).otherwise(hit)
 
         return words if text else number
 
+    @staticmethod
+    def _test_number(op: str, c: float):
+        """Comparison with a number that the expression gives: the tree stays small."""
+
+        def number(x, _):
+            if abs(c) > EXACT:
+                both = NUMBER[op](x, F.lit(c))
+            else:
+                both = F.when(F.abs(x) > EXACT, NUMBER[op](x, F.lit(c))).otherwise(NUMBER[op](x.cast("float"), F.lit(c).cast("float")))
+            return F.coalesce(both, F.lit(op == "!="))
+
+        return number
+
+    @staticmethod
+    def _bounds(op: str, x: Column, c: float) -> Column | None:
+        """What a comparison in single precision implies for the column as it is stored, so that the scan can skip by it."""
+        near = np.float32(c)
+        low, high = min(c, float(np.nextafter(near, np.float32(-np.inf)))), max(c, float(np.nextafter(near, np.float32(np.inf))))
+        return {">": lambda: x >= low, ">=": lambda: x >= low, "<": lambda: x <= high, "<=": lambda: x <= high, "==": lambda: (x >= low) & (x <= high)}.get(op, lambda: None)()
+
     def _compare(self, op: str, a: Value, b: Value) -> Value:
         if a.literal is not None and b.literal is None:
             a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
@@ -256,15 +281,24 @@ class Compiler:
             b = Value(F.lit(b.literal), kind="text", literal=b.literal)
         if a.kind == "truth":
             a = Value(a.col.cast("double"))
-        any_pair = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: test(p, q)))
-        listed = lambda v, x: x if v.vector else F.array(x)
+        given = a.kind == "number" and b.kind == "number" and b.literal is not None and not b.vector
+        if given:
+            test = self._test_number(op, float(b.literal))
+
+        def any_pair(x, y):
+            if a.vector and b.vector:
+                return F.exists(x, lambda p: F.exists(y, lambda q: test(p, q)))
+            return F.exists(x, lambda p: test(p, y)) if a.vector else F.exists(y, lambda q: test(x, q)) if b.vector else test(x, y)
+
         if not a.per_sample and not b.per_sample:
-            return Value(any_pair(listed(a, a.col), listed(b, b.col)), kind="truth")
+            bound = self._bounds(op, a.col, float(b.literal)) if given and not a.vector and a.tag else None
+            hit = any_pair(a.col, b.col)
+            return Value(hit if bound is None else bound & hit, kind="truth")
         if a.per_sample and b.per_sample:
-            return self._masked(F.zip_with(a.col, b.col, lambda x, y: any_pair(listed(a, x), listed(b, y))))
+            return self._masked(F.zip_with(a.col, b.col, any_pair))
         if a.per_sample:
-            return self._masked(F.transform(a.col, lambda x: any_pair(listed(a, x), listed(b, b.col))))
-        return self._masked(F.transform(b.col, lambda y: any_pair(listed(a, a.col), listed(b, y))))
+            return self._masked(F.transform(a.col, lambda x: any_pair(x, b.col)))
+        return self._masked(F.transform(b.col, lambda y: any_pair(a.col, y)))
 
     def _missing_test(self, op: str, a: Value) -> Value:
         if a.tag == "FILTER":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,25 +12,47 @@ from pyspark.sql import functions as F
 IUPAC = {"AA": "A", "CC": "C", "GG": "G", "TT": "T", "AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once and appears once in the plan, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def base_at(s: Column, i: Column) -> Column:
+    return F.substring(s, i, F.lit(1))
+
+
+def base_from_end(s: Column, i: Column) -> Column:
+    return F.substring(s, F.length(s) - i + 1, F.lit(1))
+
+
+def common(a: Column, b: Column, most: Column, at: Callable[[Column, Column], Column]) -> Column:
+    """How many bases in a row agree, the first `most` at most, by at (base_at or base_from_end)."""
+    return F.when(most < 1, 0).otherwise(F.aggregate(F.sequence(F.lit(1), most), F.lit(0), lambda n, i: F.when((n == i - 1) & (at(a, i) == at(b, i)), i).otherwise(n)))
+
+
 def allele_type(ref: Column, alt: Column) -> Column:
-    """Type of one ALT allele: ref, snp, mnp, ins, del, bnd, overlap or other."""
+    """Type of one ALT allele: ref, snp, mnp, ins, del, bnd, overlap or other.
+
+    Alleles of one base are told apart by plain comparisons; only longer ones have their common ends looked for.
+    """
     n, m = F.length(ref), F.length(alt)
-    shorter = F.least(n, m)
-    same = lambda i: F.substring(ref, i, F.lit(1)) == F.substring(alt, i, F.lit(1))
-    prefix = F.aggregate(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, i: F.struct((a["n"] + (a["on"] & (i <= shorter) & same(i)).cast("int")).alias("n"), (a["on"] & (i <= shorter) & same(i)).alias("on")))["n"]
-    r, a = F.substring(ref, prefix + 1, n), F.substring(alt, prefix + 1, m)
-    rn, an = F.length(r), F.length(a)
-    back = lambda s, i: F.substring(s, F.length(s) - i + 1, F.lit(1))
-    most = F.least(rn, an) - 1
-    suffix = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda x, i: F.struct((x["n"] + (x["on"] & (i <= most) & (back(r, i) == back(a, i))).cast("int")).alias("n"), (x["on"] & (i <= most) & (back(r, i) == back(a, i))).alias("on")))["n"]
-    rl, al = rn - suffix, an - suffix
-    last = lambda s, i: F.substring(s, i, F.lit(1))
-    rest = F.when((rl == 1) & (al == 1), "snp").when((rl == 1) & (last(r, rl) == last(a, al)), "ins").when((al == 1) & (last(r, rl) == last(a, al)), "del").when(rl == al, "mnp").otherwise("other")
+
+    def differing(r: Column, a: Column, rn: Column, an: Column) -> Column:
+        def rest(suffix: Column) -> Column:
+            rl, al = rn - suffix, an - suffix
+            last = base_at(r, rl) == base_at(a, al)
+            return F.when((rl == 1) & (al == 1), "snp").when((rl == 1) & last, "ins").when((al == 1) & last, "del").when(rl == al, "mnp").otherwise("other")
+
+        return F.when((rn == 0) & (an == 0), "ref").when(rn == 0, "ins").when(an == 0, "del").otherwise(let(common(r, a, F.least(rn, an) - 1, base_from_end), rest))
+
+    def after(prefix: Column) -> Column:
+        ends = F.struct(F.substring(ref, prefix + 1, n).alias("r"), F.substring(alt, prefix + 1, m).alias("a"), (n - prefix).alias("rn"), (m - prefix).alias("an"))
+        return let(ends, lambda x: differing(x["r"], x["a"], x["rn"], x["an"]))
+
     return (
-        F.when(alt == "*", "overlap")
-        .when((n == 1) & (m == 1), F.when(alt.isin(".", "X") | (F.upper(ref) == F.upper(alt)), "ref").otherwise("snp"))
-        .when(alt.isin("<*>", "<X>", "<NON_REF>"), "ref").when(alt.startswith("<"), "other").when(alt.rlike(r"[\[\]]"), "bnd")
-        .when((rn == 0) & (an == 0), "ref").when(rn == 0, "ins").when(an == 0, "del").otherwise(rest)
+        F.when((n == 1) & (m == 1), F.when(alt == "*", "overlap").when(alt.isin(".", "X") | (F.upper(ref) == F.upper(alt)), "ref").otherwise("snp"))
+        .when(alt.isin("<*>", "<X>", "<NON_REF>"), "ref").when(alt.startswith("<"), "other").when(alt == "*", "overlap").when(alt.rlike(r"[\[\]]"), "bnd")
+        .otherwise(let(common(ref, alt, F.least(n, m), base_at), after))
     )
 
 

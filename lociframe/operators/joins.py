@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.operators.windows import neighbour
+
 SITE_KEY = ["CHROM", "POS", "REF", "ALT"]
 
 
@@ -89,13 +91,10 @@ def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logi
 
 
 def nearest(sites: DataFrame) -> DataFrame:
-    """CHROM, POS, rev, fwd, nearest: distances to the previous and next distinct position of the contig; null without one.
-
-    lag and lead over one contig's distinct positions: for contigs larger than a task should sort, see windows.by_block.
-    """
-    w = Window.partitionBy("CHROM").orderBy("POS")
+    """CHROM, POS, rev, fwd, nearest: distances to the previous and next distinct position of the contig; null without one."""
     pos = sites.select("CHROM", "POS").distinct()
-    out = pos.withColumns({"rev": F.col("POS") - F.lag("POS").over(w), "fwd": F.lead("POS").over(w) - F.col("POS")})
+    out = neighbour(neighbour(pos, "_before", F.col("POS"), -1), "_after", F.col("POS"), 1)
+    out = out.select("CHROM", "POS", (F.col("POS") - F.col("_before")).alias("rev"), (F.col("_after") - F.col("POS")).alias("fwd"))
     return out.withColumn("nearest", F.least("rev", "fwd"))
 
 

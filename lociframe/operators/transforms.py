@@ -26,11 +26,13 @@ def remapped(gt: Column, allele: Column) -> Column:
 def trimmed(ref: Column, alt: Column) -> Column:
     """Parsimonious pos shift, REF and ALT: the common suffix goes, then the common prefix, one base stays on both sides."""
     n, m = F.length(ref), F.length(alt)
-    common = lambda a, b, most, at: F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, i: F.struct((acc["n"] + (acc["on"] & (i <= most) & (at(a, i) == at(b, i))).cast("int")).alias("n"), (acc["on"] & (i <= most) & (at(a, i) == at(b, i))).alias("on")))["n"]
-    suffix = common(ref, alt, F.least(n, m) - 1, lambda s, i: F.substring(s, F.length(s) - i + 1, F.lit(1)))
-    r, a = F.substring(ref, F.lit(1), n - suffix), F.substring(alt, F.lit(1), m - suffix)
-    prefix = common(r, a, F.least(F.length(r), F.length(a)) - 1, lambda s, i: F.substring(s, i, F.lit(1)))
-    return F.struct(prefix.alias("shift"), F.substring(r, prefix + 1, n).alias("REF"), F.substring(a, prefix + 1, m).alias("ALT"))
+    short = V.let(V.common(ref, alt, F.least(n, m) - 1, V.base_from_end), lambda x: F.struct(F.substring(ref, F.lit(1), n - x).alias("r"), F.substring(alt, F.lit(1), m - x).alias("a")))
+
+    def cut(x: Column) -> Column:
+        r, a = x["r"], x["a"]
+        return V.let(V.common(r, a, F.least(F.length(r), F.length(a)) - 1, V.base_at), lambda p: F.struct(p.alias("shift"), F.substring(r, p + 1, n).alias("REF"), F.substring(a, p + 1, m).alias("ALT")))
+
+    return V.let(short, cut)
 
 
 def atomised(sites: DataFrame) -> DataFrame:

@@ -1,17 +1,54 @@
-"""Operators over neighbouring sites of a contig."""
+"""Operators over neighbouring sites of a contig.
+
+No window takes a contig's sites in one task. Frames of a bounded distance run within blocks of positions, to which the
+sites just beyond their edges are copied. Running values and neighbours are taken within blocks too, and one row a block
+carries what came before: a contig has as many such rows as blocks, however many sites it has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def contig() -> Window:
-    return Window.partitionBy("CHROM").orderBy("POS")
+BLOCK = 1 << 14  # positions in a block: the largest human contig has 15,200 of them
+
+
+def with_halo(sites: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """Sites with _b, a block that has them within `distance` of its positions, and _own, whether they lie in it."""
+    block = max(block, distance)
+    at = F.col("POS")
+    near = F.sequence(F.floor((at - distance) / block), F.floor((at + distance) / block))
+    return sites.withColumn("_b", F.explode(near)).withColumn("_own", F.col("_b") == F.floor(at / block))
+
+
+def running(sites: DataFrame, name: str, value: Column, how: Callable[[Column], Column], inclusive: bool, by: tuple[str, ...] = ("CHROM",), block: int = BLOCK) -> DataFrame:
+    """Column `name`: how (F.max or F.sum) over value of the sites up to each one by POS, itself included or not."""
+    t = sites.withColumn("_v", value).withColumn("_b", F.floor(F.col("POS") / block))
+    inner = Window.partitionBy(*by, "_b").orderBy("POS").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    carried = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = t.groupBy(*by, "_b").agg(how(F.col("_v")).alias("_t")).withColumn("_c", how(F.col("_t")).over(carried)).drop("_t")
+    joined = t.withColumn("_i", how(F.col("_v")).over(inner)).join(per, [*by, "_b"])
+    both = F.greatest("_i", "_c") if how is F.max else F.coalesce(F.col("_i") + F.col("_c"), "_i", "_c")
+    return joined.withColumn(name, both).drop("_v", "_b", "_i", "_c")
 
 
-def count_near(sites: DataFrame, distance: int) -> DataFrame:
+def neighbour(sites: DataFrame, name: str, value: Column, step: int, by: tuple[str, ...] = ("CHROM",), block: int = BLOCK) -> DataFrame:
+    """Column `name`: value at the next site (step 1) or the one before (step -1) by POS; null without one."""
+    t = sites.withColumn("_v", value).withColumn("_b", F.floor(F.col("POS") / block))
+    inner, carried = Window.partitionBy(*by, "_b").orderBy("POS"), Window.partitionBy(*by).orderBy("_b")
+    edge = F.min_by("_v", "POS") if step > 0 else F.max_by("_v", "POS")
+    per = t.groupBy(*by, "_b").agg(edge.alias("_t")).withColumn("_c", F.lead("_t").over(carried) if step > 0 else F.lag("_t").over(carried)).drop("_t")
+    moved = (F.lead if step > 0 else F.lag)(F.struct("_v")).over(inner)
+    joined = t.withColumn("_i", moved).join(per, [*by, "_b"])
+    return joined.withColumn(name, F.when(F.col("_i").isNull(), F.col("_c")).otherwise(F.col("_i._v"))).drop("_v", "_b", "_i", "_c")
+
+
+def count_near(sites: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """Sites of the contig within `distance` positions on either side, the site itself included."""
-    return sites.withColumn("n_near", F.count("*").over(contig().rangeBetween(-distance, distance)))
+    w = Window.partitionBy("CHROM", "_b").orderBy("POS").rangeBetween(-distance, distance)
+    return with_halo(sites, distance, block).withColumn("n_near", F.count("*").over(w)).where("_own").drop("_b", "_own")
 
 
 def thin(sites: DataFrame, width: int, keep: int, *order) -> DataFrame:
@@ -20,38 +57,48 @@ def thin(sites: DataFrame, width: int, keep: int, *order) -> DataFrame:
     return sites.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
 
 
-def islands(sites: DataFrame, gap: int) -> DataFrame:
+def islands(sites: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
     """island: number of the chain a site belongs to; a chain goes on while POS <= gap + end of the furthest REF before."""
-    before = contig().rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.col("POS") + F.length("REF") - 1).over(before)
-    new = (reach.isNull() | (F.col("POS") > reach + gap)).cast("int")
-    return sites.withColumn("_new", new).withColumn("island", F.sum("_new").over(contig().rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    t = running(sites, "_reach", F.col("POS") + F.length("REF") - 1, F.max, False, block=block)
+    new = (F.col("_reach").isNull() | (F.col("POS") > F.col("_reach") + gap)).cast("int")
+    return running(t, "island", new, F.sum, True, block=block).drop("_reach")
 
 
-def indel_gap(sites: DataFrame, gap: int) -> DataFrame:
+def indel_gap(sites: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
     """Indels with passed: of every chain the one with the highest QUAL passes, the first of equals. Chains follow islands."""
-    indels = islands(sites.where(F.length("REF") != F.length("ALT")), gap)
+    indels = islands(sites.where(F.length("REF") != F.length("ALT")), gap, block)
     best = Window.partitionBy("CHROM", "island").orderBy(F.desc_nulls_last("QUAL"), "POS")
     return indels.withColumn("passed", F.row_number().over(best) == 1)
 
 
-def snp_gap(sites: DataFrame, gap: int) -> DataFrame:
-    """SNPs with passed: false if an indel's REF lies within `gap` positions."""
+def snp_gap(sites: DataFrame, gap: int, block: int = 1024) -> DataFrame:
+    """SNPs with passed: false if an indel's REF lies within `gap` positions, an indel at the SNP's own position aside.
+
+    Indels meet the SNPs of a block as one array, which holds the indels that reach into the block's positions.
+    """
     is_indel = F.length("REF") != F.length("ALT")
-    before = contig().rangeBetween(Window.unboundedPreceding, -1)
-    after = contig().rangeBetween(1, Window.unboundedFollowing)
-    last = F.max(F.when(is_indel, F.col("POS") + F.length("REF") - 1)).over(before)
-    following = F.min(F.when(is_indel, F.col("POS"))).over(after)
-    near = F.coalesce(F.col("POS") <= last + gap, F.lit(False)) | F.coalesce(following <= F.col("POS") + gap, F.lit(False))
-    return sites.withColumn("passed", ~near).where(~is_indel)
+    end = F.col("POS") + F.length("REF") - 1
+    reach = F.explode(F.sequence(F.floor((F.col("POS") - gap) / block), F.floor((end + gap) / block)))
+    near = sites.where(is_indel).select("CHROM", reach.alias("_b"), F.struct(F.col("POS").alias("at"), end.alias("end")).alias("_x")).groupBy("CHROM", "_b").agg(F.collect_list("_x").alias("_x"))
+    snps = sites.where(~is_indel).withColumn("_b", F.floor(F.col("POS") / block)).join(near, ["CHROM", "_b"], "left")
+    at = F.col("POS")
+    hit = F.exists("_x", lambda v: ((v["at"] < at) & (at <= v["end"] + gap)) | ((v["at"] > at) & (v["at"] <= at + gap)))
+    return snps.withColumn("passed", ~F.coalesce(hit, F.lit(False))).drop("_b", "_x")
+
+
+def without_overlaps(sites: DataFrame, deletions_late: bool = False, block: int = BLOCK) -> DataFrame:
+    """Sites whose REF overlaps no other site's: a site that begins within the reach of those before drops with its
+    predecessor. With deletions_late a deletion begins one base later, as its first base is its neighbour's."""
+    begin = F.col("POS") + F.when(F.length("REF") > F.length("ALT"), 1).otherwise(0) if deletions_late else F.col("POS")
+    t = running(sites, "_reach", F.col("POS") + F.length("REF") - 1, F.max, False, block=block)
+    t = neighbour(t.withColumn("_hit", F.coalesce(begin <= F.col("_reach"), F.lit(False))), "_next", F.col("_hit"), 1, block=block)
+    return t.where(~F.col("_hit") & ~F.coalesce("_next", F.lit(False))).drop("_reach", "_hit", "_next")
 
 
-def without_overlaps(sites: DataFrame) -> DataFrame:
-    """Sites whose REF overlaps no other site's: a site that begins within the reach of those before drops with its predecessor."""
-    before = contig().rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.col("POS") + F.length("REF") - 1).over(before)
-    hit = sites.withColumn("_hit", F.coalesce(F.col("POS") <= reach, F.lit(False)))
-    return hit.withColumn("_next", F.coalesce(F.lead("_hit").over(contig()), F.lit(False))).where(~F.col("_hit") & ~F.col("_next")).drop("_hit", "_next")
+def same_position(sites: DataFrame) -> DataFrame:
+    """Sites that share contig and POS with another, whatever their alleles."""
+    several = sites.groupBy("CHROM", "POS").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return sites.join(several, ["CHROM", "POS"], "left_semi")
 
 
 def first_of_duplicates(sites: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -61,15 +108,16 @@ def first_of_duplicates(sites: DataFrame, keys: list[str], order: str) -> DataFr
     return kept.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in sites.columns])
 
 
-def blocks(tidy: DataFrame, value: str, *by: str) -> DataFrame:
+def blocks(tidy: DataFrame, value: str, *by: str, block: int = BLOCK) -> DataFrame:
     """Runs of neighbouring sites with the same value in by + CHROM: first and last POS and sites of each."""
-    w = Window.partitionBy(*by, "CHROM").orderBy("POS")
-    changed = (F.lag(value).over(w).isNull() | (F.lag(value).over(w) != F.col(value))).cast("int")
-    run = tidy.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*by, "CHROM", "_run", value).agg(F.min("POS").alias("begin"), F.max("POS").alias("end"), F.count("*").alias("n")).drop("_run")
+    keys = (*by, "CHROM")
+    t = neighbour(tidy.select(*keys, "POS", value), "_last", F.struct(F.col(value).alias("x")), -1, keys, block)
+    changed = (F.col("_last").isNull() | (F.col("_last.x") != F.col(value))).cast("int")
+    run = running(t, "_run", changed, F.sum, True, keys, block)
+    return run.groupBy(*keys, "_run", value).agg(F.min("POS").alias("begin"), F.max("POS").alias("end"), F.count("*").alias("n")).drop("_run")
 
 
-def switches(tidy: DataFrame, value: str, *by: str) -> DataFrame:
+def switches(tidy: DataFrame, value: str, *by: str, block: int = BLOCK) -> DataFrame:
     """How often value differs from the site before, per by."""
-    w = Window.partitionBy(*by, "CHROM").orderBy("POS")
-    return tidy.withColumn("_b", F.lag(value).over(w)).where(F.col("_b").isNotNull()).groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("_b") != F.col(value)).alias("n_switches"))
+    t = neighbour(tidy.select(*by, "CHROM", "POS", value), "_last", F.col(value), -1, (*by, "CHROM"), block)
+    return t.where(F.col("_last").isNotNull()).groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("_last") != F.col(value)).alias("n_switches"))
