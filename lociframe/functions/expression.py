@@ -328,7 +328,7 @@ class Compiler:
         if op == "&":
             return Compiler._masked(F.zip_with(x, y, lambda p, q: p & q))
         if op == "&&":
-            return Value(site, kind="truth", mask=F.zip_with(x, y, lambda p, q: site & (p | q)))
+            return Value(site, kind="truth", mask=F.when(site, F.zip_with(x, y, lambda p, q: p | q)).otherwise(F.transform(x, lambda _: F.lit(False))))
         if op == "|":
             return Value(site, kind="truth", mask=F.zip_with(x, y, lambda p, q: p | q))
         return Value(site, kind="truth", mask=F.transform(x, lambda _: site))
@@ -409,7 +409,10 @@ def exclude(df: DataFrame, expression: str) -> DataFrame:
 def with_result(df: DataFrame, expression: str, site: str = "pass_site", samples: str = "pass_samples") -> DataFrame:
     """Adds the site result and the mask, or null where the expression reads no sample field."""
     v = Compiler(df).compile(expression)
-    return df.withColumn(site, F.coalesce(v.col, F.lit(False))).withColumn(samples, v.mask if v.mask is not None else F.lit(None).cast("array<boolean>"))
+    if v.mask is None:
+        return df.withColumn(site, F.coalesce(v.col, F.lit(False))).withColumn(samples, F.lit(None).cast("array<boolean>"))
+    # a generator of one row: a filter on the result is not pushed below it, which would have the mask made twice
+    return df.select("*", F.inline(F.array(F.struct(F.coalesce(v.col, F.lit(False)).alias(site), v.mask.alias(samples)))))
 
 
 def soft_filter(df: DataFrame, expression: str, name: str, replace: bool = False) -> DataFrame:

@@ -85,11 +85,23 @@ def is_phased(gt: Column) -> Column:
 
 def genotype_class(gt: Column) -> Column:
     """mis, hap_ref, hap_alt, hom_ref, hom_alt, het_ref (one REF) or het_alt (two different ALTs)."""
-    a = alleles(gt)
-    known = F.forall(a, lambda x: x.isNotNull())
-    same = F.size(F.array_distinct(a)) == 1
-    zero = F.array_contains(a, 0)
-    return F.when(gt.isNull() | ~known, "mis").when(F.size(a) == 1, F.when(zero, "hap_ref").otherwise("hap_alt")).when(same, F.when(zero, "hom_ref").otherwise("hom_alt")).otherwise(F.when(zero, "het_ref").otherwise("het_alt"))
+
+    def general(a: Column) -> Column:
+        zero = F.array_contains(a, 0)
+        same = F.size(F.array_distinct(a)) == 1
+        return F.when(F.exists(a, lambda x: x.isNull()), "mis").when(F.size(a) == 1, F.when(zero, "hap_ref").otherwise("hap_alt")).when(same, F.when(zero, "hom_ref").otherwise("hom_alt")).otherwise(F.when(zero, "het_ref").otherwise("het_alt"))
+
+    # the usual texts are compared as they are; only others are taken apart
+    return (
+        F.when(gt.isin("0/0", "0|0"), "hom_ref").when(gt.isin("0/1", "0|1", "1|0", "1/0"), "het_ref").when(gt.isin("1/1", "1|1"), "hom_alt")
+        .when(gt.isNull() | gt.isin("./.", ".|.", "."), "mis").otherwise(let(alleles(gt), general))
+    )
+
+
+def dosage(gt: Column) -> Column:
+    """ALT alleles of a genotype; missing ones count as none."""
+    usual = F.when(gt.isin("0/0", "0|0", "./."), 0).when(gt.isin("0/1", "0|1", "1|0", "1/0"), 1).when(gt.isin("1/1", "1|1"), 2)
+    return usual.otherwise(F.size(F.filter(alleles(gt), lambda x: x > 0)))
 
 
 def in_class(gt: Column, name: str) -> Column:

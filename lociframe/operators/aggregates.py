@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -16,18 +18,25 @@ def contig_summary(sites: DataFrame) -> DataFrame:
     return sites.groupBy("CHROM").agg(F.count("*").alias("n"), F.min("POS").alias("min_pos"), F.max("POS").alias("max_pos"), F.countDistinct("POS").alias("n_pos"))
 
 
-def _counts() -> dict[str, Column]:
-    a = V.alleles(F.col("GT"))
-    called = F.filter(a, lambda x: x.isNotNull())
-    n_alt = F.size(F.filter(called, lambda x: x > 0))
-    full = F.size(called) == F.size(a)
-    distinct = F.size(F.array_distinct(called))
-    return {
-        "AN": F.size(called), "AC": n_alt, "called": (F.size(called) > 0).cast("int"),
-        "het": (full & (distinct > 1)).cast("int"), "hom": F.when(full & (distinct == 1) & (F.size(a) > 1) & (n_alt > 0), n_alt).otherwise(0),
-        "hemi": F.when((F.size(called) == 1), n_alt).otherwise(0), "hom_ref": (full & (F.size(a) == 2) & (n_alt == 0)).cast("int"),
-        "hom_alt": (full & (F.size(a) == 2) & (n_alt == 2)).cast("int"),
-    }
+def _counts() -> Column:
+    """A struct of what a genotype counts for."""
+
+    def counts(a: Column) -> Column:
+        called = F.filter(a, lambda x: x.isNotNull())
+
+        def of(called: Column) -> Column:
+            n_alt, n = F.size(F.filter(called, lambda x: x > 0)), F.size(called)
+            full, distinct = n == F.size(a), F.size(F.array_distinct(called))
+            two = full & (F.size(a) == 2)
+            return F.struct(
+                n.alias("AN"), n_alt.alias("AC"), (n > 0).cast("int").alias("called"), (full & (distinct > 1)).cast("int").alias("het"),
+                F.when(full & (distinct == 1) & (F.size(a) > 1) & (n_alt > 0), n_alt).otherwise(0).alias("hom"), F.when(n == 1, n_alt).otherwise(0).alias("hemi"),
+                (two & (n_alt == 0)).cast("int").alias("hom_ref"), (two & (n_alt == 2)).cast("int").alias("hom_alt"),
+            )
+
+        return V.let(called, of)
+
+    return V.let(V.alleles(F.col("GT")), counts)
 
 
 def fill_tags(tidy: DataFrame, *keys: str) -> DataFrame:
@@ -36,8 +45,8 @@ def fill_tags(tidy: DataFrame, *keys: str) -> DataFrame:
     AF is 0 where nothing is called; MAF is the frequency of the second most common allele. Integers are summed in the map
     side; no genotype leaves its partition.
     """
-    t = tidy.select(*keys, *(c.alias(f"_{n}") for n, c in _counts().items()))
-    t = t.groupBy(*keys).agg(F.sum("_AN").alias("AN"), F.sum("_AC").alias("AC"), F.sum("_called").alias("NS"), F.count("*").alias("n"), F.sum("_het").alias("AC_Het"), F.sum("_hom").alias("AC_Hom"), F.sum("_hemi").alias("AC_Hemi"), F.sum("_hom_ref").alias("n_hom_ref"), F.sum("_hom_alt").alias("n_hom_alt"))
+    t = tidy.select(*keys, F.inline(F.array(_counts())))
+    t = t.groupBy(*keys).agg(F.sum("AN").alias("AN"), F.sum("AC").alias("AC"), F.sum("called").alias("NS"), F.count("*").alias("n"), F.sum("het").alias("AC_Het"), F.sum("hom").alias("AC_Hom"), F.sum("hemi").alias("AC_Hemi"), F.sum("hom_ref").alias("n_hom_ref"), F.sum("hom_alt").alias("n_hom_alt"))
     af = F.when(F.col("AN") > 0, F.col("AC") / F.col("AN")).otherwise(0.0)
     return t.withColumns({"AF": af, "MAF": F.least(af, F.when(F.col("AN") > 0, 1 - af).otherwise(0.0)), "F_MISSING": 1 - F.col("NS") / F.col("n")}).drop("n")
 
@@ -127,8 +136,9 @@ def indel_lengths(sites: DataFrame) -> DataFrame:
 
 
 def sample_stats(tidy: DataFrame, *more: str) -> DataFrame:
-    """Per sample: calls, non-reference, hom ref, hom alt, het, missing, SNVs, indels, singletons, ts, tv. REF, ALT biallelic."""
-    k, snp = V.genotype_class(F.col("GT")), F.length("REF") == F.length("ALT")
+    """Per sample: calls, non-reference, hom ref, hom alt, het, missing, SNVs, indels, ts, tv. REF, ALT biallelic."""
+    tidy = tidy.select("*", F.inline(F.array(F.struct(V.genotype_class(F.col("GT")).alias("_k")))))
+    k, snp = F.col("_k"), F.length("REF") == F.length("ALT")
     nonref = k.isin("het_ref", "het_alt", "hom_alt", "hap_alt")
     ts = V.is_transition(F.col("REF"), F.col("ALT"))
     return tidy.groupBy(*more, "sample_id").agg(
@@ -144,28 +154,82 @@ def threshold_sweep(tidy: DataFrame, column: str, thresholds: list[int]) -> Data
     return sample_stats(tidy.withColumn("threshold", F.explode(over)), "threshold")
 
 
+def singletons(tidy: DataFrame) -> DataFrame:
+    """Per sample: sites where it alone has the ALT allele, and has it once. Every sample has a row."""
+    d = V.dosage(F.col("GT"))
+    per = tidy.groupBy("site_id").agg(F.sum(d).alias("ac"), F.max_by("sample_id", d).alias("sample_id")).where("ac = 1")
+    found = per.groupBy("sample_id").agg(F.count("*").alias("n"))
+    return tidy.select("sample_id").distinct().join(found, "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).alias("n_singletons"))
+
+
+SAMPLES = 2048  # samples of a block: the counts of two blocks' pairs are what a task holds
+
+
 def concordance(tidy: DataFrame) -> DataFrame:
-    """For all pairs of samples: sites where both are called, and where their genotypes have equal dosage.
+    """For all pairs of samples a < b: sites where both are called, and where their genotypes have equal dosage.
 
-    The samples of a site meet inside one array instead of a self join: the pairs of a site are its own, and their counts
-    are added up before the shuffle.
+    A site's dosages travel as one array for each block of SAMPLES samples. Tasks count by products of 0/1 matrices, sites
+    by samples, and send one row for each pair. Cohorts of several blocks meet block by block.
     """
-    d = F.size(F.filter(V.alleles(F.col("GT")), lambda x: x > 0))
-    rows = tidy.where(~V.in_class(F.col("GT"), "mis")).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", d.alias("d")))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["sample_id"] > x["sample_id"]), lambda y: F.struct(x["sample_id"].alias("a"), y["sample_id"].alias("b"), (x["d"] == y["d"]).alias("same")))))
-    return rows.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n_sites"), F.count_if("same").alias("n_same"))
+    block = F.floor(F.col("sample_id") / SAMPLES)
+    rows = tidy.where(~V.in_class(F.col("GT"), "mis")).groupBy("site_id", block.alias("i")).agg(F.collect_list(F.struct((F.col("sample_id") % SAMPLES).cast("int").alias("s"), V.dosage(F.col("GT")).cast("int").alias("d"))).alias("x"))
+    sites = rows.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("blocks"))
+    pairs = F.flatten(F.transform("blocks", lambda p: F.transform(F.filter("blocks", lambda q: q["i"] >= p["i"]), lambda q: F.struct(p["i"].alias("i"), q["i"].alias("j"), p["x"].alias("x"), q["x"].alias("y")))))
+
+    def count(batches):
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in "ij"], 1)
+            for i, j in np.unique(keys, axis=0).tolist():
+                part = batch.filter(pa.array((keys == (i, j)).all(1)))
+                for lo in range(0, part.num_rows, 512):
+                    x, y = (_matrix(part.slice(lo, 512).column(c)) for c in "xy")
+                    both = np.stack([(x >= 0).astype(np.float32).T @ (y >= 0).astype(np.float32), sum((x == d).astype(np.float32).T @ (y == d).astype(np.float32) for d in range(max(x.max(), y.max()) + 1))])
+                    totals[i, j] = _added(totals.get((i, j)), both)
+            while len(totals) > 4:
+                yield _pair_rows(*totals.popitem())
+        for key, n in totals.items():
+            yield _pair_rows(key, n)
+
+    out = sites.select(F.inline(pairs)).mapInArrow(count, "a int, b int, n_sites long, n_same long")
+    return out.groupBy("a", "b").agg(F.sum("n_sites").alias("n_sites"), F.sum("n_same").alias("n_same"))
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Dosages, sites by samples of a block; -1 where a site has none."""
+    items = col.flatten()
+    row = np.repeat(np.arange(len(col)), col.value_lengths().to_numpy())
+    s, d = items.field("s").to_numpy(), items.field("d").to_numpy()
+    out = np.full((len(col), int(s.max()) + 1 if len(s) else 1), -1, np.int32)
+    out[row, s] = d
+    return out
+
+
+def _added(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None:
+        return b.astype(np.int64)
+    out = np.zeros((2, max(a.shape[1], b.shape[1]), max(a.shape[2], b.shape[2])), np.int64)
+    for x in (a, b):
+        out[:, : x.shape[1], : x.shape[2]] += x.astype(np.int64)
+    return out
+
+
+def _pair_rows(key: tuple[int, int], n: np.ndarray) -> pa.RecordBatch:
+    a, b = np.nonzero(n[0])
+    keep = (key[0] < key[1]) | (a < b)
+    a, b = a[keep], b[keep]
+    return pa.record_batch([pa.array((a + key[0] * SAMPLES).astype(np.int32)), pa.array((b + key[1] * SAMPLES).astype(np.int32)), pa.array(n[0, a, b]), pa.array(n[1, a, b])], names=["a", "b", "n_sites", "n_same"])
 
 
 def genotype_intersections(tidy: DataFrame) -> DataFrame:
-    """How many (site, genotype) groups have exactly the samples of each bit mask."""
-    bits = tidy.where(~V.in_class(F.col("GT"), "mis")).groupBy("site_id", "GT").agg(F.sum(F.expr("shiftleft(1L, cast(sample_id AS INT))")).alias("mask"))
-    return bits.groupBy("mask").agg(F.count("*").alias("n"))
+    """samples, n: how many (site, genotype) groups have exactly these samples, in ascending order. Any number of samples."""
+    groups = tidy.where(~V.in_class(F.col("GT"), "mis")).groupBy("site_id", "GT").agg(F.array_sort(F.collect_set("sample_id")).alias("samples"))
+    return groups.groupBy("samples").agg(F.count("*").alias("n"))
 
 
 def contrast(tidy: DataFrame, cases: Column, *keys: str) -> DataFrame:
     """Allele counts in cases and controls with Fisher's exact test, and whether the ALT is only in cases."""
-    c = _counts()
-    t = tidy.select(*keys, cases.alias("case"), c["AC"].alias("ac"), c["AN"].alias("an"))
+    t = tidy.select(*keys, cases.alias("case"), F.inline(F.array(_counts()))).select(*keys, "case", F.col("AC").alias("ac"), F.col("AN").alias("an"))
     t = t.groupBy(*keys).agg(*(F.sum(F.when(F.col("case") == w, F.col(x)).otherwise(0)).alias(f"{x}_{n}") for n, w in (("case", True), ("ctrl", False)) for x in ("ac", "an")))
     tab = ["x1", "x2", "x3", "x4"]
     t = t.withColumns({"x1": F.col("an_ctrl") - F.col("ac_ctrl"), "x2": F.col("ac_ctrl"), "x3": F.col("an_case") - F.col("ac_case"), "x4": F.col("ac_case")})
@@ -175,8 +239,7 @@ def contrast(tidy: DataFrame, cases: Column, *keys: str) -> DataFrame:
 
 def polygenic_scores(tidy: DataFrame, weights: DataFrame, thresholds: list[float]) -> DataFrame:
     """Sum of dosage x beta per sample and p-value threshold. weights: site_id, beta, p."""
-    d = F.size(F.filter(V.alleles(F.col("GT")), lambda x: x > 0))
-    rows = tidy.where(~V.in_class(F.col("GT"), "mis")).select("site_id", "sample_id", d.alias("d")).join(weights, "site_id")
+    rows = tidy.where(~V.in_class(F.col("GT"), "mis")).select("site_id", "sample_id", V.dosage(F.col("GT")).alias("d")).join(weights, "site_id")
     rows = rows.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("p") <= t)))
     return rows.groupBy("sample_id", "threshold").agg(F.sum(F.col("d") * F.col("beta")).alias("score"), F.count("*").alias("n"))
 

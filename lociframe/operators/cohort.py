@@ -44,12 +44,14 @@ def merged_samples(first: DataFrame, second: DataFrame, site: list[str], missing
     """
     a = first.select(*site, F.struct(F.lit(1).alias("s"), "sample_id", "GT").alias("g"))
     b = second.select(*site, F.struct(F.lit(2).alias("s"), "sample_id", "GT").alias("g"))
-    people = first.select("sample_id").distinct().select(F.lit(1).alias("s"), "sample_id").unionByName(second.select("sample_id").distinct().select(F.lit(2).alias("s"), "sample_id"))
-    rows = a.unionByName(b)
-    has = rows.groupBy(*site).agg(F.collect_list("g").alias("g"))
-    roster = [(r.s, r.sample_id) for r in people.orderBy("s", "sample_id").collect()]  # as long as the cohort's sample list
-    one = lambda s, i: F.coalesce(F.get(F.filter("g", lambda x: (x["s"] == s) & (x["sample_id"] == i)), F.lit(0))["GT"], F.lit(missing))
-    return has.select(*site, F.inline(F.array(*(F.struct(F.lit(n).alias("sample_id"), one(s, i).alias("GT")) for n, (s, i) in enumerate(roster)))))
+    people = first.select(F.lit(1).alias("s"), "sample_id").distinct().unionByName(second.select(F.lit(2).alias("s"), "sample_id").distinct())
+    roster = people.orderBy("s", "sample_id").collect()  # as long as the cohort's sample list
+    who = lambda s, i: F.concat_ws(":", s, i)
+    calls = F.map_from_entries(F.collect_list(F.struct(who(F.col("g.s"), F.col("g.sample_id")), F.col("g.GT"))))
+    has = a.unionByName(b).groupBy(*site).agg(calls.alias("g"))
+    names = F.array(*(F.lit(f"{r.s}:{r.sample_id}") for r in roster))
+    rows = F.transform(names, lambda name, n: F.struct(n.alias("sample_id"), F.coalesce(F.try_element_at("g", name), F.lit(missing)).alias("GT")))
+    return has.select(*site, F.inline(rows))
 
 
 def ploidy(tidy: DataFrame, *keys: str) -> DataFrame:

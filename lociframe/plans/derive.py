@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer files than cores is dealt anew before work that is heavy per row."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site_id, CHROM, POS, REF, ALT, QUAL, event_type; (CHROM, POS) is unique."""
     return spark.sql(SITE.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
@@ -36,7 +42,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy layout: a row per site and sample with h, GT, DP, GQ, AD0 (reads of REF; DP - AD0 are of ALT)."""
-    g = sites(spark, sf_dir).withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1)))).withColumn("h", F.expr(H))
+    g = spread(sites(spark, sf_dir)).withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1)))).withColumn("h", F.expr(H))
     return with_fields(g)
 
 
@@ -52,7 +58,7 @@ def with_fields(g: DataFrame) -> DataFrame:
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical layout: site columns with ALT as an array and samples, an array of structs in the order of sample_id."""
-    one = sites(spark, sf_dir).withColumn("s", F.sequence(F.lit(0), F.lit(N_SAMPLES - 1)))
+    one = spread(sites(spark, sf_dir)).withColumn("s", F.sequence(F.lit(0), F.lit(N_SAMPLES - 1)))
     depth = lambda i: (F.col("site_id") * 7 + i * 13) % 60
     h = lambda i: (F.col("site_id") * 31 + i * 17 + (F.col("site_id") % 13) * i) % 10
 

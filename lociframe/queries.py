@@ -13,7 +13,7 @@ from lociframe.operators import joins as J
 from lociframe.operators import lake, trios
 from lociframe.operators import transforms as T
 from lociframe.operators import windows as W
-from lociframe.plans.derive import GT, INTERVALS, SITE, genotypes, intervals, nested, sites, table
+from lociframe.plans.derive import GT, INTERVALS, SITE, genotypes, intervals, nested, sites, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,10 +24,10 @@ TRIOS = [(2, 0, 1), (5, 3, 4)]
 
 
 def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
+    def add(f, name: str | None = None):
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[name or f.__name__] = sql
         return f
 
     return add
@@ -80,7 +80,7 @@ def sorted_head(spark, d):
 
 @query(f"SELECT type, count(*) AS n FROM (SELECT {TYPE_SQL} AS type FROM {S}) GROUP BY type")
 def variant_types(spark, d):
-    t = listed(sites(spark, d)).select(F.explode(V.types(F.col("REF"), F.col("ALT"))).alias("type"))
+    t = listed(spread(sites(spark, d))).select(F.explode(V.types(F.col("REF"), F.col("ALT"))).alias("type"))
     return t.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -209,7 +209,13 @@ def gtcheck(spark, d):
 
 @query(f"SELECT mask, count(*) AS n FROM (SELECT site_id, GT, CAST(sum(1 << sample_id) AS BIGINT) AS mask FROM {G} WHERE GT <> './.' GROUP BY site_id, GT) GROUP BY mask")
 def gt_intersections(spark, d):
-    return A.genotype_intersections(genotypes(spark, d))
+    mask = F.aggregate("samples", F.lit(0).cast("long"), lambda acc, x: acc + F.pow(F.lit(2.0), x).cast("long"))
+    return A.genotype_intersections(genotypes(spark, d)).select(mask.alias("mask"), "n")
+
+
+@query(f"SELECT p.sample_id, coalesce(n, 0) AS n_singletons FROM (SELECT DISTINCT sample_id FROM {G}) p LEFT JOIN (SELECT sample_id, count(*) AS n FROM (SELECT *, sum(CASE GT WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 0 END) OVER (PARTITION BY site_id) AS ac FROM {G}) WHERE ac = 1 AND GT = '0/1' GROUP BY sample_id) q USING (sample_id)")
+def sample_singletons(spark, d):
+    return A.singletons(genotypes(spark, d))
 
 
 CONTRAST = f"""WITH t AS (SELECT site_id, CAST(sum(CASE WHEN sample_id < 3 THEN a ELSE 0 END) AS BIGINT) AS ac_case, CAST(sum(CASE WHEN sample_id < 3 AND GT <> './.' THEN 2 ELSE 0 END) AS BIGINT) AS an_case, CAST(sum(CASE WHEN sample_id >= 3 THEN a ELSE 0 END) AS BIGINT) AS ac_ctrl,
@@ -387,15 +393,14 @@ def variant_distance(spark, d):
     return J.nearest(sites(spark, d))
 
 
-LD = f"SELECT CHROM, POS, sample_id, CASE GT WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 END AS x FROM {G} WHERE CHROM = 'chr3' AND POS < 20000"
+LD = f"SELECT CHROM, POS, sample_id, CASE GT WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 END AS x FROM {G}"
 
 
 @query(f"""SELECT CHROM, pos1, pos2, n, CASE WHEN vx > 0 AND vy > 0 THEN round(cov * cov / (vx * vy), 6) END AS r2 FROM (SELECT a.CHROM AS CHROM, a.POS AS pos1, b.POS AS pos2, CAST(count(*) AS INT) AS n,
  count(*) * sum(a.x * b.x) - sum(a.x) * sum(b.x) AS cov, count(*) * sum(a.x * a.x) - sum(a.x) * sum(a.x) AS vx, count(*) * sum(b.x * b.x) - sum(b.x) * sum(b.x) AS vy
  FROM ({LD}) a JOIN ({LD}) b ON a.CHROM = b.CHROM AND a.sample_id = b.sample_id AND b.POS > a.POS AND b.POS - a.POS <= 100 WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2, 3)""")
 def ld_r2(spark, d):
-    g = genotypes(spark, d).where("CHROM = 'chr3' AND POS < 20000")
-    return J.linkage(g, T.dosage_from_genotype(F.col("GT")), 100).where("n > 0").withColumn("r2", F.round("r2", 6))
+    return J.linkage(genotypes(spark, d), T.dosage_from_genotype(F.col("GT")), 100).where("n > 0").withColumn("r2", F.round("r2", 6))
 
 
 # --- windows
@@ -464,16 +469,17 @@ def norm_split(spark, d):
     return T.split_alleles(norm_join(spark, d).withColumn("ALT", F.split("ALT", ","))).select("CHROM", "POS", "REF", "ALT", "allele")
 
 
-@query(f"SELECT site_id, POS, REF, ALT FROM {S}")
+@query(f"""WITH p AS (SELECT site_id, POS - 2 AS POS, concat('TG', REF, 'CA') AS r, concat('TG', ALT, 'CA') AS a FROM {S}),
+ q AS (SELECT *, (SELECT max(i) FROM range(0, CAST(least(length(r), length(a)) AS BIGINT)) t(i) WHERE right(r, CAST(i AS INT)) = right(a, CAST(i AS INT))) AS cut FROM p),
+ s AS (SELECT site_id, POS, left(r, CAST(length(r) - cut AS INT)) AS r, left(a, CAST(length(a) - cut AS INT)) AS a FROM q),
+ u AS (SELECT *, (SELECT max(i) FROM range(0, CAST(least(length(r), length(a)) AS BIGINT)) t(i) WHERE left(r, CAST(i AS INT)) = left(a, CAST(i AS INT))) AS skip FROM s)
+ SELECT site_id, POS + skip AS POS, substr(r, CAST(skip + 1 AS INT)) AS REF, substr(a, CAST(skip + 1 AS INT)) AS ALT FROM u""")
 def norm_trim(spark, d):
     padded = sites(spark, d).select("site_id", (F.col("POS") - 2).alias("POS"), F.concat(F.lit("TG"), "REF", F.lit("CA")).alias("r"), F.concat(F.lit("TG"), "ALT", F.lit("CA")).alias("a"))
     t = padded.withColumn("t", T.trimmed(F.col("r"), F.col("a")))
     return t.select("site_id", (F.col("POS") + F.col("t.shift")).alias("POS"), F.col("t.REF").alias("REF"), F.col("t.ALT").alias("ALT"))
 
 
-ORACLE.pop("norm_trim")  # where REF and ALT share their first base the trimmed form differs from the site's; see tests
-
-
 @query(f"SELECT site_id, POS + i AS POS, concat(REF, 'A')[i + 1] AS REF, concat(ALT, 'C')[i + 1] AS ALT FROM (SELECT *, unnest(range(2)) AS i FROM {S} WHERE length(REF) = 1 AND length(ALT) = 1)")
 def norm_atomise(spark, d):
     mnp = sites(spark, d).where("length(REF) = 1 AND length(ALT) = 1").select("site_id", "POS", F.concat("REF", F.lit("A")).alias("REF"), F.concat("ALT", F.lit("C")).alias("ALT"))
