@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 1. A host's first page is its wrapper: a DOM tree whose nodes are numbered.
-2. Every page of the host is aligned with the wrapper by simple tree matching. For each wrapper node, the pages in which
-   it has a partner and those in which the partner has the same text are counted, over all pages.
-3. Nodes with the same text in nearly all pages are template. The others are slots; a slot's text is content unless the
-   slot stands in a menu, header, footer, sidebar, notice, advert, form or comment section.
+2. Every page of the host is aligned with the wrapper by simple tree matching, exactly, however long its lists are. For each
+   wrapper node, the texts of its partners are counted over all pages.
+3. Nodes whose partners nearly all have one text are template, and so are, outside what a page marks as its article, those
+   whose partners repeat a stock of texts, as rotating notices do. The others are slots; a slot's text is content unless the
+   slot is labelled as menu, header, footer, sidebar, notice, advert, form or comment section.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from lociframe.llm.common import lean, materialise
 
 MIN_PAGES, SAME_SHARE = 5, 0.9  # a node is template if it was met in so many contents, with the same text in this share
 BROADCAST_BYTES = 32_000_000  # wrappers of all hosts together are broadcast up to this size, else joined by shuffling
-TABLE_CELLS = 20_000  # child pairs up to which two nodes' children are aligned by dynamic programming
+REPEATING = 10  # a node whose partners in so many contents have half as many texts or fewer repeats a stock of them
+SMALL, CELLS = 256, 4_000_000  # child pairs up to which plain Python is the faster; up to which the whole table is held
+SHAPES = 100_000  # shapes and pairs of them that a worker remembers for a wrapper
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,10 +48,10 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(
 
 
 class Node:
-    __slots__ = ("drop", "inside", "key", "parts", "tag", "text")
+    __slots__ = ("drop", "key", "parts", "shape", "tag", "text")
 
     def __init__(self, tag: str, key: str = "", drop: bool = False):
-        self.tag, self.key, self.drop, self.parts, self.text, self.inside = tag, key or tag, drop, [], None, False
+        self.tag, self.key, self.drop, self.parts, self.text, self.shape = tag, key or tag, drop, [], None, -1
 
     def kids(self) -> list[Node]:
         return [x for x in self.parts if isinstance(x, Node)]
@@ -162,87 +166,168 @@ def _runs(kids: list[Node]) -> list[list[Node]]:
     return out
 
 
-def tree_match(a: Node, b: Node, memo: dict) -> int:
-    """Simple tree matching: the most pairs of nodes in order-preserving, top-down agreement."""
-    if a.key != b.key:
-        return 0
-    todo = [(a, b)]
-    while todo:  # not by recursion: pages nest as deep as they like
-        p, q = todo[-1]
-        if (id(p), id(q)) not in memo:
-            need = [(u, v) for x, y in _candidates(p, q) for u, v in zip(x, y, strict=False) if (id(u), id(v)) not in memo]
-            if need:
-                todo += need
-                continue
-            memo[id(p), id(q)] = 1 + _align(p, q, memo)[0]
-        todo.pop()
-    return memo[id(a), id(b)]
-
-
-def _greedy(xs: list[list[Node]], ys: list[list[Node]]) -> list[tuple[list[Node], list[Node]]]:
-    """For lists too long for a table: the next run of the same kind is the partner."""
-    pairs, j = [], 0
-    for x in xs:
-        nxt = next((i for i in range(j, min(j + 50, len(ys))) if ys[i][0].key == x[0].key), None)
-        if nxt is not None:
-            pairs.append((x, ys[nxt]))
-            j = nxt + 1
-    return pairs
-
-
-def _candidates(a: Node, b: Node) -> list[tuple[list[Node], list[Node]]]:
-    """The runs of children whose match _align asks for."""
-    xs, ys = _runs(a.kids()), _runs(b.kids())
-    if len(xs) * len(ys) > TABLE_CELLS:
-        return _greedy(xs, ys)
-    return [(x, y) for x in xs for y in ys if x[0].key == y[0].key]
-
-
-def _run_match(x: list[Node], y: list[Node], memo: dict) -> int:
-    return sum(tree_match(p, q, memo) for p, q in zip(x, y, strict=False)) if x[0].key == y[0].key else 0
-
-
-def _align(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[list[Node], list[Node]]]]:
-    xs, ys = _runs(a.kids()), _runs(b.kids())
-    if not xs or not ys:
-        return 0, []
-    if len(xs) * len(ys) > TABLE_CELLS:
-        pairs = _greedy(xs, ys)
-        return sum(_run_match(x, y, memo) for x, y in pairs), pairs
-    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + _run_match(x, y, memo))
-    pairs, i, j = [], len(xs), len(ys)
-    while i and j:
-        if table[i][j] == table[i - 1][j]:
-            i -= 1
-        elif table[i][j] == table[i][j - 1]:
-            j -= 1
+class Shapes:
+    """Simple tree matching over shapes: subtrees of equal keys have one number, and each pair of shapes is matched once.
+
+    Lists of children align as lists of runs by dynamic programming. Rows of the table are numpy arrays; of a table above
+    CELLS only two rows are held, and the alignment is put together from the halves of the longer list.
+    """
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.shape_ids: dict[tuple, int] = {}
+        self.runs: list[tuple[int, ...]] = []  # of each shape's children
+        self.keys: list[str] = []
+        self.run_ids: dict[tuple, int] = {}
+        self.members: list[tuple[int, ...]] = []  # shapes in a run
+        self.best: dict[tuple[int, int], int] = {}  # by pairs of shapes
+        self.weights: dict[tuple[int, int], int] = {}  # by pairs of runs
+
+    def full(self) -> bool:
+        return len(self.shape_ids) + len(self.best) + len(self.weights) > SHAPES
+
+    def read(self, root: Node) -> None:
+        """Number the shapes of a tree's nodes."""
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += node.kids()
+        for node in reversed(order):
+            runs = []
+            for r in _runs(node.kids()):
+                own = tuple(x.shape for x in r)
+                if own not in self.run_ids:
+                    self.run_ids[own] = len(self.members)
+                    self.members.append(own)
+                runs.append(self.run_ids[own])
+            shape = node.key, tuple(runs)
+            if shape not in self.shape_ids:
+                self.shape_ids[shape] = len(self.runs)
+                self.runs.append(shape[1])
+                self.keys.append(node.key)
+            node.shape = self.shape_ids[shape]
+
+    def _same(self, x: int, y: int) -> bool:
+        return self.keys[self.members[x][0]] == self.keys[self.members[y][0]]
+
+    def match(self, a: int, b: int) -> int:
+        """The most pairs of nodes in order-preserving, top-down agreement of two shapes."""
+        if self.keys[a] != self.keys[b]:
+            return 0
+        todo = [(a, b)]
+        while todo:  # not by recursion: pages nest as deep as they like
+            p, q = todo[-1]
+            if (p, q) not in self.best:
+                new = [(x, y) for x in set(self.runs[p]) for y in set(self.runs[q]) if (x, y) not in self.weights and self._same(x, y)]
+                need = [uv for x, y in new for uv in set(zip(self.members[x], self.members[y], strict=False)) if uv not in self.best]
+                if need:
+                    todo += need
+                    continue
+                for x, y in new:
+                    self.weights[x, y] = sum(self.best[uv] for uv in zip(self.members[x], self.members[y], strict=False))
+                self.best[p, q] = 1 + self._score(self.runs[p], self.runs[q])
+            todo.pop()
+        return self.best[a, b]
+
+    def _rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """Weights of each run of xs with all of ys."""
+        kinds, place = np.unique(ys, return_inverse=True)
+        known: dict[int, np.ndarray] = {}
+        for x in xs:
+            if x not in known:
+                known[x] = np.array([self.weights.get((x, y), 0) for y in kinds.tolist()], np.int64)[place]
+            yield known[x]
+
+    def _last_row(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
+        row = np.zeros(len(ys) + 1, np.int64)
+        for w in self._rows(xs, ys):
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))
+        return row
+
+    def _score(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+        if not xs or not ys:
+            return 0
+        if len(xs) * len(ys) > SMALL:
+            return int(self._last_row(xs, ys)[-1])
+        return self._table(xs, ys)[-1][-1]
+
+    def _table(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[list[int]]:
+        table, get = [[0] * (len(ys) + 1)], self.weights.get
+        for x in xs:
+            above, row = table[-1], [0]
+            for j, y in enumerate(ys):
+                row.append(max(above[j + 1], row[j], above[j] + get((x, y), 0)))
+            table.append(row)
+        return table
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the runs that a best alignment pairs."""
+        if not xs or not ys:
+            return []
+        if len(xs) * len(ys) > CELLS and len(xs) > 1:
+            half = len(xs) // 2
+            at = int((self._last_row(xs[:half], ys) + self._last_row(xs[half:][::-1], ys[::-1])[::-1]).argmax())
+            return self.pairs(xs[:half], ys[:at]) + [(i + half, j + at) for i, j in self.pairs(xs[half:], ys[at:])]
+        if len(xs) * len(ys) > SMALL:
+            table = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
+            for i, w in enumerate(self._rows(xs, ys)):
+                table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + w))
         else:
-            i, j = i - 1, j - 1
-            pairs.append((xs[i], ys[j]))
-    return table[-1][-1], pairs[::-1]
+            table = self._table(xs, ys)
+        out, i, j = [], len(xs), len(ys)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out[::-1]
 
 
-def aligned(page: Node, wrapper: Node) -> Iterator[tuple[Node, Node]]:
-    """Pairs of page and wrapper nodes of the best match, the roots first."""
-    memo: dict = {}
+def tree_match(a: Node, b: Node, shapes: Shapes | dict | None = None) -> int:
+    """Simple tree matching: the most pairs of nodes in order-preserving, top-down agreement."""
+    shapes = shapes or Shapes()
+    shapes.read(a)
+    shapes.read(b)
+    return shapes.match(a.shape, b.shape)
+
+
+def aligned(page: Node, wrapper: Node, shapes: Shapes | None = None) -> Iterator[tuple[Node, Node]]:
+    """Pairs of page and wrapper nodes of the best match, the roots first. shapes, if given, have the wrapper's."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.read(wrapper)
+    shapes.read(page)
+    shapes.match(page.shape, wrapper.shape)
     todo = [(page, wrapper)]
     while todo:
         a, b = todo.pop()
         yield a, b
-        todo += [(p, q) for x, y in _align(a, b, memo)[1] for p, q in zip(x, y, strict=False)]
+        xs, ys = _runs(a.kids()), _runs(b.kids())
+        for i, j in shapes.pairs(shapes.runs[a.shape], shapes.runs[b.shape]):
+            todo += zip(xs[i], ys[j], strict=False)
 
 
-def numbered(wrapper: Node) -> dict[int, int]:
-    """A wrapper's nodes by id() with their numbers in page order."""
-    out, todo = {}, [wrapper]
+def numbered(wrapper: Node) -> tuple[dict[int, int], set[int]]:
+    """A wrapper's nodes by id() with their numbers in page order, and the numbers inside an article or main element."""
+    out, inside, todo = {}, set(), [(wrapper, False)]
     while todo:
-        node = todo.pop()
+        node, deep = todo.pop()
+        deep = deep or node.tag in ("article", "main")
+        if deep:
+            inside.add(len(out))
         out[id(node)] = len(out)
-        todo += reversed(node.kids())
-    return out
+        todo += [(x, deep) for x in reversed(node.kids())]
+    return out, inside
+
+
+def text_key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def main_text(page: Node, template: set[int]) -> str:
@@ -253,7 +338,7 @@ def main_text(page: Node, template: set[int]) -> str:
         todo = node.kids()[::-1]
         while todo:
             x = todo.pop()
-            if x.drop:
+            if x.drop or id(x) in template:
                 continue
             if x.tag == tag:
                 regions.append(x)
@@ -292,7 +377,10 @@ class Wrappers:
             if len(self.known) > 200:
                 self.known.clear()
             tree = parse(page)
-            got = self.known[page] = (tree, numbered(tree))
+            got = self.known[page] = (tree, *numbered(tree), Shapes())
+        if not got[3].shape_ids or got[3].full():
+            got[3].forget()
+            got[3].read(got[0])
         return got
 
 
@@ -300,8 +388,9 @@ def joined(pages: DataFrame, side: DataFrame, n_bytes: int) -> DataFrame:
     return pages.join(F.broadcast(side) if n_bytes <= BROADCAST_BYTES else side, "host", "left")
 
 
-def template_counts(pages: DataFrame, hosts: DataFrame, n_bytes: int) -> DataFrame:
-    """(host, node, n, same): contents in which a wrapper's node has a partner with text, and those where the texts agree.
+def template_nodes(pages: DataFrame, hosts: DataFrame, n_bytes: int) -> DataFrame:
+    """(host, node, key): wrapper nodes that are template, with the key of their text, or null for those that repeat a stock
+    of texts. Counted are contents in which a node has a partner with text.
 
     Pages of a host whose text outside menus, headers and the like is the same are one content, whatever else differs in
     them; of these the page with the least list of partners counts.
@@ -310,27 +399,31 @@ def template_counts(pages: DataFrame, hosts: DataFrame, n_bytes: int) -> DataFra
     def run(batches):
         known = Wrappers()
         for batch in batches:
-            found: dict[tuple[str, bytes], list[int]] = {}
+            found: dict[tuple[str, bytes], list[tuple[int, int]]] = {}
             met: set[tuple[str, str]] = set()
             for host, page, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
                 if not page or ref is None or (host, page) in met:
                     continue
                 met.add((host, page))
-                wrapper, number = known(ref)
+                wrapper, number, _, shapes = known(ref)
                 tree, partners = parse(page), []
-                for a, b in aligned(tree, wrapper):
+                for a, b in aligned(tree, wrapper, shapes):
                     if b.tag in ("#root", "html", "body") or a.drop:
                         continue
                     t = text_of(a)
                     if t:
-                        partners.append(2 * number[id(b)] + (t == text_of(b)))
+                        partners.append((number[id(b)], text_key(t)))
                 content = host, hashlib.blake2b(main_text(tree, set()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 found[content] = min(found.get(content, partners), partners)
-            yield pa.record_batch([pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["host", "content", "partners"])
+            yield pa.record_batch([pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array([[{"node": x, "key": y} for x, y in p] for p in found.values()], pa.list_(pa.struct([("node", pa.int32()), ("key", pa.int64())])))], names=["host", "content", "partners"])
 
-    found = joined(pages.select("host", "html"), hosts, n_bytes).mapInArrow(lean(run), "host string, content binary, partners array<int>")
-    one = found.groupBy("host", "content").agg(F.min("partners").alias("partners")).select("host", F.explode("partners").alias("p"))
-    return one.groupBy("host", F.shiftright("p", 1).alias("node")).agg(F.count("*").alias("n"), F.sum(F.col("p") % 2).alias("same"))
+    found = joined(pages.select("host", "html"), hosts, n_bytes).mapInArrow(lean(run), "host string, content binary, partners array<struct<node:int,key:long>>")
+    one = found.groupBy("host", "content").agg(F.min("partners").alias("partners")).select("host", F.inline("partners"))
+    texts = one.groupBy("host", "node", "key").agg(F.count("*").alias("n"))
+    nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.max("n").alias("most"), F.max_by("key", F.struct("n", "key")).alias("key"))
+    constant = (F.col("n") >= MIN_PAGES) & (F.col("most") >= SAME_SHARE * F.col("n"))
+    stock = (F.col("n") >= REPEATING) & (2 * F.col("texts") <= F.col("n"))
+    return nodes.where(constant | stock).select("host", "node", F.when(constant, F.col("key")).alias("key"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -345,7 +438,7 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", "html", host.alias("host"))
     refs = wrappers(own)
     n_bytes = refs.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0]
-    fixed = template_counts(own, refs, n_bytes).where((F.col("n") >= MIN_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))).groupBy("host").agg(F.collect_list("node").alias("template"))
+    fixed = template_nodes(own, refs, n_bytes).groupBy("host").agg(F.collect_list(F.struct("node", "key")).alias("template"))
     side = materialise(refs.join(fixed, "host", "left"))
 
     def run(batches):
@@ -358,9 +451,12 @@ def extract(pages: DataFrame) -> DataFrame:
                     continue
                 tree, template = parse(page), set()
                 if nodes:
-                    wrapper, number = known(ref)
-                    nodes = set(nodes)
-                    template = {id(a) for a, b in aligned(tree, wrapper) if number[id(b)] in nodes and text_of(a) == text_of(b)}
+                    wrapper, number, inside, shapes = known(ref)
+                    fixed = {x["node"]: x["key"] for x in nodes if x["key"] is not None or x["node"] not in inside}
+                    for a, b in aligned(tree, wrapper, shapes):
+                        n = number[id(b)]
+                        if n in fixed and (fixed[n] is None or fixed[n] == text_key(text_of(a))):
+                            template.add(id(a))
                 texts.append(main_text(tree, template))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -2,10 +2,10 @@
 
 The words of each source, in an order of its documents, are cut into blocks of at most BLOCK words whose lengths differ by
 one at most. A source gets the slots that its target needs at its own mean block length, rounded up or down by one draw of
-the source. Output shards have about the same number of slots, each for one block, and each source's slots are dealt evenly
-over them: what shards up to any place hold of a source is its expected part, rounded by the same draw. A source's slots are
-numbered over all shards; slot j takes the block that a pseudorandom permutation of the source's block indices, a new one in each
-pass through the source, gives for j. Blocks join slots by index.
+the source. All slots of all sources are dealt to output shards of SHARD slots by a pseudorandom permutation: a shard's
+source counts are a draw from the slots left, that is a multinomial draw under the condition that the totals are met. Slot j
+of a source takes the block that a pseudorandom permutation of the source's block indices, a new one in each pass through
+the source, gives for j. Blocks join slots by index.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from lociframe.llm.common import NO_ID, doc_id, keyed, materialise, n_parts
 WEIGHTS = (5, 2, 1)
 REPEATS = 3  # times a source, and so a document, is taken at most
 BLOCK = 64  # words in a block, at most
-SHARD = 16384  # slots in an output shard, about: less than one a source away from it
+SHARD = 16384  # slots in an output shard; the last has what is left
+STRETCH = 65536  # slots of a source that a task makes at once
 BUCKET = 10_000  # documents whose sizes are summed up in order in one group, about
 ROUNDS, STEPS = 4, 16  # of the permutation; see permuted
 
@@ -84,18 +85,19 @@ def _once(network, x: Column) -> Column:
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(sid, source_size, shard, slot, block): the blocks of every shard; slot numbers a source's slots over all shards."""
+    """(sid, source_size, slot, block, shard, place): what lies at each place of every shard. slot numbers a source's own."""
     s = sources.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-    s = s.withColumn("expected", F.col("target") * F.col("n_blocks") / F.col("source_size"))
+    draw = F.pmod(F.xxhash64(F.lit("source"), "sid"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    s = s.withColumn("n", F.least(F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + draw), REPEATS * F.col("n_blocks")))
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("n_slots", F.ceil(F.sum("expected").over(whole))).withColumn("draw", F.pmod(F.xxhash64(F.lit("source"), "sid"), F.lit(1 << 52)) / F.lit(float(1 << 52)))
-    s = s.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_slots") / shard) - 1)))
-    upto = lambda shards: F.least(F.floor(F.col("expected") * (F.least(shards * shard, F.col("n_slots")) / F.col("n_slots")) + F.col("draw")), REPEATS * F.col("n_blocks"))
-    s = s.withColumn("first", upto(F.col("shard"))).withColumn("n", upto(F.col("shard") + 1) - F.col("first")).where("n > 0")
-    s = s.repartition(n_parts(s.sparkSession), "sid", "shard")  # slots are made evenly over all tasks
-    s = s.select("sid", "source_size", "n_blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    s = s.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("n_all", F.sum("n").over(whole)).where("n > 0")
+    s = s.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
+    s = s.repartition(n_parts(s.sparkSession), "sid", "from")  # slots are made evenly over all tasks
+    s = s.select("sid", "source_size", "n_blocks", "base", "n_all", F.explode(F.sequence("from", F.least(F.col("from") + STRETCH, F.col("n")) - 1)).alias("slot"))
     taken = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("n_blocks")))
-    return s.select("sid", "source_size", "shard", "slot", taken.alias("block"))
+    dealt = permuted(F.col("base") + F.col("slot"), F.col("n_all"), F.lit("shards"))
+    return s.select("sid", "source_size", "slot", taken.alias("block"), dealt.alias("at")).select("sid", "source_size", "slot", "block", F.floor(F.col("at") / shard).alias("shard"), (F.col("at") % shard).alias("place"))
 
 
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -115,16 +117,32 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def _taken(rows: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFrame]:
-    """rows (k, source, size, row; materialised) with source_size and target; and (row, block, times, at, n) of the blocks
-    the mix takes: words at .. at + n - 1 of the row's document."""
+def _dealt(rows: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (k, source, size, row; materialised) with source_size and target; the pieces of documents in blocks; the slots."""
     sources = materialise(targets(rows))
     named = rows.join(sources.select("sid", F.col("source").alias("source2"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source2"))).drop("source", "source2")
     buckets = max(1, rows.count() // BUCKET)
     placed = materialise(offsets(named.select("sid", "source_size", "k", "size", "row"), buckets))
-    times = slots(sources, block, shard).groupBy("sid", "block").agg(F.count("*").alias("times"))
     # The planner takes exploded sides for as small as what they are made from, and would broadcast them.
-    return named, blocks(placed, block).hint("merge").join(times, ["sid", "block"])
+    return named, blocks(placed, block).hint("merge"), slots(sources, block, shard)
+
+
+def _taken(rows: DataFrame, block: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """rows with source_size and target; and (row, block, times, at, n) of the blocks the mix takes: words at .. at + n - 1
+    of the row's document."""
+    named, parts, dealt = _dealt(rows, block, shard)
+    return named, parts.join(dealt.groupBy("sid", "block").agg(F.count("*").alias("times")), ["sid", "block"])
+
+
+def shards(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix as output shards: shard, place, doc_id, at, n: words at .. at + n - 1 of a document at a place of a shard.
+
+    A block that spans several documents has a row for each, in the order of at. See mix for nulls, ties and empty tables.
+    """
+    words = F.regexp_count("text", F.lit(WORD)).cast("long")
+    rows = materialise(keyed(docs, "source").select("k", "source", words.alias("size")).withColumn("row", F.monotonically_increasing_id()))
+    _, parts, dealt = _dealt(rows, block, shard)
+    return parts.join(dealt, ["sid", "block"]).join(rows.select("row", "k"), "row").select("shard", "place", doc_id(), "at", "n")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -134,7 +152,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     counted, at most REPEATS times size. A null source is a source of its own; a source without words has target 0. Rows that
     share a doc_id are documents each. An empty table, or one without words, takes nothing. Other columns are ignored.
     A source gets less than one slot more or fewer than its target needs. A rerun gives the same result: what is drawn depends on
-    source, shard and place only. Equal rows are interchangeable.
+    source and place only. Equal rows are interchangeable.
     """
     words = F.regexp_count("text", F.lit(WORD)).cast("long")
     rows = materialise(keyed(docs, "source").select("k", "source", words.alias("size")).withColumn("row", F.monotonically_increasing_id()))
