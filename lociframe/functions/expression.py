@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import variants as V
 
-TOKENS = re.compile(r'\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?)|(?P<str>"[^"]*"(?:/i)?)|(?P<op>&&|\|\||==|!=|!~|<=|>=|[-+*/%<>=~&|()\[\],:])|(?P<name>(?:INFO/|FORMAT/|FMT/)?[A-Za-z_][A-Za-z0-9_.]*))')
+TOKENS = re.compile(r'\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?)|(?P<str>"[^"]*"(?:/i)?)|(?P<file>@[^\s)\]&|,]+)|(?P<given>\{(?:STR|INT|FLOAT)?\})|(?P<op>&&|\|\||==|!=|!~|<=|>=|[-+*/%<>=~&|()\[\],:])|(?P<name>(?:INFO/|FORMAT/|FMT/)?[A-Za-z_][A-Za-z0-9_.]*))')
 LEVELS = [["|", "||"], ["&", "&&"], ["==", "=", "!=", "<", "<=", ">", ">=", "~", "!~"], ["+", "-"], ["*", "/", "%"]]
-FUNCTIONS = {"MAX", "MIN", "AVG", "MEAN", "MEDIAN", "STDEV", "SUM", "ABS", "COUNT", "STRLEN", "PHRED", "BINOM", "N_PASS", "F_PASS"}
+FUNCTIONS = {"MAX", "MIN", "AVG", "MEAN", "MEDIAN", "STDEV", "SUM", "ABS", "COUNT", "STRLEN", "PHRED", "BINOM", "FISHER", "N_PASS", "F_PASS"}
+MOST_LISTED = 100_000  # lines of a file of names or values, which becomes part of the expression; longer ones are for a join
 OF_GENOTYPES = {"N_MISSING", "F_MISSING", "AN", "AC", "AF", "MAC", "MAF"}
 EXACT = 16777216  # up to here numbers compare in single precision
 NUMBER = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
@@ -44,12 +45,15 @@ class Value:
 
 class Compiler:
     def __init__(self, df: DataFrame):
+        self.df = df
         self.site = {f.name: f.dataType for f in df.schema.fields}
         self.sample = {f.name: f.dataType for f in df.schema["samples"].dataType.elementType.fields} if "samples" in self.site else {}
 
     # --- parsing
-    def compile(self, text: str) -> Value:
+    def compile(self, text: str, *given) -> Value:
+        """given: values for {}, {STR}, {INT} and {FLOAT}, in order."""
         self.tokens, at = [], 0
+        self.given = list(given)
         text = text.rstrip()
         while at < len(text):
             m = TOKENS.match(text, at)
@@ -92,6 +96,14 @@ class Compiler:
             return v
         if kind == "num":
             return Value(F.lit(float(text)), literal=text)
+        if kind == "given":
+            if not self.given:
+                raise ValueError(f"no value for {text}")
+            x = self.given.pop(0)
+            as_text = text == "{STR}" or text == "{}" and isinstance(x, str)
+            return Value(F.lit(str(x)), kind="text", literal=str(x)) if as_text else Value(F.lit(float(x)), literal=str(x))
+        if kind == "file":
+            return Value(F.lit(text), kind="text", literal=text, tag="@")
         if kind == "str":
             body = text[1:-3] if text.endswith("/i") else text[1:-1]
             return Value(F.lit(body), kind="text", literal=("(?i)" if text.endswith("/i") else "") + body)
@@ -122,6 +134,8 @@ class Compiler:
             k = "text" if element == "string" else "truth" if element == "boolean" else "number"
             cast = (lambda x: x.cast("double")) if k == "number" else (lambda x: x)
             return Value(F.transform(short, cast) if vector else cast(F.col(short)), vector=vector, kind=k, tag=short)
+        if not sample_only and f"INFO_{short}" in self.site:
+            return self._field(f"INFO_{short}")
         if not sample_only and not name.startswith("INFO/") and short in computed and short not in self.sample:
             return computed[short]()
         if not name.startswith("INFO/") and short in self.sample:
@@ -169,7 +183,11 @@ class Compiler:
         element = parts[-1]
         out = v
         if v.per_sample and (len(parts) > 1 or not v.vector):
-            if parts[0] and parts[0] != ["*"]:
+            if parts[0] and parts[0][0].startswith("@"):
+                names = self._listed(parts[0][0])
+                pick = F.filter(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: F.get("samples", i)["sample_id"].cast("string").isin(names))
+                out = Value(F.transform(pick, lambda i: F.try_element_at(v.col, i + 1)), per_sample=True, vector=v.vector, kind=v.kind, tag=v.tag)
+            elif parts[0] and parts[0] != ["*"]:
                 pick = F.array(*(F.lit(int(i)) for i in parts[0]))
                 out = Value(F.transform(pick, lambda i: F.try_element_at(v.col, i + 1)), per_sample=True, vector=v.vector, kind=v.kind, tag=v.tag)
             element = parts[1] if len(parts) > 1 else []
@@ -263,6 +281,11 @@ class Compiler:
     def _compare(self, op: str, a: Value, b: Value) -> Value:
         if a.literal is not None and b.literal is None:
             a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+        if b.tag == "@":
+            names = self._listed(b.literal)
+            one = lambda x: F.coalesce(x.cast("string").isin(names), F.lit(False)) == F.lit(op == "==")
+            inside = (lambda x: F.exists(x, one)) if a.vector else one
+            return self._masked(F.transform(a.col, inside)) if a.per_sample else Value(F.coalesce(inside(a.col), F.lit(False)), kind="truth")
         if b.literal == "." and b.kind == "text":
             return self._missing_test(op, a)
         if a.tag == "GT" and b.literal is not None and b.literal in GT_CLASSES and op in ("==", "!="):
@@ -300,6 +323,13 @@ class Compiler:
             return self._masked(F.transform(a.col, lambda x: any_pair(x, b.col)))
         return self._masked(F.transform(b.col, lambda y: any_pair(a.col, y)))
 
+    def _listed(self, file: str) -> list[str]:
+        """Lines of a file that the expression names as @file."""
+        lines = [r[0].strip() for r in self.df.sparkSession.read.text(file[1:]).limit(MOST_LISTED + 1).collect()]
+        if len(lines) > MOST_LISTED:
+            raise ValueError(f"{file} has more than {MOST_LISTED} lines: join with it instead")
+        return [x for x in lines if x]
+
     def _missing_test(self, op: str, a: Value) -> Value:
         if a.tag == "FILTER":
             return Value((F.size(a.col) == 0) == F.lit(op == "=="), kind="truth")
@@ -358,6 +388,11 @@ class Compiler:
                 return self._arith(V.binomial_test, v, args[1])
             pair = lambda x: V.binomial_test(x[0], x[1])
             return Value(F.transform(v.col, pair), per_sample=True) if v.per_sample else Value(pair(v.col))
+        if base == "FISHER":
+            four = (lambda x: V.fisher(F.get(x, F.lit(0)), F.get(x, F.lit(1)), F.get(x, F.lit(2)), F.get(x, F.lit(3)))) if len(args) == 1 else (lambda x, y: V.fisher(F.get(x, F.lit(0)), F.get(y, F.lit(0)), F.get(x, F.lit(1)), F.get(y, F.lit(1))))
+            if len(args) == 1:
+                return Value(F.transform(v.col, four), per_sample=True) if v.per_sample else Value(four(v.col))
+            return Value(F.zip_with(v.col, args[1].col, four), per_sample=True) if v.per_sample else Value(four(v.col, args[1].col))
         f = getattr(self, "_" + base.lower())
         if each:
             return Value(F.transform(v.col, f) if v.vector else v.col, per_sample=True)
@@ -396,9 +431,9 @@ class Compiler:
         return F.size(self._present(x)).cast("double")
 
 
-def include(df: DataFrame, expression: str) -> DataFrame:
+def include(df: DataFrame, expression: str, *given) -> DataFrame:
     """Sites that pass."""
-    return df.where(Compiler(df).compile(expression).col)
+    return df.where(Compiler(df).compile(expression, *given).col)
 
 
 def exclude(df: DataFrame, expression: str) -> DataFrame:

@@ -143,3 +143,33 @@ def variant_key_position(chrom: Column, pos: Column) -> Column:
     """64-bit key of contig number and 0-based position, for range-sorted storage."""
     number = F.regexp_extract(chrom, r"(\d+)$", 1).try_cast("long")
     return F.shiftleft(number, 28).bitwiseOR(pos - 1)
+
+
+def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-tailed exact test of [[a, b], [c, d]]: the probability of all tables with its margins that are no likelier.
+
+    Log weights of the tables follow from one another by the ratio of neighbours; a first pass finds the largest and the
+    table's own, a second one adds them up."""
+
+    def test(t: Column) -> Column:
+        r1, r2, c1 = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"]
+        low, high = F.greatest(F.lit(0.0), c1 - r2), F.least(r1, c1)
+        cells = F.sequence(low.cast("long"), high.cast("long"))
+        step = lambda x: F.log((r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x)))  # noqa: E731  from x - 1 to x
+        log = lambda s, x: F.when(x == low.cast("long"), F.lit(0.0)).otherwise(s["log"] + step(x.cast("double")))
+
+        def seen(s: Column, x: Column) -> Column:
+            return let(log(s, x), lambda v: F.struct(v.alias("log"), F.greatest(s["top"], v).alias("top"), F.when(x == t["a"].cast("long"), v).otherwise(s["own"]).alias("own")))
+
+        ends = F.aggregate(cells, F.struct(F.lit(0.0).alias("log"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("own")), seen)
+
+        def share(e: Column) -> Column:
+            def add(s: Column, x: Column) -> Column:
+                return let(log(s, x), lambda v: F.struct(v.alias("log"), (s["part"] + F.when(v <= e["own"] + 1e-7, F.exp(v - e["top"])).otherwise(0.0)).alias("part"), (s["all"] + F.exp(v - e["top"])).alias("all")))
+
+            return F.aggregate(cells, F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("part"), F.lit(0.0).alias("all")), add, lambda s: F.least(F.lit(1.0), s["part"] / s["all"]))
+
+        return let(ends, share)
+
+    cells = F.struct(*(x.cast("double").alias(n) for n, x in zip("abcd", (a, b, c, d), strict=True)))
+    return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), let(cells, test))

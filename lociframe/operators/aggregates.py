@@ -51,6 +51,33 @@ def fill_tags(tidy: DataFrame, *keys: str) -> DataFrame:
     return t.withColumns({"AF": af, "MAF": F.least(af, F.when(F.col("AN") > 0, 1 - af).otherwise(0.0)), "F_MISSING": 1 - F.col("NS") / F.col("n")}).drop("n")
 
 
+def fill_tags_by_allele(nested: DataFrame) -> DataFrame:
+    """Adds AN, NS, MAF, F_MISSING, and arrays over the ALTs: AC, AF, AC_Het, AC_Hom, AC_Hemi. Nested layout.
+
+    Missing alleles are skipped. A genotype of one kind of allele adds 2 to Hom, or 1 to Hemi if a single allele is called,
+    haploid or half-missing; one of several kinds adds 1 to Het of each. MAF is of the second most common allele.
+    """
+    calls = F.transform("samples", lambda s: F.filter(V.alleles(s["GT"]), lambda x: x.isNotNull()))
+    alleles = F.sequence(F.lit(0), F.size("ALT"))
+    kinds = lambda c: F.size(F.array_distinct(c))
+
+    def tags(c: Column) -> Column:
+        number = lambda test: F.size(F.filter(c, test))
+        per = lambda i: F.struct(
+            F.size(F.filter(F.flatten(c), lambda x: x == i)).alias("ac"), number(lambda g: F.array_contains(g, i) & (kinds(g) > 1)).alias("het"),
+            (2 * number(lambda g: F.array_contains(g, i) & (kinds(g) == 1) & (F.size(g) > 1))).alias("hom"), number(lambda g: F.array_contains(g, i) & (F.size(g) == 1)).alias("hemi"),
+        )
+        return F.struct(F.transform(alleles, per).alias("by"), number(lambda g: F.size(g) > 0).alias("NS"))
+
+    t = nested.select("*", F.inline(F.array(V.let(calls, tags))))
+    field = lambda name: F.transform(F.slice("by", F.lit(2), F.size("ALT")), lambda x: x[name])
+    n = F.aggregate("by", F.lit(0), lambda s, x: s + x["ac"])
+    t = t.withColumns({"AN": n, "AC": field("ac"), "AC_Het": field("het"), "AC_Hom": field("hom"), "AC_Hemi": field("hemi"), "F_MISSING": 1 - F.col("NS") / F.size("samples")})
+    second = F.get(F.sort_array(F.transform("by", lambda x: x["ac"]), asc=False), F.lit(1))
+    safe = lambda x: F.when(F.col("AN") > 0, x / F.col("AN")).otherwise(0.0)
+    return t.withColumns({"MAF": safe(F.coalesce(second, F.lit(0))), "AF": F.transform("AC", safe)}).drop("by")
+
+
 def _hwe(hom_ref: int, het: int, hom_alt: int) -> tuple[float, float]:
     """Probability of the genotype counts and all less likely ones under Hardy-Weinberg, and of at least as many hets."""
     n, rare = hom_ref + het + hom_alt, min(2 * hom_ref + het, 2 * hom_alt + het)

@@ -23,6 +23,34 @@ def remapped(gt: Column, allele: Column) -> Column:
     return F.array_join(F.transform(V.alleles(gt), lambda a: F.when(a == 0, "0").when(a == allele, "1").otherwise(".")), "/")
 
 
+def split_genotypes(nested: DataFrame) -> DataFrame:
+    """A row per ALT allele with its number, and genotypes that tell it from REF: it becomes 1, REF stays 0, other ALTs are
+    missing; separators stay. ALT is text after. The nested layout keeps its other sample fields."""
+    rows = nested.select(*[c for c in nested.columns if c != "ALT"], F.posexplode("ALT").alias("_i", "ALT")).withColumn("allele", F.col("_i") + 1).drop("_i")
+    own = F.col("allele").cast("string")
+    sign = lambda gt: F.when(gt.contains("|"), "|").otherwise("/")
+    new = lambda gt: F.array_join(F.transform(F.split(gt, "[/|]"), lambda a: F.when(a == "0", "0").when(a == own, "1").otherwise(".")), "/")
+    return rows.withColumn("samples", F.transform("samples", lambda s: s.withField("GT", F.replace(new(s["GT"]), F.lit("/"), sign(s["GT"])))))
+
+
+#: Values of a tag by its Number, at a site of n ALTs: one per ALT, per allele, per unphased diploid genotype.
+LENGTHS = {"A": lambda n: n, "R": lambda n: n + 1, "G": lambda n: (n + 1) * (n + 2) / 2}
+
+
+def values_of_allele(values: Column, number: str, allele: Column) -> Column:
+    """What a list of Number A, R or G keeps of one ALT allele: its own value, those of REF and it, or those of their three
+    genotypes."""
+    get = lambda i: F.get(values, i.cast("int"))
+    if number == "A":
+        return F.array(get(allele - 1))
+    if number == "R":
+        return F.array(get(F.lit(0)), get(allele))
+    if number == "G":
+        first = allele * (allele + 1) / 2
+        return F.array(get(F.lit(0)), get(first), get(first + allele))
+    raise ValueError(f"no list by alleles: {number}")
+
+
 def trimmed(ref: Column, alt: Column) -> Column:
     """Parsimonious pos shift, REF and ALT: the common suffix goes, then the common prefix, one base stays on both sides."""
     n, m = F.length(ref), F.length(alt)

@@ -121,3 +121,11 @@ def switches(tidy: DataFrame, value: str, *by: str, block: int = BLOCK) -> DataF
     """How often value differs from the site before, per by."""
     t = neighbour(tidy.select(*by, "CHROM", "POS", value), "_last", F.col(value), -1, (*by, "CHROM"), block)
     return t.where(F.col("_last").isNotNull()).groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("_last") != F.col(value)).alias("n_switches"))
+
+
+def phase_switches(tidy: DataFrame, by: tuple[str, ...] = ("sample_id",), block: int = BLOCK) -> DataFrame:
+    """Of neighbouring phased heterozygous genotypes, per by: pairs, and those whose phase is the other way round."""
+    a = F.split("GT", r"\|")
+    het = tidy.where(F.col("GT").contains("|") & (F.size(a) == 2)).where((F.get(a, F.lit(0)) != F.get(a, F.lit(1))) & ~F.array_contains(a, "."))
+    first = F.get(a, F.lit(0)).cast("int") < F.get(a, F.lit(1)).cast("int")
+    return switches(het.withColumn("_first", first), "_first", *by, block=block)

@@ -25,6 +25,16 @@ GT = f"""SELECT *, {GT_FIELDS} FROM (SELECT *, {H} AS h FROM (SELECT s.*, CAST(u
 INTERVALS = "SELECT p_partkey, concat('chr', CAST(1 + p_partkey % 5 AS STRING)) AS c, (p_partkey * 25) % 50021 AS b, (p_partkey * 25) % 50021 + p_size AS e FROM part"
 
 
+# Sites with a second ALT every sixth, and genotypes of all kinds: phased, haploid, half-missing, of the second ALT.
+RSITE = f"""SELECT site_id, CHROM, POS, REF, ALT AS ALT1, concat(ALT, 'TT') AS ALT2, CASE WHEN site_id % 6 = 0 THEN 2 ELSE 1 END AS n_alt, QUAL, event_type FROM ({SITE}) s"""
+KINDS = ["0/0", "0/1", "1/1", "./.", "0|1", "1|0", "1|1", "./1", "0", "1", "0/2", "1/2", "2|2", ".", "0|0", "0/0"]
+ONE_ALT = ["0/0", "0/1", "1/1", "./.", "0|1", "1|0", "1|1", "./1", "0", "1", "0/1", "1/1", "0|0", ".", "0|0", "0/0"]
+RH = "(site_id * 31 + sample_id * 17 + (site_id % 13) * sample_id) % (CASE WHEN site_id % 5 = 0 THEN 16 WHEN site_id % 5 = 1 THEN 4 WHEN site_id % 5 = 2 THEN 7 ELSE 10 END) + (CASE WHEN site_id % 15 = 2 THEN 9 ELSE 0 END)"
+RH = f"(CASE WHEN site_id % 29 = 7 THEN 3 + 10 * ((site_id + sample_id) % 2) WHEN site_id % 31 = 5 AND sample_id NOT IN (1, 4) THEN 14 WHEN site_id % 37 = 3 THEN 4 + (site_id + sample_id) % 3 ELSE {RH} END)"
+PICK = "(CASE WHEN n_alt = 2 THEN [{}] ELSE [{}] END)[{} + 1]".format(", ".join(f"'{k}'" for k in KINDS), ", ".join(f"'{k}'" for k in ONE_ALT), "{}")
+RGT = f"SELECT *, {PICK.format(RH)} AS GT FROM (SELECT r.*, CAST(unnest(range({N_SAMPLES})) AS INT) AS sample_id FROM ({RSITE}) r) g0"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,3 +85,18 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INTERVALS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested layout with several ALTs and all kinds of genotypes; ID at every third site; FILTER q20, PASS, or none above 90."""
+    one = spread(sites(spark, sf_dir)).withColumn("n_alt", F.when(F.col("site_id") % 6 == 0, 2).otherwise(1))
+    kinds = F.when(F.col("n_alt") == 2, F.array(*map(F.lit, KINDS))).otherwise(F.array(*map(F.lit, ONE_ALT)))
+    place = F.array(*(F.expr(RH.replace("sample_id", str(i))).cast("int") for i in range(N_SAMPLES)))
+    samples = F.transform(place, lambda h, i: F.struct(i.alias("sample_id"), F.get(F.col("_kinds"), h).alias("GT")))
+    one = one.withColumns({"_kinds": kinds, "ID": F.when(F.col("site_id") % 3 == 0, F.concat(F.lit("rs"), "site_id")), "FILTER": F.when(F.col("QUAL").isNull() | (F.col("QUAL") > 90), F.array().cast("array<string>")).when(F.col("QUAL") < 20, F.array(F.lit("q20"))).otherwise(F.array(F.lit("PASS")))})
+    alts = F.when(F.col("n_alt") == 2, F.array("ALT", F.concat("ALT", F.lit("TT")))).otherwise(F.array("ALT"))
+    return one.withColumn("samples", samples).withColumn("ALT", alts).drop("_kinds", "n_alt")
+
+
+def rich_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rich(spark, sf_dir).select("site_id", "CHROM", "POS", "REF", "ALT", "QUAL", F.inline("samples"))

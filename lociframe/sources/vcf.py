@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.functions import annotation
+
 # Number of reserved tags in the VCF specification.
 INFO_NUMBER = {"AA": "1", "AC": "A", "AD": "R", "ADF": "R", "ADR": "R", "AF": "A", "AN": "1", "BQ": "1", "CIGAR": "A", "DB": "0", "DP": "1", "END": "1", "H2": "0", "H3": "0", "MQ": "1", "MQ0": "1", "NS": "1", "SB": "4", "SOMATIC": "0", "VALIDATED": "0", "1000G": "0"}
 FORMAT_NUMBER = {"AD": "R", "ADF": "R", "ADR": "R", "DP": "1", "EC": "A", "FT": "1", "GL": "G", "GP": "G", "GQ": "1", "GT": "1", "HQ": "2", "MQ": "1", "PL": "G", "PP": "G", "PQ": "1", "PS": "1"}
@@ -96,14 +98,27 @@ def _value(text: Column, tag: Tag, keep_missing: bool) -> Column:
     return items if keep_missing else F.filter(items, lambda x: x.isNotNull())
 
 
-def read_vcf(spark: SparkSession, path: str, layout: str = "wide", region: str | None = None, samples: list[str] | None = None, columns: list[str] | None = None, keep_missing: bool = False) -> DataFrame:
-    """CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_*, and FORMAT_<field>_<sample> (wide) or SAMPLE_ID, FORMAT_<field> (tidy).
+def info_value(info: Column, name: str) -> Column:
+    """Text of the first NAME=... of an INFO field; null without one. A tag may come twice in a record."""
+    return F.nullif(F.regexp_extract(info, f"(?:^|;){re.escape(name)}=([^;]*)", 1), F.lit(""))
+
+
+def has_flag(info: Column, name: str) -> Column:
+    return F.coalesce(info.rlike(f"(?:^|;){re.escape(name)}(?:[;=]|$)"), F.lit(False))
+
+
+def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", region: str | None = None, samples: list[str] | None = None, columns: list[str] | None = None, keep_missing: bool = False, vep: str | None = None, vep_fields: list[str] | None = None) -> DataFrame:
+    """CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_*, and FORMAT_<field>_<sample> (wide), SAMPLE_ID, FORMAT_<field> (tidy), or
+    samples, an array of structs of sample_id and the fields (nested: the layout of expressions, formats and families).
+
+    Several paths are read as one table, with the header of the first. vep="all" or "first" adds VEP_<field> for the fields of
+    a CSQ, BCSQ or ANN tag, or those in vep_fields: arrays over transcripts, or the first transcript's values.
 
     "." is null for ID, QUAL and tags, an empty list for ALT and FILTER; an absent flag is false. Missing elements of lists
     drop unless keep_missing. region is chrom or chrom:begin-end, 1-based and closed, and keeps records whose REF overlaps it;
     an unknown region gives no rows. samples reorders and limits samples; columns selects by name.
     """
-    h = read_header(spark, path)
+    h = read_header(spark, path if isinstance(path, str) else path[0])
     cols = F.split(F.col("value"), "\t")
     f = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     get = lambda i: F.try_element_at(cols, F.lit(i + 1))
@@ -111,15 +126,27 @@ def read_vcf(spark: SparkSession, path: str, layout: str = "wide", region: str |
         "CHROM": get(0), "POS": get(1).try_cast("long"), "ID": F.nullif(get(2), F.lit(".")), "REF": get(3),
         "ALT": F.filter(F.split(get(4), ","), lambda x: x != "."), "QUAL": F.nullif(get(5), F.lit(".")).try_cast("double"), "FILTER": F.filter(F.split(get(6), ";"), lambda x: x != "."),
     }
-    info = F.str_to_map(get(7), F.lit(";"), F.lit("="))
+    info = get(7)
     for tag in h.info.values():
-        core[f"INFO_{tag.name}"] = F.map_contains_key(info, tag.name) if tag.number == "0" or tag.type == "Flag" else _value(F.try_element_at(info, F.lit(tag.name)), tag, keep_missing)
+        core[f"INFO_{tag.name}"] = has_flag(info, tag.name) if tag.number == "0" or tag.type == "Flag" else _value(info_value(info, tag.name), tag, keep_missing)
+    if vep and (name := annotation.detect({t: "" for t in h.info})):
+        if vep not in ("all", "first"):
+            raise ValueError(f"no such transcripts: {vep}")
+        names = annotation.fields(h.info[name].description)
+        keep = names if vep_fields is None else [n for n in names if n in vep_fields]
+        trs = annotation.transcripts(info_value(info, name), names, keep)
+        core |= {f"VEP_{n}": F.transform(trs, lambda t, n=n: t[n]) if vep == "all" else F.try_element_at(trs, F.lit(1))[n] for n in keep}
     picked = [(h.samples.index(s), s) for s in (samples if samples is not None else h.samples)]
     keys = F.split(get(8), ":")
     one = lambda i, tag: _value(F.try_element_at(F.split(get(9 + i), ":"), F.nullif(F.array_position(keys, tag.name), F.lit(0)).cast("int")), tag, keep_missing)
     if layout == "wide":
         core |= {f"FORMAT_{t.name}_{s}": one(i, t) for i, s in picked for t in h.format.values()}
         out = f.select(*(c.alias(n) for n, c in core.items()))
+    elif layout == "nested":
+        calls = F.array(*(F.struct(F.lit(s).alias("sample_id"), *(one(i, t).alias(t.name) for t in h.format.values())) for i, s in picked)) if picked else F.array().cast("array<struct<sample_id:string>>")
+        out = f.select(*(c.alias(n) for n, c in core.items()), calls.alias("samples"))
+    elif layout != "tidy":
+        raise ValueError(f"no such layout: {layout}")
     elif picked:
         rows = F.array(*(F.struct(F.lit(s).alias("SAMPLE_ID"), *(one(i, t).alias(f"FORMAT_{t.name}") for t in h.format.values())) for i, s in picked))
         out = f.select(*(c.alias(n) for n, c in core.items()), F.inline(rows))
@@ -147,6 +174,32 @@ def stored_header(df: DataFrame) -> str | None:
     return next((f.metadata["vcf_header"] for f in df.schema.fields if "vcf_header" in f.metadata), None)
 
 
+def variant_table(spark: SparkSession, name: str, paths: str | list[str], layout: str = "tidy", mode: str = "errorifexists", **options) -> DataFrame:
+    """Files loaded into a catalog table of Parquet, which carries the first one's header; options as for read_vcf."""
+    df = read_vcf(spark, paths, layout, **options)
+    header = read_header(spark, paths if isinstance(paths, str) else paths[0])
+    df.withMetadata(df.columns[0], {"vcf_header": "\n".join(header.lines)}).write.mode(mode).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def lazy_view(spark: SparkSession, name: str, path: str | list[str], **options) -> None:
+    """A view of files for SQL: each query parses the columns that it reads."""
+    read_vcf(spark, path, **options).createOrReplaceTempView(name)
+
+
+def split_by_sample(tidy: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One folder of Parquet per sample."""
+    write_parquet(tidy, path, partition_by=["SAMPLE_ID"], mode=mode)
+
+
+def write_vcf(tidy: DataFrame, path: str, header: Header, samples: list[str], compression: str = "none") -> None:
+    """A folder with the header and the records as text, in parts that follow one another by name."""
+    fixed = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
+    lines = [(i, x) for i, x in enumerate([*header.lines, "\t".join(fixed)])]
+    top = tidy.sparkSession.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
+    top.unionByName(as_records(tidy, header, samples)).write.option("compression", compression).text(path)
+
+
 def as_records(tidy: DataFrame, header: Header, samples: list[str]) -> DataFrame:
     """Text records (value), sorted by contig in header order and POS, of tidy rows as read_vcf gives them."""
     info = list(header.info.values())
