@@ -192,14 +192,14 @@ def singletons(tidy: DataFrame) -> DataFrame:
 SAMPLES = 2048  # samples of a block: the counts of two blocks' pairs are what a task holds
 
 
-def concordance(tidy: DataFrame) -> DataFrame:
+def concordance(tidy: DataFrame, width: int = SAMPLES) -> DataFrame:
     """For all pairs of samples a < b: sites where both are called, and where their genotypes have equal dosage.
 
-    A site's dosages travel as one array for each block of SAMPLES samples. Tasks count by products of 0/1 matrices, sites
+    A site's dosages travel as one array for each block of `width` samples. Tasks count by products of 0/1 matrices, sites
     by samples, and send one row for each pair. Cohorts of several blocks meet block by block.
     """
-    block = F.floor(F.col("sample_id") / SAMPLES)
-    rows = tidy.where(~V.in_class(F.col("GT"), "mis")).groupBy("site_id", block.alias("i")).agg(F.collect_list(F.struct((F.col("sample_id") % SAMPLES).cast("int").alias("s"), V.dosage(F.col("GT")).cast("int").alias("d"))).alias("x"))
+    block = F.floor(F.col("sample_id") / width)
+    rows = tidy.where(~V.in_class(F.col("GT"), "mis")).groupBy("site_id", block.alias("i")).agg(F.collect_list(F.struct((F.col("sample_id") % width).cast("int").alias("s"), V.dosage(F.col("GT")).cast("int").alias("d"))).alias("x"))
     sites = rows.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("blocks"))
     pairs = F.flatten(F.transform("blocks", lambda p: F.transform(F.filter("blocks", lambda q: q["i"] >= p["i"]), lambda q: F.struct(p["i"].alias("i"), q["i"].alias("j"), p["x"].alias("x"), q["x"].alias("y")))))
 
@@ -214,9 +214,9 @@ def concordance(tidy: DataFrame) -> DataFrame:
                     both = np.stack([(x >= 0).astype(np.float32).T @ (y >= 0).astype(np.float32), sum((x == d).astype(np.float32).T @ (y == d).astype(np.float32) for d in range(max(x.max(), y.max()) + 1))])
                     totals[i, j] = _added(totals.get((i, j)), both)
             while len(totals) > 4:
-                yield _pair_rows(*totals.popitem())
+                yield _pair_rows(*totals.popitem(), width)
         for key, n in totals.items():
-            yield _pair_rows(key, n)
+            yield _pair_rows(key, n, width)
 
     out = sites.select(F.inline(pairs)).mapInArrow(count, "a int, b int, n_sites long, n_same long")
     return out.groupBy("a", "b").agg(F.sum("n_sites").alias("n_sites"), F.sum("n_same").alias("n_same"))
@@ -241,11 +241,11 @@ def _added(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair_rows(key: tuple[int, int], n: np.ndarray) -> pa.RecordBatch:
+def _pair_rows(key: tuple[int, int], n: np.ndarray, width: int) -> pa.RecordBatch:
     a, b = np.nonzero(n[0])
     keep = (key[0] < key[1]) | (a < b)
     a, b = a[keep], b[keep]
-    return pa.record_batch([pa.array((a + key[0] * SAMPLES).astype(np.int32)), pa.array((b + key[1] * SAMPLES).astype(np.int32)), pa.array(n[0, a, b]), pa.array(n[1, a, b])], names=["a", "b", "n_sites", "n_same"])
+    return pa.record_batch([pa.array((a + key[0] * width).astype(np.int32)), pa.array((b + key[1] * width).astype(np.int32)), pa.array(n[0, a, b]), pa.array(n[1, a, b])], names=["a", "b", "n_sites", "n_same"])
 
 
 def genotype_intersections(tidy: DataFrame) -> DataFrame:

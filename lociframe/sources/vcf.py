@@ -135,7 +135,8 @@ def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", r
         names = annotation.fields(h.info[name].description)
         keep = names if vep_fields is None else [n for n in names if n in vep_fields]
         trs = annotation.transcripts(info_value(info, name), names, keep)
-        core |= {f"VEP_{n}": F.transform(trs, lambda t, n=n: t[n]) if vep == "all" else F.try_element_at(trs, F.lit(1))[n] for n in keep}
+        field = lambda n: F.transform(trs, lambda t: t[n]) if vep == "all" else F.try_element_at(trs, F.lit(1))[n]
+        core |= {f"VEP_{n}": field(n) for n in keep}
     picked = [(h.samples.index(s), s) for s in (samples if samples is not None else h.samples)]
     keys = F.split(get(8), ":")
     one = lambda i, tag: _value(F.try_element_at(F.split(get(9 + i), ":"), F.nullif(F.array_position(keys, tag.name), F.lit(0)).cast("int")), tag, keep_missing)
