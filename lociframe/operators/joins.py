@@ -41,6 +41,38 @@ def compared(*call_sets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*keys).agg(F.bit_or("bit").alias("mask"))
 
 
+COMPATIBLE = ("none", "all", "some", "snps", "indels", "both", "id")
+
+
+def with_match(sites: DataFrame, mode: str) -> DataFrame:
+    """Sites with _match, which sites of one contig and POS share if they count as the same. ALT is an array.
+
+    none: equal REF and ALTs; all: any alleles; snps, indels, both: any alleles of that type, others as for none; some: one
+    ALT in common, a row for each; id: equal ID, whatever the place (sites without one have no match).
+    """
+    exact = F.concat_ws(">", "REF", F.array_join(F.array_sort("ALT"), ","))
+    one = lambda a: F.when(F.length(a) != F.length("REF"), "indels").when(F.length(a) == 1, "snps").otherwise("others")
+    if mode in ("snps", "indels", "both"):
+        kinds = F.array_distinct(F.transform("ALT", one))
+        wanted = ["snps", "indels"] if mode == "both" else [mode]
+        kind = F.get(F.array_intersect(kinds, F.array(*map(F.lit, wanted))), F.lit(0))
+        return sites.withColumn("_match", F.coalesce(kind, exact))
+    if mode == "some":
+        return sites.withColumn("_match", F.explode(F.transform("ALT", lambda a: F.concat_ws(">", F.col("REF"), a))))
+    match = {"none": lambda: exact, "all": lambda: F.lit(""), "id": lambda: F.col("ID")}
+    if mode not in match:
+        raise ValueError(f"no such mode: {mode}")
+    return sites.withColumn("_match", match[mode]())
+
+
+def compatible(first: DataFrame, second: DataFrame, mode: str = "none", inside: bool = True) -> DataFrame:
+    """Sites of first that second has (or lacks) in the sense of mode; see with_match. Neither side needs unique places."""
+    keys = ["_match"] if mode == "id" else ["CHROM", "POS", "_match"]
+    own = F.struct("CHROM", "POS", "REF", "ALT")
+    hit = with_match(first.withColumn("_id", own), mode).join(with_match(second, mode).select(*keys).distinct(), keys, "left_semi").select("_id").distinct()
+    return first.withColumn("_id", own).join(hit, "_id", "left_semi" if inside else "left_anti").drop("_id")
+
+
 def intersection(*call_sets: DataFrame, count: str, keys: list[str] | None = None) -> DataFrame:
     """Sites by how many sets have them: count is "=2", "+2" (or more), "-2" (or fewer) or "~101" (exactly those sets)."""
     mode, n = count[0], count[1:]
@@ -65,17 +97,24 @@ def merge_sites(*call_sets: DataFrame, rules: dict[str, str], keys: list[str] |
 
 
 def annotate(sites: DataFrame, notes: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
-    """Columns of notes by key. Modes: "=" overwrite, "+" only where missing, "." overwrite even with missing."""
+    """Columns of notes by key. Modes: "=" overwrite, "+" only where missing, "." overwrite even with missing, ".+" only where
+    the site has none and even with missing, "-" only where the site has a value, "&" append to the site's text."""
     taken = notes.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
     out = sites.join(taken, keys, "left")
     for c, mode in columns.items():
         own = F.col(c) if c in sites.columns else F.lit(None)
         new = F.col(f"_{c}")
-        value = {"=": F.coalesce(new, own), "+": F.coalesce(own, new), ".": F.when(F.col("_hit"), new).otherwise(own)}[mode]
+        value = {"=": F.coalesce(new, own), "+": F.coalesce(own, new), ".+": F.coalesce(own, new), ".": F.when(F.col("_hit"), new).otherwise(own), "-": F.when(own.isNotNull(), F.coalesce(new, own)), "&": F.nullif(F.concat_ws(",", own.cast("string"), new.cast("string")), F.lit(""))}[mode]
         out = out.withColumn(c, value).drop(f"_{c}")
     return out.drop("_hit")
 
 
+def marked(sites: DataFrame, notes: DataFrame, keys: list[str], name: str, present: bool = True) -> DataFrame:
+    """Flag `name` at the sites that notes have, or that they lack."""
+    hit = notes.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    return sites.join(hit, keys, "left").withColumn(name, F.col("_hit").isNotNull() == F.lit(present)).drop("_hit")
+
+
 COLLECT = {
     "first": lambda v, order: F.min_by(v, order), "append": lambda v, _: F.array_join(F.array_sort(F.collect_list(v.cast("string"))), ","),
     "unique": lambda v, _: F.array_join(F.array_sort(F.collect_set(v.cast("string"))), ","),
@@ -83,11 +122,16 @@ COLLECT = {
 }
 
 
-def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 1024) -> DataFrame:
-    """key and note: what the intervals over a site say, combined by first, append, unique, sum, avg, min or max."""
+def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 1024, of_region: float = 0.0, of_site: float = 0.0) -> DataFrame:
+    """key and note: what the intervals over a site say, combined by first, append, unique, sum, avg, min or max. The overlap
+    must be a share of_region of the interval and of_site of the REF allele at least."""
     left = sites.select(key, F.col("CHROM").alias("c"), F.col("POS").alias("b"), (F.col("POS") + F.length("REF") - 1).alias("e"))
     right = regions.select(F.col("c").alias("c2"), F.col("b").alias("b2"), F.col("e").alias("e2"), value.alias("_v"), F.col(order).alias("_o"))
-    return overlap_join(left, right, bin_size).groupBy(key).agg(COLLECT[logic](F.col("_v"), F.col("_o")).alias("note"))
+    both = overlap_join(left, right, bin_size)
+    if of_region or of_site:
+        shared = F.least("e", "e2") - F.greatest("b", "b2") + 1
+        both = both.where((shared >= of_region * (F.col("e2") - F.col("b2") + 1)) & (shared >= of_site * (F.col("e") - F.col("b") + 1)))
+    return both.groupBy(key).agg(COLLECT[logic](F.col("_v"), F.col("_o")).alias("note"))
 
 
 def nearest(sites: DataFrame) -> DataFrame:
@@ -111,3 +155,48 @@ def linkage(tidy: DataFrame, dosage: Column, window: int) -> DataFrame:
     pairs = pairs.withColumns({"n": F.size("xy"), "sx": total(lambda x, y: x), "sy": total(lambda x, y: y), "sxy": total(lambda x, y: x * y), "sxx": total(lambda x, y: x * x), "syy": total(lambda x, y: y * y)})
     cov, vx, vy = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     return pairs.select("CHROM", F.col("POS").alias("pos1"), F.col("p2").alias("pos2"), "n", F.when((vx > 0) & (vy > 0), cov * cov / (vx * vy)).alias("r2"))
+
+
+def merge_records(*call_sets: DataFrame, filters: str = "x") -> DataFrame:
+    """Call sets in the nested layout as one: CHROM, POS, REF, ALT, QUAL, FILTER, samples.
+
+    Records of one CHROM, POS and REF become one, with the ALTs of all in the order of the sets and QUAL the largest;
+    genotypes are renumbered to its ALTs. Samples of a set without the record are missing there. Samples are numbered set
+    by set. filters "x" gives PASS if any record passed, "+" all filters together. Rosters are as long as the cohorts.
+    """
+    rows, roster = None, []
+    for i, df in enumerate(call_sets):
+        ids = [r[0] for r in df.select(F.explode("samples.sample_id")).distinct().orderBy("col").collect()]
+        roster += [f"{i}:{x}" for x in ids]
+        t = df.select("CHROM", "POS", "REF", F.struct(F.lit(i).alias("i"), "ALT", "QUAL", "FILTER", F.transform("samples", lambda s: F.struct(s["sample_id"].cast("string").alias("id"), s["GT"].alias("GT"))).alias("calls")).alias("r"))
+        rows = t if rows is None else rows.unionByName(t)
+    t = rows.groupBy("CHROM", "POS", "REF").agg(F.array_sort(F.collect_list("r")).alias("r"), F.max("r.QUAL").alias("QUAL"))
+    t = t.withColumn("ALT", F.array_distinct(F.flatten("r.ALT")))
+    number = lambda a, own: F.when(a.isin(".", "0"), a).otherwise(F.array_position(F.col("ALT"), F.get(own, a.try_cast("int") - 1)).cast("string"))
+    again = lambda gt, own: F.array_join(F.transform(F.split(gt, "[/|]"), lambda a: number(a, own)), "/")
+    renumbered = lambda gt, own: F.when(gt.contains("|"), F.replace(again(gt, own), F.lit("/"), F.lit("|"))).otherwise(again(gt, own))
+    entries = F.flatten(F.transform("r", lambda x: F.transform(x["calls"], lambda c: F.struct(F.concat_ws(":", x["i"], c["id"]), renumbered(c["GT"], x["ALT"])))))
+    t = t.withColumn("_m", F.map_from_entries(entries))
+    samples = F.transform(F.array(*map(F.lit, roster)), lambda name, n: F.struct(n.alias("sample_id"), F.coalesce(F.try_element_at("_m", name), F.lit("./.")).alias("GT")))
+    every = F.array_sort(F.array_distinct(F.flatten("r.FILTER")))
+    failed = F.filter(every, lambda x: x != "PASS")
+    ok = F.exists("r", lambda x: F.array_contains(x["FILTER"], "PASS"))
+    merged = F.when(ok, F.array(F.lit("PASS"))).otherwise(failed) if filters == "x" else F.when(F.size(failed) > 0, failed).otherwise(every)
+    return t.select("CHROM", "POS", "REF", "ALT", "QUAL", merged.alias("FILTER"), samples.alias("samples"))
+
+
+def concatenated(*call_sets: DataFrame, duplicates: str | None = None) -> DataFrame:
+    """All records of sets with the same samples; duplicates "none" drops records that an earlier set has with equal alleles,
+    "all" those at a position that an earlier set has."""
+    if duplicates is None:
+        out = call_sets[0]
+        for df in call_sets[1:]:
+            out = out.unionByName(df)
+        return out
+    keys = SITE_KEY if duplicates == "none" else ["CHROM", "POS"]
+    out = None
+    for i, df in enumerate(call_sets):
+        t = df.withColumn("_i", F.lit(i))
+        out = t if out is None else out.unionByName(t)
+    first = out.groupBy(*keys).agg(F.min("_i").alias("_first"))
+    return out.join(first, keys).where(F.col("_i") == F.col("_first")).drop("_i", "_first")

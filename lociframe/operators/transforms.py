@@ -129,3 +129,48 @@ def sample_subset(nested: DataFrame, samples: list[int]) -> DataFrame:
     pick = F.transform(F.array(*map(F.lit, samples)), lambda i: F.filter("samples", lambda s: s["sample_id"] == i)[0])
     calls = F.flatten(F.transform("samples", lambda s: F.filter(V.alleles(s["GT"]), lambda a: a.isNotNull())))
     return nested.withColumn("samples", pick).withColumns({"AC": F.size(F.filter(calls, lambda a: a > 0)), "AN": F.size(calls)})
+
+
+def without_unused_alts(nested: DataFrame) -> DataFrame:
+    """ALTs that no genotype has are dropped and genotypes renumbered; a site may be left without ALT."""
+    called = F.array_distinct(F.flatten(F.transform("samples", lambda s: F.split(s["GT"], "[/|]"))))
+    kept = F.filter(F.sequence(F.lit(1), F.size("ALT")), lambda i: F.array_contains(called, i.cast("string")))
+    t = nested.select("*", F.inline(F.array(F.struct(F.when(F.size("ALT") > 0, kept).otherwise(F.array().cast("array<int>")).alias("_kept")))))
+    number = lambda a: F.when(a.isin(".", "0"), a).otherwise(F.array_position(F.col("_kept"), a.try_cast("int")).cast("string"))
+    again = lambda gt: F.array_join(F.transform(F.split(gt, "[/|]"), number), "/")
+    new = lambda gt: F.when(gt.contains("|"), F.replace(again(gt), F.lit("/"), F.lit("|"))).otherwise(again(gt))
+    t = t.withColumn("samples", F.transform("samples", lambda s: s.withField("GT", new(s["GT"]))))
+    return t.withColumn("ALT", F.transform("_kept", lambda i: F.get(F.col("ALT"), i - 1))).drop("_kept")
+
+
+def with_id(sites: DataFrame, text: Column, only_missing: bool = False) -> DataFrame:
+    """ID from the site's columns, or only where it has none."""
+    return sites.withColumn("ID", F.coalesce("ID", text) if only_missing else text)
+
+
+def without_fields(sites: DataFrame, *names: str) -> DataFrame:
+    """Fields removed: ID and QUAL become missing, FILTER empty, FILTER/x loses x, INFO drops all INFO_ columns, INFO/x one,
+    FORMAT/x goes from every sample."""
+    for name in names:
+        kind, _, part = name.partition("/")
+        if kind in ("ID", "QUAL"):
+            sites = sites.withColumn(kind, F.lit(None).cast(sites.schema[kind].dataType))
+        elif kind == "FILTER":
+            sites = sites.withColumn("FILTER", F.array_remove("FILTER", part) if part else F.array().cast("array<string>"))
+        elif kind == "INFO":
+            sites = sites.drop(*([f"INFO_{part}"] if part else [c for c in sites.columns if c.startswith("INFO_")]))
+        elif kind == "FORMAT" and part:
+            sites = sites.withColumn("samples", _without_sample_field(part))
+        else:
+            raise ValueError(f"no such field: {name}")
+    return sites
+
+
+def _without_sample_field(name: str) -> Column:
+    return F.transform("samples", lambda s: s.dropFields(name))
+
+
+def with_contigs(sites: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Contigs renamed; names is as long as the header's list of contigs."""
+    new = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return sites.withColumn("CHROM", F.coalesce(F.try_element_at(new, F.col("CHROM")), "CHROM")) if names else sites

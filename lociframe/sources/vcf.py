@@ -107,11 +107,11 @@ def has_flag(info: Column, name: str) -> Column:
     return F.coalesce(info.rlike(f"(?:^|;){re.escape(name)}(?:[;=]|$)"), F.lit(False))
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", region: str | None = None, samples: list[str] | None = None, columns: list[str] | None = None, keep_missing: bool = False, vep: str | None = None, vep_fields: list[str] | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", region: str | None = None, samples: list[str] | None = None, columns: list[str] | None = None, keep_missing: bool = False, vep: str | None = None, vep_fields: list[str] | None = None, include_info: bool = True, include_format: bool = True) -> DataFrame:
     """CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_*, and FORMAT_<field>_<sample> (wide), SAMPLE_ID, FORMAT_<field> (tidy), or
     samples, an array of structs of sample_id and the fields (nested: the layout of expressions, formats and families).
 
-    Several paths are read as one table, with the header of the first. vep="all" or "first" adds VEP_<field> for the fields of
+    include_info and include_format leave out the INFO and the sample columns. Several paths are read as one table, with the header of the first. vep="all" or "first" adds VEP_<field> for the fields of
     a CSQ, BCSQ or ANN tag, or those in vep_fields: arrays over transcripts, or the first transcript's values.
 
     "." is null for ID, QUAL and tags, an empty list for ALT and FILTER; an absent flag is false. Missing elements of lists
@@ -127,7 +127,7 @@ def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", r
         "ALT": F.filter(F.split(get(4), ","), lambda x: x != "."), "QUAL": F.nullif(get(5), F.lit(".")).try_cast("double"), "FILTER": F.filter(F.split(get(6), ";"), lambda x: x != "."),
     }
     info = get(7)
-    for tag in h.info.values():
+    for tag in h.info.values() if include_info else ():
         core[f"INFO_{tag.name}"] = has_flag(info, tag.name) if tag.number == "0" or tag.type == "Flag" else _value(info_value(info, tag.name), tag, keep_missing)
     if vep and (name := annotation.detect({t: "" for t in h.info})):
         if vep not in ("all", "first"):
@@ -137,7 +137,7 @@ def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", r
         trs = annotation.transcripts(info_value(info, name), names, keep)
         field = lambda n: F.transform(trs, lambda t: t[n]) if vep == "all" else F.try_element_at(trs, F.lit(1))[n]
         core |= {f"VEP_{n}": field(n) for n in keep}
-    picked = [(h.samples.index(s), s) for s in (samples if samples is not None else h.samples)]
+    picked = [] if not include_format else [(h.samples.index(s), s) for s in (samples if samples is not None else h.samples)]
     keys = F.split(get(8), ":")
     one = lambda i, tag: _value(F.try_element_at(F.split(get(9 + i), ":"), F.nullif(F.array_position(keys, tag.name), F.lit(0)).cast("int")), tag, keep_missing)
     if layout == "wide":
@@ -175,6 +175,13 @@ def stored_header(df: DataFrame) -> str | None:
     return next((f.metadata["vcf_header"] for f in df.schema.fields if "vcf_header" in f.metadata), None)
 
 
+def head(spark: SparkSession, path: str, records: int = 0) -> list[str]:
+    """The header's lines and the first records."""
+    lines = read_header(spark, path)
+    top = [*lines.lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *lines.samples] if lines.samples else [])])]
+    return top + [r[0] for r in spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).limit(records).collect()]
+
+
 def variant_table(spark: SparkSession, name: str, paths: str | list[str], layout: str = "tidy", mode: str = "errorifexists", **options) -> DataFrame:
     """Files loaded into a catalog table of Parquet, which carries the first one's header; options as for read_vcf."""
     df = read_vcf(spark, paths, layout, **options)
