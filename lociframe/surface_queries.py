@@ -124,7 +124,7 @@ def expected_lengths(spark, d):
 # --- SQL surface
 
 
-@query(f"SELECT CHROM, stretch, CAST(len(l) AS INT) AS n, l[1] AS first, l[-1] AS last, CAST(list_sum(list_transform(list_filter(l, lambda x: x % 2 = 0), lambda x: x * 2)) AS BIGINT) AS total, list_contains(l, 100) AS has_100, CAST(list_position(l, 105) AS INT) AS at_105, array_to_string(list_slice(l, 1, 3), '-') AS head FROM (SELECT CHROM, POS // 500 AS stretch, list_sort(list(site_id)) AS l FROM {S} GROUP BY 1, 2)")
+@query(f"SELECT CHROM, stretch, CAST(len(l) AS INT) AS n, l[1] AS first, l[-1] AS last, CAST(coalesce(list_sum(list_transform(list_filter(l, lambda x: x % 2 = 0), lambda x: x * 2)), 0) AS BIGINT) AS total, list_contains(l, 100) AS has_100, CAST(list_position(l, 105) AS INT) AS at_105, array_to_string(list_slice(l, 1, 3), '-') AS head FROM (SELECT CHROM, POS // 500 AS stretch, list_sort(list(site_id)) AS l FROM {S} GROUP BY 1, 2)")
 def sql_lists(spark, d):
     sites(spark, d).createOrReplaceTempView("surface_sites")
     return spark.sql("""SELECT CHROM, stretch, size(l) AS n, element_at(l, 1) AS first, element_at(l, -1) AS last, aggregate(transform(filter(l, x -> x % 2 = 0), x -> x * 2), 0L, (a, x) -> a + x) AS total, array_contains(l, 100L) AS has_100,
