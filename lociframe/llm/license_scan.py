@@ -1,7 +1,7 @@
 """License scans: passages of a text against licence templates by the Dice coefficient over word bigrams.
 
-A text's lines are normalised. A template is compared with every stretch of whole lines that begins at a line with one of
-its bigrams and whose number of words lies within the bounds that a Dice coefficient of at least the threshold leaves.
+A text's lines are cut into sentences and normalised. A template is compared with every stretch of sentences, or of whole
+lines if it has few bigrams, that begins with one that has a bigram of it and whose number of words lies within the bounds that a Dice coefficient of at least the threshold leaves.
 Templates of which the whole text has too few bigrams are passed over, and a stretch with too many others is given up.
 """
 
@@ -55,6 +55,10 @@ def normalised(line: str) -> list[str]:
     return ["license" + w[7:] if w.startswith("licence") else w for w in WORD.findall(line.lower())]
 
 
+SENTENCE = re.compile(r"(?<=[.;:!?])\s+")
+INSIDE = 12  # bigrams from which a template is looked for inside lines too, from sentence to sentence
+
+
 def bigrams(words: list[str]) -> Counter:
     return Counter(zip(words, words[1:], strict=False))
 
@@ -88,21 +92,23 @@ class Scanner:
 
     def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, dice, first line, line after the last), without overlaps: the best first, then the longest."""
-        lines = text.split("\n")
-        words = [normalised(x) for x in lines]
-        found, grams = [], [list(zip(w, w[1:], strict=False)) for w in words]
-        possible = self.possible([w for own in words for w in own])
+        # units: the sentences of lines that have a word; the number of the line, and whether a line begins and ends with it
+        units = [(no, w, k == 0, k == len(own) - 1) for no, line in enumerate(text.split("\n")) if (own := [w for part in SENTENCE.split(line) if (w := normalised(part))]) for k, w in enumerate(own)]
+        possible = self.possible([w for _, own, _, _ in units for w in own])
         if not possible:
             return []
+        found, grams = [], [list(zip(w, w[1:], strict=False)) for _, w, _, _ in units]
         for i, own in enumerate(grams):
             for t in sorted({t for g in own for t in self.by_bigram.get(g, ())} & possible):
                 name, want, n, least, most = self.templates[t]
+                if n < INSIDE and not units[i][2]:
+                    continue
                 have, m, same, j, last = Counter(), 0, 0, i, None
                 others = n * (2 - 2 * self.threshold) / self.threshold + 1e-6  # with more, all of the template is not enough
-                while j < len(lines):
+                while j < len(units):
                     step = list(grams[j])
-                    if last is not None and words[j]:
-                        step.append((last, words[j][0]))
+                    if last is not None:
+                        step.append((last, units[j][1][0]))
                     m += len(step)
                     if m > most:
                         break
@@ -111,15 +117,15 @@ class Scanner:
                         same += have[g] <= want[g]
                     if m - same > others:
                         break
-                    last = words[j][-1] if words[j] else last
+                    last = units[j][1][-1]
                     j += 1
-                    if m >= least and words[j - 1] and 2 * same >= self.threshold * (m + n) - 1e-9:
+                    if m >= least and (n >= INSIDE or units[j - 1][3]) and 2 * same >= self.threshold * (m + n) - 1e-9:
                         found.append((2 * same / (m + n), m, name, i, j))
         out, taken = [], set()
         for d, _, name, i, j in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
             if not taken & set(range(i, j)):
                 taken |= set(range(i, j))
-                out.append((name, round(d, 6), i, j))
+                out.append((name, round(d, 6), units[i][0], units[j - 1][0] + 1))
         return sorted(out, key=lambda x: x[2])
 
 
