@@ -456,3 +456,8 @@ def soft_filter(df: DataFrame, expression: str, name: str, replace: bool = False
     kept = F.array_except("FILTER", F.array(F.lit("PASS")))
     marked = F.array(F.lit(name)) if replace else F.array_union(kept, F.array(F.lit(name)))
     return df.withColumn("FILTER", F.when(hit, marked).when(F.size(kept) == 0, F.array(F.lit("PASS"))).otherwise(kept))
+
+
+def with_value(df: DataFrame, name: str, expression: str) -> DataFrame:
+    """Adds the value of an expression, as a number, a text or a truth of the site."""
+    return df.withColumn(name, Compiler(df).compile(expression).col)

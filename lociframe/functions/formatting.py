@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions import variants as V
 
-TOKEN = re.compile(r"%(?:INFO/)?(?P<name>[A-Z_0-9]+)(?:\{(?P<i>\d+)\})?|(?P<open>\[)|(?P<close>\])|(?P<text>\\n|\\t|[^%\[\]\\]+|.)")
+TOKEN = re.compile(r"%N_PASS\((?P<passes>(?:[^()]|\([^()]*\))*)\)|%PBINOM\((?P<binom>\w+)\)|%(?:INFO/)?(?P<name>[A-Z_0-9]+)(?:\{(?P<i>\d+)\})?|(?P<open>\[)|(?P<close>\])|(?P<text>\\n|\\t|[^%\[\]\\]+|.)")
 ESCAPES = {"\\n": "\n", "\\t": "\t"}
 
 
@@ -37,8 +37,24 @@ def _each(parts: list) -> Column:
     return F.array_join(F.transform("samples", lambda s: F.concat(*(p(s) for p in parts))), "")
 
 
-def formatted(text: str, sample_fields: set[str]) -> Column:
-    """The line for a site; names in sample_fields (and SAMPLE, TGT, IUPACGT) are read per sample inside brackets."""
+def header(text: str, samples: list[str]) -> str:
+    """A first line that names and numbers the columns of a format; one per sample for what stands in brackets."""
+    names, inner = [], None
+    for m in TOKEN.finditer(text):
+        name = f"N_PASS({m['passes']})" if m["passes"] is not None else f"PBINOM({m['binom']})" if m["binom"] else m["name"]
+        if m["open"]:
+            inner = []
+        elif m["close"]:
+            names += [f"{s}:{n}" for s in samples for n in inner or []]
+            inner = None
+        elif name:
+            (names if inner is None else inner).append(name)
+    return "#" + "\t".join(f"[{i}]{n}" for i, n in enumerate(names, 1))
+
+
+def formatted(text: str, sample_fields: set[str], df: DataFrame | None = None) -> Column:
+    """The line for a site; names in sample_fields (and SAMPLE, TGT, IUPACGT) are read per sample inside brackets. %N_PASS(...)
+    needs df, the sites. %PBINOM(TAG) is the phred-scaled binomial test of a sample's first two values."""
     own = sample_fields | {"SAMPLE", "TGT", "IUPACGT"}
     out: list[Column] = []
     inner: list | None = None
@@ -48,6 +64,14 @@ def formatted(text: str, sample_fields: set[str]) -> Column:
         elif m["close"]:
             out.append(_each(inner or []))
             inner = None
+        elif m["passes"] is not None:
+            from lociframe.functions.expression import Compiler
+
+            n = F.coalesce(Compiler(df).compile(f"N_PASS({m['passes']})").col.cast("int").cast("string"), F.lit("."))
+            out.append(n) if inner is None else inner.append(lambda s, c=n: c)
+        elif m["binom"]:
+            phred = lambda s, t=m["binom"]: F.coalesce(F.round(-10 * F.log10(V.binomial_test(F.get(s[t], F.lit(0)), F.get(s[t], F.lit(1))))).cast("int").cast("string"), F.lit("."))
+            (inner if inner is not None else out).append(phred)
         elif m["name"]:
             name, i = m["name"], m["i"]
             if inner is None:

@@ -282,3 +282,35 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
     """Rows per bin of equal width; values outside go to the first and last bin."""
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((value - low) / (high - low) * bins).cast("int")))
     return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def meta_analysis_by_size(studies: DataFrame, *keys: str) -> DataFrame:
+    """Effects combined as z scores weighted by the root of the sample size, and how far the studies differ: n, z, and i2, the
+    share of Cochran's Q beyond its expectation. studies: keys, beta, se, size."""
+    z, w = F.col("beta") / F.col("se"), 1 / (F.col("se") * F.col("se"))
+    t = studies.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.sqrt("size") * z).alias("zs"), F.sum("size").alias("size"), F.sum(w).alias("w"), F.sum(w * F.col("beta")).alias("wb"), F.sum(w * F.col("beta") * F.col("beta")).alias("wbb"))
+    q = F.col("wbb") - F.col("wb") * F.col("wb") / F.col("w")
+    return t.select(*keys, "n", (F.col("zs") / F.sqrt("size")).alias("z"), F.when(q > 0, F.greatest(F.lit(0.0), (q - (F.col("n") - 1)) / q)).otherwise(0.0).alias("i2"))
+
+
+def with_read_shares(nested: DataFrame) -> DataFrame:
+    """Adds to every sample VAF, the share of each ALT in its reads, and VAF1, that of all ALTs; null without reads."""
+
+    def shares(s: Column) -> Column:
+        total = F.aggregate(s["AD"], F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+        return V.let(total, lambda n: F.struct(F.when(n > 0, F.transform(F.slice(s["AD"], F.lit(2), F.size("ALT")), lambda x: x / n)).alias("VAF"), F.when(n > 0, 1 - F.get(s["AD"], F.lit(0)) / n).alias("VAF1")))
+
+    return nested.withColumn("samples", F.transform("samples", lambda s: V.let(shares(s), lambda x: s.withField("VAF", x["VAF"]).withField("VAF1", x["VAF1"]))))
+
+
+def with_site_tags(sites: DataFrame) -> DataFrame:
+    """Adds END, the last position of REF, and TYPE, the kinds of the ALTs. ALT is an array."""
+    kinds = F.transform(V.types(F.col("REF"), F.col("ALT")), lambda t: F.when(t.isin("ins", "del"), "indel").otherwise(t))
+    return sites.withColumns({"END": V.end_position(F.col("POS"), F.col("REF")), "TYPE": F.array_sort(F.array_distinct(kinds))})
+
+
+def concordance_by_frequency(first: DataFrame, second: DataFrame, frequency: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """bin, gt1, gt2, n: how often genotypes of two sets meet, by the site's allele frequency. frequency: site_id, AF."""
+    both = first.join(second.select(*keys, F.col("GT").alias("gt2")), keys).join(frequency, "site_id")
+    b = F.least(F.lit(bins - 1), F.floor(F.col("AF") * bins).cast("int"))
+    return both.groupBy(b.alias("bin"), F.col("GT").alias("gt1"), "gt2").agg(F.count("*").alias("n"))

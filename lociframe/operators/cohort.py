@@ -142,3 +142,19 @@ def renamed(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 def scattered(sites: DataFrame, width: int) -> DataFrame:
     """chunk: contig and number of the stretch of `width` positions, the name of an output partition."""
     return sites.withColumn("chunk", F.concat_ws("_", "CHROM", F.floor((F.col("POS") - 1) / width).cast("string")))
+
+
+def checked_ref(sites: DataFrame, reference: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """Sites against the reference base. w: all, with ref_ok; x: those that agree; s: REF set to the base, with REF and ALT
+    swapped if ALT is it; e: an error in the job if any disagrees. reference: keys, base. ALT is text."""
+    t = sites.join(reference, keys).withColumn("ref_ok", F.upper("REF") == F.upper("base"))
+    if mode == "w":
+        return t.drop("base")
+    if mode == "x":
+        return t.where("ref_ok").drop("base", "ref_ok")
+    if mode == "s":
+        alt = F.when(~F.col("ref_ok") & (F.upper("ALT") == F.upper("base")), F.col("REF")).otherwise(F.col("ALT"))
+        return t.withColumn("ALT", alt).withColumn("REF", F.when(F.col("ref_ok"), F.col("REF")).otherwise(F.col("base"))).drop("base", "ref_ok")
+    if mode == "e":
+        return t.where(F.when(F.col("ref_ok"), True).otherwise(F.raise_error(F.concat(F.lit("REF differs from the reference at "), F.concat_ws(":", *keys))).cast("boolean"))).drop("base", "ref_ok")
+    raise ValueError(f"no such mode: {mode}")

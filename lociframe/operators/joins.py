@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.operators.windows import neighbour
+from lociframe.operators.windows import first_of_duplicates, neighbour
 
 SITE_KEY = ["CHROM", "POS", "REF", "ALT"]
 
@@ -200,3 +200,8 @@ def concatenated(*call_sets: DataFrame, duplicates: str | None = None) -> DataFr
         out = t if out is None else out.unionByName(t)
     first = out.groupBy(*keys).agg(F.min("_i").alias("_first"))
     return out.join(first, keys).where(F.col("_i") == F.col("_first")).drop("_i", "_first")
+
+
+def first_matching(sites: DataFrame, mode: str, order: str) -> DataFrame:
+    """Of the records of a position that count as the same in the sense of mode (see with_match) the first by order."""
+    return first_of_duplicates(with_match(sites, mode), ["CHROM", "POS", "_match"], order).drop("_match")

@@ -41,3 +41,12 @@ def transmission(nested: DataFrame, trios: list[tuple[int, int, int]]) -> DataFr
     het, ref = lambda g: V.in_class(F.col(g), "het"), lambda g: V.in_class(F.col(g), "rr")
     informative = (het("gt_father") & ref("gt_mother")) | (ref("gt_father") & het("gt_mother"))
     return rows.where(informative).groupBy("child").agg(F.count("*").alias("n"), F.count_if(V.in_class(F.col("gt_child"), "alt")).alias("n_transmitted"))
+
+
+def de_novo(nested: DataFrame, trios: list[tuple[int, int, int]]) -> DataFrame:
+    """Sites and trios where the child has an allele that neither parent has; all three are called."""
+    rows = with_trios(nested, trios)
+    k, f, m = (V.alleles(F.col(c)) for c in ("gt_child", "gt_father", "gt_mother"))
+    known = lambda a: F.forall(a, lambda x: x.isNotNull())
+    new = F.array_except(k, F.concat(f, m))
+    return rows.where(known(k) & known(f) & known(m)).withColumn("new", new).where(F.size("new") > 0)

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lociframe.cohort_queries import GT2
+from lociframe.cohort_queries import second as other_genotypes
+from lociframe.functions import expression as X
+from lociframe.functions import formatting
+from lociframe.operators import aggregates as A
+from lociframe.operators import cohort as C
 from lociframe.operators import joins as J
 from lociframe.operators import transforms as T
-from lociframe.plans.derive import intervals, rich, rich_tidy, sites, table
-from lociframe.queries import OVER, S, listed, query
-from lociframe.rich_queries import CALLS, R, RG
+from lociframe.operators import trios
+from lociframe.plans.derive import genotypes, intervals, nested, rich, rich_tidy, sites, table
+from lociframe.queries import FILL, OVER, TRIO_SQL, TRIOS, G, S, listed, query
+from lociframe.rich_queries import CALLS, RG, SECOND, R
 
 # another call set: every fourth site has another ALT, and every third is absent
 ALT_B = "CASE WHEN site_id % 4 = 0 THEN concat(ALT, 'G') WHEN site_id % 7 = 3 AND length(ALT) = 1 THEN translate(ALT, 'ACGT', 'CGTA') ELSE ALT END"
@@ -121,6 +128,90 @@ def expected_lengths(spark, d):
     return rich(spark, d).select("site_id", *(T.LENGTHS[k](n).cast("int").alias(k.lower()) for k in "ARG"))
 
 
+STUDY = f"SELECT site_id, k, ((site_id * (k + 3)) % 101 - 50) / 100.0 AS beta, (1 + (site_id + k) % 7) / 10.0 AS se, CAST(100 + 50 * k + site_id % 10 AS DOUBLE) AS size FROM {S}, (SELECT unnest(range(3)) AS k) t"
+
+
+@query(f"SELECT site_id, count(*) AS n, round(sum(sqrt(size) * beta / se) / sqrt(sum(size)), 6) AS z, round(CASE WHEN sum(beta * beta / (se * se)) - pow(sum(beta / (se * se)), 2) / sum(1 / (se * se)) > 0 THEN greatest(0, 1 - (count(*) - 1) / (sum(beta * beta / (se * se)) - pow(sum(beta / (se * se)), 2) / sum(1 / (se * se)))) ELSE 0 END, 5) AS i2 FROM ({STUDY}) GROUP BY site_id")
+def meta_analysis_by_size(spark, d):
+    k, s = F.col("k"), F.col("site_id")
+    t = sites(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("site_id", (((s * (k + 3)) % 101 - 50) / 100.0).alias("beta"), ((1 + (s + k) % 7) / 10.0).alias("se"), (100 + 50 * k + s % 10).cast("double").alias("size"))
+    return A.meta_analysis_by_size(t, "site_id").select("site_id", "n", F.round("z", 6).alias("z"), F.round("i2", 5).alias("i2"))
+
+
+@query(f"SELECT site_id, sample_id, CASE WHEN DP > 0 THEN round((DP - AD0) / DP, 6) END AS vaf, CASE WHEN DP > 0 THEN round(1 - AD0 / DP, 6) END AS vaf1 FROM {G}")
+def read_shares(spark, d):
+    t = A.with_read_shares(nested(spark, d)).select("site_id", F.inline("samples"))
+    return t.select("site_id", "sample_id", F.round(F.get("VAF", F.lit(0)), 6).alias("vaf"), F.round("VAF1", 6).alias("vaf1"))
+
+
+@query(f"SELECT sample_id, CAST(least(19, floor((DP - AD0) / DP * 20)) AS INT) AS bin, count(*) AS n FROM {G} WHERE DP > 0 AND GT <> './.' GROUP BY 1, 2")
+def read_share_histogram(spark, d):
+    t = A.with_read_shares(nested(spark, d)).select(F.inline("samples")).where("GT <> './.' AND VAF1 IS NOT NULL")
+    return t.groupBy("sample_id", F.least(F.lit(19), F.floor(F.get("VAF", F.lit(0)) * 20).cast("int")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT site_id, POS + length(REF) - 1 AS \"END\", CASE WHEN length(REF) = 1 AND length(ALT1) = 1 THEN CASE WHEN n_alt = 1 OR {SECOND} = 'snp' THEN 'snp' WHEN {SECOND} < 'snp' THEN concat({SECOND}, ',snp') ELSE concat('snp,', {SECOND}) END WHEN n_alt = 1 OR {SECOND} = 'indel' THEN 'indel' ELSE concat('indel,', {SECOND}) END AS type FROM {R}")
+def site_tags(spark, d):
+    return A.with_site_tags(rich(spark, d)).select("site_id", "END", F.array_join("TYPE", ",").alias("type"))
+
+
+@query(f"SELECT site_id, CAST(max(DP) AS DOUBLE) AS top, CAST(count(*) FILTER (GQ > 50) AS DOUBLE) AS good, round(avg(GQ) / 99, 6) AS share FROM {G} GROUP BY site_id")
+def tags_from_expressions(spark, d):
+    t = X.with_value(X.with_value(X.with_value(nested(spark, d), "top", "MAX(DP)"), "good", "N_PASS(GQ > 50)"), "share", "AVG(GQ) / 99")
+    return t.select("site_id", "top", "good", F.round("share", 6).alias("share"))
+
+
+@query(f"SELECT CAST(least(4, floor(AF * 5)) AS INT) AS bin, GT AS gt1, {GT2} AS gt2, count(*) AS n FROM {G} JOIN (SELECT site_id AS k, AC / AN AS AF FROM ({FILL.format(keys='site_id', src=G)}) WHERE AN > 0) ON site_id = k WHERE site_id % 3 <> 0 GROUP BY 1, 2, 3")
+def concordance_by_frequency(spark, d):
+    g = genotypes(spark, d)
+    af = A.fill_tags(g, "site_id").where("AN > 0").select("site_id", "AF")
+    return A.concordance_by_frequency(g, other_genotypes(spark, d), af, ["site_id", "sample_id"], 5)
+
+
+@query(f"SELECT concat(CHROM, chr(9), count(*) FILTER (GQ > 50 AND DP > 20), string_agg(concat(' ', GT, '=', CASE WHEN DP = 0 THEN '.' ELSE CAST(CAST(round(-10 * log10(p)) AS INT) AS VARCHAR) END), '' ORDER BY sample_id)) AS line FROM (SELECT *, CASE WHEN DP = 2 * AD0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(greatest(AD0, DP - AD0), DP + 1), lambda i: exp(lgamma(DP + 1) - lgamma(i + 1) - lgamma(DP - i + 1) - DP * ln(2))))) END AS p FROM {G}) GROUP BY site_id, CHROM")
+def query_format_tests(spark, d):
+    df = nested(spark, d)
+    return df.select(formatting.formatted(r"%CHROM\t%N_PASS(GQ > 50 & DP > 20)[ %GT=%PBINOM(AD)]", {"GT"}, df).alias("line"))
+
+
+BASE = "['A', 'C', 'G', 'T'][1 + site_id % 3]"
+for _check, _sql in {
+    "w": f"SELECT site_id, REF, ALT, REF = {BASE} AS ref_ok FROM {S} WHERE length(REF) = 1 AND length(ALT) = 1", "x": f"SELECT site_id, REF, ALT FROM {S} WHERE length(REF) = 1 AND length(ALT) = 1 AND REF = {BASE}",
+    "s": f"SELECT site_id, {BASE} AS REF, CASE WHEN REF <> {BASE} AND ALT = {BASE} THEN REF ELSE ALT END AS ALT FROM {S} WHERE length(REF) = 1 AND length(ALT) = 1",
+}.items():
+
+    def _checked(spark, d, mode=_check):
+        base = sites(spark, d).select("CHROM", "POS", F.element_at(F.array(*map(F.lit, "ACGT")), (1 + F.col("site_id") % 3).cast("int")).alias("base"))
+        t = C.checked_ref(sites(spark, d).where("length(REF) = 1 AND length(ALT) = 1"), base, ["CHROM", "POS"], mode)
+        return t.select("site_id", "REF", "ALT", *(["ref_ok"] if mode == "w" else []))
+
+    _checked.__name__ = f"check_ref_{_check}"
+    query(_sql)(_checked)
+
+TWICE = f"(SELECT site_id, CHROM, POS, REF, ALT FROM {S} UNION ALL SELECT site_id + 1000000, CHROM, POS, REF, {ALT_B} FROM {S}) t"
+for _mode, _key in {"none": "concat(REF, '>', ALT)", "all": "''", "snps": f"CASE WHEN {TYPE.format('t')} = 'snps' THEN 'snps' ELSE concat(REF, '>', ALT) END", "both": f"CASE WHEN {TYPE.format('t')} <> 'others' THEN {TYPE.format('t')} ELSE concat(REF, '>', ALT) END"}.items():
+
+    def _first(spark, d, mode=_mode):
+        s = sites(spark, d).select("site_id", "CHROM", "POS", "REF", "ALT")
+        more = s.withColumn("ALT", F.expr(ALT_B)).withColumn("site_id", F.col("site_id") + 1000000)
+        return J.first_matching(listed(s.unionByName(more)), mode, "site_id").select("site_id")
+
+    _first.__name__ = f"rm_dup_{_mode}"
+    query(f"SELECT min(site_id) AS site_id FROM {TWICE} GROUP BY CHROM, POS, {_key}")(_first)
+
+
+@query(f"SELECT child, site_id FROM ({TRIO_SQL}) WHERE k <> './.' AND f <> './.' AND m <> './.' AND (position(k[1] IN concat(f, m)) = 0 OR position(k[3] IN concat(f, m)) = 0)")
+def trio_de_novo(spark, d):
+    return trios.de_novo(nested(spark, d), TRIOS).select("child", "site_id")
+
+
+@query()
+def approximate_aggregates(spark, d):
+    """Distinct counts and quantiles by sketches; their errors are tested, SQL's sketches are others."""
+    s = sites(spark, d)
+    return s.groupBy("CHROM").agg(F.approx_count_distinct("POS", 0.02).alias("n_pos"), F.percentile_approx("QUAL", [0.25, 0.5, 0.75], 10_000).alias("quartiles"), F.hll_sketch_estimate(F.hll_sketch_agg("site_id")).alias("n_sites"))
+
+
 # --- SQL surface
 
 
