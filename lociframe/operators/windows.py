@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +131,32 @@ def phase_switches(tidy: DataFrame, by: tuple[str, ...] = ("sample_id",), block:
     het = tidy.where(F.col("GT").contains("|") & (F.size(a) == 2)).where((F.get(a, F.lit(0)) != F.get(a, F.lit(1))) & ~F.array_contains(a, "."))
     first = F.get(a, F.lit(0)).cast("int") < F.get(a, F.lit(1)).cast("int")
     return switches(het.withColumn("_first", first), "_first", *by, block=block)
+
+
+def prune_sliding(sites: DataFrame, width: int, keep: int, rule: str = "1st", frequency: str = "AF", seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """At most `keep` sites in any stretch of `width` positions, taken as it slides from site to site: where one is too many,
+    the latest goes (1st), the one of the lowest frequency, the later of equals (maxAF), or one by a hash of its place (rand).
+
+    Sites more than `width` apart don't see each other, so a contig falls into chains, each pruned by itself in one task:
+    the width should be below the gaps that a call set has here and there.
+    """
+    if rule not in ("1st", "maxAF", "rand"):
+        raise ValueError(f"no such rule: {rule}")
+    value = F.col(frequency).cast("double") if rule == "maxAF" else F.xxhash64(F.lit(seed), "CHROM", "POS").cast("double")
+    rows = sites.withColumn("_f", F.coalesce(value, F.lit(float("-inf"))))
+    before = running(rows, "_last", F.col("POS"), F.max, False, block=block)
+    chains = running(before, "_chain", (F.col("_last").isNull() | (F.col("POS") - F.col("_last") >= width)).cast("int"), F.sum, True, block=block).drop("_last")
+
+    def prune(table: pa.Table) -> pa.Table:
+        table = table.sort_by("POS")
+        at, f = table.column("POS").to_numpy(), table.column("_f").to_numpy()
+        kept, window = np.ones(len(at), bool), []
+        for i in range(len(at)):
+            window = [x for x in window if at[i] - at[x] < width] + [i]
+            if len(window) > keep:
+                gone = window[-1] if rule == "1st" else min(reversed(window), key=lambda x: f[x])
+                window.remove(gone)
+                kept[gone] = False
+        return table.filter(pa.array(kept))
+
+    return chains.groupBy("CHROM", "_chain").applyInArrow(prune, chains.schema).drop("_chain", "_f")

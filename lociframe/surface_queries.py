@@ -13,6 +13,7 @@ from lociframe.operators import cohort as C
 from lociframe.operators import joins as J
 from lociframe.operators import transforms as T
 from lociframe.operators import trios
+from lociframe.operators import windows as W
 from lociframe.plans.derive import genotypes, intervals, nested, rich, rich_tidy, sites, table
 from lociframe.queries import FILL, OVER, TRIO_SQL, TRIOS, G, S, listed, query
 from lociframe.rich_queries import CALLS, RG, SECOND, R
@@ -205,6 +206,12 @@ def trio_de_novo(spark, d):
     return trios.de_novo(nested(spark, d), TRIOS).select("child", "site_id")
 
 
+@query()
+def prune_sliding(spark, d):
+    """At most two sites in 30 positions, those of the highest QUAL. Tested against brute force: SQL has no such state."""
+    return W.prune_sliding(sites(spark, d), 30, 2, "maxAF", "QUAL").select("site_id")
+
+
 @query()
 def approximate_aggregates(spark, d):
     """Distinct counts and quantiles by sketches; their errors are tested, SQL's sketches are others."""

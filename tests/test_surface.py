@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lociframe.functions import formatting
-from lociframe.operators import cohort, joins, transforms
+from lociframe.operators import cohort, joins, transforms, windows
 from lociframe.plans.derive import rich, sites
 
 DIR = "/root/testdata/sf0.01"
@@ -49,3 +49,18 @@ def test_merge_filters(spark):
     assert (x.ALT, x.QUAL, x.FILTER, [s.GT for s in x.samples]) == (["C", "G"], 9.0, ["PASS"], ["0/1", "2"])
     assert (y.ALT, y.FILTER, [s.GT for s in y.samples]) == (["C", "T"], ["low", "x"], ["1|0", "1|2"])
     assert joins.merge_records(a, b, filters="+").orderBy("POS").first().FILTER == ["low"]
+
+
+@pytest.mark.parametrize("rule", ["1st", "maxAF"])
+def test_prune_sliding_brute(spark, rule):
+    rows = sorted((r.CHROM, r.POS, r.QUAL, r.site_id) for r in sites(spark, DIR).collect())
+    want, window = set(), []
+    for c, p, q, i in rows:
+        window = [x for x in window if x[0] == c and p - x[1] < 30] + [(c, p, -1.0 if q is None else q, i)]
+        want.add(i)
+        if len(window) > 2:
+            gone = window[-1] if rule == "1st" else min(window, key=lambda x: (x[2], -x[1]))
+            window.remove(gone)
+            want.discard(gone[3])
+    got = {r.site_id for r in windows.prune_sliding(sites(spark, DIR), 30, 2, rule, "QUAL", block=500).collect()}
+    assert got == want and len(got) < len(rows)
