@@ -56,11 +56,11 @@ def test_prune_sliding_brute(spark, rule):
     rows = sorted((r.CHROM, r.POS, r.QUAL, r.site_id) for r in sites(spark, DIR).collect())
     want, window = set(), []
     for c, p, q, i in rows:
-        window = [x for x in window if x[0] == c and p - x[1] < 30] + [(c, p, -1.0 if q is None else q, i)]
+        window = [x for x in window if x[0] == c and p - x[1] < 100] + [(c, p, -1.0 if q is None else q, i)]
         want.add(i)
         if len(window) > 2:
             gone = window[-1] if rule == "1st" else min(window, key=lambda x: (x[2], -x[1]))
             window.remove(gone)
             want.discard(gone[3])
-    got = {r.site_id for r in windows.prune_sliding(sites(spark, DIR), 30, 2, rule, "QUAL", block=500).collect()}
+    got = {r.site_id for r in windows.prune_sliding(sites(spark, DIR), 100, 2, rule, "QUAL", block=500).collect()}
     assert got == want and len(got) < len(rows)
