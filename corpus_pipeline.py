@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import materialise
+from lociframe.llm.common import NO_ID, materialise
 from lociframe.llm.jaccard_join import near_duplicates
 from lociframe.llm.language_id import UNKNOWN, label_languages
 from lociframe.llm.mixing import mixed_documents
@@ -24,8 +24,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One document of every group of near duplicates, the one with the smallest doc_id, and all documents without words.
     Of rows equal in doc_id and text one stays."""
     found = near_duplicates(docs)
-    kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    kept = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__kept")).distinct())
+    # joined by one column without nulls, so that equal rows are in one partition already and no text moves twice
+    rows = docs.withColumn("__k", key).join(kept, F.col("__k") == F.col("__kept"), "left_semi")
+    return rows.dropDuplicates(["__k", "text"]).drop("__k")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
