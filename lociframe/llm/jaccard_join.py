@@ -291,6 +291,7 @@ def cluster_links(docs: DataFrame, classes: DataFrame, named: DataFrame, cluster
     members = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
     members = members.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     members = members.select("hub", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "c", "n", "u", "label")
+    members = members.repartition("hub", "i", "j")  # else the blocks of a hub stay in the task that counted them
 
     def hopeful(table: pa.Table) -> pa.Table:
         """Members that by the bounds may be similar to one of another label."""
