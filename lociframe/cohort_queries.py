@@ -10,7 +10,7 @@ from lociframe.operators import cohort as C
 from lociframe.operators import joins as J
 from lociframe.operators import transforms as T
 from lociframe.plans.derive import genotypes, intervals, nested, sites
-from lociframe.queries import FILL, G, I, S, ld_r2, other, query
+from lociframe.queries import FILL, ORACLE, G, I, S, ld_r2, other, query
 
 GT2 = "CASE WHEN (h + site_id % 2) % 10 < 5 THEN '0/0' WHEN (h + site_id % 2) % 10 < 8 THEN '0/1' WHEN (h + site_id % 2) % 10 = 8 THEN '1/1' ELSE './.' END"
 
@@ -143,6 +143,6 @@ def munge_columns(spark, d):
 
 # --- the same under the names of their brute-force tests
 
-query()(lambda spark, d: ad_bias(spark, d), "ad_bias_all")
-query()(lambda spark, d: check_sparsity(spark, d), "check_sparsity_all")
-query()(lambda spark, d: ld_r2(spark, d), "ld_r2_all")
+query(ORACLE["ad_bias"])(ad_bias, "ad_bias_all")
+query(ORACLE["check_sparsity"])(check_sparsity, "check_sparsity_all")
+query(ORACLE["ld_r2"])(ld_r2, "ld_r2_all")
