@@ -196,8 +196,8 @@ class Shapes:
             order.append(node)
             todo += node.kids()
         for node in reversed(order):
-            runs = []
-            for r in _runs(node.kids()):
+            runs, kids = [], node.kids()
+            for r in _runs(kids) if kids else ():
                 own = tuple(x.shape for x in r)
                 if own not in self.run_ids:
                     self.run_ids[own] = len(self.members)
@@ -308,8 +308,14 @@ def aligned(page: Node, wrapper: Node, shapes: Shapes | None = None) -> Iterator
     while todo:
         a, b = todo.pop()
         yield a, b
+        own, other = shapes.runs[a.shape], shapes.runs[b.shape]
+        if not own or not other:
+            continue
+        if a.shape == b.shape:  # nothing to look for
+            todo += zip(a.kids(), b.kids(), strict=True)
+            continue
         xs, ys = _runs(a.kids()), _runs(b.kids())
-        for i, j in shapes.pairs(shapes.runs[a.shape], shapes.runs[b.shape]):
+        for i, j in shapes.pairs(own, other):
             todo += zip(xs[i], ys[j], strict=False)
 
 
