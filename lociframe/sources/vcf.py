@@ -1,11 +1,13 @@
 """Variant files as DataFrames: schema from the header, wide and tidy layouts, and text output.
 
-Only the header is read on the driver, through Hadoop's file systems. Records are lines of spark.read.text, so plain files
-split over tasks, and fields are Column expressions over a line: columns that a query does not use are never parsed.
+Only the header is read on the driver, through Hadoop's file systems. Records are lines of spark.read.text, or for block-compressed
+files of the splitting source in `blocks`, so that both split over tasks, and fields are Column expressions over a line:
+columns that a query does not use are never parsed.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.functions import annotation
+from lociframe.sources import blocks
 
 # Number of reserved tags in the VCF specification.
 INFO_NUMBER = {"AA": "1", "AC": "A", "AD": "R", "ADF": "R", "ADR": "R", "AF": "A", "AN": "1", "BQ": "1", "CIGAR": "A", "DB": "0", "DP": "1", "END": "1", "H2": "0", "H3": "0", "MQ": "1", "MQ0": "1", "NS": "1", "SB": "4", "SOMATIC": "0", "VALIDATED": "0", "1000G": "0"}
@@ -107,7 +110,29 @@ def has_flag(info: Column, name: str) -> Column:
     return F.coalesce(info.rlike(f"(?:^|;){re.escape(name)}(?:[;=]|$)"), F.lit(False))
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", region: str | None = None, samples: list[str] | None = None, columns: list[str] | None = None, keep_missing: bool = False, vep: str | None = None, vep_fields: list[str] | None = None, include_info: bool = True, include_format: bool = True) -> DataFrame:
+def record_lines(spark: SparkSession, path: str | list[str], region: str | None = None, split: int = blocks.SPLIT) -> DataFrame:
+    """Records as `value`. Compressed files are read in parts of `split` bytes where workers can open them, with the region
+    pushed into the source; others by Spark's text reader, which takes a compressed file in one task."""
+    paths = [path] if isinstance(path, str) else path
+    if all(p.endswith((".gz", ".bgz", ".bgzf")) and blocks.readable(p) and not re.search(r"[*?{\[]", p) for p in paths):
+        blocks.register(spark)
+        own = spark.read.format("variant_lines").option("paths", json.dumps(paths)).option("columns", "CHROM,POS,LAST,value").option("splitbytes", str(split)).load()
+        if region:
+            chrom, begin, end = region_bounds(region)
+            own = own.where(F.col("CHROM") == chrom)
+            own = own if begin is None else own.where((F.col("LAST") >= begin) & (F.col("POS") <= end))
+        return own.select("value")
+    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+
+
+def region_bounds(region: str) -> tuple[str, int | None, int | None]:
+    """Contig, and first and last position, of chrom, chrom:position or chrom:begin-end."""
+    chrom, _, span = region.partition(":")
+    begin, _, end = span.replace(",", "").partition("-")
+    return (chrom, int(begin), int(end or begin)) if span else (chrom, None, None)
+
+
+def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", region: str | None = None, samples: list[str] | None = None, columns: list[str] | None = None, keep_missing: bool = False, vep: str | None = None, vep_fields: list[str] | None = None, include_info: bool = True, include_format: bool = True, split: int = blocks.SPLIT) -> DataFrame:
     """CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_*, and FORMAT_<field>_<sample> (wide), SAMPLE_ID, FORMAT_<field> (tidy), or
     samples, an array of structs of sample_id and the fields (nested: the layout of expressions, formats and families).
 
@@ -116,11 +141,11 @@ def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", r
 
     "." is null for ID, QUAL and tags, an empty list for ALT and FILTER; an absent flag is false. Missing elements of lists
     drop unless keep_missing. region is chrom or chrom:begin-end, 1-based and closed, and keeps records whose REF overlaps it;
-    an unknown region gives no rows. samples reorders and limits samples; columns selects by name.
+    an unknown region gives no rows. A block-compressed file is read in parts of `split` bytes. samples reorders and limits samples; columns selects by name.
     """
     h = read_header(spark, path if isinstance(path, str) else path[0])
     cols = F.split(F.col("value"), "\t")
-    f = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    f = record_lines(spark, path, region, split)
     get = lambda i: F.try_element_at(cols, F.lit(i + 1))
     core = {
         "CHROM": get(0), "POS": get(1).try_cast("long"), "ID": F.nullif(get(2), F.lit(".")), "REF": get(3),
@@ -154,11 +179,10 @@ def read_vcf(spark: SparkSession, path: str | list[str], layout: str = "wide", r
     else:
         out = f.select(*(c.alias(n) for n, c in core.items()))
     if region:
-        chrom, _, span = region.partition(":")
+        chrom, begin, end = region_bounds(region)
         out = out.where(F.col("CHROM") == chrom)
-        if span:
-            begin, _, end = span.replace(",", "").partition("-")
-            out = out.where((F.col("POS") + F.length("REF") - 1 >= int(begin)) & (F.col("POS") <= int(end or begin)))
+        if begin is not None:
+            out = out.where((F.col("POS") + F.length("REF") - 1 >= begin) & (F.col("POS") <= end))
     return out.select(*columns) if columns else out
 
 
@@ -201,10 +225,16 @@ def split_by_sample(tidy: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_vcf(tidy: DataFrame, path: str, header: Header, samples: list[str], compression: str = "none") -> None:
-    """A folder with the header and the records as text, in parts that follow one another by name."""
+    """A folder with the header and the records as text, in parts that follow one another by name. compression: a codec of
+    Spark's text sink, or "blocks" for block-compressed parts, which together are one such file."""
     fixed = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
     lines = [(i, x) for i, x in enumerate([*header.lines, "\t".join(fixed)])]
     top = tidy.sparkSession.createDataFrame(lines, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
+    if compression == "blocks":
+        blocks.register(tidy.sparkSession)
+        writer = as_records(tidy, header, samples).write.format("variant_lines").mode("append")
+        writer.option("path", path).option("header", "\n".join([*header.lines, "\t".join(fixed)])).save()
+        return
     top.unionByName(as_records(tidy, header, samples)).write.option("compression", compression).text(path)
 
 
