@@ -66,7 +66,7 @@ def first_block(file, begin: int, size: int) -> int:
 
     def chained(data: bytes, i: int, ends: bool) -> bool:
         at = i
-        while at - i <= MOST and not (ends and at == len(data)):
+        while at - i <= MOST and not (ends and at >= len(data)):  # a last block that is cut short is found, to be an error
             n = block_size(data, at)
             if not n:
                 return False

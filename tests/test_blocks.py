@@ -79,6 +79,11 @@ def test_damaged_blocks_are_errors(spark, files):
     for name in ("short.vcf.gz", "bad.vcf.gz"):
         with pytest.raises(Exception, match="damaged|checksum|no block begins|invalid|Error -3"):
             load(spark, files / name).count()
+    whole = (files / "one.vcf.gz").read_bytes()
+    (files / "short.vcf.gz").write_bytes(whole[:-40])
+    for split in (len(whole) - 41, len(whole) - 2000, 30_000):  # the last partition has only the cut block
+        with pytest.raises(Exception, match="damaged|no block begins"):
+            load(spark, files / "short.vcf.gz", splitbytes=split).count()
 
 
 def test_filters_are_pushed(spark, files):
@@ -112,7 +117,7 @@ def test_read_vcf_is_the_plain_file_at_any_split(spark, files):
 
 def test_block_output_round_trip(spark, files, tmp_path):
     header = vcf.read_header(spark, str(files / "plain.vcf"))
-    tidy = vcf.read_vcf(spark, str(files / "plain.vcf"), layout="tidy").where(F.col("POS").between(1, 900))
+    tidy = vcf.read_vcf(spark, str(files / "plain.vcf"), layout="tidy").where(F.col("POS").between(1, 900) & (F.col("CHROM") != "chrX"))
     vcf.write_vcf(tidy, str(tmp_path / "out"), header, ["s1"], "blocks")
     again = vcf.read_vcf(spark, [str(p) for p in sorted((tmp_path / "out").glob("part-*"))], layout="tidy")
     assert sorted(map(str, again.collect())) == sorted(map(str, tidy.collect()))
