@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,8 +109,8 @@ def doc_id(k: str = "k"):
 CHUNK = 3_000_000  # bytes of text hashed at once: bounds the memory of a task whatever the batch holds
 _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-FOLD = BYTE.copy()
-FOLD[65:91] = FOLD[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 IS_SEP = np.zeros(256, bool)
@@ -157,9 +158,24 @@ def chunks(offs: np.ndarray, most: int = CHUNK):
         i = j
 
 
-def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of each [start, end) from prefix sums of value * BASE^position."""
-    return mix((prefix[end] - prefix[start]) * powers(BASE_INV, n + 1)[start])
+SHORT = 64  # bytes of a span up to which it is hashed with all others at once
+LAST = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 8)), 2**64 - 1], np.uint64)  # keeps the first n bytes of eight
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each [start, end). Eight bytes at a time are mixed into what came before, so that no pair of texts
+    collides by its form, as pairs do under a polynomial modulo a power of two."""
+    n = end - start
+    h = mix(n.astype(np.uint64) + BASE)
+    eight = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    for at in range(0, SHORT, 8):
+        some = np.flatnonzero((n > at) & (n <= SHORT))
+        if not len(some):
+            break
+        h[some] = mix((h[some] ^ (eight[start[some] + at] & LAST[np.minimum(n[some] - at, 8)])) + BASE)
+    for i in np.flatnonzero(n > SHORT).tolist():
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(raw[start[i] : end[i]]))
+    return h
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
@@ -182,7 +198,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    return spans_hash(prefix_sums((FOLD if fold else BYTE)[raw]), start, end, len(raw)) if len(start) else np.zeros(0, np.uint64)
+    return span_hashes(LOWER[raw] if fold else raw, start, end)
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

@@ -2,9 +2,11 @@
 
 A fingerprint is a sum over a text's paragraphs (its lines) of vectors hashed from them, so it does not depend on their
 order, and a paragraph is inserted or deleted by adding or subtracting its vector:
-- EXACT lanes: 40-bit hashes of the paragraph, summed modulo 2^40. They tell multisets of paragraphs apart.
+- EXACT lanes: 32-bit hashes of the paragraph, summed modulo 2^32. They tell multisets of paragraphs apart. A text has 2^31
+  lines at most, so that no sum goes beyond a long before it is reduced.
 - NEAR lanes: +1 or -1 for each of the paragraph's three-word shingles by one hash bit a lane, summed modulo 2^16.
-  The inner product of two texts' NEAR lanes estimates how many shingles they share.
+  The inner product of two texts' NEAR lanes estimates how many shingles they share, as long as no lane wraps: one
+  shingle that makes up a text more than 32,767 times over leaves a likeness without meaning, if still from 0 to 1.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Window
 
 from lociframe.llm.common import doc_id, keyed, materialise
 
-EXACT, EXACT_BITS = 6, 40
+EXACT, EXACT_BITS = 8, 32
 NEAR, NEAR_BITS = 128, 16  # lanes: 64 for each of two hashes
 PAIR = 0x0000000100000001  # bit 0 and bit 32: two lanes are counted in one long
 

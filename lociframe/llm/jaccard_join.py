@@ -371,9 +371,10 @@ def links(docs: DataFrame, classes: DataFrame, shared: DataFrame, made: list[str
     single = F.col("p") % 2 == 1
     sets = shared.groupBy("c").agg(F.max("n").cast("long").alias("n"), F.max(F.floor(F.col("p") / 2)).alias("p"), F.collect_set(F.when(single, F.col("sig"))).alias("singles"), F.collect_set(F.when(~single, F.col("sig"))).alias("combined"))
     sets = materialise(sets.withColumn("u", F.col("p") - F.size("singles")), made)
-    key = F.col("u") * (1 << 44) + F.col("n") * (1 << 20) + F.col("c").bitwiseAND(F.lit((1 << 20) - 1))
-    hubs = signed(sets).groupBy("sig").agg(F.min(key).alias("key"), F.min_by("c", key).alias("hub"))
-    n2, u2 = F.shiftright("key", 20).bitwiseAND(F.lit((1 << 24) - 1)), F.shiftright("key", 44)
+    key = F.struct("u", "n", "c")
+    hubs = signed(sets).groupBy("sig").agg(F.min(key).alias("key"))
+    hubs = hubs.select("sig", F.col("key.c").alias("hub"), F.col("key.n").alias("n2"), F.col("key.u").alias("u2"))
+    n2, u2 = F.col("n2"), F.col("u2")
     star = signed(sets).join(hubs, "sig").where("c <> hub").where(possible(F.greatest(F.col("n") - F.col("u"), n2 - u2), F.col("n"), n2))
     star = star.select("hub", "c").distinct().join(sets.select("c", "n", "p", "singles"), "c")
     star = star.join(sets.select(F.col("c").alias("hub"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("singles").alias("singles2")), "hub")

@@ -13,6 +13,7 @@ from lociframe.llm.common import NO_ID, buffers, chunks, keyed, lean
 ORDERS = (1, 2, 3)  # n-gram lengths; a gram is packed into 21 bits a character
 PROFILE = 1000  # n-grams of a language profile
 TOP = 400  # n-grams of a document that are ranked
+PARTS = 64  # in which a language's n-grams are ranked first
 SAMPLE = 5000  # documents per language that profiles are learned from, about
 UNKNOWN = "und"
 
@@ -67,15 +68,15 @@ def held_out(key: Column) -> Column:
 
 
 def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Each language's most frequent n-grams, most frequent first, from documents (text, lang).
+    """Each language's most frequent n-grams, most frequent first, from documents (k, text, lang).
 
-    About `sample` documents of each language are used, chosen by a hash of their text. The result is as large as
-    profile x languages.
+    About `sample` documents of each language are used, chosen by a hash of their id and text, so that of a text that many
+    documents have each is chosen by itself. The result is as large as profile x languages.
     """
     docs = docs.where("lang is not null and text is not null")
     sizes = docs.groupBy("lang").count().select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("share"))
     # one row a language, as the profiles that every task gets anyway: broadcast, so that no text moves
-    chosen = docs.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang")
+    chosen = docs.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("k", "text"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("text", "lang")
 
     def count(batches):
         letters = Letters()
@@ -88,7 +89,11 @@ def learn(docs: DataFrame, profile: int = PROFILE, sample: int = SAMPLE) -> dict
                     yield pa.record_batch([pa.array([langs[x]] * len(keys)), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = chosen.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= profile)
+    # the first of each part of a language's n-grams, then the first of those
+    part = F.pmod("gram", F.lit(PARTS))
+    for by in (["lang", part], ["lang"]):
+        counted = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= profile)
+    ranked = counted
     out: dict[str, list] = {}
     for lang, gram, _ in sorted(ranked.select("lang", "gram", "rank").collect(), key=lambda r: (r[0], r[2])):
         out.setdefault(lang, []).append(gram)
@@ -163,7 +168,7 @@ def label_languages(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sam
     while into in {c.lower() for c in docs.columns}:
         into += "_"
     train = keyed(docs, "lang").where((F.col("k") != NO_ID) & ~held_out(F.col("k")))
-    return predict(docs, learn(train.select("text", "lang"), profile, sample), into, top), into
+    return predict(docs, learn(train.select("k", "text", "lang"), profile, sample), into, top), into
 
 
 def identify(docs: DataFrame, profile: int = PROFILE, top: int = TOP, sample: int = SAMPLE) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import BASE, BYTE, buffers, chunks, doc_id, keyed, lean, mix, prefix_sums, spans_hash, word_hashes, words
+from lociframe.llm.common import BASE, buffers, chunks, doc_id, keyed, lean, mix, span_hashes, word_hashes, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_bangs", "n_unspaced"]
 SYMBOL = np.zeros(256, bool)
@@ -119,7 +119,7 @@ def _lines(raw: np.ndarray, offs: np.ndarray, word_start: np.ndarray) -> tuple[n
     text = np.searchsorted(offs, start, side="right") - 1
     has = np.searchsorted(word_start, end) > np.searchsorted(word_start, start)
     start, end, text = start[has], end[has], text[has]
-    again = _later(spans_hash(prefix_sums(BYTE[raw]), start, end, len(raw)) ^ mix((end - start).astype(np.uint64)), text)
+    again = _later(span_hashes(raw, start, end), text)
     n = len(offs) - 1
     return np.bincount(text, minlength=n), np.bincount(text, weights=again, minlength=n).astype(np.int64)
 
