@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.operators.alleles import merge_calls
 from lociframe.operators.windows import first_of_duplicates, neighbour
 
 SITE_KEY = ["CHROM", "POS", "REF", "ALT"]
@@ -158,31 +159,11 @@ def linkage(tidy: DataFrame, dosage: Column, window: int) -> DataFrame:
 
 
 def merge_records(*call_sets: DataFrame, filters: str = "x") -> DataFrame:
-    """Call sets in the nested layout as one: CHROM, POS, REF, ALT, QUAL, FILTER, samples.
-
-    Records of one CHROM, POS and REF become one, with the ALTs of all in the order of the sets and QUAL the largest;
-    genotypes are renumbered to its ALTs. Samples of a set without the record are missing there. Samples are numbered set
-    by set. filters "x" gives PASS if any record passed, "+" all filters together. Rosters are as long as the cohorts.
-    """
-    rows, roster = None, []
-    for i, df in enumerate(call_sets):
-        ids = [r[0] for r in df.select(F.explode("samples.sample_id")).distinct().orderBy("col").collect()]
-        roster += [f"{i}:{x}" for x in ids]
-        t = df.select("CHROM", "POS", "REF", F.struct(F.lit(i).alias("i"), "ALT", "QUAL", "FILTER", F.transform("samples", lambda s: F.struct(s["sample_id"].cast("string").alias("id"), s["GT"].alias("GT"))).alias("calls")).alias("r"))
-        rows = t if rows is None else rows.unionByName(t)
-    t = rows.groupBy("CHROM", "POS", "REF").agg(F.array_sort(F.collect_list("r")).alias("r"), F.max("r.QUAL").alias("QUAL"))
-    t = t.withColumn("ALT", F.array_distinct(F.flatten("r.ALT")))
-    number = lambda a, own: F.when(a.isin(".", "0"), a).otherwise(F.array_position(F.col("ALT"), F.get(own, a.try_cast("int") - 1)).cast("string"))
-    again = lambda gt, own: F.array_join(F.transform(F.split(gt, "[/|]"), lambda a: number(a, own)), "/")
-    renumbered = lambda gt, own: F.when(gt.contains("|"), F.replace(again(gt, own), F.lit("/"), F.lit("|"))).otherwise(again(gt, own))
-    entries = F.flatten(F.transform("r", lambda x: F.transform(x["calls"], lambda c: F.struct(F.concat_ws(":", x["i"], c["id"]), renumbered(c["GT"], x["ALT"])))))
-    t = t.withColumn("_m", F.map_from_entries(entries))
-    samples = F.transform(F.array(*map(F.lit, roster)), lambda name, n: F.struct(n.alias("sample_id"), F.coalesce(F.try_element_at("_m", name), F.lit("./.")).alias("GT")))
-    every = F.array_sort(F.array_distinct(F.flatten("r.FILTER")))
-    failed = F.filter(every, lambda x: x != "PASS")
-    ok = F.exists("r", lambda x: F.array_contains(x["FILTER"], "PASS"))
-    merged = F.when(ok, F.array(F.lit("PASS"))).otherwise(failed) if filters == "x" else F.when(F.size(failed) > 0, failed).otherwise(every)
-    return t.select("CHROM", "POS", "REF", "ALT", "QUAL", merged.alias("FILTER"), samples.alias("samples"))
+    """Call sets in the nested layout as one, with genotypes: CHROM, POS, REF, ALT, QUAL, FILTER, samples. All records of a
+    place become one, several of a set the n-th with the n-th; see alleles.merge_calls for the rules and for other fields."""
+    bare = [df.withColumn("samples", F.transform("samples", lambda s: F.struct(s["sample_id"].alias("sample_id"), s["GT"].alias("GT")))) for df in call_sets]
+    plain = [df.drop(*(c for c in df.columns if c.startswith("INFO_"))) for df in bare]
+    return merge_calls(*plain, filters=filters).drop("ID")
 
 
 def concatenated(*call_sets: DataFrame, duplicates: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions import variants as V
+from lociframe.operators import alleles
 
 
 def split_alleles(sites: DataFrame) -> DataFrame:
@@ -25,12 +26,9 @@ def remapped(gt: Column, allele: Column) -> Column:
 
 def split_genotypes(nested: DataFrame) -> DataFrame:
     """A row per ALT allele with its number, and genotypes that tell it from REF: it becomes 1, REF stays 0, other ALTs are
-    missing; separators stay. ALT is text after. The nested layout keeps its other sample fields."""
-    rows = nested.select(*[c for c in nested.columns if c != "ALT"], F.posexplode("ALT").alias("_i", "ALT")).withColumn("allele", F.col("_i") + 1).drop("_i")
-    own = F.col("allele").cast("string")
-    sign = lambda gt: F.when(gt.contains("|"), "|").otherwise("/")
-    new = lambda gt: F.array_join(F.transform(F.split(gt, "[/|]"), lambda a: F.when(a == "0", "0").when(a == own, "1").otherwise(".")), "/")
-    return rows.withColumn("samples", F.transform("samples", lambda s: s.withField("GT", F.replace(new(s["GT"]), F.lit("/"), sign(s["GT"])))))
+    missing; separators stay. ALT is text after. Lists by alleles keep its values, other sample fields stay."""
+    rows = alleles.split_records(nested.where(F.size("ALT") > 0))
+    return rows.withColumn("ALT", F.get("ALT", F.lit(0)))
 
 
 #: Values of a tag by its Number, at a site of n ALTs: one per ALT, per allele, per unphased diploid genotype.
@@ -132,15 +130,9 @@ def sample_subset(nested: DataFrame, samples: list[int]) -> DataFrame:
 
 
 def without_unused_alts(nested: DataFrame) -> DataFrame:
-    """ALTs that no genotype has are dropped and genotypes renumbered; a site may be left without ALT."""
-    called = F.array_distinct(F.flatten(F.transform("samples", lambda s: F.split(s["GT"], "[/|]"))))
-    kept = F.filter(F.sequence(F.lit(1), F.size("ALT")), lambda i: F.array_contains(called, i.cast("string")))
-    t = nested.select("*", F.inline(F.array(F.struct(F.when(F.size("ALT") > 0, kept).otherwise(F.array().cast("array<int>")).alias("_kept")))))
-    number = lambda a: F.when(a.isin(".", "0"), a).otherwise(F.array_position(F.col("_kept"), a.try_cast("int")).cast("string"))
-    again = lambda gt: F.array_join(F.transform(F.split(gt, "[/|]"), number), "/")
-    new = lambda gt: F.when(gt.contains("|"), F.replace(again(gt), F.lit("/"), F.lit("|"))).otherwise(again(gt))
-    t = t.withColumn("samples", F.transform("samples", lambda s: s.withField("GT", new(s["GT"]))))
-    return t.withColumn("ALT", F.transform("_kept", lambda i: F.get(F.col("ALT"), i - 1))).drop("_kept")
+    """ALTs that no genotype has are dropped; genotypes are renumbered and lists by alleles follow. A site may be left without
+    ALT."""
+    return alleles.trim_records(nested)
 
 
 def with_id(sites: DataFrame, text: Column, only_missing: bool = False) -> DataFrame:
