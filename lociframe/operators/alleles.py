@@ -7,7 +7,8 @@ record lacks it. Everything is computed from a record's own arrays; only records
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -153,30 +154,20 @@ def _combined(values: Column, rule: str) -> Column:
     return F.when(F.size(known) > 0, found)
 
 
-def merge_calls(
-    *call_sets: DataFrame, policy: str = "all", duplicates: str = "stay", filters: str = "x", missing: str = "./.", numbers: Mapping[str, str] | None = None, info_rules: Mapping[str, str] | None = None,
-    missing_rules: Mapping[str, str | float] | None = None, local: int = 0, names: bool = False,
-) -> DataFrame:
-    """Call sets as one: CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_ columns and samples.
+@dataclass
+class Gathered:
+    """Records of several sets, CHROM, POS, _g (see merge_key) and r (i: the set's number, REF, ALT, QUAL, FILTER, ID, INFO_ columns, calls),
+    with the types of the fields, the lists by alleles among them, and the samples of each set."""
 
-    Records of a place that `policy` brings together (see merge_key) become one: REF is the longest of theirs, which the others
-    begin, shorter records' ALTs are lengthened by what they lack of it, and ALTs follow in the order of the sets. Genotypes,
-    and lists of Number A, R and G, follow the new alleles. A set's samples are missing where it has no record; all records of a
-    set have its samples in one order, and samples are numbered set by set, or, with `names`, keep their sample_id with the set's
-    number in front where an earlier set has it.
+    rows: DataFrame
+    fields: dict
+    infos: dict
+    tag_lists: dict[str, str]
+    fmt_lists: dict[str, str]
+    rosters: list[list[str]]
 
-    A set may have several records of a key at a place, as a file of split records has: they "stay", the n-th of each set
-    together, by REF and ALT, or with duplicates "merge" are one record, in which an allele called in any counts, and the first known
-    value of everything else.
 
-    QUAL is the largest, ID all of them. filters "x": PASS if any record has it, else all; "+": all that failed. info_rules: sum,
-    avg, min, max, join or first (the default) by column, for lists by element. missing_rules give lists by alleles, by field, what stands
-    for alleles that a set lacks: a number, or "max" of the sample's others. local: where a record has more ALTs than that,
-    Number R and G fields are null, and LAA (the set's own ALTs, from 1) with L<field> (the set's own list) stand for them.
-    """
-    if duplicates not in ("stay", "merge"):
-        raise ValueError(f"no such way with duplicates: {duplicates}")
-    info_rules, missing_rules = dict(info_rules or {}), dict(missing_rules or {})
+def gathered(call_sets: Sequence[DataFrame], policy: str, numbers: Mapping[str, str] | None = None, more: Sequence[str] = ()) -> Gathered:
     fields, infos, by_number = {}, {}, {}
     for df in call_sets:
         info, fmt = list_fields(df, numbers)
@@ -197,12 +188,48 @@ def merge_calls(
         have = {f.name for f in df.schema["samples"].dataType.elementType}
         calls = F.transform("samples", lambda s: F.struct(*(s[n].alias(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in fields.items())))  # noqa: B023  used at once
         col = lambda c, t, df=df: (F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c)
-        r = F.struct(F.lit(i).alias("i"), "REF", "ALT", F.col("QUAL").cast("double").alias("QUAL"), col("FILTER", "array<string>"), col("ID", "string"), *(col(c, t) for c, t in infos.items()), calls.alias("calls"))
-        t = df.withColumn("ID", F.col("ID") if "ID" in df.columns else F.lit(None).cast("string")).select("CHROM", "POS", merge_key(policy).alias("_g"), r.alias("r"))
+        r = F.struct(F.lit(i).alias("i"), "REF", "ALT", col("QUAL", "double"), col("FILTER", "array<string>"), col("ID", "string"), *(col(c, t) for c, t in infos.items()), calls.alias("calls"))
+        t = df.withColumn("ID", F.col("ID") if "ID" in df.columns else F.lit(None).cast("string")).select("CHROM", "POS", merge_key(policy).alias("_g"), r.alias("r"), *more)
         rows = t if rows is None else rows.unionByName(t)
+    return Gathered(rows, fields, infos, tag_lists, fmt_lists, rosters)
+
 
+def merge_calls(
+    *call_sets: DataFrame, policy: str = "all", duplicates: str = "stay", filters: str = "x", missing: str = "./.", numbers: Mapping[str, str] | None = None, info_rules: Mapping[str, str] | None = None,
+    missing_rules: Mapping[str, str | float] | None = None, local: int = 0, names: bool = False,
+) -> DataFrame:
+    """Call sets as one: CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_ columns and samples.
+
+    Records of a place that `policy` brings together (see merge_key) become one: REF is the longest of theirs, which the others
+    begin, shorter records' ALTs are lengthened by what they lack of it, and ALTs follow in the order of the sets. Genotypes,
+    and lists of Number A, R and G, follow the new alleles. A set's samples are missing where it has no record; all records of a
+    set have its samples in one order, and samples are numbered set by set, or, with `names`, keep their sample_id with the set's
+    number in front where an earlier set has it.
+
+    A set may have several records of a key at a place, as a file of split records has: they "stay", the n-th of each set
+    together, by REF and ALT, or with duplicates "merge" are one record, in which an allele called in any counts, and the first known
+    value of everything else.
+
+    QUAL is the largest, ID all of them. filters "x": PASS if any record has it, else all; "+": all that failed. info_rules: sum,
+    avg, min, max, join or first (the default) by column, for lists by element. missing_rules give lists by alleles, by field, what stands
+    for alleles that a set lacks: a number, or "max" of the sample's others; a set with <*> or <NON_REF> has its values for them. local: where a record has more ALTs than that,
+    Number R and G fields are null, and LAA (the set's own ALTs, from 1) with L<field> (the set's own list) stand for them.
+    """
+    g = gathered(call_sets, policy, numbers)
     # array_sort goes by set, REF and ALT first; sample lists are never compared unless all before them is equal
-    t = rows.groupBy("CHROM", "POS", "_g").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    t = g.rows.groupBy("CHROM", "POS", "_g").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return merged(t, g, duplicates, filters, missing, info_rules, missing_rules, local, names)
+
+
+def merged(
+    t: DataFrame, g: Gathered, duplicates: str = "stay", filters: str = "x", missing: str = "./.", info_rules: Mapping[str, str] | None = None, missing_rules: Mapping[str, str | float] | None = None,
+    local: int = 0, names: bool = False, keep: Sequence[str] = (),
+) -> DataFrame:
+    """Rows CHROM, POS, r (records that become one, sorted) merged as merge_calls says; columns in keep stay."""
+    if duplicates not in ("stay", "merge"):
+        raise ValueError(f"no such way with duplicates: {duplicates}")
+    info_rules, missing_rules = dict(info_rules or {}), dict(missing_rules or {})
+    fields, infos, tag_lists, fmt_lists, rosters = g.fields, g.infos, g.tag_lists, g.fmt_lists, g.rosters
     if duplicates == "stay":
         nth = lambda x, j: F.size(F.filter(F.slice(F.col("r.i"), F.lit(1), j), lambda y: y == x["i"]))
         t = t.withColumn("_nth", F.transform("r", nth)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.array_max("_nth"))))
@@ -211,7 +238,7 @@ def merge_calls(
     longer = lambda a, x: F.when(a.rlike(PLAIN), F.concat(a, F.substring(F.col("REF"), F.length(x["REF"]) + 1, F.length("REF")))).otherwise(a)
     t = t.withColumn("_alts", F.transform("r", lambda x: F.transform(x["ALT"], lambda a: longer(a, x))))
     t = t.withColumn("ALT", F.array_distinct(F.flatten("_alts")))
-    old = lambda alts: F.concat(F.array(F.lit(0)), F.transform("ALT", lambda a: F.nullif(F.array_position(alts, a), F.lit(0)).cast("int")))
+    old = lambda alts: F.concat(F.array(F.lit(0)), F.transform("ALT", lambda a: F.coalesce(*(F.nullif(F.array_position(alts, x), F.lit(0)) for x in (a, F.lit("<*>"), F.lit("<NON_REF>")))).cast("int")))
     new = lambda alts: F.concat(F.array(F.lit(0)), F.transform(alts, lambda a: F.array_position(F.col("ALT"), a).cast("int")))
     t = t.withColumns({"_old": F.transform("_alts", old), "_new": F.transform("_alts", new)})
     many = F.size("ALT") > local if local else F.lit(False)
@@ -286,7 +313,7 @@ def merge_calls(
     ok = F.exists("r", lambda x: F.array_contains(F.coalesce(x["FILTER"], F.array().cast("array<string>")), "PASS"))
     merged = F.when(ok, F.array(F.lit("PASS"))).otherwise(failed) if filters == "x" else F.when(F.size(failed) > 0, failed).otherwise(every)
     ids = F.nullif(F.array_join(F.array_distinct(F.filter("r.ID", lambda x: x.isNotNull())), ";"), F.lit(""))
-    return t.select("CHROM", "POS", ids.alias("ID"), "REF", "ALT", F.array_max("r.QUAL").alias("QUAL"), merged.alias("FILTER"), *map(info, infos), samples.alias("samples"))
+    return t.select("CHROM", "POS", *keep, ids.alias("ID"), "REF", "ALT", F.array_max("r.QUAL").alias("QUAL"), merged.alias("FILTER"), *map(info, infos), samples.alias("samples"))
 
 
 def join_records(rows: DataFrame, policy: str = "both", numbers: Mapping[str, str] | None = None, info_rules: Mapping[str, str] | None = None) -> DataFrame:
