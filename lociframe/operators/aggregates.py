@@ -314,3 +314,64 @@ def concordance_by_frequency(first: DataFrame, second: DataFrame, frequency: Dat
     both = first.join(second.select(*keys, F.col("GT").alias("gt2")), keys).join(frequency, "site_id")
     b = F.least(F.lit(bins - 1), F.floor(F.col("AF") * bins).cast("int"))
     return both.groupBy(b.alias("bin"), F.col("GT").alias("gt1"), "gt2").agg(F.count("*").alias("n"))
+
+
+def discordance_scores(nested: DataFrame, frequency: Column, likelihoods: str | None = None, error: float = 40.0, width: int = SAMPLES) -> DataFrame:
+    """For all pairs of samples a < b: n_sites where both have data, n_match, score and hwe. Samples of a row are in one order.
+
+    score adds up, over the sites, minus the logarithm of the probability that both samples' data come from one genotype: the sum
+    over genotypes of the products of their likelihoods, which are those of the PL field named, or of genotypes of which all but the
+    called one have the PL `error`. n_match counts sites of equal likeliest dosage (the lower of equals), and hwe adds up minus the
+    logarithm of that dosage's Hardy-Weinberg probability under `frequency`, of the ALTs together: how little chance explains the match.
+    Tasks count by products of matrices, sites by samples; cohorts of several blocks of `width` samples meet block by block.
+    """
+    low = float(10 ** (-error / 10))
+    if likelihoods:
+        of = lambda s: F.when((F.size(s[likelihoods]) == 3) & F.forall(s[likelihoods], lambda x: x.isNotNull()), F.transform(s[likelihoods], lambda x: F.pow(F.lit(10.0), -x.cast("double") / 10)))
+    else:
+        of = lambda s: F.when(~V.in_class(s["GT"], "mis"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.when(F.least(V.dosage(s["GT"]), F.lit(2)) == k, 1.0).otherwise(low)))
+    none = F.array(*[F.lit(float("nan"))] * 3)
+    every = F.transform("samples", lambda s: F.coalesce(of(s), none))
+    f = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), frequency.cast("double")))
+    rows = nested.select(every.alias("l"), F.array(-2 * F.log(1 - f), -F.log(2 * f * (1 - f)), -2 * F.log(f)).alias("w"))
+    n_blocks = F.ceil(F.size("l") / width).cast("int")
+    block = lambda i: F.slice("l", i * width + 1, F.lit(width))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.transform(F.sequence(i, n_blocks - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), block(i).alias("x"), block(j).alias("y")))))
+    rows = rows.where("size(l) > 0").select("w", F.inline(pairs))
+
+    def grid(col: pa.Array) -> np.ndarray:
+        return col.flatten().flatten().to_numpy().reshape(len(col), -1, 3)
+
+    def count(batches):
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in "ij"], 1)
+            for i, j in np.unique(keys, axis=0).tolist():
+                part = batch.filter(pa.array((keys == (i, j)).all(1)))
+                for lo in range(0, part.num_rows, 256):
+                    some = part.slice(lo, 256)
+                    x, y, w = grid(some.column("x")), grid(some.column("y")), some.column("w").flatten().to_numpy().reshape(-1, 3)
+                    has, have = ~np.isnan(x[..., 0]), ~np.isnan(y[..., 0])
+                    x, y = np.nan_to_num(x), np.nan_to_num(y)
+                    out = np.zeros((4, x.shape[1], y.shape[1]))
+                    out[0] = has.astype(float).T @ have.astype(float)
+                    for k in range(3):
+                        a, b = (has & (x.argmax(2) == k)).astype(float), (have & (y.argmax(2) == k)).astype(float)
+                        out[1] += a.T @ b
+                        out[3] += (a * w[:, k : k + 1]).T @ b
+                    for s in range(len(x)):  # a site's pairs at once
+                        both = np.where(np.outer(has[s], have[s]), x[s] @ y[s].T, 1.0)
+                        out[2] -= np.log(np.maximum(both, 1e-300))
+                    totals[i, j] = out if (i, j) not in totals else totals[i, j] + out
+            while len(totals) > 4:
+                yield score_rows(*totals.popitem())
+        for key, n in totals.items():
+            yield score_rows(key, n)
+
+    def score_rows(key: tuple[int, int], n: np.ndarray) -> pa.RecordBatch:
+        a, b = np.meshgrid(np.arange(n.shape[1]) + key[0] * width, np.arange(n.shape[2]) + key[1] * width, indexing="ij")
+        use = a < b
+        return pa.record_batch([pa.array(a[use], pa.int32()), pa.array(b[use], pa.int32()), pa.array(n[0][use].astype(np.int64)), pa.array(n[1][use].astype(np.int64)), pa.array(n[2][use]), pa.array(n[3][use])], names=["a", "b", "n_sites", "n_match", "score", "hwe"])
+
+    out = rows.mapInArrow(count, "a int, b int, n_sites long, n_match long, score double, hwe double")
+    return out.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n_sites", "n_match", "score", "hwe")))
