@@ -61,20 +61,25 @@ def new_numbers(order: Column, n_old: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n_old - 1), lambda o: F.nullif(F.array_position(order, o.cast("int")), F.lit(0)) - 1)
 
 
+def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are evaluated once a row, however often and in whatever lambda they are used after."""
+    return rows.select(*(c for c in rows.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def with_alleles(rows: DataFrame, order: str, n_old: str, numbers: Mapping[str, str] | None = None) -> DataFrame:
     """rows whose genotypes and lists follow the columns order and n_old (alleles before); these two are dropped."""
     info, fmt = list_fields(rows, numbers)
-    o, n = F.col(order), F.col(n_old)
+    o, n, names = F.col(order), F.col(n_old), rows.columns
+    rows = fixed(fixed(rows, **{order: o, n_old: n}), _new=new_numbers(o, n))
     rows = rows.withColumns({c: reordered(F.col(c), number, o, n) for c, number in info.items()})
     if "samples" in rows.columns:
-        rows = rows.withColumn("_new", new_numbers(o, n))
 
         def one(s: Column) -> Column:
             s = s.withField("GT", renumbered(s["GT"], F.col("_new")))
             return reduce(lambda x, f: x.withField(f[0], reordered(x[f[0]], f[1], o, n)), fmt.items(), s)
 
-        rows = rows.withColumn("samples", F.transform("samples", one)).drop("_new")
-    return rows.drop(order, n_old)
+        rows = rows.withColumn("samples", F.transform("samples", one))
+    return rows.select(*(c for c in names if c not in (order, n_old)))
 
 
 def split_records(rows: DataFrame, numbers: Mapping[str, str] | None = None, old_record: str | None = None, keep_sum: tuple[str, ...] = ()) -> DataFrame:
@@ -236,11 +241,12 @@ def merged(
         t = t.withColumn("r", F.filter("r", lambda x, j: F.get("_nth", j) == F.col("_k"))).drop("_nth", "_k")
     t = t.withColumn("REF", F.array_max(F.transform("r", lambda x: F.struct(F.length(x["REF"]).alias("n"), x["REF"].alias("REF"))))["REF"])
     longer = lambda a, x: F.when(a.rlike(PLAIN), F.concat(a, F.substring(F.col("REF"), F.length(x["REF"]) + 1, F.length("REF")))).otherwise(a)
-    t = t.withColumn("_alts", F.transform("r", lambda x: F.transform(x["ALT"], lambda a: longer(a, x))))
-    t = t.withColumn("ALT", F.array_distinct(F.flatten("_alts")))
+    t = fixed(t, REF=F.col("REF"))
+    t = fixed(t, _alts=F.transform("r", lambda x: F.transform(x["ALT"], lambda a: longer(a, x))))
+    t = fixed(t, ALT=F.array_distinct(F.flatten("_alts")))
     old = lambda alts: F.concat(F.array(F.lit(0)), F.transform("ALT", lambda a: F.coalesce(*(F.nullif(F.array_position(alts, x), F.lit(0)) for x in (a, F.lit("<*>"), F.lit("<NON_REF>")))).cast("int")))
     new = lambda alts: F.concat(F.array(F.lit(0)), F.transform(alts, lambda a: F.array_position(F.col("ALT"), a).cast("int")))
-    t = t.withColumns({"_old": F.transform("_alts", old), "_new": F.transform("_alts", new)})
+    t = fixed(t, _old=F.transform("_alts", old), _new=F.transform("_alts", new))
     many = F.size("ALT") > local if local else F.lit(False)
 
     def filled(name: str, values: Column) -> Column:
