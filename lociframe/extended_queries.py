@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.functions import expression as X
+from lociframe.functions import formatting
 from lociframe.operators import aggregates as A
 from lociframe.operators import alleles as L
 from lociframe.operators import autozygosity as Z
-from lociframe.operators import gvcf, ligation, trios
+from lociframe.operators import gvcf, joins, ligation, trios
 from lociframe.operators import sequence as Q
 from lociframe.operators import windows as W
 from lociframe.plans.derive import N_SAMPLES, RGT, RSITE, intervals, nested, rich, sites, table
@@ -285,3 +287,55 @@ def gtcheck_scores(spark, d):
     calls = F.flatten(F.transform("samples", lambda s: F.filter(F.split(s["GT"], "[/|]"), lambda a: a != ".")))
     f = F.size(F.filter(calls, lambda a: a != "0")) / F.nullif(F.size(calls), F.lit(0))
     return A.discordance_scores(t, F.coalesce(f, F.lit(0.0))).select("a", "b", "n_sites", "n_match", F.round("score", 5).alias("score"), F.round("hwe", 5).alias("hwe"))
+
+
+# --- formats and values
+
+
+def with_info(spark: SparkSession, d: str) -> DataFrame:
+    lists = F.when(F.col("site_id") % 4 > 0, F.array((F.col("site_id") % 3).cast("int"), (F.col("site_id") % 5).cast("int")))
+    return listed(sites(spark, d)).withColumns({"ID": F.concat(F.lit("rs"), "site_id"), "FILTER": F.array("event_type"), "INFO_N": F.col("site_id").cast("int"), "INFO_F": F.col("site_id") % 2 == 0, "INFO_L": lists})
+
+
+INFO = "concat_ws(';', 'N=' || site_id, CASE WHEN site_id % 2 = 0 THEN 'F' END, CASE WHEN site_id % 4 > 0 THEN 'L=' || site_id % 3 || ',' || site_id % 5 END)"
+DIGITS = "list_reduce(list_transform(string_split(rpad(translate(REF || ALT, 'ACGT', '0123'), 11, '0'), ''), lambda c: c::BIGINT), lambda a, x: a * 4 + x)"
+KEY64 = f"((1 + site_id % 5) << 59) | ((POS - 1) << 31) | (length(REF)::BIGINT << 27) | (length(ALT)::BIGINT << 23) | ({DIGITS} << 1)"
+
+
+@query(f"SELECT site_id, concat_ws(chr(9), CHROM, POS, 'rs' || site_id, REF, ALT, event_type, {INFO}) || ' ' || lower(lpad(to_hex({KEY64}), 16, '0')) || ' ' || lower(lpad(to_hex(site_id), 8, '0')) || ' ' || {INFO} AS line FROM {S}")
+def query_format_line(spark, d):
+    t = with_info(spark, d)
+    line = formatting.formatted("%LINE %VKX %RSX %INFO", set(), t.drop("QUAL"))
+    cut = F.concat_ws("\t", F.substring_index(line, "\t", 5), F.substring_index(line, "\t", -2))  # without the QUAL that was left out
+    return t.select("site_id", cut.alias("line"))
+
+
+@query(f"SELECT site_id, CASE WHEN site_id % 4 > 0 THEN CAST(site_id % 3 + site_id % 5 AS VARCHAR) ELSE '.' END || ' ' || CASE WHEN site_id % 4 > 0 THEN CAST(greatest(site_id % 3, site_id % 5) AS VARCHAR) ELSE '.' END AS line FROM {S}")
+def query_format_functions(spark, d):
+    t = with_info(spark, d)
+    return t.select("site_id", formatting.formatted("%SUM(INFO/L) %MAX(INFO/L)", set(), t).alias("line"))
+
+
+@query(f"SELECT site_id, string_agg(CASE WHEN DP > 20 THEN concat(' ', sample_id, '=', GT) ELSE concat(' ', '-', '=', '-') END, '' ORDER BY sample_id) AS line FROM {G} GROUP BY site_id HAVING bool_or(DP > 20)")
+def query_format_failing(spark, d):
+    """Sample fields of those that fail print a text of the caller's."""
+    t = X.with_result(nested(spark, d), "FMT/DP > {}", given=(20,)).where("pass_site")
+    return t.select("site_id", formatting.formatted("[ %SAMPLE=%GT]", {"GT"}, t, passing="pass_samples", instead="-").alias("line"))
+
+
+@query(f"SELECT site_id FROM {S} WHERE NOT coalesce(QUAL > 40 AND CHROM = 'chr3', false)")
+def exclude_given(spark, d):
+    return X.exclude(listed(sites(spark, d)), 'QUAL > {} && CHROM = {}', 40, "chr3").select("site_id")
+
+
+@query(f"SELECT site_id, {KEY64} AS key FROM {S}")
+def variant_key_alleles(spark, d):
+    from lociframe.functions import variants as V
+
+    return sites(spark, d).select("site_id", V.variant_key(F.col("CHROM"), F.col("POS"), F.col("REF"), F.col("ALT")).alias("key"))
+
+
+@query(f"SELECT site_id, CASE WHEN site_id % 3 = 0 THEN site_id * 2.0 END AS note FROM {S}")
+def annotate_renamed(spark, d):
+    s, notes = sites(spark, d), sites(spark, d).where("site_id % 3 = 0").withColumn("twice", F.col("site_id") * 2.0)
+    return joins.annotate(s, notes, joins.SITE_KEY, {"note:=twice": "="}).select("site_id", "note")

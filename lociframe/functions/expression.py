@@ -436,28 +436,28 @@ def include(df: DataFrame, expression: str, *given) -> DataFrame:
     return df.where(Compiler(df).compile(expression, *given).col)
 
 
-def exclude(df: DataFrame, expression: str) -> DataFrame:
+def exclude(df: DataFrame, expression: str, *given) -> DataFrame:
     """Sites that do not pass; an unknown result counts as not passing."""
-    return df.where(~F.coalesce(Compiler(df).compile(expression).col, F.lit(False)))
+    return df.where(~F.coalesce(Compiler(df).compile(expression, *given).col, F.lit(False)))
 
 
-def with_result(df: DataFrame, expression: str, site: str = "pass_site", samples: str = "pass_samples") -> DataFrame:
-    """Adds the site result and the mask, or null where the expression reads no sample field."""
-    v = Compiler(df).compile(expression)
+def with_result(df: DataFrame, expression: str, site: str = "pass_site", samples: str = "pass_samples", given: tuple = ()) -> DataFrame:
+    """Adds the site result and the mask, or null where the expression reads no sample field. given: values of {}."""
+    v = Compiler(df).compile(expression, *given)
     if v.mask is None:
         return df.withColumn(site, F.coalesce(v.col, F.lit(False))).withColumn(samples, F.lit(None).cast("array<boolean>"))
     # a generator of one row: a filter on the result is not pushed below it, which would have the mask made twice
     return df.select("*", F.inline(F.array(F.struct(F.coalesce(v.col, F.lit(False)).alias(site), v.mask.alias(samples)))))
 
 
-def soft_filter(df: DataFrame, expression: str, name: str, replace: bool = False) -> DataFrame:
+def soft_filter(df: DataFrame, expression: str, name: str, replace: bool = False, given: tuple = ()) -> DataFrame:
     """FILTER gets name at sites that pass the expression, PASS elsewhere if it was empty. FILTER is an array."""
-    hit = F.coalesce(Compiler(df).compile(expression).col, F.lit(False))
+    hit = F.coalesce(Compiler(df).compile(expression, *given).col, F.lit(False))
     kept = F.array_except("FILTER", F.array(F.lit("PASS")))
     marked = F.array(F.lit(name)) if replace else F.array_union(kept, F.array(F.lit(name)))
     return df.withColumn("FILTER", F.when(hit, marked).when(F.size(kept) == 0, F.array(F.lit("PASS"))).otherwise(kept))
 
 
-def with_value(df: DataFrame, name: str, expression: str) -> DataFrame:
+def with_value(df: DataFrame, name: str, expression: str, *given) -> DataFrame:
     """Adds the value of an expression, as a number, a text or a truth of the site."""
-    return df.withColumn(name, Compiler(df).compile(expression).col)
+    return df.withColumn(name, Compiler(df).compile(expression, *given).col)

@@ -145,31 +145,42 @@ def variant_key_position(chrom: Column, pos: Column) -> Column:
     return F.shiftleft(number, 28).bitwiseOR(pos - 1)
 
 
+SHORT_ALLELES = 11  # bases of REF and ALT together that a key holds as they are
+
+
+def variant_key(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
+    """64-bit key of a biallelic variant: 5 bits of the contig (1 to 22, X 23, Y 24, M or MT 25, else 0), 28 of the 0-based
+    position, and 31 of the alleles: lengths of 4 bits each and two bits a base where REF and ALT have 11 bases of ACGT at most
+    (the last bit is 0), else a hash (the last bit is 1). Keys sort by contig and position."""
+    name = F.upper(F.regexp_replace(chrom, "(?i)^chr", ""))
+    number = F.when(name == "X", 23).when(name == "Y", 24).when(name.isin("M", "MT"), 25).when(name.rlike("^([1-9]|1[0-9]|2[0-2])$"), name.try_cast("int")).otherwise(0)
+    n, m = F.length(ref), F.length(F.coalesce(alt, F.lit("")))
+    both = F.upper(F.concat(ref, F.coalesce(alt, F.lit(""))))
+    digits = F.rpad(F.translate(both, "ACGT", "0123"), SHORT_ALLELES, "0")
+    packed = F.shiftleft(n.cast("long"), 27).bitwiseOR(F.shiftleft(m.cast("long"), 23)).bitwiseOR(F.shiftleft(F.conv(digits, 4, 10).cast("long"), 1))
+    hashed = F.xxhash64(F.upper(ref), F.upper(F.coalesce(alt, F.lit("")))).bitwiseAND(F.lit((1 << 31) - 1)).bitwiseOR(F.lit(1))
+    short = (n + m <= SHORT_ALLELES) & both.rlike("^[ACGT]+$")
+    return F.shiftleft(number.cast("long"), 59).bitwiseOR(F.shiftleft((pos - 1).cast("long"), 31)).bitwiseOR(F.when(short, packed).otherwise(hashed))
+
+
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-tailed exact test of [[a, b], [c, d]]: the probability of all tables with its margins that are no likelier.
 
-    Log weights of the tables follow from one another by the ratio of neighbours; a first pass finds the largest and the
-    table's own, a second one adds them up."""
+    Tables are weighed against the table given: their weights follow from one another by the ratio of neighbours, upwards and
+    downwards from it, so that one pass adds up all of them and those no heavier than it."""
 
     def test(t: Column) -> Column:
-        r1, r2, c1 = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"]
+        r1, r2, c1, own = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"], t["a"]
         low, high = F.greatest(F.lit(0.0), c1 - r2), F.least(r1, c1)
-        cells = F.sequence(low.cast("long"), high.cast("long"))
-        step = lambda x: F.log((r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x)))  # noqa: E731  from x - 1 to x
-        log = lambda s, x: F.when(x == low.cast("long"), F.lit(0.0)).otherwise(s["log"] + step(x.cast("double")))
-
-        def seen(s: Column, x: Column) -> Column:
-            return let(log(s, x), lambda v: F.struct(v.alias("log"), F.greatest(s["top"], v).alias("top"), F.when(x == t["a"].cast("long"), v).otherwise(s["own"]).alias("own")))
-
-        ends = F.aggregate(cells, F.struct(F.lit(0.0).alias("log"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("own")), seen)
-
-        def share(e: Column) -> Column:
-            def add(s: Column, x: Column) -> Column:
-                return let(log(s, x), lambda v: F.struct(v.alias("log"), (s["part"] + F.when(v <= e["own"] + 1e-7, F.exp(v - e["top"])).otherwise(0.0)).alias("part"), (s["all"] + F.exp(v - e["top"])).alias("all")))
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("part"), F.lit(0.0).alias("all"))
 
-            return F.aggregate(cells, F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("part"), F.lit(0.0).alias("all")), add, lambda s: F.least(F.lit(1.0), s["part"] / s["all"]))
+        def add(ratio: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+            return lambda s, x: let(s["w"] * ratio(x), lambda w: F.struct(w.alias("w"), (s["part"] + F.when(w <= 1 + 1e-7, w).otherwise(0.0)).alias("part"), (s["all"] + w).alias("all")))
 
-        return let(ends, share)
+        cells = lambda some, first, last, step: F.when(some, F.sequence(first.cast("int"), last.cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        up = F.aggregate(cells(own < high, own + 1, high, 1), start, add(lambda x: (r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x))))
+        down = F.aggregate(cells(own > low, own - 1, low, -1), start, add(lambda x: (x + 1) * (r2 - c1 + x + 1) / ((r1 - x) * (c1 - x))))
+        return let(F.struct(up.alias("u"), down.alias("d")), lambda s: F.least(F.lit(1.0), (1 + s["u"]["part"] + s["d"]["part"]) / (1 + s["u"]["all"] + s["d"]["all"])))
 
     cells = F.struct(*(x.cast("double").alias(n) for n, x in zip("abcd", (a, b, c, d), strict=True)))
     return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), let(cells, test))

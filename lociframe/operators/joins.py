@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,10 +101,12 @@ def merge_sites(*call_sets: DataFrame, rules: dict[str, str], keys: list[str] |
 
 def annotate(sites: DataFrame, notes: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
     """Columns of notes by key. Modes: "=" overwrite, "+" only where missing, "." overwrite even with missing, ".+" only where
-    the site has none and even with missing, "-" only where the site has a value, "&" append to the site's text."""
-    taken = notes.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
+    the site has none and even with missing, "-" only where the site has a value, "&" append to the site's text. A name DST:=SRC takes the
+    notes' column SRC for the sites' DST."""
+    source = {c.partition(":=")[0]: c.partition(":=")[2] or c for c in columns}
+    taken = notes.select(*keys, *(F.col(s).alias(f"_{c}") for c, s in source.items()), F.lit(True).alias("_hit"))
     out = sites.join(taken, keys, "left")
-    for c, mode in columns.items():
+    for c, mode in zip(source, columns.values(), strict=True):
         own = F.col(c) if c in sites.columns else F.lit(None)
         new = F.col(f"_{c}")
         value = {"=": F.coalesce(new, own), "+": F.coalesce(own, new), ".+": F.coalesce(own, new), ".": F.when(F.col("_hit"), new).otherwise(own), "-": F.when(own.isNotNull(), F.coalesce(new, own)), "&": F.nullif(F.concat_ws(",", own.cast("string"), new.cast("string")), F.lit(""))}[mode]
@@ -143,19 +147,50 @@ def nearest(sites: DataFrame) -> DataFrame:
     return out.withColumn("nearest", F.least("rev", "fwd"))
 
 
+PAIRS, LEAST_BIN, TOGETHER = 1 << 20, 1 << 12, 256  # pairs and sites whose sums a task takes at once; positions in a bin
+
+
 def linkage(tidy: DataFrame, dosage: Column, window: int) -> DataFrame:
-    """Squared correlation of dosages for pairs of sites of a contig at most `window` positions apart, over shared samples.
+    """Squared correlation of dosages for pairs of sites of a contig at most `window` positions apart, over the samples called at
+    both; records of one position with different alleles are sites each, and make no pair with each other.
 
-    Each site's dosages travel once as an array, with its position's bin; a pair meets in the later site's bin.
+    A site's dosages travel as one array, to its own bin of positions and the next if that is near; pairs meet in the later site's. A bin's counts
+    and sums over samples are products of matrices, of some rows at a time with all sites within reach.
     """
-    s = tidy.groupBy("CHROM", "POS").agg(F.array_sort(F.collect_list(F.struct("sample_id", dosage.alias("d")))).alias("g"))
-    near = s.select(F.col("CHROM").alias("c2"), F.col("POS").alias("p2"), F.col("g").alias("g2"), F.floor(F.col("POS") / window).alias("bin2"))
-    both = s.withColumn("bin", F.explode(F.array(F.floor(F.col("POS") / window), F.floor(F.col("POS") / window) + 1))).join(near, (F.col("CHROM") == F.col("c2")) & (F.col("bin") == F.col("bin2")) & (F.col("p2") > F.col("POS")) & (F.col("p2") - F.col("POS") <= window))
-    pairs = both.withColumn("xy", F.filter(F.zip_with("g", "g2", lambda a, b: F.struct(a["d"].alias("x"), b["d"].alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
-    total = lambda f: F.aggregate("xy", F.lit(0.0), lambda acc, p: acc + f(p["x"].cast("double"), p["y"].cast("double")))
-    pairs = pairs.withColumns({"n": F.size("xy"), "sx": total(lambda x, y: x), "sy": total(lambda x, y: y), "sxy": total(lambda x, y: x * y), "sxx": total(lambda x, y: x * x), "syy": total(lambda x, y: y * y)})
-    cov, vx, vy = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    return pairs.select("CHROM", F.col("POS").alias("pos1"), F.col("p2").alias("pos2"), "n", F.when((vx > 0) & (vy > 0), cov * cov / (vx * vy)).alias("r2"))
+    own = [c for c in ("REF", "ALT") if c in tidy.columns]
+    s = tidy.groupBy("CHROM", "POS", *own).agg(F.collect_list(F.struct(F.col("sample_id").cast("string").alias("s"), dosage.cast("double").alias("d"))).alias("g"))
+    width = max(window, LEAST_BIN)
+    at = F.floor(F.col("POS") / width)
+    binned = s.select("CHROM", F.col("POS").cast("long").alias("POS"), "g", at.alias("at"), F.explode(F.sequence(at, F.floor((F.col("POS") + window) / width))).alias("bin"))
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("POS").to_numpy(), kind="stable")))
+        pos, late = table.column("POS").to_numpy(), table.column("at").to_numpy() == key[1].as_py()
+        g = table.column("g").combine_chunks()
+        row, items = np.repeat(np.arange(len(g)), g.value_lengths().to_numpy()), g.flatten()
+        _, sample = np.unique(items.field("s").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        x = np.full((len(g), int(sample.max(initial=-1)) + 1), np.nan)
+        x[row, sample] = items.field("d").to_numpy(zero_copy_only=False)
+        has = ~np.isnan(x)
+        x, m = np.nan_to_num(x), has.astype(np.float64)
+        out, later = [np.zeros((0, 4))], np.flatnonzero(late)
+        step = max(1, min(TOGETHER, PAIRS // max(1, len(pos))))
+        for i in range(0, len(later), step):
+            j = later[i : i + step]
+            lo, hi = np.searchsorted(pos, pos[j[0]] - window), np.searchsorted(pos, pos[j[-1]])
+            k = slice(lo, hi)
+            n, sx, sy, xy = m[j] @ m[k].T, m[j] @ x[k].T, x[j] @ m[k].T, x[j] @ x[k].T
+            xx, yy = m[j] @ (x[k] ** 2).T, (x[j] ** 2) @ m[k].T
+            b, a = np.nonzero((pos[j][:, None] > pos[k][None]) & (pos[j][:, None] - pos[k][None] <= window))
+            n, sx, sy, xy, xx, yy = (v[b, a] for v in (n, sx, sy, xy, xx, yy))
+            cov, vx, vy = n * xy - sx * sy, n * xx - sx * sx, n * yy - sy * sy
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = np.where((vx > 0) & (vy > 0), cov * cov / (vx * vy), np.nan)
+            out.append(np.stack([pos[k][a], pos[j][b], n, r2], 1))
+        found = np.concatenate(out)
+        return pa.table({"CHROM": pa.array([key[0].as_py()] * len(found), pa.string()), "pos1": found[:, 0].astype(np.int64), "pos2": found[:, 1].astype(np.int64), "n": found[:, 2].astype(np.int32), "r2": pa.array(found[:, 3], mask=np.isnan(found[:, 3]))})
+
+    return binned.groupBy("CHROM", "bin").applyInArrow(pairs, "CHROM string, pos1 long, pos2 long, n int, r2 double")
 
 
 def merge_records(*call_sets: DataFrame, filters: str = "x") -> DataFrame:

@@ -208,7 +208,7 @@ def chosen_allele(haplotype: str, sample: str | int | None = None) -> Column:
 
 def applied_edits(edits: DataFrame, width: int = WIDTH) -> DataFrame:
     """Of edits (CHROM, POS, REF, new) those that sequential application takes: in order of POS, REF and new, each that begins
-    after the end of the last one taken. Edits whose REFs chain by overlap are decided together, other chains apart."""
+    after the end of the last one taken; equal ones are one. Edits whose REFs chain by overlap are decided together, other chains apart."""
     from lociframe.operators.windows import islands
 
     def walk(table: pa.Table) -> pa.Table:
@@ -219,7 +219,7 @@ def applied_edits(edits: DataFrame, width: int = WIDTH) -> DataFrame:
             end = p + len(r) - 1 if taken[-1] else end
         return table.filter(pa.array(taken))
 
-    t = islands(edits.select("CHROM", F.col("POS").cast("long").alias("POS"), "REF", "new"), 0, width)
+    t = islands(edits.select("CHROM", F.col("POS").cast("long").alias("POS"), "REF", "new").distinct(), 0, width)
     sized = t.groupBy("CHROM", "island").agg(F.count("*").alias("_n"))
     both = t.join(sized, ["CHROM", "island"])
     alone, chains = both.where("_n = 1").drop("_n", "island"), both.where("_n > 1").drop("_n")

@@ -25,10 +25,16 @@ def with_halo(sites: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     return sites.withColumn("_b", F.explode(near)).withColumn("_own", F.col("_b") == F.floor(at / block))
 
 
-def running(sites: DataFrame, name: str, value: Column, how: Callable[[Column], Column], inclusive: bool, by: tuple[str, ...] = ("CHROM",), block: int = BLOCK) -> DataFrame:
-    """Column `name`: how (F.max or F.sum) over value of the sites up to each one by POS, itself included or not."""
+def place(sites: DataFrame, *but: str) -> list[str]:
+    """The order of sites: by POS, then by the alleles, so that sites of one position come in one order always."""
+    return ["POS", *(c for c in ("REF", "ALT") if c in sites.columns and c not in but)]
+
+
+def running(sites: DataFrame, name: str, value: Column, how: Callable[[Column], Column], inclusive: bool, by: tuple[str, ...] = ("CHROM",), block: int = BLOCK, order: list | None = None) -> DataFrame:
+    """Column `name`: how (F.max or F.sum) over value of the sites up to each one by order (see place), itself included or not."""
+    order = order or place(sites, *by)
     t = sites.withColumn("_v", value).withColumn("_b", F.floor(F.col("POS") / block))
-    inner = Window.partitionBy(*by, "_b").orderBy("POS").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     carried = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = t.groupBy(*by, "_b").agg(how(F.col("_v")).alias("_t")).withColumn("_c", how(F.col("_t")).over(carried)).drop("_t")
     joined = t.withColumn("_i", how(F.col("_v")).over(inner)).join(per, [*by, "_b"])
@@ -37,10 +43,11 @@ def running(sites: DataFrame, name: str, value: Column, how: Callable[[Column],
 
 
 def neighbour(sites: DataFrame, name: str, value: Column, step: int, by: tuple[str, ...] = ("CHROM",), block: int = BLOCK) -> DataFrame:
-    """Column `name`: value at the next site (step 1) or the one before (step -1) by POS; null without one."""
+    """Column `name`: value at the next site (step 1) or the one before (step -1) by POS and alleles; null without one."""
+    order = place(sites, *by)
     t = sites.withColumn("_v", value).withColumn("_b", F.floor(F.col("POS") / block))
-    inner, carried = Window.partitionBy(*by, "_b").orderBy("POS"), Window.partitionBy(*by).orderBy("_b")
-    edge = F.min_by("_v", "POS") if step > 0 else F.max_by("_v", "POS")
+    inner, carried = Window.partitionBy(*by, "_b").orderBy(*order), Window.partitionBy(*by).orderBy("_b")
+    edge = F.min_by("_v", F.struct(*order)) if step > 0 else F.max_by("_v", F.struct(*order))
     per = t.groupBy(*by, "_b").agg(edge.alias("_t")).withColumn("_c", F.lead("_t").over(carried) if step > 0 else F.lag("_t").over(carried)).drop("_t")
     moved = (F.lead if step > 0 else F.lag)(F.struct("_v")).over(inner)
     joined = t.withColumn("_i", moved).join(per, [*by, "_b"])
@@ -63,7 +70,8 @@ def islands(sites: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
     """island: number of the chain a site belongs to; a chain goes on while POS <= gap + end of the furthest REF before."""
     t = running(sites, "_reach", F.col("POS") + F.length("REF") - 1, F.max, False, block=block)
     new = (F.col("_reach").isNull() | (F.col("POS") > F.col("_reach") + gap)).cast("int")
-    return running(t, "island", new, F.sum, True, block=block).drop("_reach")
+    # of equal sites the one that begins a chain comes first, so that they are all in it
+    return running(t.withColumn("_new", new), "island", F.col("_new"), F.sum, True, block=block, order=["POS", F.desc("_new")]).drop("_reach", "_new")
 
 
 def indel_gap(sites: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
@@ -113,7 +121,7 @@ def first_of_duplicates(sites: DataFrame, keys: list[str], order: str) -> DataFr
 def blocks(tidy: DataFrame, value: str, *by: str, block: int = BLOCK) -> DataFrame:
     """Runs of neighbouring sites with the same value in by + CHROM: first and last POS and sites of each."""
     keys = (*by, "CHROM")
-    t = neighbour(tidy.select(*keys, "POS", value), "_last", F.struct(F.col(value).alias("x")), -1, keys, block)
+    t = neighbour(tidy.select(*dict.fromkeys([*keys, *place(tidy), value])), "_last", F.struct(F.col(value).alias("x")), -1, keys, block)
     changed = (F.col("_last").isNull() | (F.col("_last.x") != F.col(value))).cast("int")
     run = running(t, "_run", changed, F.sum, True, keys, block)
     return run.groupBy(*keys, "_run", value).agg(F.min("POS").alias("begin"), F.max("POS").alias("end"), F.count("*").alias("n")).drop("_run")
@@ -121,7 +129,7 @@ def blocks(tidy: DataFrame, value: str, *by: str, block: int = BLOCK) -> DataFra
 
 def switches(tidy: DataFrame, value: str, *by: str, block: int = BLOCK) -> DataFrame:
     """How often value differs from the site before, per by."""
-    t = neighbour(tidy.select(*by, "CHROM", "POS", value), "_last", F.col(value), -1, (*by, "CHROM"), block)
+    t = neighbour(tidy.select(*dict.fromkeys([*by, "CHROM", *place(tidy), value])), "_last", F.col(value), -1, (*by, "CHROM"), block)
     return t.where(F.col("_last").isNotNull()).groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("_last") != F.col(value)).alias("n_switches"))
 
 

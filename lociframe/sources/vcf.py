@@ -240,24 +240,109 @@ def write_vcf(tidy: DataFrame, path: str, header: Header, samples: list[str], co
 
 def as_records(tidy: DataFrame, header: Header, samples: list[str]) -> DataFrame:
     """Text records (value), sorted by contig in header order and POS, of tidy rows as read_vcf gives them."""
-    info = list(header.info.values())
     fmt = list(header.format.values())
-    text = lambda c, t: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ",") if t.is_list else F.col(c).cast("string"), F.lit("."))
+    site = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", *(f"INFO_{t.name}" for t in header.info.values())]
+    rows = tidy.withColumn("_call", _call(fmt, lambda t: F.col(f"FORMAT_{t.name}"))).groupBy(*site).pivot("SAMPLE_ID", samples).agg(F.first("_call"))
+    return _sorted_lines(rows, header, [F.coalesce(F.col(f"`{s}`"), F.lit(".")) for s in samples])
 
+
+def wide_records(wide: DataFrame, header: Header, samples: list[str]) -> DataFrame:
+    """The same of wide rows, with a column FORMAT_<field>_<sample> for each; no row is shuffled but for the sort."""
+    fmt = list(header.format.values())
+    return _sorted_lines(wide, header, [_call(fmt, lambda t: F.col(f"`FORMAT_{t.name}_{s}`")) for s in samples])  # noqa: B023  used at once
+
+
+def nested_records(nested: DataFrame, header: Header) -> DataFrame:
+    """The same of nested rows: the samples' columns in the order of their arrays."""
+    fmt = list(header.format.values())
+    calls = F.array_join(F.transform("samples", lambda s: _call(fmt, lambda t: s[t.name])), "\t")
+    return _sorted_lines(nested, header, [calls])
+
+
+def _tag_text(c: Column, t: Tag) -> Column:
+    return F.coalesce(F.array_join(c.cast("array<string>"), ",", ".") if t.is_list else c.cast("string"), F.lit("."))
+
+
+def _call(fmt: list[Tag], column) -> Column:
+    """A sample's values, colons between."""
+    return F.concat_ws(":", *(F.when(_tag_text(column(t), t) == "", ".").otherwise(_tag_text(column(t), t)) for t in fmt))
+
+
+def _sorted_lines(rows: DataFrame, header: Header, calls: list[Column]) -> DataFrame:
     def tag(t: Tag) -> Column:
         c = f"INFO_{t.name}"
         if t.number == "0":
             return F.when(F.col(c), F.lit(t.name))
         present = F.col(c).isNotNull() & ((F.size(c) > 0) if t.is_list else F.lit(True))
-        return F.when(present, F.concat(F.lit(t.name + "="), text(c, t)))
+        return F.when(present, F.concat(F.lit(t.name + "="), _tag_text(F.col(c), t)))
 
-    site = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", *(f"INFO_{t.name}" for t in info)]
-    call = F.concat_ws(":", *(F.when(text(f"FORMAT_{t.name}", t) == "", ".").otherwise(text(f"FORMAT_{t.name}", t)) for t in fmt))
-    rows = tidy.withColumn("_call", call).groupBy(*site).pivot("SAMPLE_ID", samples).agg(F.first("_call"))
     or_dot = lambda c: F.when(c == "", ".").otherwise(F.coalesce(c, F.lit(".")))
     line = F.concat_ws(
         "\t", "CHROM", F.col("POS").cast("string"), F.coalesce("ID", F.lit(".")), "REF", or_dot(F.array_join("ALT", ",")), F.coalesce(F.regexp_replace(F.col("QUAL").cast("string"), r"\.0$", ""), F.lit(".")), or_dot(F.array_join("FILTER", ";")),
-        or_dot(F.concat_ws(";", *map(tag, info))), F.lit(":".join(t.name for t in fmt)), *(F.coalesce(F.col(f"`{s}`"), F.lit(".")) for s in samples),
+        or_dot(F.concat_ws(";", *map(tag, header.info.values()))), *([F.lit(":".join(t.name for t in header.format.values())), *calls] if calls else []),
     )
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, header.contigs)), F.col("CHROM")), F.lit(0)) if header.contigs else F.lit(0)
     return rows.select(rank.alias("_rank"), "CHROM", "POS", line.alias("value")).orderBy("_rank", "CHROM", "POS").select("value")
+
+
+# --- headers
+
+
+def reheadered(header: Header, samples: list[str] | dict[str, str] | None = None, contigs: dict[str, int | None] | None = None) -> Header:
+    """The header with other sample names (all in order, or new by old), or with the contigs given, in place of its own."""
+    names, lines = list(header.samples), list(header.lines)
+    if samples is not None:
+        names = [samples.get(n, n) for n in names] if isinstance(samples, dict) else list(samples)
+        if len(names) != len(header.samples) or len(set(names)) < len(names):
+            raise ValueError("as many sample names as before, all different")
+    own = dict(header.contigs)
+    if contigs is not None:
+        own = dict(contigs)
+        lines = [x for x in lines if not x.startswith("##contig=")] + [f"##contig=<ID={c}" + (f",length={n}>" if n is not None else ">") for c, n in own.items()]
+    return Header(dict(header.info), dict(header.format), own, names, lines, list(header.warnings))
+
+
+def with_samples(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    """Rows of any layout with samples renamed."""
+    pairs = dict(zip(old, new, strict=True))
+    table = F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+    if "samples" in df.columns:
+        return df.withColumn("samples", F.transform("samples", lambda s: s.withField("sample_id", F.coalesce(F.try_element_at(table, s["sample_id"]), s["sample_id"]))))
+    if "SAMPLE_ID" in df.columns:
+        return df.withColumn("SAMPLE_ID", F.coalesce(F.try_element_at(table, F.col("SAMPLE_ID")), "SAMPLE_ID"))
+    names = {c: c for c in df.columns}
+    for c in df.columns:
+        hit = next((s for s in sorted(pairs, key=len, reverse=True) if c.startswith("FORMAT_") and c.endswith(f"_{s}")), None)
+        names[c] = c[: -len(hit)] + pairs[hit] if hit else c
+    return df.toDF(*names.values())
+
+
+def with_annotations(df: DataFrame, header: Header, names: dict[str, str]) -> tuple[DataFrame, Header]:
+    """INFO/x, FORMAT/x and FILTER/x renamed, in rows of any layout and in the header."""
+    out, info, fmt, lines = df, dict(header.info), dict(header.format), list(header.lines)
+    for old, new in names.items():
+        kind, _, tag = old.partition("/")
+        new = new.rpartition("/")[2]
+        if kind == "INFO":
+            out = out.withColumnRenamed(f"INFO_{tag}", f"INFO_{new}")
+            info = {new if k == tag else k: Tag(new, t.number, t.type, t.description) if k == tag else t for k, t in info.items()}
+        elif kind == "FORMAT":
+            if "samples" in out.columns:
+                fields = out.schema["samples"].dataType.elementType.names
+                out = out.withColumn("samples", F.transform("samples", lambda s: F.struct(*(s[f].alias(new if f == tag else f) for f in fields))))  # noqa: B023  used at once
+            else:
+                out = out.toDF(*(c.replace(f"FORMAT_{tag}", f"FORMAT_{new}", 1) if c == f"FORMAT_{tag}" or c.startswith(f"FORMAT_{tag}_") else c for c in out.columns))
+            fmt = {new if k == tag else k: Tag(new, t.number, t.type, t.description) if k == tag else t for k, t in fmt.items()}
+        elif kind == "FILTER":
+            out = out.withColumn("FILTER", F.transform("FILTER", lambda x: F.when(x == tag, new).otherwise(x)))  # noqa: B023  used at once
+        else:
+            raise ValueError(f"no such field: {old}")
+        lines = [x.replace(f"##{kind}=<ID={tag},", f"##{kind}=<ID={new},", 1) if x.startswith(f"##{kind}=<ID={tag},") else x for x in lines]
+    return out, Header(info, fmt, dict(header.contigs), list(header.samples), lines, list(header.warnings))
+
+
+def parquet_info(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Name, type and whether null is allowed for each column of a Parquet table, and its number of rows, from the footers."""
+    df = spark.read.parquet(path)
+    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
+    return spark.createDataFrame(rows, "column string, type string, nullable boolean"), df.count()
