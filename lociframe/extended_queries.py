@@ -16,7 +16,7 @@ from lociframe.operators import gvcf, joins, ligation, trios
 from lociframe.operators import sequence as Q
 from lociframe.operators import windows as W
 from lociframe.plans.derive import N_SAMPLES, RGT, RSITE, intervals, nested, rich, sites, table
-from lociframe.queries import TRIOS, G, I, S, listed, query
+from lociframe.queries import CHAINS, TRIOS, G, I, S, listed, query
 from lociframe.sources import blocks
 
 R, RG = f"({RSITE}) r", f"({RGT}) q"
@@ -339,3 +339,20 @@ def variant_key_alleles(spark, d):
 def annotate_renamed(spark, d):
     s, notes = sites(spark, d), sites(spark, d).where("site_id % 3 = 0").withColumn("twice", F.col("site_id") * 2.0)
     return joins.annotate(s, notes, joins.SITE_KEY, {"note:=twice": "="}).select("site_id", "note")
+
+
+# --- overlaps
+
+
+@query(f"SELECT a.site_id FROM {S.rsplit(' ', 1)[0]} a WHERE NOT EXISTS (SELECT 1 FROM {S.rsplit(' ', 1)[0]} b WHERE b.CHROM = a.CHROM AND b.site_id <> a.site_id AND b.POS <= a.POS + length(a.REF) - 1 AND a.POS <= b.POS + length(b.REF) - 1 AND (coalesce(b.QUAL, 0) > coalesce(a.QUAL, 0) OR coalesce(b.QUAL, 0) = coalesce(a.QUAL, 0) AND b.POS < a.POS))")
+def remove_overlaps_min_qual(spark, d):
+    return W.without_lower_overlaps(sites(spark, d)).select("site_id")
+
+
+FEW = f"(SELECT site_id, CHROM, POS, REF, ALT, CASE WHEN site_id % 3 = 0 THEN QUAL END AS QUAL, site_id % 17 AS n FROM {S} WHERE length(REF) <> length(ALT))"
+
+
+@query(f"SELECT site_id, row_number() OVER (PARTITION BY CHROM, island ORDER BY CASE WHEN top > 0 THEN coalesce(QUAL, -1e300) ELSE n END DESC, POS) = 1 AS passed FROM (SELECT *, max(QUAL) OVER (PARTITION BY CHROM, island) AS top FROM ({CHAINS.format(gap=20, src=FEW)}))")
+def indel_gap_by_count(spark, d):
+    t = sites(spark, d).withColumns({"QUAL": F.when(F.col("site_id") % 3 == 0, F.col("QUAL")), "n": F.col("site_id") % 17})
+    return W.indel_gap(t, 20, count="n").select("site_id", "passed")

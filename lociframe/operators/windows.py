@@ -7,6 +7,7 @@ carries what came before: a contig has as many such rows as blocks, however many
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -74,11 +75,17 @@ def islands(sites: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
     return running(t.withColumn("_new", new), "island", F.col("_new"), F.sum, True, block=block, order=["POS", F.desc("_new")]).drop("_reach", "_new")
 
 
-def indel_gap(sites: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
-    """Indels with passed: of every chain the one with the highest QUAL passes, the first of equals. Chains follow islands."""
+def indel_gap(sites: DataFrame, gap: int, block: int = BLOCK, count: str | None = None) -> DataFrame:
+    """Indels with passed: of every chain the one with the highest QUAL passes, or where no QUAL is above 0 and `count` names a
+    column of allele counts, the one with the largest; the first of equals. Chains follow islands."""
     indels = islands(sites.where(F.length("REF") != F.length("ALT")), gap, block)
-    best = Window.partitionBy("CHROM", "island").orderBy(F.desc_nulls_last("QUAL"), "POS")
-    return indels.withColumn("passed", F.row_number().over(best) == 1)
+    chain = Window.partitionBy("CHROM", "island")
+    if count is None:
+        best = chain.orderBy(F.desc_nulls_last("QUAL"), *place(sites))
+        return indels.withColumn("passed", F.row_number().over(best) == 1)
+    by = F.when(F.max("QUAL").over(chain) > 0, F.coalesce(F.col("QUAL").cast("double"), F.lit(float("-inf")))).otherwise(F.coalesce(F.col(count).cast("double"), F.lit(-1.0)))
+    indels = indels.withColumn("_by", by)
+    return indels.withColumn("passed", F.row_number().over(chain.orderBy(F.desc("_by"), *place(sites))) == 1).drop("_by")
 
 
 def snp_gap(sites: DataFrame, gap: int, block: int = 1024) -> DataFrame:
@@ -105,6 +112,46 @@ def without_overlaps(sites: DataFrame, deletions_late: bool = False, block: int
     return t.where(~F.col("_hit") & ~F.coalesce("_next", F.lit(False))).drop("_reach", "_hit", "_next")
 
 
+def without_lower_overlaps(sites: DataFrame, value: str = "QUAL", missing: str = "0", depth: str = "INFO_DP", mark: str | None = None, width: int = 1024, block: int = BLOCK) -> DataFrame:
+    """Sites left when those of the lowest value go, one after another, until no REFs overlap; or with `mark`, all of them with that
+    column, whether they go. Of equal values the site later by position and alleles goes first.
+
+    A site goes if it overlaps any that comes after it in that order: those are all still there at its turn, and where there is none, its
+    neighbours have gone before it. So nothing but a site's own neighbours decides, and no chain of sites meets in one task. A missing
+    value counts as 0, or for missing "DP" as the chain's largest value in proportion to the depths of the two sites.
+    """
+    from lociframe.operators.sequence import settled
+
+    end = F.col("POS") + F.length("REF") - 1
+    t = sites.withColumn("_value", F.col(value).cast("double"))
+    if missing == "DP":
+        t = islands(t, 0, block)
+        top = t.where(f"_value is not null and {depth} > 0").groupBy("CHROM", "island").agg(F.max_by(F.struct(F.col("_value").alias("v"), F.col(depth).alias("d")), F.col("_value")).alias("_top"))
+        t = t.join(top, ["CHROM", "island"], "left").withColumn("_value", F.coalesce("_value", F.col("_top.v") * F.col(depth) / F.col("_top.d"))).drop("_top", "island")
+    elif missing != "0":
+        raise ValueError(f"no such value for missing ones: {missing}")
+    t = settled(t.withColumns({"_value": F.coalesce("_value", F.lit(0.0)), "_id": F.monotonically_increasing_id()}))
+    cut = F.explode(F.sequence(F.floor(F.col("POS") / width), F.floor(end / width)))
+    order = [c for c in place(sites) if c != "POS"]
+    binned = t.select("CHROM", F.col("POS").cast("long").alias("b"), end.cast("long").alias("e"), "_value", "_id", *(F.col(c).cast("string").alias(f"_o{i}") for i, c in enumerate(order)), cut.alias("_b"))
+
+    def losers(key: tuple, table: pa.Table) -> pa.Table:
+        names = [f"_o{i}" for i in range(len(order))]
+        table = table.sort_by([("_value", "descending"), ("b", "ascending"), *((n, "ascending") for n in names), ("_id", "ascending")])
+        starts, ends, gone = [], [], []  # what the sites before cover, as stretches apart from each other
+        for b, e, i in zip(table.column("b").to_pylist(), table.column("e").to_pylist(), table.column("_id").to_pylist(), strict=True):
+            lo, hi = bisect_left(ends, b), bisect_right(starts, e)
+            if lo < hi:
+                gone.append(i)
+                b, e = min(b, starts[lo]), max(e, ends[hi - 1])
+            starts[lo:hi], ends[lo:hi] = [b], [e]
+        return pa.table({"_gone": pa.array(gone, pa.int64())})
+
+    lost = binned.groupBy("CHROM", "_b").applyInArrow(losers, "_gone long").distinct()
+    out = t.join(lost, F.col("_id") == F.col("_gone"), "left").drop("_id", "_value")
+    return out.where("_gone is null").drop("_gone") if mark is None else out.withColumn(mark, F.col("_gone").isNotNull()).drop("_gone")
+
+
 def same_position(sites: DataFrame) -> DataFrame:
     """Sites that share contig and POS with another, whatever their alleles."""
     several = sites.groupBy("CHROM", "POS").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
