@@ -26,7 +26,7 @@ def renumbered(gt: Column, new: Column) -> Column:
     """Genotype with new[a] for each allele number a, missing where that is null; every separator stays."""
     token = lambda t: F.when(t.isin("/", "|", "."), t).otherwise(F.coalesce(F.get(new, t.try_cast("int")).cast("string"), F.lit(".")))
     whole = F.array_join(F.transform(F.split(gt, "(?<=[/|])|(?=[/|])"), token), "")
-    return F.when(gt.isin("0/0", "0|0", "./.", "."), gt).otherwise(whole)
+    return F.when(gt.isin("./.", ".") | gt.isin("0/0", "0|0") & (F.get(new, F.lit(0)) == 0), gt).otherwise(whole)
 
 
 def reordered(values: Column, number: str, order: Column, n_old: Column) -> Column:

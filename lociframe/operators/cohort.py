@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions import variants as V
+from lociframe.operators import alleles
 from lociframe.operators.aggregates import fisher_test
 
 COMPLEMENT = ("ACGTacgt", "TGCAtgca")
@@ -42,16 +43,17 @@ def merged_samples(first: DataFrame, second: DataFrame, site: list[str], missing
 
     Second's samples are renumbered after first's where their numbers clash.
     """
-    a = first.select(*site, F.struct(F.lit(1).alias("s"), "sample_id", "GT").alias("g"))
-    b = second.select(*site, F.struct(F.lit(2).alias("s"), "sample_id", "GT").alias("g"))
-    people = first.select(F.lit(1).alias("s"), "sample_id").distinct().unionByName(second.select(F.lit(2).alias("s"), "sample_id").distinct())
-    roster = people.orderBy("s", "sample_id").collect()  # as long as the cohort's sample list
-    who = lambda s, i: F.concat_ws(":", s, i)
-    calls = F.map_from_entries(F.collect_list(F.struct(who(F.col("g.s"), F.col("g.sample_id")), F.col("g.GT"))))
-    has = a.unionByName(b).groupBy(*site).agg(calls.alias("g"))
-    names = F.array(*(F.lit(f"{r.s}:{r.sample_id}") for r in roster))
-    rows = F.transform(names, lambda name, n: F.struct(n.alias("sample_id"), F.coalesce(F.try_element_at("g", name), F.lit(missing)).alias("GT")))
-    return has.select(*site, F.inline(rows))
+    tagged = first.select(*site, F.lit(1).alias("s"), "sample_id", "GT").unionByName(second.select(*site, F.lit(2).alias("s"), "sample_id", "GT"))
+    roster = tagged.select("s", "sample_id").distinct().orderBy("s", "sample_id").collect()  # as long as the cohort's sample list
+    if not roster:
+        return tagged.select(*site, F.col("sample_id").cast("int").alias("sample_id"), "GT")
+    schema = f"s int, sample_id {tagged.schema['sample_id'].dataType.simpleString()}, n int"
+    numbers = first.sparkSession.createDataFrame([(r.s, r.sample_id, n) for n, r in enumerate(roster)], schema)
+    rows = tagged.join(F.broadcast(numbers), ["s", "sample_id"]).select(*site, F.col("n").alias("sample_id"), "GT")
+    # genotypes stay where they are; only sample numbers meet, for those that a site lacks
+    everyone = F.sequence(F.lit(0), F.lit(len(roster) - 1))
+    gaps = rows.groupBy(*site).agg(F.collect_list("sample_id").alias("_has")).select(*site, F.explode(F.array_except(everyone, "_has")).alias("sample_id"), F.lit(missing).alias("GT"))
+    return rows.unionByName(gaps)
 
 
 def ploidy(tidy: DataFrame, *keys: str) -> DataFrame:
@@ -146,14 +148,18 @@ def scattered(sites: DataFrame, width: int) -> DataFrame:
 
 def checked_ref(sites: DataFrame, reference: DataFrame, keys: list[str], mode: str) -> DataFrame:
     """Sites against the reference base. w: all, with ref_ok; x: those that agree; s: REF set to the base, with REF and ALT
-    swapped if ALT is it; e: an error in the job if any disagrees. reference: keys, base. ALT is text."""
+    swapped if ALT is it, and genotypes and lists by alleles with them in the nested layout; e: an error in the job if any disagrees. reference: keys, base. ALT is text."""
     t = sites.join(reference, keys).withColumn("ref_ok", F.upper("REF") == F.upper("base"))
     if mode == "w":
         return t.drop("base")
     if mode == "x":
         return t.where("ref_ok").drop("base", "ref_ok")
     if mode == "s":
-        alt = F.when(~F.col("ref_ok") & (F.upper("ALT") == F.upper("base")), F.col("REF")).otherwise(F.col("ALT"))
+        swap = ~F.col("ref_ok") & (F.upper("ALT") == F.upper("base"))
+        if "samples" in sites.columns:
+            order = F.when(F.coalesce(swap, F.lit(False)), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+            t = alleles.with_alleles(t.withColumns({"_order": order, "_n": F.lit(2)}), "_order", "_n")
+        alt = F.when(swap, F.col("REF")).otherwise(F.col("ALT"))
         return t.withColumn("ALT", alt).withColumn("REF", F.when(F.col("ref_ok"), F.col("REF")).otherwise(F.col("base"))).drop("base", "ref_ok")
     if mode == "e":
         return t.where(F.when(F.col("ref_ok"), True).otherwise(F.raise_error(F.concat(F.lit("REF differs from the reference at "), F.concat_ws(":", *keys))).cast("boolean"))).drop("base", "ref_ok")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.operators import alleles as L
-from lociframe.operators import joins, transforms
+from lociframe.operators import cohort, joins, transforms
 
 SAMPLE = "array<struct<sample_id:string,GT:string,DP:int,AD:array<int>,PL:array<int>>>"
 SCHEMA = f"CHROM string, POS long, ID string, REF string, ALT array<string>, QUAL double, FILTER array<string>, INFO_DP int, INFO_AF array<double>, INFO_AD array<int>, samples {SAMPLE}"
@@ -203,3 +203,11 @@ def test_renumbered_keeps_every_separator(spark):
 def test_empty_sets(spark):
     none, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([record(random.Random(1), ["a"], 1, "A", ["C"])], SCHEMA)
     assert L.merge_calls(none, none).count() == 0 and len(L.merge_calls(one, none).first().samples) == 1 and L.join_records(none).count() == 0
+
+
+def test_checked_reference_swaps_genotypes(spark):
+    rows = [("c", 1, "A", "C", [("a", "0|1", 5, [7, 2], [0, 3, 9])]), ("c", 2, "A", "C", [("a", "0/0", 5, [7, 2], [0, 3, 9])]), ("c", 3, "A", "C", [("a", "1/1", 5, None, [1])])]
+    df = spark.createDataFrame(rows, f"CHROM string, POS long, REF string, ALT string, samples {SAMPLE}")
+    base = spark.createDataFrame([("c", 1, "A"), ("c", 2, "C"), ("c", 3, "G")], "CHROM string, POS long, base string")
+    got = {r.POS: r for r in cohort.checked_ref(df, base, ["CHROM", "POS"], "s").collect()}
+    assert [(r.REF, r.ALT, r.samples[0].GT, r.samples[0].AD, r.samples[0].PL) for _, r in sorted(got.items())] == [("A", "C", "0|1", [7, 2], [0, 3, 9]), ("C", "A", "1/1", [2, 7], [9, 3, 0]), ("G", "C", "1/1", None, None)]
