@@ -14,9 +14,10 @@ from lociframe.operators import alleles as L
 from lociframe.operators import autozygosity as Z
 from lociframe.operators import gvcf, joins, ligation, trios
 from lociframe.operators import sequence as Q
+from lociframe.operators import statistics as T
 from lociframe.operators import windows as W
 from lociframe.plans.derive import N_SAMPLES, RGT, RSITE, intervals, nested, rich, sites, table
-from lociframe.queries import CHAINS, TRIOS, G, I, S, listed, query
+from lociframe.queries import CHAINS, TRIOS, TS_SQL, TYPE_SQL, G, I, S, listed, query
 from lociframe.sources import blocks
 
 R, RG = f"({RSITE}) r", f"({RGT}) q"
@@ -356,3 +357,72 @@ FEW = f"(SELECT site_id, CHROM, POS, REF, ALT, CASE WHEN site_id % 3 = 0 THEN QU
 def indel_gap_by_count(spark, d):
     t = sites(spark, d).withColumns({"QUAL": F.when(F.col("site_id") % 3 == 0, F.col("QUAL")), "n": F.col("site_id") % 17})
     return W.indel_gap(t, 20, count="n").select("site_id", "passed")
+
+
+# --- statistics in sections, of parts that are merged
+
+EXON_END = f"SELECT s.site_id AS k, arg_min(i.e, i.b * 1000000 + i.e) AS last FROM {S} JOIN {I} ON i.c = s.CHROM AND s.POS BETWEEN i.b AND i.e WHERE length(s.REF) <> length(s.ALT) GROUP BY s.site_id"
+FRAME = "CASE WHEN last IS NULL OR (CASE WHEN length(ALT) > length(REF) THEN CASE WHEN POS < last THEN length(ALT) - length(REF) ELSE 0 END ELSE least(length(REF) - length(ALT), last - POS) END) = 0 THEN 'na' WHEN (CASE WHEN length(ALT) > length(REF) THEN length(ALT) - length(REF) ELSE least(length(REF) - length(ALT), last - POS) END) % 3 = 0 THEN 'in' ELSE 'out' END"
+QUAL_TAG = ("QUAL", "QUAL", 0.0, 100.0, 20)
+
+
+def exons(spark: SparkSession, d: str) -> DataFrame:
+    return intervals(spark, d).select(F.col("c").alias("c2"), F.col("b").alias("b2"), F.col("e").alias("e2"))
+
+
+def halves(df: DataFrame) -> list[DataFrame]:
+    return [df.where(F.col("site_id") % 2 == i) for i in (0, 1)]
+
+
+@query(f"""WITH t AS (SELECT *, {TYPE_SQL} AS t, CASE WHEN {TS_SQL} THEN 'ts' ELSE 'tv' END AS x FROM {S}), f AS (SELECT {FRAME} AS f FROM {S} LEFT JOIN ({EXON_END}) ON k = s.site_id WHERE length(REF) <> length(ALT))
+SELECT section, key, CAST(bin AS INT) AS bin, counter, count(*) AS n FROM (SELECT 'SN' AS section, '' AS key, 0 AS bin, unnest(['records', CASE WHEN t = 'snp' THEN 'snps' ELSE 'indels' END]) AS counter FROM t
+UNION ALL SELECT 'TSTV', '', 0, unnest([x, x || '_first']) FROM t WHERE t = 'snp' UNION ALL SELECT 'ST', REF || '>' || ALT, 0, 'alleles' FROM t WHERE t = 'snp'
+UNION ALL SELECT 'QUAL', '', CASE WHEN QUAL IS NULL OR QUAL < 0 THEN 0 ELSE 1 + CAST(floor(QUAL * 10) AS INT) END, CASE WHEN t = 'snp' THEN 'snps' ELSE 'indels' END FROM t
+UNION ALL SELECT 'IDD', '', length(ALT) - length(REF), 'alleles' FROM t WHERE t <> 'snp' UNION ALL SELECT 'FS', '', 0, unnest([f, f || '_first']) FROM f) GROUP BY ALL""")
+def stats_merged_sections(spark, d):
+    parts = halves(listed(sites(spark, d)))
+    return T.merged(*(T.site_sections(p) for p in parts), *(T.frame_section(p, exons(spark, d)) for p in parts))
+
+
+@query(f"SELECT round(100.0 * b / 19, 6) AS value, count(*) AS snps, count(*) FILTER (ts) AS ts, count(*) FILTER (NOT ts) AS tv FROM (SELECT {TS_SQL} AS ts, CASE WHEN QUAL <= 0 THEN 0 WHEN QUAL >= 100 THEN 19 ELSE floor(QUAL / 100.0 * 19) END AS b FROM {S} WHERE {TYPE_SQL} = 'snp' AND QUAL IS NOT NULL) GROUP BY b")
+def stats_user_histogram(spark, d):
+    return T.user_histogram(T.merged(*(T.site_sections(p, [QUAL_TAG]) for p in halves(listed(sites(spark, d))))), *(QUAL_TAG[i] for i in (0, 2, 3, 4))).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH n AS (SELECT site_id, count(*) FILTER (h >= 5 AND h < 9) AS n_alt FROM {G} GROUP BY site_id), x AS (SELECT g.*, {TYPE_SQL} = 'snp' AS snp, {TS_SQL} AS is_ts FROM {G})
+SELECT CAST(sample_id AS VARCHAR) AS sample, count(*) FILTER (h < 5) AS ref_hom, count(*) FILTER (h = 8 AND snp) AS nonref_hom, count(*) FILTER (h BETWEEN 5 AND 7 AND snp) AS hets, count(*) FILTER (h BETWEEN 5 AND 8 AND snp AND is_ts) AS ts, count(*) FILTER (h BETWEEN 5 AND 8 AND snp AND NOT is_ts) AS tv,
+ count(*) FILTER (h BETWEEN 5 AND 8 AND NOT snp) AS indels, count(*) FILTER (h BETWEEN 5 AND 8 AND n_alt = 1) AS singletons, CAST(0 AS BIGINT) AS hap_ref, CAST(0 AS BIGINT) AS hap_alt, count(*) FILTER (h = 9) AS missing, round(sum(DP) / count(*) FILTER (DP > 0), 6) AS mean_depth FROM x JOIN n USING (site_id) GROUP BY sample_id""")
+def stats_sample_counts(spark, d):
+    return T.sample_counts(T.merged(*(T.sample_section(p, "DP") for p in halves(nested(spark, d))))).withColumn("mean_depth", F.round("mean_depth", 6))
+
+
+@query(f"""WITH x AS (SELECT sample_id, h, length(ALT) > length(REF) AS ins, {FRAME} AS f FROM {G} LEFT JOIN ({EXON_END}) ON k = g.site_id WHERE length(REF) <> length(ALT) AND h BETWEEN 5 AND 8),
+p AS (SELECT sample_id, CAST(sum(CASE WHEN f = 'in' THEN CASE WHEN h = 8 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS "in", CAST(sum(CASE WHEN f = 'out' THEN CASE WHEN h = 8 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS "out", CAST(sum(CASE WHEN f = 'na' THEN 2 WHEN h < 8 THEN 1 ELSE 0 END) AS BIGINT) AS na,
+ count(*) FILTER (h < 8 AND ins) AS ins_hets, count(*) FILTER (h < 8 AND NOT ins) AS del_hets, count(*) FILTER (h = 8 AND ins) AS ins_homs, count(*) FILTER (h = 8 AND NOT ins) AS del_homs FROM x GROUP BY sample_id)
+SELECT CAST(sample_id AS VARCHAR) AS sample, * EXCLUDE sample_id, CASE WHEN "in" + "out" > 0 THEN round("out" / ("in" + "out"), 6) ELSE 0.0 END AS out_share FROM p""")
+def stats_sample_indels(spark, d):
+    parts = (T.sample_indel_section(p, exons(spark, d)) for p in halves(nested(spark, d)))
+    return T.sample_indels(T.merged(*parts)).withColumn("out_share", F.round("out_share", 6))
+
+
+DOSE = "CASE {} WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 END"
+OTHER_GT = "CASE WHEN (h + site_id % 2) % 10 < 5 THEN '0/0' WHEN (h + site_id % 2) % 10 < 8 THEN '0/1' WHEN (h + site_id % 2) % 10 = 8 THEN '1/1' ELSE './.' END"
+
+
+def _concordance(name: str, by: str, key: str, out: str) -> None:
+    def run(spark, d):
+        first = nested(spark, d)
+        h = lambda s: ((F.col("site_id") * 31 + s["sample_id"] * 17 + (F.col("site_id") % 13) * s["sample_id"]) % 10 + F.col("site_id") % 2) % 10
+        gt = lambda h: F.when(h < 5, "0/0").when(h < 8, "0/1").when(h == 8, "1/1").otherwise("./.")
+        second = first.where("site_id % 3 <> 0").withColumn("samples", F.transform("samples", lambda s: s.withField("GT", gt(h(s)))))
+        t = T.merged(*(T.pair_sections(p, second, F.col("QUAL") / 100, ["site_id"], 10) for p in halves(first)))
+        return T.concordance(t, by).withColumns({"nrd": F.round("nrd", 6), "r2": F.round("r2", 6)})
+
+    per = ", ".join(f"count(*) FILTER (a = {i} AND b {op} {i}) AS {c}_{w}" for w, op in (("match", "="), ("mismatch", "<>")) for i, c in enumerate(("rr", "ra", "aa")))
+    query(f"""WITH x AS (SELECT CASE WHEN {TYPE_SQL} = 'snp' THEN 'snps' ELSE 'indels' END AS kind, {key} AS {out}, {DOSE.format('GT')} AS a, {DOSE.format(f'({OTHER_GT})')} AS b FROM {G} WHERE site_id % 3 <> 0)
+SELECT kind, {out}, {per}, count(*) FILTER (a + b IS NOT NULL) AS n, CASE WHEN count(*) FILTER (a <> b OR a = b AND a > 0) > 0 THEN round(100.0 * count(*) FILTER (a <> b) / count(*) FILTER (a <> b OR a = b AND a > 0), 6) ELSE 0.0 END AS nrd,
+ CASE WHEN var_pop(a) FILTER (b IS NOT NULL) > 1e-12 AND var_pop(b) FILTER (a IS NOT NULL) > 1e-12 THEN round(pow(covar_pop(a, b), 2) / (var_pop(a) FILTER (b IS NOT NULL) * var_pop(b) FILTER (a IS NOT NULL)), 6) END AS r2 FROM x GROUP BY kind, {out}""")(run, name)
+
+
+_concordance("stats_concordance_by_sample", "sample", "CAST(sample_id AS VARCHAR)", "sample")
+_concordance("stats_concordance_by_bin", "frequency", "CASE WHEN QUAL IS NULL THEN 0 ELSE CAST(greatest(0, least(9, floor(QUAL / 100 * 10))) AS INT) END", "bin")
