@@ -2,10 +2,10 @@
 
 The words of each source, in an order of its documents, are cut into blocks of at most BLOCK words whose lengths differ by
 one at most. A source gets the slots that its target needs at its own mean block length, rounded up or down by one draw of
-the source. All slots of all sources are dealt to output shards of SHARD slots by a pseudorandom permutation: a shard's
-source counts are a draw from the slots left, that is a multinomial draw under the condition that the totals are met. Slot j
-of a source takes the block that a pseudorandom permutation of the source's block indices, a new one in each pass through
-the source, gives for j. Blocks join slots by index.
+the source. Every output shard of SHARD slots draws how many of its slots each source gets: a multinomial draw under the condition
+that the totals are met (see drawn_counts). The slots of a source are numbered through its shards; slot j takes the block that a
+pseudorandom permutation of the source's block indices, a new one in each pass through the source, gives for j. Blocks join
+slots by index.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3  # times a source, and so a document, is taken at most
 BLOCK = 64  # words in a block, at most
 SHARD = 16384  # slots in an output shard; the last has what is left
+DRAWN = 512  # sources whose counts a shard draws; beyond, one permutation deals all slots, which gives counts of the same law
 STRETCH = 65536  # slots of a source that a task makes at once
 BUCKET = 10_000  # documents whose sizes are summed up in order in one group, about
 ROUNDS, STEPS = 4, 16  # of the permutation; see permuted
@@ -84,20 +85,86 @@ def _once(network, x: Column) -> Column:
     return network(x).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def drawn_counts(s: Column, at: Column, n_shards: Column, shard: int) -> Column:
+    """What shard `at` gets of each source: s, an array of structs with n, the slots of a source in all shards, comes back with the
+    slots in this shard as n and those in the shards before as `before`.
+
+    The range of shards is halved until this shard is left. At each halving the left half draws its slots of each source, in order,
+    from those not drawn yet: the normal draw with the mean and variance of drawing without replacement, rounded, and kept to
+    what leaves both halves full. A draw depends on range and source only, so all shards of a range agree on it, and counts
+    add up to the shards' sizes and to the sources' totals exactly.
+    """
+
+    def draw(acc: Column, x: Column, lo: Column, hi: Column) -> Column:
+        unit = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), lo, hi, x["sid"]), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+        z = F.sqrt(-2 * F.log(unit("radius"))) * F.cos(F.lit(6.283185307179586) * unit("angle"))
+        share, left = x["n"] / acc["total"], acc["left"]
+        spread = F.sqrt(left * share * (1 - share) * (acc["total"] - left) / F.greatest(acc["total"] - 1, F.lit(1)))
+        v = F.round(left * share + spread * z).cast("long")
+        kept = F.least(x["n"], left, F.greatest(F.lit(0).cast("long"), left - (acc["total"] - x["n"]), v))
+        return F.when(acc["total"] > 0, kept).otherwise(F.lit(0).cast("long"))
+
+    def halve(state: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        total = F.aggregate(state["s"], F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        start = F.struct(total.alias("total"), ((mid - lo) * shard).alias("left"), F.array().cast("array<long>").alias("out"))
+        one = lambda acc, x: _let(draw(acc, x, lo, hi), lambda v: F.struct((acc["total"] - x["n"]).alias("total"), (acc["left"] - v).alias("left"), F.concat(acc["out"], F.array(v)).alias("out")))
+        drawn = F.aggregate(state["s"], start, one, lambda acc: acc["out"])
+        here = at < mid
+        side = lambda x, v: x.withField("n", F.when(here, v).otherwise(x["n"] - v)).withField("before", x["before"] + F.when(here, F.lit(0).cast("long")).otherwise(v))
+        return F.struct(F.when(here, lo).otherwise(mid).alias("lo"), F.when(here, mid).otherwise(hi).alias("hi"), F.zip_with(state["s"], drawn, side).alias("s"))
+
+    whole = F.struct(F.lit(0).cast("long").alias("lo"), n_shards.alias("hi"), s.alias("s"))
+    depth = F.greatest(F.lit(1), F.ceil(F.log2(n_shards.cast("double"))).cast("int") + 1)
+    return F.aggregate(F.sequence(F.lit(1), depth), whole, lambda state, _: F.when(state["hi"] - state["lo"] > 1, halve(state)).otherwise(state), lambda state: state["s"])
+
+
 def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(sid, source_size, slot, block, shard, place): what lies at each place of every shard. slot numbers a source's own."""
+    """(sid, source_size, slot, block, shard, place): what lies at each place of every shard. slot numbers a source's own.
+
+    A shard of the drawn counts is a row with an array over the sources until its slots are made, evenly over all tasks.
+    """
     s = sources.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     draw = F.pmod(F.xxhash64(F.lit("source"), "sid"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    s = s.withColumn("n", F.least(F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + draw), REPEATS * F.col("n_blocks")))
+    s = s.withColumn("n", F.least(F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + draw), REPEATS * F.col("n_blocks"))).where("n > 0")
+    made = _drawn(s, shard) if s.count() <= DRAWN else _permuted(s, shard)
+    taken = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("n_blocks")))
+    return made.select("sid", "source_size", "slot", taken.alias("block"), "shard", "place")
+
+
+def _drawn(s: DataFrame, shard: int) -> DataFrame:
+    """Slots by counts that each shard draws."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    parts, zero = n_parts(s.sparkSession), F.lit(0).cast("long")
+    one = s.agg(F.array_sort(F.collect_list(F.struct("sid", long("source_size"), long("n_blocks"), long("n"), zero.alias("before")))).alias("s"), F.sum("n").cast("long").alias("n_all")).where("n_all > 0")
+    one = one.withColumn("n_shards", F.ceil(F.col("n_all") / shard).cast("long")).withColumn("many", F.greatest(F.lit(1), F.ceil(F.col("n_shards") / (8 * parts))).cast("long"))
+    rows = one.withColumn("from", F.explode(F.sequence(zero, F.col("n_shards") - 1, F.col("many")))).repartition(parts, "from")
+    rows = rows.select("s", "n_all", "n_shards", F.explode(F.sequence("from", F.least(F.col("from") + F.col("many"), F.col("n_shards")) - 1)).alias("shard"))
+    start = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out"))
+    offsets = lambda counts: F.aggregate(counts, start, lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    counts = _let(drawn_counts(F.col("s"), F.col("shard"), F.col("n_shards"), shard), lambda c: F.zip_with(c, offsets(c), lambda x, o: x.withField("offset", o)))
+    size = F.least(F.lit(shard).cast("long"), F.col("n_all") - F.col("shard") * shard)
+    rows = rows.select("shard", size.alias("size"), F.inline(counts)).where("n > 0")
+    rows = rows.select("sid", "source_size", "n_blocks", "shard", "size", "before", "offset", F.explode(F.sequence(zero, F.col("n") - 1)).alias("j"))
+    place = permuted(F.col("offset") + F.col("j"), F.col("size"), F.lit("places"), F.col("shard"))
+    return rows.select("sid", "source_size", "n_blocks", (F.col("before") + F.col("j")).alias("slot"), "shard", place.alias("place"))
+
+
+def _permuted(s: DataFrame, shard: int) -> DataFrame:
+    """Slots of very many sources: numbered through all of them, and dealt to shards and places by one permutation."""
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("n_all", F.sum("n").over(whole)).where("n > 0")
+    s = s.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("n_all", F.sum("n").over(whole))
     s = s.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
     s = s.repartition(n_parts(s.sparkSession), "sid", "from")  # slots are made evenly over all tasks
     s = s.select("sid", "source_size", "n_blocks", "base", "n_all", F.explode(F.sequence("from", F.least(F.col("from") + STRETCH, F.col("n")) - 1)).alias("slot"))
-    taken = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("n_blocks")))
-    dealt = permuted(F.col("base") + F.col("slot"), F.col("n_all"), F.lit("shards"))
-    return s.select("sid", "source_size", "slot", taken.alias("block"), dealt.alias("at")).select("sid", "source_size", "slot", "block", F.floor(F.col("at") / shard).alias("shard"), (F.col("at") % shard).alias("place"))
+    at = permuted(F.col("base") + F.col("slot"), F.col("n_all"), F.lit("shards"))
+    return s.withColumn("at", at).select("sid", "source_size", "n_blocks", "slot", F.floor(F.col("at") / shard).alias("shard"), (F.col("at") % shard).alias("place"))
 
 
 def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
