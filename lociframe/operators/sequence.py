@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 14
+REACH = 128  # bases that a site is moved through at first
 # IUPAC ambiguity codes of two bases.
 IUPAC = {"AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}
 
@@ -61,13 +62,15 @@ def read_fasta(spark: SparkSession, path: str, width: int = WIDTH) -> DataFrame:
 
 def fetched(rows: DataFrame, reference: DataFrame, begin: Column, end: Column, name: str = "bases", width: int = WIDTH) -> DataFrame:
     """rows with the reference's bases from position begin to end (1-based, closed) of CHROM in `name`, as far as the contig
-    has any; null where it has none. A row meets its blocks by (CHROM, block); its own columns are moved once more."""
+    has any; null where it has none. A row meets its blocks by (CHROM, block) and takes its own bases from them at once, so
+    that no block goes on with a row; its own columns are moved once more."""
     t = rows.withColumns({"_i": F.monotonically_increasing_id(), "_x": begin.cast("long"), "_y": end.cast("long")})
     t = settled(t)  # the row numbers must be the same in both uses
     near = t.where("_x <= _y and _y >= 1").select("_i", "CHROM", "_x", "_y", F.explode(F.sequence(F.floor((F.greatest("_x", F.lit(1)) - 1) / width), F.floor((F.col("_y") - 1) / width))).alias("block"))
     low = F.greatest(F.col("_x") - 1, F.col("block") * width)
     text = F.substring("bases", (low - F.col("block") * width + 1).cast("int"), (F.col("_y") - low).cast("int"))
-    found = near.join(reference, ["CHROM", "block"]).groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("block", text.alias("t")))).alias("p"))
+    cut = near.join(reference, ["CHROM", "block"]).select("_i", F.struct("block", text.alias("t")).alias("p"))
+    found = cut.groupBy("_i").agg(F.array_sort(F.collect_list("p")).alias("p"))
     found = found.select("_i", F.nullif(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit("")).alias(name))
     return t.join(found, "_i", "left").drop("_i", "_x", "_y")
 
@@ -113,8 +116,9 @@ def without_prefix(pos: int, alleles: list[str]) -> tuple[int, list[str]]:
 def left_aligned(sites: DataFrame, reference: DataFrame, width: int = WIDTH) -> DataFrame:
     """Sites with their alleles moved to the leftmost place at which they say the same, and as short as can be. ALT is an array.
 
-    Each round joins the sites that still move with the block of their position and the one before, and moves them as far as
-    those go; most end in the first round, and a repeat of r blocks takes r rounds. Sites with alleles other than bases, without ALT or
+    Each round joins the sites that still move with the block of their position and the one before, and moves them through the
+    last bases before their position: REACH in the first round, in which most end, 32 times as many in the next, and at last both
+    blocks, so that a repeat of r blocks takes about r rounds. Sites with alleles other than bases, without ALT or
     with one length only after trimming stay where they are, as do all columns but POS, REF and ALT.
     """
     plain = F.forall(F.concat(F.array("REF"), "ALT"), lambda a: a.rlike("(?i)^[ACGTN]+$")) & (F.size("ALT") > 0)
@@ -140,20 +144,26 @@ def left_aligned(sites: DataFrame, reference: DataFrame, width: int = WIDTH) ->
             names = [*schema.names, "_open"]
             yield pa.record_batch([new[c] if c in new else batch.column(c) for c in names], names=names)
 
-    def stepped(rows: DataFrame) -> DataFrame:
-        at = F.floor((F.col("POS") - 1) / width)
+    def stepped(rows: DataFrame, reach: int) -> DataFrame:
+        at, begin = F.floor((F.col("POS") - 1) / width), F.col("_at") * width  # the block's first position is begin + 1
         t = rows.withColumn("_at", at)
         own = reference.select("CHROM", F.col("block").alias("_at"), F.col("bases").alias("_own"))
         before = reference.select("CHROM", (F.col("block") + 1).alias("_at"), F.col("bases").alias("_before"))
-        t = t.join(own, ["CHROM", "_at"], "left").join(before, ["CHROM", "_at"], "left")
+        # each join leaves a row with the few bases that it may need, not with a block
+        low = F.greatest(F.col("POS") - reach, begin + 1)
+        t = t.join(own, ["CHROM", "_at"], "left").withColumns({"_known": F.col("_own").isNotNull(), "_tail": F.substring("_own", (low - begin).cast("int"), (F.col("POS") - low).cast("int"))}).drop("_own")
+        far = F.greatest(F.col("POS") - reach, begin - width + 1)
+        head = F.when(far <= begin, F.substring("_before", (far - begin + width).cast("int"), (begin - far + 1).cast("int"))).otherwise("")
+        t = t.join(before, ["CHROM", "_at"], "left").withColumns({"_there": F.col("_before").isNotNull(), "_head": F.coalesce(head, F.lit(""))}).drop("_before")
         # without its block a site stays: an empty window that begins at its position
-        first = F.when(F.col("_own").isNull(), F.col("POS")).when(F.col("_before").isNull(), F.col("_at") * width + 1).otherwise((F.col("_at") - 1) * width + 1)
-        t = t.withColumns({"_bases": F.when(F.col("_own").isNotNull(), F.concat(F.coalesce("_before", F.lit("")), "_own")), "_first": first})
-        return settled(t.drop("_at", "_own", "_before").mapInArrow(move, kinds))
+        first = F.when(~F.col("_known"), F.col("POS")).when(F.col("_there"), far).otherwise(low)
+        t = t.withColumns({"_bases": F.when(F.col("_known"), F.concat("_head", "_tail")), "_first": first})
+        return settled(t.drop("_at", "_known", "_there", "_head", "_tail").mapInArrow(move, kinds))
 
-    done, left = rest, sites.where(moves)
+    done, left, reach = rest, sites.where(moves), REACH
     while True:
-        t = stepped(left.withColumn("POS", F.col("POS").cast("long")))
+        t = stepped(left.withColumn("POS", F.col("POS").cast("long")), reach)
+        reach = min(32 * reach, 2 * width)
         done = done.unionByName(t.where("not _open").drop("_open"))
         left = t.where("_open").drop("_open")
         known = left.join(reference.select("CHROM", F.col("block").alias("_b")), (left["CHROM"] == reference["CHROM"]) & (F.floor((left["POS"] - 2) / width) == F.col("_b")), "left_semi")
