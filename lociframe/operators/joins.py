@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -152,43 +154,45 @@ PAIRS, LEAST_BIN, TOGETHER = 1 << 20, 1 << 12, 256  # pairs and sites whose sums
 
 def linkage(tidy: DataFrame, dosage: Column, window: int) -> DataFrame:
     """Squared correlation of dosages for pairs of sites of a contig at most `window` positions apart, over the samples called at
-    both; records of one position with different alleles are sites each, and make no pair with each other.
+    both; records of one position with different alleles are sites each, and make no pair with each other. Rows without alleles are
+    of one site by position: where a sample has several dosages at a site, each is paired with each of the other site's.
 
-    A site's dosages travel as one array, to its own bin of positions and the next if that is near; pairs meet in the later site's. A bin's counts
-    and sums over samples are products of matrices, of some rows at a time with all sites within reach.
+    A site's dosages travel as one array, to its own bin of positions and the next if that is near; pairs meet in the later site's. A site has a
+    row a sample, with the number, sum and sum of squares of its dosages, however many records it has. A bin's counts and sums over samples
+    are products of matrices, of some rows at a time with all sites within reach, and leave the task as they come.
     """
     own = [c for c in ("REF", "ALT") if c in tidy.columns]
-    s = tidy.groupBy("CHROM", "POS", *own).agg(F.collect_list(F.struct(F.col("sample_id").cast("string").alias("s"), dosage.cast("double").alias("d"))).alias("g"))
+    d = dosage.cast("double")
+    each = tidy.groupBy("CHROM", "POS", *own, F.col("sample_id").cast("string").alias("s")).agg(F.count(d).cast("double").alias("n"), F.coalesce(F.sum(d), F.lit(0.0)).alias("x"), F.coalesce(F.sum(d * d), F.lit(0.0)).alias("q"))
+    s = each.groupBy("CHROM", "POS", *own).agg(F.collect_list(F.struct("s", "n", "x", "q")).alias("g"))
     width = max(window, LEAST_BIN)
     at = F.floor(F.col("POS") / width)
     binned = s.select("CHROM", F.col("POS").cast("long").alias("POS"), "g", at.alias("at"), F.explode(F.sequence(at, F.floor((F.col("POS") + window) / width))).alias("bin"))
 
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         table = table.take(pa.array(np.argsort(table.column("POS").to_numpy(), kind="stable")))
         pos, late = table.column("POS").to_numpy(), table.column("at").to_numpy() == key[1].as_py()
         g = table.column("g").combine_chunks()
         row, items = np.repeat(np.arange(len(g)), g.value_lengths().to_numpy()), g.flatten()
         _, sample = np.unique(items.field("s").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        x = np.full((len(g), int(sample.max(initial=-1)) + 1), np.nan)
-        x[row, sample] = items.field("d").to_numpy(zero_copy_only=False)
-        has = ~np.isnan(x)
-        x, m = np.nan_to_num(x), has.astype(np.float64)
-        out, later = [np.zeros((0, 4))], np.flatnonzero(late)
+        m, x, q = (np.zeros((len(g), int(sample.max(initial=-1)) + 1)) for _ in range(3))
+        for v, name in ((m, "n"), (x, "x"), (q, "q")):
+            v[row, sample] = items.field(name).to_numpy(zero_copy_only=False)
+        later = np.flatnonzero(late)
         step = max(1, min(TOGETHER, PAIRS // max(1, len(pos))))
         for i in range(0, len(later), step):
             j = later[i : i + step]
             lo, hi = np.searchsorted(pos, pos[j[0]] - window), np.searchsorted(pos, pos[j[-1]])
             k = slice(lo, hi)
             n, sx, sy, xy = m[j] @ m[k].T, m[j] @ x[k].T, x[j] @ m[k].T, x[j] @ x[k].T
-            xx, yy = m[j] @ (x[k] ** 2).T, (x[j] ** 2) @ m[k].T
+            xx, yy = m[j] @ q[k].T, q[j] @ m[k].T
             b, a = np.nonzero((pos[j][:, None] > pos[k][None]) & (pos[j][:, None] - pos[k][None] <= window))
             n, sx, sy, xy, xx, yy = (v[b, a] for v in (n, sx, sy, xy, xx, yy))
             cov, vx, vy = n * xy - sx * sy, n * xx - sx * sx, n * yy - sy * sy
             with np.errstate(divide="ignore", invalid="ignore"):
                 r2 = np.where((vx > 0) & (vy > 0), cov * cov / (vx * vy), np.nan)
-            out.append(np.stack([pos[k][a], pos[j][b], n, r2], 1))
-        found = np.concatenate(out)
-        return pa.table({"CHROM": pa.array([key[0].as_py()] * len(found), pa.string()), "pos1": found[:, 0].astype(np.int64), "pos2": found[:, 1].astype(np.int64), "n": found[:, 2].astype(np.int32), "r2": pa.array(found[:, 3], mask=np.isnan(found[:, 3]))})
+            yield pa.record_batch({"CHROM": pa.array([key[0].as_py()] * len(a), pa.string()), "pos1": pos[k][a], "pos2": pos[j][b], "n": n.astype(np.int32), "r2": pa.array(r2, mask=np.isnan(r2))})
 
     return binned.groupBy("CHROM", "bin").applyInArrow(pairs, "CHROM string, pos1 long, pos2 long, n int, r2 double")
 

@@ -1,9 +1,11 @@
 """What queries carry and give once several sites share a place, as in larger tables."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from lociframe.operators import joins as J
 from lociframe.operators import sequence as Q
 
 
@@ -36,3 +38,18 @@ def test_left_alignment_carries_few_bases(spark, monkeypatch):
     got = {r.i: (r.POS, r.REF, r.ALT) for r in Q.left_aligned(sites, reference, 1024).collect()}
     assert got == {1: (1, "GA", ["G"]), 2: (1500, text[1499:1501], [text[1499]])}
     assert 0 < seen.value < 2 * (2 * 128 + 290)  # a checkpoint computes its rows twice
+
+
+def test_linkage_of_positions_with_several_records(spark):
+    """Without alleles a position is one site, and each of a sample's dosages there is paired with each at the other."""
+    rng = random.Random(5)
+    rows = [("c", p, s, rng.choice([0, 1, 2, None])) for p in (3, 9, 9, 9, 20, 20, 33) for s in range(6)]
+    df = spark.createDataFrame(rows, "CHROM string, POS long, sample_id int, d int")
+    got = {(r.pos1, r.pos2): (r.n, None if r.r2 is None else round(r.r2, 9)) for r in J.linkage(df, F.col("d"), 15).where("n > 0").collect()}
+    want = {}
+    for p, q in ((3, 9), (9, 20), (20, 33)):
+        both = [(x, y) for _, a, s, x in rows for _, b, u, y in rows if (a, b) == (p, q) and s == u and x is not None and y is not None]
+        n, sx, sy = len(both), sum(x for x, _ in both), sum(y for _, y in both)
+        vx, vy = n * sum(x * x for x, _ in both) - sx * sx, n * sum(y * y for _, y in both) - sy * sy
+        want[p, q] = (n, round((n * sum(x * y for x, y in both) - sx * sy) ** 2 / (vx * vy), 9) if vx and vy else None)
+    assert got == want
