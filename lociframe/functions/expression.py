@@ -48,6 +48,7 @@ class Compiler:
         self.df = df
         self.site = {f.name: f.dataType for f in df.schema.fields}
         self.sample = {f.name: f.dataType for f in df.schema["samples"].dataType.elementType.fields} if "samples" in self.site else {}
+        self.sampled = False  # whether anything of the samples was read
 
     # --- parsing
     def compile(self, text: str, *given) -> Value:
@@ -119,13 +120,14 @@ class Compiler:
         short = name.split("/")[-1]
         sample_only = name.startswith(("FORMAT/", "FMT/"))
         gts = self._genotypes() if short in OF_GENOTYPES and self.sample else None
+        self.sampled |= short in self.sample or short in OF_GENOTYPES
         computed = {
             "TYPE": lambda: Value(F.transform(V.types(F.col("REF"), F.col("ALT")), lambda t: F.when(t.isin("ins", "del"), "indel").otherwise(t)), vector=True, kind="text", tag="TYPE"),
             "ILEN": lambda: Value(F.transform("ALT", lambda a: V.indel_length(F.col("REF"), a).cast("double")), vector=True),
             "N_ALT": lambda: Value(F.size("ALT").cast("double")), "N_SAMPLES": lambda: Value(F.size("samples").cast("double")),
             "N_MISSING": lambda: Value(self._missing(gts)), "F_MISSING": lambda: Value(self._missing(gts) / F.size("samples")),
-            "AN": lambda: Value(self._an(gts)), "AC": lambda: Value(self._ac(gts), vector=True), "AF": lambda: Value(F.transform(self._ac(gts), lambda c: F.when(self._an(gts) > 0, c / self._an(gts)).otherwise(0.0)), vector=True),
-            "MAC": lambda: Value(self._mac(gts)), "MAF": lambda: Value(F.when(self._an(gts) > 0, self._mac(gts) / self._an(gts)).otherwise(0.0)),
+            "AN": lambda: Value(self._an(gts)), "AC": lambda: Value(self._ac(gts), vector=True), "AF": lambda: Value(V.once(gts, lambda g: V.once(self._an(g), lambda n: F.transform(self._ac(g), lambda c: F.when(n > 0, c / n).otherwise(0.0)))), vector=True),
+            "MAC": lambda: Value(self._mac(gts)), "MAF": lambda: Value(V.once(gts, lambda g: V.once(self._an(g), lambda n: F.when(n > 0, self._mac(g) / n).otherwise(0.0)))),
         }
         if not sample_only and short in self.site:
             kind = self.site[short].simpleString()
@@ -161,12 +163,12 @@ class Compiler:
 
     @staticmethod
     def _ac(gts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("ALT")), lambda i: F.size(F.filter(F.flatten(gts), lambda x: x == i)).cast("double"))
+        return V.once(F.flatten(gts), lambda a: F.transform(F.sequence(F.lit(1), F.size("ALT")), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
 
     def _mac(self, gts: Column) -> Column:
-        ref = F.size(F.filter(F.flatten(gts), lambda x: x == 0)).cast("double")
-        present = F.filter(F.concat(F.array(ref), self._ac(gts)), lambda c: c > 0)
-        return F.when(F.size(present) > 1, F.array_min(present)).otherwise(0.0)
+        ref = lambda g: F.size(F.filter(F.flatten(g), lambda x: x == 0)).cast("double")
+        least = lambda present: F.when(F.size(present) > 1, F.array_min(present)).otherwise(0.0)
+        return V.once(gts, lambda g: V.once(F.filter(F.concat(F.array(ref(g)), self._ac(g)), lambda c: c > 0), least))
 
     def _subscript(self, v: Value) -> Value:
         self._take("[")
@@ -410,22 +412,20 @@ class Compiler:
         return F.array_min(x)
 
     def _sum(self, x: Column) -> Column:
-        p = self._present(x)
-        return F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
+        return V.once(self._present(x), lambda p: F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
 
     def _avg(self, x: Column) -> Column:
-        return self._sum(x) / F.size(self._present(x))
+        return V.once(self._present(x), lambda p: self._sum(p) / F.size(p))
 
     _mean = _avg
 
     def _median(self, x: Column) -> Column:
-        p = F.array_sort(self._present(x))
-        n = F.size(p)
-        return F.when(n > 0, (F.element_at(p, F.floor((n + 1) / 2).cast("int")) + F.element_at(p, F.floor(n / 2 + 1).cast("int"))) / 2)
+        middle = lambda p, n: (F.element_at(p, F.floor((n + 1) / 2).cast("int")) + F.element_at(p, F.floor(n / 2 + 1).cast("int"))) / 2
+        return V.once(F.array_sort(self._present(x)), lambda p: F.when(F.size(p) > 0, middle(p, F.size(p))))
 
     def _stdev(self, x: Column) -> Column:
-        p, mean = self._present(x), self._avg(x)
-        return F.when(F.size(p) > 0, F.sqrt(F.aggregate(p, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / F.size(p)))
+        squares = lambda p, mean: F.aggregate(p, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean))
+        return V.once(self._present(x), lambda p: V.once(self._avg(p), lambda mean: F.when(F.size(p) > 0, F.sqrt(squares(p, mean) / F.size(p)))))
 
     def _count(self, x: Column) -> Column:
         return F.size(self._present(x)).cast("double")
@@ -443,11 +443,14 @@ def exclude(df: DataFrame, expression: str, *given) -> DataFrame:
 
 def with_result(df: DataFrame, expression: str, site: str = "pass_site", samples: str = "pass_samples", given: tuple = ()) -> DataFrame:
     """Adds the site result and the mask, or null where the expression reads no sample field. given: values of {}."""
-    v = Compiler(df).compile(expression, *given)
-    if v.mask is None:
-        return df.withColumn(site, F.coalesce(v.col, F.lit(False))).withColumn(samples, F.lit(None).cast("array<boolean>"))
-    # a generator of one row: a filter on the result is not pushed below it, which would have the mask made twice
-    return df.select("*", F.inline(F.array(F.struct(F.coalesce(v.col, F.lit(False)).alias(site), v.mask.alias(samples)))))
+    c = Compiler(df)
+    v = c.compile(expression, *given)
+    mask = F.lit(None).cast("array<boolean>") if v.mask is None else v.mask
+    if not c.sampled:
+        return df.withColumn(site, F.coalesce(v.col, F.lit(False))).withColumn(samples, mask)
+    # a generator of one row: a filter on the result is not pushed below it, which would have the work on samples done twice, and
+    # in the few tasks that read the table
+    return df.select("*", F.inline(F.array(F.struct(F.coalesce(v.col, F.lit(False)).alias(site), mask.alias(samples)))))
 
 
 def soft_filter(df: DataFrame, expression: str, name: str, replace: bool = False, given: tuple = ()) -> DataFrame:

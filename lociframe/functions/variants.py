@@ -122,21 +122,33 @@ def translated(gt: Column, ref: Column, alts: Column) -> Column:
     return F.when(is_phased(gt), F.array_join(joined, "|")).otherwise(F.array_join(joined, "/"))
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x evaluated once a row, however often f uses it; f may be used within other lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def iupac(gt: Column, ref: Column, alts: Column) -> Column:
     """One-letter code of a genotype of single bases; . if any allele is missing, N for other alleles."""
     all_ = F.concat(F.array(ref), alts)
-    pair = F.array_join(F.array_sort(F.transform(alleles(gt), lambda x: F.upper(F.try_element_at(all_, x + 1)))), "")
-    code = reduce(lambda c, kv: c.when(pair == kv[0], kv[1]), IUPAC.items(), F.when(F.exists(alleles(gt), lambda x: x.isNull()), "."))
-    return code.otherwise("N")
+    pair = lambda a: F.array_join(F.array_sort(F.transform(a, lambda x: F.upper(F.try_element_at(all_, x + 1)))), "")
+    code = lambda p: reduce(lambda c, kv: c.when(p == kv[0], kv[1]), list(IUPAC.items())[1:], F.when(p == next(iter(IUPAC)), next(iter(IUPAC.values())))).otherwise("N")
+    return once(alleles(gt), lambda a: F.when(F.exists(a, lambda x: x.isNull()), ".").otherwise(once(pair(a), code)))
 
 
 def binomial_test(a: Column, b: Column) -> Column:
     """Two-sided exact test of a against b with p = 1/2: null if both are 0, else min(1, 2 P(X >= max))."""
-    n, top = (a + b).cast("double"), F.greatest(a, b)
-    # log C(n, i) as a running sum over i, then the upper tail
-    logs = lambda k: F.aggregate(F.sequence(F.lit(1), k.cast("int")), F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
-    tail = F.aggregate(F.sequence(top.cast("int"), n.cast("int")), F.lit(0.0), lambda s, k: s + F.exp(F.when(k == 0, 0.0).otherwise(logs(k)) - n * F.log(F.lit(2.0))))
-    return F.when(n > 0, F.when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
+
+    def test(v: Column) -> Column:
+        n, top = v["n"], v["top"]
+        # log C(n, top), then the upper tail by the ratios of its terms
+        log = F.when(n == top, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), (n - top).cast("int")), F.lit(0.0), lambda s, i: s + F.log((top + i) / i)))
+        one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+        step = lambda r: lambda x, k: once(x["t"] * r(k), lambda t: F.struct(t.alias("t"), (x["s"] + t).alias("s")))
+        ratios = F.aggregate(F.sequence(top.cast("int"), (n - 1).cast("int")), one, step(lambda k: (n - k) / (k + 1)), lambda x: x["s"])
+        tail = F.exp(log - n * F.log(F.lit(2.0))) * F.when(n == top, 1.0).otherwise(ratios)
+        return F.when(n > 0, F.when(n == 2 * top, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
+
+    return once(F.struct((a + b).cast("double").alias("n"), F.greatest(a, b).cast("double").alias("top")), test)
 
 
 def variant_key_position(chrom: Column, pos: Column) -> Column:

@@ -1,10 +1,13 @@
 """What queries carry and give once several sites share a place, as in larger tables."""
 
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from lociframe.functions import expression as X
+from lociframe.functions import variants as V
 from lociframe.operators import joins as J
 from lociframe.operators import sequence as Q
 
@@ -53,3 +56,23 @@ def test_linkage_of_positions_with_several_records(spark):
         vx, vy = n * sum(x * x for x, _ in both) - sx * sx, n * sum(y * y for _, y in both) - sy * sy
         want[p, q] = (n, round((n * sum(x * y for x, y in both) - sx * sy) ** 2 / (vx * vy), 9) if vx and vy else None)
     assert got == want
+
+
+def test_work_on_samples_is_done_once_and_after_the_deal(spark):
+    """A filter on an aggregate over samples is not pushed into the tasks that read, and a mean is not taken anew for every value."""
+    t = spark.range(8).selectExpr("id AS site_id", "array(named_struct('sample_id', 0, 'DP', cast(id as int)), named_struct('sample_id', 1, 'DP', 4)) AS samples").repartition(3)
+    got = X.with_result(t, "STDEV(DP) > 1").where("pass_site")
+    assert sorted(r.site_id for r in got.collect()) == [0, 1, 7]
+    before, after = plan(got).split("Repartition")[:2]
+    assert "Filter pass_site" in before and "Filter" not in after
+
+
+def test_binomial_test_takes_one_pass(spark):
+    rows = [(0, 0), (3, 0), (0, 7), (5, 5), (12, 30), (900, 1100), (None, 2)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a int, b int").select(V.binomial_test(F.col("a"), F.col("b"))).collect()]
+    exact = lambda a, b: None if a is None or a + b == 0 else min(1.0, 1.0 if a == b else 2 * sum(math.comb(a + b, k) for k in range(max(a, b), a + b + 1)) / 2 ** (a + b))
+    assert all(g is None if w is None else math.isclose(g, w, rel_tol=1e-9) for g, w in zip(got, (exact(*r) for r in rows), strict=True))
+    n, top = 400_400, 200_400  # a sum that began anew for every term would take hours
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    p = spark.createDataFrame([(top, n - top)], "a int, b int").select(V.binomial_test(F.col("a"), F.col("b"))).first()[0]
+    assert math.isclose(p, 2 * sum(math.exp(log(k)) for k in range(top, top + 20_000)), rel_tol=1e-6)
