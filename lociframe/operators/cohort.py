@@ -102,7 +102,9 @@ def frameshifts(sites: DataFrame, exons: DataFrame) -> DataFrame:
     from lociframe.operators.joins import overlap_join
 
     left = sites.where(F.length("REF") != F.length("ALT")).select("site_id", F.col("CHROM").alias("c"), F.col("POS").alias("b"), (F.col("POS") + F.length("REF") - 1).alias("e"), ((F.length("ALT") - F.length("REF")) % 3 != 0).alias("out_of_frame"))
-    return overlap_join(left, exons).select("site_id", "out_of_frame").distinct()
+    spans = ["c", "b", "e"]  # indels of one span, and exons of one, meet once
+    hit = overlap_join(left.select(*spans).distinct(), exons.select("c2", "b2", "e2").distinct(), 64).select(*spans).distinct()
+    return left.join(hit, spans, "left_semi").select("site_id", "out_of_frame").distinct()
 
 
 def ploidy_likelihood(tidy: DataFrame, frequency: Column, error: float = 1e-3) -> DataFrame:

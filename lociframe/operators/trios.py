@@ -149,7 +149,9 @@ def parental_origin(nested: DataFrame, regions: DataFrame, trios: list[tuple[int
         ref, alt = F.coalesce(F.get("_ad", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("_ad", F.lit(1)), F.lit(0.0))
         # two thirds against one third of the reads have the father's allele
         t = t.withColumn("_l", F.when(F.col("_f") == 1, alt - ref).otherwise(ref - alt) * F.log(F.lit(2.0)))
+    # sites of one position are added up before they meet the regions
+    t = t.groupBy("c", "b", "e", "child", "father", "mother").agg(F.count("*").alias("_n"), F.sum("_l").alias("_l"))
     both = overlap_join(t, regions.select("region", F.col("c").alias("c2"), F.col("b").alias("b2"), F.col("e").alias("e2")), bin_size)
-    out = both.groupBy("region", "child", "father", "mother").agg(F.count("*").alias("n_markers"), F.sum("_l").alias("log_ratio"))
+    out = both.groupBy("region", "child", "father", "mother").agg(F.sum("_n").alias("n_markers"), F.sum("_l").alias("log_ratio"))
     origin = F.when(F.col("log_ratio") > 0, "paternal").when(F.col("log_ratio") < 0, "maternal")
     return out.withColumns({"origin": origin, "quality": F.abs("log_ratio") * 10 / F.log(F.lit(10.0))})
