@@ -36,14 +36,15 @@ def in_region(sites: DataFrame, chrom: str, begin: int, end: int, overlap: str =
     return sites.where((F.col("CHROM") == chrom) & (F.col("POS") <= end) & (F.col("POS") + F.length("REF") - 1 >= begin))
 
 
-def compared(*call_sets: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys and mask: bit i is set if call set i has the site. One shuffle however many sets there are."""
+def compared(*call_sets: DataFrame, keys: list[str] | None = None, counted: bool = False) -> DataFrame:
+    """keys and mask: bit i is set if call set i has the site; counted: and _n, its records in each. One shuffle however many sets there are."""
     keys = keys or SITE_KEY
     tagged = [df.select(*keys, F.lit(1 << i).alias("bit")) for i, df in enumerate(call_sets)]
     rows = tagged[0]
     for t in tagged[1:]:
         rows = rows.unionByName(t)
-    return rows.groupBy(*keys).agg(F.bit_or("bit").alias("mask"))
+    counts = [F.array(*(F.count_if(F.col("bit") == 1 << i) for i in range(len(call_sets)))).alias("_n")] if counted else []
+    return rows.groupBy(*keys).agg(F.bit_or("bit").alias("mask"), *counts)
 
 
 COMPATIBLE = ("none", "all", "some", "snps", "indels", "both", "id")
@@ -78,10 +79,14 @@ def compatible(first: DataFrame, second: DataFrame, mode: str = "none", inside:
     return first.withColumn("_id", own).join(hit, "_id", "left_semi" if inside else "left_anti").drop("_id")
 
 
-def intersection(*call_sets: DataFrame, count: str, keys: list[str] | None = None) -> DataFrame:
-    """Sites by how many sets have them: count is "=2", "+2" (or more), "-2" (or fewer) or "~101" (exactly those sets)."""
+def intersection(*call_sets: DataFrame, count: str, keys: list[str] | None = None, repeated: bool = False) -> DataFrame:
+    """Sites by how many sets have them: count is "=2", "+2" (or more), "-2" (or fewer) or "~101" (exactly those sets). repeated:
+    a site comes once for every choice of one record from each set that has it, as in a join, and else once."""
     mode, n = count[0], count[1:]
-    sites = compared(*call_sets, keys=keys)
+    sites = compared(*call_sets, keys=keys, counted=repeated)
+    if repeated:
+        several = F.aggregate("_n", F.lit(1).cast("long"), lambda a, x: a * F.greatest(x, F.lit(1)))
+        sites = sites.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), several))).drop("_n")
     have = F.bit_count("mask")
     if mode == "~":
         return sites.where(F.col("mask") == sum(1 << i for i, b in enumerate(n) if b == "1"))
@@ -129,16 +134,26 @@ COLLECT = {
 }
 
 
-def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 1024, of_region: float = 0.0, of_site: float = 0.0) -> DataFrame:
+def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 64, of_region: float = 0.0, of_site: float = 0.0) -> DataFrame:
     """key and note: what the intervals over a site say, combined by first, append, unique, sum, avg, min or max. The overlap
-    must be a share of_region of the interval and of_site of the REF allele at least."""
-    left = sites.select(key, F.col("CHROM").alias("c"), F.col("POS").alias("b"), (F.col("POS") + F.length("REF") - 1).alias("e"))
+    must be a share of_region of the interval and of_site of the REF allele at least. key tells sites apart. Sites of one span meet
+    the intervals once."""
+    span = [F.col("CHROM").alias("c"), F.col("POS").alias("b"), (F.col("POS") + F.length("REF") - 1).alias("e")]
+    left = sites.select(*span).distinct()
     right = regions.select(F.col("c").alias("c2"), F.col("b").alias("b2"), F.col("e").alias("e2"), value.alias("_v"), F.col(order).alias("_o"))
     both = overlap_join(left, right, bin_size)
     if of_region or of_site:
         shared = F.least("e", "e2") - F.greatest("b", "b2") + 1
         both = both.where((shared >= of_region * (F.col("e2") - F.col("b2") + 1)) & (shared >= of_site * (F.col("e") - F.col("b") + 1)))
-    return both.groupBy(key).agg(COLLECT[logic](F.col("_v"), F.col("_o")).alias("note"))
+    notes = both.groupBy("c", "b", "e").agg(COLLECT[logic](F.col("_v"), F.col("_o")).alias("note"))
+    return sites.select(key, *span).join(notes, ["c", "b", "e"]).select(key, "note")
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, key: str, bin_size: int = 1024) -> DataFrame:
+    """key and n: how many rows of left (c, b, e) overlap a row of right (key, c2, b2, e2), for those that any does. Rows of left at
+    one span are counted before they meet the other side."""
+    spans = left.groupBy("c", "b", "e").agg(F.count("*").alias("_n"))
+    return overlap_join(spans, right, bin_size).groupBy(key).agg(F.sum("_n").alias("n"))
 
 
 def nearest(sites: DataFrame) -> DataFrame:

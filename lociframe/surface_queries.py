@@ -15,7 +15,7 @@ from lociframe.operators import transforms as T
 from lociframe.operators import trios
 from lociframe.operators import windows as W
 from lociframe.plans.derive import genotypes, intervals, nested, rich, rich_tidy, sites, table
-from lociframe.queries import FILL, OVER, TRIO_SQL, TRIOS, G, S, listed, query
+from lociframe.queries import FILL, OVER, OWN, TRIO_SQL, TRIOS, G, S, listed, query
 from lociframe.rich_queries import CALLS, RG, SECOND, R
 
 # another call set: every fourth site has another ALT, and every third is absent
@@ -90,14 +90,14 @@ def annotate_min_overlap(spark, d):
 @query(f"SELECT site_id, site_id % 3 <> 0 AS seen, site_id % 3 = 0 AS unseen FROM {S}")
 def annotate_mark_sites(spark, d):
     s, notes = sites(spark, d), sites(spark, d).where("site_id % 3 <> 0")
-    return J.marked(J.marked(s, notes, J.SITE_KEY, "seen"), notes, J.SITE_KEY, "unseen", present=False).select("site_id", "seen", "unseen")
+    return J.marked(J.marked(s, notes, OWN, "seen"), notes, OWN, "unseen", present=False).select("site_id", "seen", "unseen")
 
 
 @query(f"SELECT site_id, CASE WHEN QUAL > 90 THEN CASE WHEN site_id % 3 <> 0 THEN -1.0 ELSE QUAL END END AS old, CASE WHEN QUAL > 90 THEN QUAL WHEN site_id % 3 <> 0 THEN -1.0 END AS gap, CASE WHEN site_id % 3 <> 0 THEN concat_ws(',', event_type, 'x') ELSE event_type END AS event_type FROM {S}")
 def annotate_modes(spark, d):
     s = sites(spark, d).withColumns({"old": F.when(F.col("QUAL") > 90, F.col("QUAL")), "gap": F.when(F.col("QUAL") > 90, F.col("QUAL"))})
-    notes = sites(spark, d).where("site_id % 3 <> 0").select(*J.SITE_KEY, F.lit(-1.0).alias("old"), F.lit(-1.0).alias("gap"), F.lit("x").alias("event_type"))
-    return J.annotate(s, notes, J.SITE_KEY, {"old": "-", "gap": ".+", "event_type": "&"}).select("site_id", "old", "gap", "event_type")
+    notes = sites(spark, d).where("site_id % 3 <> 0").select(*OWN, F.lit(-1.0).alias("old"), F.lit(-1.0).alias("gap"), F.lit("x").alias("event_type"))
+    return J.annotate(s, notes, OWN, {"old": "-", "gap": ".+", "event_type": "&"}).select("site_id", "old", "gap", "event_type")
 
 
 @query(f"SELECT site_id, CASE WHEN site_id % 3 = 0 THEN concat('rs', site_id) ELSE concat(CHROM, '_', POS, '_', REF, '_', ALT1) END AS ID FROM {R}")
@@ -182,8 +182,8 @@ for _check, _sql in {
 }.items():
 
     def _checked(spark, d, mode=_check):
-        base = sites(spark, d).select("CHROM", "POS", F.element_at(F.array(*map(F.lit, "ACGT")), (1 + F.col("site_id") % 3).cast("int")).alias("base"))
-        t = C.checked_ref(sites(spark, d).where("length(REF) = 1 AND length(ALT) = 1"), base, ["CHROM", "POS"], mode)
+        base = sites(spark, d).select("CHROM", "POS", "site_id", F.element_at(F.array(*map(F.lit, "ACGT")), (1 + F.col("site_id") % 3).cast("int")).alias("base"))
+        t = C.checked_ref(sites(spark, d).where("length(REF) = 1 AND length(ALT) = 1"), base, ["CHROM", "POS", "site_id"], mode)  # the SQL gives every site its own base
         return t.select("site_id", "REF", "ALT", *(["ref_ok"] if mode == "w" else []))
 
     _checked.__name__ = f"check_ref_{_check}"

@@ -76,3 +76,21 @@ def test_binomial_test_takes_one_pass(spark):
     log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
     p = spark.createDataFrame([(top, n - top)], "a int, b int").select(V.binomial_test(F.col("a"), F.col("b"))).first()[0]
     assert math.isclose(p, 2 * sum(math.exp(log(k)) for k in range(top, top + 20_000)), rel_tol=1e-6)
+
+
+def test_intersection_of_repeated_records(spark):
+    rows = lambda *p: spark.createDataFrame([("c", x, "A", "T") for x in p], "CHROM string, POS int, REF string, ALT string")
+    got = J.intersection(rows(1, 1, 2, 3), rows(1, 1, 1, 3, 4), count="=2", repeated=True).select("POS").collect()
+    assert sorted(r.POS for r in got) == [1] * 6 + [3]
+
+
+def test_sites_are_told_apart_at_one_place(spark, tmp_path):
+    """Events 1,000,420 apart, and 250,105 apart, share a place; the first pair has equal alleles too."""
+    import __spark_entry__ as entry
+
+    ids = [5, 5 + 250_105, 5 + 1_000_420, 5 + 11 * 7 * 3 * 1_000_420]
+    spark.createDataFrame([(i, float(i % 90), "view") for i in ids], "event_id long, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert len(run("annotate_renamed")) == len(run("annotate_modes")) == len(run("annotate_sites")) == len(run("merge_info")) == len(ids)
+    assert len(run("check_ref_w")) == sum(1 for i in ids if i % 7 and i % 11)
+    assert len(run("isec_complement")) == sum(i % 3 == 0 for i in ids)
