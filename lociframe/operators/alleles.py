@@ -201,7 +201,7 @@ def gathered(call_sets: Sequence[DataFrame], policy: str, numbers: Mapping[str,
 
 def merge_calls(
     *call_sets: DataFrame, policy: str = "all", duplicates: str = "stay", filters: str = "x", missing: str = "./.", numbers: Mapping[str, str] | None = None, info_rules: Mapping[str, str] | None = None,
-    missing_rules: Mapping[str, str | float] | None = None, local: int = 0, names: bool = False,
+    missing_rules: Mapping[str, str | float] | None = None, local: int = 0, names: bool = False, by: Sequence[str] = (),
 ) -> DataFrame:
     """Call sets as one: CHROM, POS, ID, REF, ALT, QUAL, FILTER, INFO_ columns and samples.
 
@@ -218,12 +218,13 @@ def merge_calls(
     QUAL is the largest, ID all of them. filters "x": PASS if any record has it, else all; "+": all that failed. info_rules: sum,
     avg, min, max, join or first (the default) by column, for lists by element. missing_rules give lists by alleles, by field, what stands
     for alleles that a set lacks: a number, or "max" of the sample's others; a set with <*> or <NON_REF> has its values for them. local: where a record has more ALTs than that,
-    Number R and G fields are null, and LAA (the set's own ALTs, from 1) with L<field> (the set's own list) stand for them.
+    Number R and G fields are null, and LAA (the set's own ALTs, from 1) with L<field> (the set's own list) stand for them. by names columns
+    that all sets have and that stay: only records of equal values come together, as sites of one place are told apart by an id.
     """
-    g = gathered(call_sets, policy, numbers)
+    g = gathered(call_sets, policy, numbers, by)
     # array_sort goes by set, REF and ALT first; sample lists are never compared unless all before them is equal
-    t = g.rows.groupBy("CHROM", "POS", "_g").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return merged(t, g, duplicates, filters, missing, info_rules, missing_rules, local, names)
+    t = g.rows.groupBy("CHROM", "POS", *by, "_g").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return merged(t, g, duplicates, filters, missing, info_rules, missing_rules, local, names, by)
 
 
 def merged(

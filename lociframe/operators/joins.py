@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -212,12 +212,12 @@ def linkage(tidy: DataFrame, dosage: Column, window: int) -> DataFrame:
     return binned.groupBy("CHROM", "bin").applyInArrow(pairs, "CHROM string, pos1 long, pos2 long, n int, r2 double")
 
 
-def merge_records(*call_sets: DataFrame, filters: str = "x") -> DataFrame:
+def merge_records(*call_sets: DataFrame, filters: str = "x", by: Sequence[str] = ()) -> DataFrame:
     """Call sets in the nested layout as one, with genotypes: CHROM, POS, REF, ALT, QUAL, FILTER, samples. All records of a
-    place become one, several of a set the n-th with the n-th; see alleles.merge_calls for the rules and for other fields."""
+    place become one, several of a set the n-th with the n-th; see alleles.merge_calls for the rules, for by and for other fields."""
     bare = [df.withColumn("samples", F.transform("samples", lambda s: F.struct(s["sample_id"].alias("sample_id"), s["GT"].alias("GT")))) for df in call_sets]
     plain = [df.drop(*(c for c in df.columns if c.startswith("INFO_"))) for df in bare]
-    return merge_calls(*plain, filters=filters).drop("ID")
+    return merge_calls(*plain, filters=filters, by=by).drop("ID")
 
 
 def concatenated(*call_sets: DataFrame, duplicates: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import expression as X
 from lociframe.functions import variants as V
+from lociframe.operators import alleles as L
 from lociframe.operators import joins as J
 from lociframe.operators import sequence as Q
 
@@ -94,3 +95,16 @@ def test_sites_are_told_apart_at_one_place(spark, tmp_path):
     assert len(run("annotate_renamed")) == len(run("annotate_modes")) == len(run("annotate_sites")) == len(run("merge_info")) == len(ids)
     assert len(run("check_ref_w")) == sum(1 for i in ids if i % 7 and i % 11)
     assert len(run("isec_complement")) == sum(i % 3 == 0 for i in ids)
+
+
+def test_merging_tells_sites_of_one_place_apart(spark):
+    """Two SNPs at one place, of two sites, each with its own deletion in the second set: an id keeps the pairs together."""
+    sample = [(0, "0/1")]
+    schema = "site_id int, CHROM string, POS int, REF string, ALT array<string>, samples array<struct<sample_id: int, GT: string>>"
+    a = spark.createDataFrame([(1, "c", 5, "A", ["T"], sample), (2, "c", 5, "C", ["G"], sample)], schema)
+    b = spark.createDataFrame([(1, "c", 5, "AT", ["A"], sample), (2, "c", 5, "CT", ["C"], sample), (3, "c", 5, "AT", ["A"], sample)], schema)
+    rows = L.merge_calls(a, b, by=["site_id"]).collect()
+    assert sorted((r.site_id, r.REF, r.ALT) for r in rows) == [(1, "AT", ["TT", "A"]), (2, "CT", ["GT", "C"]), (3, "AT", ["A"])]
+    rows = L.merge_calls(a, b, policy="both", by=["site_id"]).collect()
+    assert sorted((r.site_id, r.REF, *(s.GT for s in r.samples)) for r in rows) == [(1, "A", "0/1", "./."), (1, "AT", "./.", "0/1"), (2, "C", "0/1", "./."), (2, "CT", "./.", "0/1"), (3, "AT", "./.", "0/1")]
+    assert len(J.merge_records(a, b, by=["site_id"]).collect()) == 3
