@@ -79,11 +79,11 @@ def sparse_share(tidy: DataFrame, share: float) -> DataFrame:
 def imputation_quality(nested: DataFrame, probabilities) -> DataFrame:
     """INFO metric of a biallelic site: 1 - mean genotype variance over its expectation; 1 for a monomorphic site.
     probabilities maps a sample struct to its array of three genotype probabilities."""
-    moments = F.transform("samples", lambda s: F.struct((probabilities(s)[1] + 2 * probabilities(s)[2]).alias("e"), (probabilities(s)[1] + 4 * probabilities(s)[2]).alias("f")))
-    df = nested.withColumn("_m", moments)
+    moments = F.transform("samples", lambda s: V.let(probabilities(s), lambda p: F.struct((p[1] + 2 * p[2]).alias("e"), (p[1] + 4 * p[2]).alias("f"))))
+    df = alleles.fixed(nested, _m=moments)
     total = lambda name: F.aggregate("_m", F.lit(0.0), lambda a, x: a + x[name])
     n = F.size("_m")
-    df = df.withColumn("theta", total("e") / (2 * n))
+    df = alleles.fixed(df, theta=total("e") / (2 * n))
     spread = F.aggregate("_m", F.lit(0.0), lambda a, x: a + x["f"] - x["e"] * x["e"])
     return df.withColumn("info", F.when((F.col("theta") > 0) & (F.col("theta") < 1), 1 - spread / (2 * n * F.col("theta") * (1 - F.col("theta")))).otherwise(1.0)).drop("_m")
 

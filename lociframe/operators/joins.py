@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,41 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1024) -> Dat
     return l.join(r, on).drop("_bin", "_bin2")
 
 
+LEVELS = 32  # positions are below 2^31
+
+
+def stretches(b: Column, e: Column) -> Column:
+    """(k, i) of the fewest stretches [i 2^k, (i + 1) 2^k) that the positions b to e fall into: two a level at most, none if e < b."""
+
+    def of(k: Column) -> Column:
+        l, r = F.call_function("shiftright", b + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", e + 1, k)  # noqa: E741
+        stretch = lambda x, i: F.when((l < r) & (x.bitwiseAND(F.lit(1).cast("long")) == 1), F.struct(k.alias("k"), i.alias("i")))
+        return F.array(stretch(l, l), stretch(r, r - 1))
+
+    # a level more than the length has, as its logarithm may be rounded down
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(e - b + 1, F.lit(1)))).cast("int") + 1), of)))
+
+
+def overlap_aggregates(spans: DataFrame, regions: DataFrame, combine: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Distinct spans (c, b, e) that a row of regions (c2, b2, e2, ...) overlaps, with columns of regions combined over those rows: for
+    each a function as F.sum or F.min, for which parts may be combined first.
+
+    No pairs are made. An interval over a span holds its first position, or begins after that and within it. For the first case intervals
+    are combined by the stretches they fall into (see stretches), of which a position lies in one a level; for the second, by the
+    stretches their beginning lies in, of which a span's other positions fall into few. Both grow with each side by itself.
+    """
+    own = [f(F.col(n)).alias(n) for n, f in combine.items()]
+    b, e, b2, e2 = (F.col(x).cast("long") for x in ("b", "e", "b2", "e2"))
+    above = lambda x: F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.struct(k.alias("k"), F.call_function("shiftright", x, k).alias("i")))
+    held = regions.select("*", F.inline(stretches(b2, e2))).groupBy(F.col("c2").alias("c"), "k", "i").agg(*own)
+    first = spans.select("c", "b").distinct().select("c", "b", F.inline(above(b))).join(held, ["c", "k", "i"]).groupBy("c", "b").agg(*own)
+    begins = regions.where("b2 <= e2").groupBy("c2", "b2").agg(*own)
+    begun = begins.select("*", F.inline(above(b2))).groupBy(F.col("c2").alias("c"), "k", "i").agg(*own)
+    later = spans.where("e > b").select("c", "b", "e", F.inline(stretches(b + 1, e))).join(begun, ["c", "k", "i"])
+    both = spans.join(first, ["c", "b"]).select("c", "b", "e", *combine).unionByName(later.select("c", "b", "e", *combine))
+    return both.groupBy("c", "b", "e").agg(*own)
+
+
 def in_region(sites: DataFrame, chrom: str, begin: int, end: int, overlap: str = "record") -> DataFrame:
     """Sites in a region. record: the REF allele overlaps it; pos: POS lies in it. Both reach the Parquet scan as ranges."""
     if overlap == "pos":
@@ -134,13 +169,26 @@ COLLECT = {
 }
 
 
+# columns whose parts can be combined, how, and the value that comes of them
+PARTS = {
+    "first": lambda v, order: ({"_p": (F.struct(order.alias("o"), v.alias("v")), F.min)}, F.col("_p.v")), "sum": lambda v, _: ({"_p": (v, F.sum)}, F.col("_p")),
+    "avg": lambda v, _: ({"_p": (v, F.sum), "_n": (v.isNotNull().cast("long"), F.sum)}, F.try_divide("_p", "_n")),
+    "min": lambda v, _: ({"_p": (v, F.min)}, F.col("_p")), "max": lambda v, _: ({"_p": (v, F.max)}, F.col("_p")),
+}
+
+
 def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 64, of_region: float = 0.0, of_site: float = 0.0) -> DataFrame:
     """key and note: what the intervals over a site say, combined by first, append, unique, sum, avg, min or max. The overlap
     must be a share of_region of the interval and of_site of the REF allele at least. key tells sites apart. Sites of one span meet
-    the intervals once."""
+    the intervals once, and in no pairs where neither texts nor shares of overlaps are asked for."""
     span = [F.col("CHROM").alias("c"), F.col("POS").alias("b"), (F.col("POS") + F.length("REF") - 1).alias("e")]
     left = sites.select(*span).distinct()
     right = regions.select(F.col("c").alias("c2"), F.col("b").alias("b2"), F.col("e").alias("e2"), value.alias("_v"), F.col(order).alias("_o"))
+    if logic in PARTS and not (of_region or of_site):
+        parts, whole = PARTS[logic](F.col("_v"), F.col("_o"))
+        given = right.select("c2", "b2", "e2", *(c.alias(n) for n, (c, _) in parts.items()))
+        notes = overlap_aggregates(left, given, {n: f for n, (_, f) in parts.items()}).select("c", "b", "e", whole.alias("note"))
+        return sites.select(key, *span).join(notes, ["c", "b", "e"]).select(key, "note")
     both = overlap_join(left, right, bin_size)
     if of_region or of_site:
         shared = F.least("e", "e2") - F.greatest("b", "b2") + 1

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions import variants as V
-from lociframe.operators.joins import SITE_KEY, overlap_join
+from lociframe.operators.joins import SITE_KEY, overlap_aggregates
 
 COLUMNS = ["section", "key", "bin", "counter"]
 UserTag = tuple[str, Column | str, float, float, int]  # name, value or its column, lowest, highest, bins
@@ -89,16 +89,17 @@ def site_sections(sites: DataFrame, user: Iterable[UserTag] = ()) -> DataFrame:
     )
 
 
-def _framed(sites: DataFrame, exons: DataFrame, key: str) -> DataFrame:
+def _framed(sites: DataFrame, exons: DataFrame) -> DataFrame:
     """Records with an indel, with _x of (a, t, frame): in, out or na, by how many bases change within the exon that POS lies in.
 
     Of several exons the one that begins first counts. An insertion after an exon's last base changes none of it; of a deletion the
-    bases beyond the exon's end don't count. Only places are joined with exons; records meet the few inside of one by their key.
+    bases beyond the exon's end don't count. Only places, each once, and no pairs of them and exons are made.
     """
     rows = _typed(sites).where(_has("ins", "del"))
-    at = rows.select(F.col(key).alias("_k"), F.col("CHROM").alias("c"), F.col("POS").alias("b"), F.col("POS").alias("e"))
-    end = overlap_join(at, exons.select("c2", "b2", "e2")).groupBy("_k").agg(F.min(F.struct("b2", "e2"))["e2"].alias("_end"))
-    rows = rows.join(end, F.col(key) == F.col("_k"), "left").drop("_k")
+    at = rows.select(F.col("CHROM").alias("c"), F.col("POS").alias("b"), F.col("POS").alias("e")).distinct()
+    end = overlap_aggregates(at, exons.select("c2", "b2", "e2", F.struct("b2", "e2").alias("_x")), {"_x": F.min})
+    end = end.select(F.col("c").alias("CHROM"), F.col("b").alias("POS"), F.col("_x.e2").alias("_end"))
+    rows = rows.join(end, ["CHROM", "POS"], "left")
     left = F.col("_end") - F.col("POS")  # bases of the exon after POS
 
     def frame(x: Column) -> Column:
@@ -109,11 +110,10 @@ def _framed(sites: DataFrame, exons: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_x", F.transform("_x", lambda x: x.withField("frame", frame(x))))
 
 
-def frame_section(sites: DataFrame, exons: DataFrame, key: str = "site_id") -> DataFrame:
-    """FS: indel alleles in frame, out of frame or without an exon, of all ALTs and (_first) of first ones. exons: c2, b2, e2, closed;
-    key names a column that tells records apart."""
+def frame_section(sites: DataFrame, exons: DataFrame) -> DataFrame:
+    """FS: indel alleles in frame, out of frame or without an exon, of all ALTs and (_first) of first ones. exons: c2, b2, e2, closed."""
     alleles = F.transform("_x", lambda x, i: F.when(x["t"].isin("ins", "del"), F.array(cell("FS", x["frame"]), F.when(i == 0, cell("FS", F.concat(x["frame"], F.lit("_first")))))))
-    return counted(_framed(sites, exons, key), F.flatten(F.array_compact(alleles)))
+    return counted(_framed(sites, exons), F.flatten(F.array_compact(alleles)))
 
 
 # --- sections of samples
@@ -150,14 +150,14 @@ def sample_section(nested: DataFrame, depth: str | None = None) -> DataFrame:
     })
 
 
-def sample_indel_section(nested: DataFrame, exons: DataFrame, key: str = "site_id") -> DataFrame:
+def sample_indel_section(nested: DataFrame, exons: DataFrame) -> DataFrame:
     """PSI of the samples, over records with an indel.
 
     in, out and na count alleles of genotypes with an indel allele by its frame; their other alleles are na. ins_hets, del_hets,
     ins_homs and del_homs count diploid genotypes; one of two different ALTs, an insertion and a deletion, counts as both.
     """
     framed = lambda s: F.transform(V.alleles(s["GT"]), lambda a: F.when(a > 0, F.get(F.col("_x"), a - 1)["frame"]).otherwise("na"))
-    rows = _framed(nested, exons, key).select(F.inline(F.transform("samples", lambda s: _called(s).withField("frames", framed(s)))))
+    rows = _framed(nested, exons).select(F.inline(F.transform("samples", lambda s: _called(s).withField("frames", framed(s)))))
     of = lambda *names: F.exists("called", lambda x: x["t"].isin(*names))
     counts = (F.col("k") != "mis") & of("ins", "del")
     frames = {name: F.when(counts, F.size(F.filter("frames", lambda x: x == name))).otherwise(0) for name in ("in", "out", "na")}

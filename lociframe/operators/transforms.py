@@ -92,13 +92,13 @@ def likelihoods_from_phred(pl: Column) -> Column:
 
 def phred_from_likelihoods(gl: Column) -> Column:
     """Log10 likelihoods to PL: the best is 0."""
-    return F.transform(gl, lambda x: F.round(-10 * (x - F.array_max(gl))).cast("int"))
+    return V.let(F.array_max(gl), lambda top: F.transform(gl, lambda x: F.round(-10 * (x - top)).cast("int")))
 
 
 def probabilities(gl: Column) -> Column:
     """Log10 likelihoods to genotype probabilities that add up to 1."""
-    raw = F.transform(gl, lambda x: F.pow(F.lit(10.0), x - F.array_max(gl)))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+    raw = V.let(gl, lambda g: V.let(F.array_max(g), lambda top: F.transform(g, lambda x: F.pow(F.lit(10.0), x - top))))
+    return V.let(raw, lambda r: V.let(F.aggregate(r, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(r, lambda x: x / total)))
 
 
 def dosage_from_probabilities(gp: Column) -> Column:

@@ -39,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DEALT = 16  # tasks for each part of the files that a scan reads
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: a table of fewer files than cores is dealt anew before work that is heavy per row."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """df dealt anew before work that is heavy per row: over all cores, and in tasks that get no longer as tables grow."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, DEALT * df.rdd.getNumPartitions()))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,35 @@ def test_merging_tells_sites_of_one_place_apart(spark):
     rows = L.merge_calls(a, b, policy="both", by=["site_id"]).collect()
     assert sorted((r.site_id, r.REF, *(s.GT for s in r.samples)) for r in rows) == [(1, "A", "0/1", "./."), (1, "AT", "./.", "0/1"), (2, "C", "0/1", "./."), (2, "CT", "./.", "0/1"), (3, "AT", "./.", "0/1")]
     assert len(J.merge_records(a, b, by=["site_id"]).collect()) == 3
+
+
+def test_interval_notes_make_no_pairs(spark):
+    """Combined by stretches of positions, as over all pairs; long intervals, longer REFs and values that are missing too."""
+    rng = random.Random(3)
+    sites = [(i, f"c{rng.randrange(2)}", rng.choice([p, p + 4096]), "A" * rng.choice([1, 1, 3, 9, 40])) for i, p in enumerate(rng.randrange(1, 120) for _ in range(150))]
+    regions = [(i, f"c{rng.randrange(3)}", b, b + rng.choice([0, 1, 7, 8, 63, 500, 5000]), rng.choice([None, i * 3 % 17])) for i, b in enumerate(rng.randrange(-9, 130) for _ in range(80))]
+    s, r = spark.createDataFrame(sites, "site_id int, CHROM string, POS int, REF string"), spark.createDataFrame(regions, "p_partkey int, c string, b int, e int, v int")
+    over = {i: [x for x in regions if x[1] == c and x[2] <= p + len(ref) - 1 and x[3] >= p] for i, c, p, ref in sites}
+    known = lambda xs: [x[4] for x in xs if x[4] is not None]
+    rules = {"first": lambda xs: min(xs)[4], "sum": lambda xs: sum(known(xs)) if known(xs) else None, "avg": lambda xs: sum(known(xs)) / len(known(xs)) if known(xs) else None, "min": lambda xs: min(known(xs), default=None), "max": lambda xs: max(known(xs), default=None)}
+    for logic, rule in rules.items():
+        got = J.annotate_intervals(s, r, F.col("v"), logic)
+        assert {x.site_id: x.note for x in got.collect()} == {i: rule(xs) for i, xs in over.items() if xs}
+        assert "_bin" not in plan(got)
+
+
+def test_probabilities_are_taken_once(spark):
+    from lociframe.operators import cohort as C
+    from lociframe.operators import transforms as T
+
+    t = spark.createDataFrame([(1, [((0.0, 10.0, 20.0),)])], "site_id int, samples array<struct<PL: struct<a: double, b: double, c: double>>>")
+    got = C.imputation_quality(t, lambda s: T.probabilities(T.likelihoods_from_phred(F.array(s["PL"]["a"], s["PL"]["b"], s["PL"]["c"]))))
+    assert plan(got).upper().count("POW") == 1 and math.isclose(got.first().info, 1 - (0.14 / 1.11 - (0.12 / 1.11) ** 2) / (2 * (0.06 / 1.11) * (1 - 0.06 / 1.11)))
+
+
+def test_longer_tables_are_dealt_to_more_tasks(spark, tmp_path):
+    from lociframe.plans import derive
+
+    spark.range(0, 1000, 1, 9).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert derive.spread(t).rdd.getNumPartitions() >= 16 * t.rdd.getNumPartitions()
