@@ -140,3 +140,20 @@ def test_longer_tables_are_dealt_to_more_tasks(spark, tmp_path):
     spark.range(0, 1000, 1, 9).write.parquet(str(tmp_path / "t"))
     t = spark.read.parquet(str(tmp_path / "t"))
     assert derive.spread(t).rdd.getNumPartitions() >= 16 * t.rdd.getNumPartitions()
+
+
+def test_joins_by_site_give_the_results_of_their_sql_where_places_repeat(spark, tmp_path):
+    """Pairs 1,000,420 events apart have equal alleles at one place, those 250,105 apart share the place alone."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    ids = [b + k for b in range(0, 60, 2) for k in (0, 250_105, 1_000_420, 77 * 1_000_420)]
+    spark.createDataFrame([(i, float(i % 97), "view") for i in ids], "event_id long, value double, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("annotate_renamed", "annotate_sites", "check_ref_s", "check_ref_w", "isec_eq2", "isec_exact_sets"):
+        res = con.execute(entry.oracle_sql()[name])
+        cols = [c[0] for c in res.description]
+        got = entry.queries()[name](spark, str(tmp_path)).select(*cols).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(res.fetchall(), key=str), name
