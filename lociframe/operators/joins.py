@@ -15,15 +15,18 @@ from lociframe.operators.windows import first_of_duplicates, neighbour
 SITE_KEY = ["CHROM", "POS", "REF", "ALT"]
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1024) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1024, tasks: int | None = None) -> DataFrame:
     """Pairs of left (c, b, e, ...) and right (c2, b2, e2, ...) rows whose closed intervals overlap on a contig.
 
     Both sides are cut into bins of bin_size positions and meet by (contig, bin); a pair is kept in the first bin that both
     touch, so it comes once. Bins split a large contig over many tasks. bin_size should be near the common interval length:
-    a row is repeated once per bin that it touches.
+    a row is repeated once per bin that it touches. tasks: bins are dealt to so many; else their number follows the bytes of the
+    two sides, of which the pairs may be many times as much.
     """
     cut = lambda df, b, e: F.explode(F.sequence(F.floor(F.col(b) / bin_size), F.floor(F.col(e) / bin_size)))
     l, r = left.withColumn("_bin", cut(left, "b", "e")), right.withColumn("_bin2", cut(right, "b2", "e2"))  # noqa: E741
+    if tasks:
+        l, r = l.repartition(tasks, "c", "_bin"), r.repartition(tasks, "c2", "_bin2")  # noqa: E741
     first = F.floor(F.greatest("b", "b2") / bin_size)
     on = (F.col("c") == F.col("c2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("b") <= F.col("e2")) & (F.col("b2") <= F.col("e")) & (F.col("_bin") == first)
     return l.join(r, on).drop("_bin", "_bin2")

@@ -42,9 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DEALT = 16  # tasks for each part of the files that a scan reads
 
 
+def many(df: DataFrame) -> int:
+    """Tasks for heavy work on df, a scan: all cores get some, and they get no longer as tables grow."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, DEALT * df.rdd.getNumPartitions())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt anew before work that is heavy per row: over all cores, and in tasks that get no longer as tables grow."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, DEALT * df.rdd.getNumPartitions()))
+    return df.repartition(many(df))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

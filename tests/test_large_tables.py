@@ -157,3 +157,12 @@ def test_joins_by_site_give_the_results_of_their_sql_where_places_repeat(spark,
         cols = [c[0] for c in res.description]
         got = entry.queries()[name](spark, str(tmp_path)).select(*cols).collect()
         assert sorted(map(tuple, got), key=str) == sorted(res.fetchall(), key=str), name
+
+
+def test_bins_of_an_overlap_join_are_dealt_to_many_tasks(spark):
+    """Pairs may be many times as large as both sides, whose bytes would leave them to a few tasks."""
+    i = spark.range(0, 4000, 1, 1).selectExpr("id", "'c' AS c", "id * 5 % 3001 AS b", "id * 5 % 3001 + 40 AS e")
+    pairs = J.overlap_join(i, i.toDF("k2", "c2", "b2", "e2"), 64, 24)
+    sizes = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 12 and max(r["count"] for r in sizes) < sum(r["count"] for r in sizes) / 6
+    assert pairs.count() == i.crossJoin(i.toDF("k2", "c2", "b2", "e2")).where("b <= e2 AND b2 <= e").count()
