@@ -32,6 +32,13 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 1024, tasks:
     return l.join(r, on).drop("_bin", "_bin2")
 
 
+def overlap_pairs(left: DataFrame, right: DataFrame, key: str, bin_size: int = 64, tasks: int | None = None) -> DataFrame:
+    """key and the columns of right (c2, b2, e2, ...) for all rows of left (key, c, b, e) that overlap them. Rows of left at one span travel as
+    one array and meet the other side once; the pairs are written out only behind the join, and are neither shuffled nor sorted."""
+    spans = left.groupBy("c", "b", "e").agg(F.collect_list(key).alias("_keys"))
+    return overlap_join(spans, right, bin_size, tasks).select(F.explode("_keys").alias(key), *right.columns)
+
+
 LEVELS = 32  # positions are below 2^31
 
 

@@ -166,3 +166,14 @@ def test_bins_of_an_overlap_join_are_dealt_to_many_tasks(spark):
     sizes = pairs.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 12 and max(r["count"] for r in sizes) < sum(r["count"] for r in sizes) / 6
     assert pairs.count() == i.crossJoin(i.toDF("k2", "c2", "b2", "e2")).where("b <= e2 AND b2 <= e").count()
+
+
+def test_sites_of_one_span_meet_the_intervals_once_in_pairs_too(spark):
+    rng = random.Random(8)
+    sites = [(i, "c", p, p + rng.choice([0, 0, 2, 70])) for i, p in enumerate(rng.choice([3, 64, 65, 127, 128, 300]) for _ in range(120))]
+    regions = [(i, rng.choice("cd"), b, b + rng.choice([0, 10, 200])) for i, b in enumerate(rng.randrange(310) for _ in range(60))]
+    s, r = spark.createDataFrame(sites, "k int, c string, b int, e int"), spark.createDataFrame(regions, "i int, c2 string, b2 int, e2 int")
+    got = J.overlap_pairs(s, r, "k", 64, 5)
+    assert sorted((x.k, x.i) for x in got.collect()) == sorted((k, i) for k, c, b, e in sites for i, d, f, g in regions if c == d and b <= g and f <= e)
+    lines = [re.sub(r"#\d+", "", x) for x in plan(got).splitlines()]
+    assert any("explode(_keys)" in x for x in lines[: next(n for n, x in enumerate(lines) if "Join" in x)])  # after the join, not before it
