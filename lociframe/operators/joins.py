@@ -187,7 +187,7 @@ PARTS = {
 }
 
 
-def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 64, of_region: float = 0.0, of_site: float = 0.0) -> DataFrame:
+def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logic: str, key: str = "site_id", order: str = "p_partkey", bin_size: int = 64, of_region: float = 0.0, of_site: float = 0.0, tasks: int | None = None) -> DataFrame:
     """key and note: what the intervals over a site say, combined by first, append, unique, sum, avg, min or max. The overlap
     must be a share of_region of the interval and of_site of the REF allele at least. key tells sites apart. Sites of one span meet
     the intervals once, and in no pairs where neither texts nor shares of overlaps are asked for."""
@@ -199,7 +199,7 @@ def annotate_intervals(sites: DataFrame, regions: DataFrame, value: Column, logi
         given = right.select("c2", "b2", "e2", *(c.alias(n) for n, (c, _) in parts.items()))
         notes = overlap_aggregates(left, given, {n: f for n, (_, f) in parts.items()}).select("c", "b", "e", whole.alias("note"))
         return sites.select(key, *span).join(notes, ["c", "b", "e"]).select(key, "note")
-    both = overlap_join(left, right, bin_size)
+    both = overlap_join(left, right, bin_size, tasks)
     if of_region or of_site:
         shared = F.least("e", "e2") - F.greatest("b", "b2") + 1
         both = both.where((shared >= of_region * (F.col("e2") - F.col("b2") + 1)) & (shared >= of_site * (F.col("e") - F.col("b") + 1)))

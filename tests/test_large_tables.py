@@ -177,3 +177,12 @@ def test_sites_of_one_span_meet_the_intervals_once_in_pairs_too(spark):
     assert sorted((x.k, x.i) for x in got.collect()) == sorted((k, i) for k, c, b, e in sites for i, d, f, g in regions if c == d and b <= g and f <= e)
     lines = [re.sub(r"#\d+", "", x) for x in plan(got).splitlines()]
     assert any("explode(_keys)" in x for x in lines[: next(n for n, x in enumerate(lines) if "Join" in x)])  # after the join, not before it
+
+
+def test_texts_of_intervals_are_gathered_in_many_tasks(spark):
+    sites = spark.range(0, 200, 1, 1).selectExpr("id AS site_id", "'c' AS CHROM", "1 + id % 50 AS POS", "'A' AS REF")
+    regions = spark.range(0, 90, 1, 1).selectExpr("id AS p_partkey", "'c' AS c", "id % 45 AS b", "id % 45 + 3 AS e")
+    got = J.annotate_intervals(sites, regions, F.col("p_partkey"), "append", tasks=7)
+    assert plan(got).count("RepartitionByExpression") == 2
+    want = {i: ",".join(sorted(str(p) for p in range(90) if p % 45 <= 1 + i % 50 <= p % 45 + 3)) for i in range(200)}
+    assert {r.site_id: r.note for r in got.collect()} == {i: t for i, t in want.items() if t}
