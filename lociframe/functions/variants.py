@@ -182,17 +182,21 @@ def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
     downwards from it, so that one pass adds up all of them and those no heavier than it."""
 
     def test(t: Column) -> Column:
-        r1, r2, c1, own = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"], t["a"]
-        low, high = F.greatest(F.lit(0.0), c1 - r2), F.least(r1, c1)
+        r1, c1, rest, own = t["r1"], t["c1"], t["rest"], t["a"]
+        low, high = F.greatest(F.lit(0.0), -rest), F.least(r1, c1)
         start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("part"), F.lit(0.0).alias("all"))
+        counted = lambda s: (s["part"] + F.when(s["w"] <= 1 + 1e-7, s["w"]).otherwise(0.0), s["all"] + s["w"])
 
         def add(ratio: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-            return lambda s, x: let(s["w"] * ratio(x), lambda w: F.struct(w.alias("w"), (s["part"] + F.when(w <= 1 + 1e-7, w).otherwise(0.0)).alias("part"), (s["all"] + w).alias("all")))
+            """A step counts the weight of the step before, so that every weight is worked out in one place."""
+            return lambda s, x: F.struct((s["w"] * ratio(x)).alias("w"), counted(s)[0].alias("part"), counted(s)[1].alias("all"))
 
+        last_too = lambda s: F.struct(counted(s)[0].alias("part"), counted(s)[1].alias("all"))
         cells = lambda some, first, last, step: F.when(some, F.sequence(first.cast("int"), last.cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))
-        up = F.aggregate(cells(own < high, own + 1, high, 1), start, add(lambda x: (r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x))))
-        down = F.aggregate(cells(own > low, own - 1, low, -1), start, add(lambda x: (x + 1) * (r2 - c1 + x + 1) / ((r1 - x) * (c1 - x))))
-        return let(F.struct(up.alias("u"), down.alias("d")), lambda s: F.least(F.lit(1.0), (1 + s["u"]["part"] + s["d"]["part"]) / (1 + s["u"]["all"] + s["d"]["all"])))
+        up = F.aggregate(cells(own < high, own + 1, high, 1), start, add(lambda x: (r1 - x + 1) * (c1 - x + 1) / (x * (rest + x))), last_too)
+        down = F.aggregate(cells(own > low, own - 1, low, -1), start, add(lambda x: (x + 1) * (rest + x + 1) / ((r1 - x) * (c1 - x))), last_too)
+        return let(F.struct(up.alias("u"), down.alias("d")), lambda s: F.least(F.lit(1.0), (s["u"]["part"] + s["d"]["part"] - 1) / (s["u"]["all"] + s["d"]["all"] - 1)))  # the table itself is in both
 
-    cells = F.struct(*(x.cast("double").alias(n) for n, x in zip("abcd", (a, b, c, d), strict=True)))
+    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+    cells = F.struct(a.alias("a"), (a + b).alias("r1"), (a + c).alias("c1"), (d - a).alias("rest"))  # margins, and how many more d is than a
     return F.when(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull(), let(cells, test))
