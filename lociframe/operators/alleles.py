@@ -24,14 +24,27 @@ PLAIN = "(?i)^[ACGTN]+$"
 
 def renumbered(gt: Column, new: Column) -> Column:
     """Genotype with new[a] for each allele number a, missing where that is null; every separator stays."""
-    token = lambda t: F.when(t.isin("/", "|", "."), t).otherwise(F.coalesce(F.get(new, t.try_cast("int")).cast("string"), F.lit(".")))
+    number = lambda t: F.coalesce(F.get(new, t.try_cast("int")).cast("string"), F.lit("."))
+    separator = lambda t: t.isin("/", "|")
+    at = [F.substring(gt, i, 1) for i in (1, 2, 3)]
+    # the usual texts, of one or two alleles of one digit, are taken apart by place; only others are split
+    one = (F.length(gt) == 1) & ~separator(gt)
+    two = (F.length(gt) == 3) & separator(at[1]) & ~separator(at[0]) & ~separator(at[2])
+    token = lambda t: F.when(separator(t) | (t == "."), t).otherwise(number(t))
     whole = F.array_join(F.transform(F.split(gt, "(?<=[/|])|(?=[/|])"), token), "")
-    return F.when(gt.isin("./.", ".") | gt.isin("0/0", "0|0") & (F.get(new, F.lit(0)) == 0), gt).otherwise(whole)
+    same = gt.isin("./.", ".") | gt.isin("0/0", "0|0") & (F.get(new, F.lit(0)) == 0)
+    return F.when(same, gt).when(two, F.concat(number(at[0]), at[1], number(at[2]))).when(one, number(gt)).otherwise(whole)
 
 
-def reordered(values: Column, number: str, order: Column, n_old: Column) -> Column:
-    """A list of Number A, R or G by the new alleles; null for those the record lacks. Number G counts unphased pairs (i, j),
-    i <= j, at j (j + 1) / 2 + i, or alleles where the list is as long as a haploid one. A list of another length is null."""
+def pair_places(order: Column) -> Column:
+    """For every unphased pair (i, j) of new alleles, i <= j in their order, the place of the pair among the old ones, j (j + 1) / 2 + i; or null."""
+    place = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b) * (F.greatest(a, b) + 1) / 2 + F.least(a, b)).cast("int")
+    return F.flatten(F.transform(order, lambda b, j: F.transform(F.slice(order, F.lit(1), j + 1), lambda a: place(a, b))))
+
+
+def reordered(values: Column, number: str, order: Column, n_old: Column, pairs: Column | None = None) -> Column:
+    """A list of Number A, R or G by the new alleles; null for those the record lacks. Number G counts unphased pairs by pair_places,
+    or alleles where the list is as long as a haploid one; pairs: those places, where they are at hand. A list of another length is null."""
     get = lambda i: F.get(values, i.cast("int"))
     if number == "A":
         return F.when(F.size(values) == n_old - 1, F.transform(F.slice(order, F.lit(2), F.size(order)), lambda o: get(o - 1)))
@@ -40,9 +53,8 @@ def reordered(values: Column, number: str, order: Column, n_old: Column) -> Colu
         return F.when(F.size(values) == n_old, by_allele)
     if number != "G":
         raise ValueError(f"no list by alleles: {number}")
-    place = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b) * (F.greatest(a, b) + 1) / 2 + F.least(a, b))
-    pairs = F.flatten(F.transform(order, lambda b, j: F.transform(F.slice(order, F.lit(1), j + 1), lambda a: get(place(a, b)))))
-    return F.when(F.size(values) == n_old, by_allele).when(F.size(values) == (n_old * (n_old + 1) / 2).cast("int"), pairs)
+    by_pair = F.transform(pair_places(order) if pairs is None else pairs, get)
+    return F.when(F.size(values) == n_old, by_allele).when(F.size(values) == (n_old * (n_old + 1) / 2).cast("int"), by_pair)
 
 
 def list_fields(rows: DataFrame, numbers: Mapping[str, str] | None = None) -> tuple[dict[str, str], dict[str, str]]:
@@ -70,13 +82,13 @@ def with_alleles(rows: DataFrame, order: str, n_old: str, numbers: Mapping[str,
     """rows whose genotypes and lists follow the columns order and n_old (alleles before); these two are dropped."""
     info, fmt = list_fields(rows, numbers)
     o, n, names = F.col(order), F.col(n_old), rows.columns
-    rows = fixed(fixed(rows, **{order: o, n_old: n}), _new=new_numbers(o, n))
-    rows = rows.withColumns({c: reordered(F.col(c), number, o, n) for c, number in info.items()})
+    rows = fixed(fixed(rows, **{order: o, n_old: n}), _new=new_numbers(o, n), _pairs=pair_places(o))
+    rows = rows.withColumns({c: reordered(F.col(c), number, o, n, F.col("_pairs")) for c, number in info.items()})
     if "samples" in rows.columns:
 
         def one(s: Column) -> Column:
             s = s.withField("GT", renumbered(s["GT"], F.col("_new")))
-            return reduce(lambda x, f: x.withField(f[0], reordered(x[f[0]], f[1], o, n)), fmt.items(), s)
+            return reduce(lambda x, f: x.withField(f[0], reordered(x[f[0]], f[1], o, n, F.col("_pairs"))), fmt.items(), s)
 
         rows = rows.withColumn("samples", F.transform("samples", one))
     return rows.select(*(c for c in names if c not in (order, n_old)))
