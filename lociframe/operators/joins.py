@@ -118,10 +118,13 @@ def with_match(sites: DataFrame, mode: str) -> DataFrame:
 
 def compatible(first: DataFrame, second: DataFrame, mode: str = "none", inside: bool = True) -> DataFrame:
     """Sites of first that second has (or lacks) in the sense of mode; see with_match. Neither side needs unique places."""
-    keys = ["_match"] if mode == "id" else ["CHROM", "POS", "_match"]
+    keys, how = ["_match"] if mode == "id" else ["CHROM", "POS", "_match"], "left_semi" if inside else "left_anti"
+    having = with_match(second, mode).select(*keys).distinct()
+    if mode != "some":  # a row for each record, which says by itself whether it is met
+        return with_match(first, mode).join(having, keys, how).select(*first.columns)
     own = F.struct("CHROM", "POS", "REF", "ALT")
-    hit = with_match(first.withColumn("_id", own), mode).join(with_match(second, mode).select(*keys).distinct(), keys, "left_semi").select("_id").distinct()
-    return first.withColumn("_id", own).join(hit, "_id", "left_semi" if inside else "left_anti").drop("_id")
+    hit = with_match(first.withColumn("_id", own), mode).join(having, keys, "left_semi").select("_id").distinct()
+    return first.withColumn("_id", own).join(hit, "_id", how).drop("_id")
 
 
 def intersection(*call_sets: DataFrame, count: str, keys: list[str] | None = None, repeated: bool = False) -> DataFrame:

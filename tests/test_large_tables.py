@@ -160,7 +160,7 @@ def test_joins_by_site_give_the_results_of_their_sql_where_places_repeat(spark,
         assert sorted(map(tuple, got), key=str) == sorted(res.fetchall(), key=str), name
 
 
-@pytest.mark.parametrize("name", ["fixref_stats"])
+@pytest.mark.parametrize("name", ["fixref_stats", "isec_compat_id", "isec_compat_lacking", "isec_compat_none", "isec_compat_some", "stats_two_files"])
 def test_queries_that_share_the_step_give_the_results_of_their_sql_where_places_repeat(spark, tmp_path, name):
     import duckdb
 
