@@ -4,10 +4,15 @@ Sites of a block of positions are taken together, all samples at once. What a bl
 states, to become those of its last, is a 2 x 2 matrix over (max, +) for the best path and over (+, x) for the probabilities. A contig's
 matrices, a row for each block and sample, are combined in order; with the scores that enter a block, its own best paths are
 found again, one for each state at its end, and a pass back over the blocks says which end is taken.
+
+Where sites of one position are no step apart, they are in one state, and what is known of it adds up: they are combined before blocks
+are taken, so that a block holds no more rows than positions, however many sites there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,24 +24,56 @@ from lociframe.operators.sequence import settled
 BLOCK = 1 << 14
 TO_AZ, TO_HW, UNSEEN = 6.7e-8, 5e-9, 30.0  # transitions per position, and PL of a genotype that is not the one called
 NONE = -(2**62)
+CELLS = 1 << 20  # rows x samples of a block whose matrices are held at once
 
 
 def observations(nested: DataFrame, frequency: Column, likelihoods: str | None = None, unseen: float = UNSEEN) -> DataFrame:
     """CHROM, POS, ids, az, hw: for each sample the probability of its data in either state, null where it has none. Sites of
     one ALT with a frequency above 0 only. Data are genotypes, of which those not called have the PL `unseen`, or the PL field named."""
+    t = _known_sites(nested, frequency)
+    data = F.transform("samples", lambda s: _data(s, likelihoods))  # told once for both states
+    t = t.withColumn("_x", data)
+    az, hw = F.transform("_x", lambda x: _states_of(x, likelihoods, unseen)[0]), F.transform("_x", lambda x: _states_of(x, likelihoods, unseen)[1])
+    return t.select("CHROM", "POS", F.transform("samples", lambda s: s["sample_id"].cast("string")).alias("ids"), az.alias("az"), hw.alias("hw"))
+
+
+def observations_at_positions(nested: DataFrame, frequency: Column, likelihoods: str | None = None, unseen: float = UNSEEN) -> DataFrame:
+    """What observations gives, a row per position: az and hw are logarithms, summed over its sites, and n are the sites with data."""
+    t = _known_sites(nested, frequency).select("CHROM", "POS", "_f", F.explode("samples").alias("_s"))
+    t = t.select("CHROM", "POS", "_f", F.col("_s")["sample_id"].alias("ids"), _data(F.col("_s"), likelihoods).alias("_x"))
+    az, hw = _states_of(F.col("_x"), likelihoods, unseen)
+    log = lambda c: F.when(F.col(c) > 0, F.log(c)).when(F.col(c) == 0, float("-inf"))
+    t = t.select("CHROM", "POS", "ids", az.alias("az"), hw.alias("hw"))
+    sums = t.groupBy("CHROM", "POS", "ids").agg(F.sum(log("az")).alias("az"), F.sum(log("hw")).alias("hw"), F.count("az").alias("n"))
+    each = F.struct(F.col("ids").cast("string").alias("ids"), "az", "hw", "n")
+    rows = sums.groupBy("CHROM", "POS").agg(F.array_sort(F.collect_list(each)).alias("_s"))
+    return rows.select("CHROM", "POS", *(F.col("_s")[c].alias(c) for c in ("ids", "az", "hw", "n")))
+
+
+def _known_sites(nested: DataFrame, frequency: Column) -> DataFrame:
+    """CHROM, POS, _f, samples of sites with one ALT and a frequency above 0."""
+    # a generator of one row: a filter on the frequency is not pushed below it, which would have it done in the tasks that read
+    one = F.inline(F.array(F.struct(frequency.cast("double").alias("_f"), F.col("samples"))))
+    return nested.where(F.size("ALT") == 1).select("CHROM", F.col("POS").cast("long").alias("POS"), one).where("_f > 0")
+
+
+def _data(s: Column, likelihoods: str | None) -> Column:
+    """A sample's PL, or the ALT alleles of its diploid genotype; null where it has none."""
+    if likelihoods:
+        pl = s[likelihoods]
+        return F.when((F.size(pl) == 3) & F.forall(pl, lambda x: x.isNotNull()), pl)
+    gt = s["GT"]  # only unusual texts are taken apart
+    usual = F.when(gt.isin("0/0", "0|0"), 0).when(gt.isin("0/1", "0|1", "1|0", "1/0"), 1).when(gt.isin("1/1", "1|1"), 2).when(gt.isin("./.", ".|.", "."), None)
+    return usual.otherwise(F.when(V.in_class(gt, "mis"), None).when(F.size(V.alleles(gt)) == 2, V.dosage(gt)))
+
+
+def _states_of(x: Column, likelihoods: str | None, unseen: float) -> tuple[Column, Column]:
+    """Probability of data x in the state AZ, and in HW, at a site of frequency _f."""
     f, low = F.col("_f"), 10 ** (-unseen / 10)
     # 10^(-PL/10) of RR, RA, AA
-    if likelihoods:
-        of = lambda s, i: F.pow(F.lit(10.0), -F.get(s[likelihoods], F.lit(i)) / 10)
-        known = lambda s: (F.size(s[likelihoods]) == 3) & F.forall(s[likelihoods], lambda x: x.isNotNull())
-    else:
-        kind = lambda s: F.when(V.in_class(s["GT"], "mis"), None).when(F.size(V.alleles(s["GT"])) == 2, V.dosage(s["GT"]))
-        of = lambda s, i: F.when(kind(s) == i, 1.0).otherwise(low)
-        known = lambda s: kind(s).isNotNull()
-    az = lambda s: F.when(known(s), (1 - f) * of(s, 0) + f * of(s, 2))
-    hw = lambda s: F.when(known(s), (1 - f) * (1 - f) * of(s, 0) + 2 * f * (1 - f) * of(s, 1) + f * f * of(s, 2))
-    t = nested.withColumn("_f", frequency.cast("double")).where((F.size("ALT") == 1) & (F.col("_f") > 0))
-    return t.select("CHROM", F.col("POS").cast("long").alias("POS"), F.transform("samples", lambda s: s["sample_id"].cast("string")).alias("ids"), F.transform("samples", az).alias("az"), F.transform("samples", hw).alias("hw"))
+    of = (lambda i: F.pow(F.lit(10.0), -F.get(x, F.lit(i)) / 10)) if likelihoods else (lambda i: F.when(x == i, 1.0).otherwise(low))
+    az = F.when(x.isNotNull(), (1 - f) * of(0) + f * of(2))
+    return az, F.when(x.isNotNull(), (1 - f) * (1 - f) * of(0) + 2 * f * (1 - f) * of(1) + f * f * of(2))
 
 
 class Model:
@@ -56,13 +93,17 @@ class Model:
         return np.stack([np.stack([1 - up, up], -1), np.stack([down, 1 - down], -1)], -2)
 
 
-def _block(table: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Positions, samples, and observations [site, sample, state] with whether there are any, of a block in order."""
+def _block(table: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, samples, logarithms of observations [row, sample, state] with whether there are any, and of how many sites, of a block
+    in order."""
     table = table.take(pa.array(np.argsort(table.column("POS").to_numpy(), kind="stable")))
     ids = table.column("ids")[0].as_py()
     grid = lambda c: np.array(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(table.num_rows, len(ids))
     obs = np.stack([grid("hw"), grid("az")], -1)
-    return table.column("POS").to_numpy(), ids, np.where(np.isnan(obs), 1.0, obs), ~np.isnan(obs[..., 0])
+    has = ~np.isnan(obs[..., 0])
+    summed = "n" in table.column_names
+    logs = np.where(np.isnan(obs), 0.0, obs) if summed else _logs(np.where(np.isnan(obs), 1.0, obs))
+    return table.column("POS").to_numpy(), ids, logs, has, grid("n").astype(np.int64) if summed else has.astype(np.int64)
 
 
 def _logs(x: np.ndarray) -> np.ndarray:
@@ -70,92 +111,119 @@ def _logs(x: np.ndarray) -> np.ndarray:
         return np.log(x)
 
 
+def _moves(model: Model, pos: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Log transition probabilities [row, sample, from, to] into each row from the sample's last one with data; rows without data, and the
+    first with data, leave the state as it is."""
+    upto = np.maximum.accumulate(np.where(has, pos[:, None], NONE), 0)
+    before = np.concatenate([np.full((1, has.shape[1]), NONE), upto[:-1]])
+    more = has & (before != NONE)
+    out = np.broadcast_to(_logs(np.eye(2)), (*has.shape, 2, 2)).copy()
+    out[more] = _logs(model.steps((pos[:, None] - before)[more]))
+    return out
+
+
+def _times(a: np.ndarray, b: np.ndarray, add: np.ufunc) -> np.ndarray:
+    """a x b, matrices in the last two axes; add: maximum or logaddexp."""
+    return add(a[..., :, :1] + b[..., :1, :], a[..., :, 1:] + b[..., 1:, :])
+
+
+def _apply(v: np.ndarray, a: np.ndarray, add: np.ufunc) -> np.ndarray:
+    """Row vectors v x a."""
+    return add(v[..., :1] + a[..., 0, :], v[..., 1:] + a[..., 1, :])
+
+
+def _after_each(steps: np.ndarray, v: np.ndarray, times: Callable, apply: Callable) -> np.ndarray:
+    """What v is after each of the steps, all taken at once: after every other one by the steps in pairs, then after those between."""
+    if len(steps) == 1:
+        return apply(v, steps[0])[None]
+    pairs = _after_each(times(steps[:-1:2], steps[1::2]), v, times, apply)
+    out = np.empty((len(steps), *v.shape), v.dtype)
+    out[1::2] = pairs
+    out[::2] = apply(np.concatenate([v[None], pairs])[: len(out[::2])], steps[::2])
+    return out
+
+
+def _all_scores(steps: np.ndarray, v: np.ndarray, add: np.ufunc) -> np.ndarray:
+    return _after_each(steps, v, lambda a, b: _times(a, b, add), lambda w, a: _apply(w, a, add))
+
+
+def _product(steps: np.ndarray, add: np.ufunc) -> np.ndarray:
+    while len(steps) > 1:
+        rest = steps[len(steps) // 2 * 2 :]
+        steps = np.concatenate([_times(steps[:-1:2], steps[1::2], add), rest])
+    return steps[0]
+
+
+def _by_samples(f: Callable[..., tuple], axes: tuple[int, ...], model: Model, pos: np.ndarray, *of_samples: tuple[np.ndarray, int]) -> list[np.ndarray]:
+    """f of some samples at a time, so that the matrices of a block have a bound; the axis of the samples is given for each array."""
+    n, width = of_samples[0][0].shape[of_samples[0][1]], max(1, CELLS // len(pos))
+    parts = [f(model, pos, *(np.take(x, range(i, min(n, i + width)), axis) for x, axis in of_samples)) for i in range(0, n, width)]
+    return [np.concatenate(x, axis) for x, axis in zip(zip(*parts, strict=True), axes, strict=True)]
+
+
 def _transfers(model: Model, pos: np.ndarray, obs: np.ndarray, has: np.ndarray) -> dict[str, np.ndarray]:
     """By sample: first and last position with data, the best path's score and the log probability from each state at the first to
     each at the last."""
-    n = obs.shape[1]
-    first, last = np.full(n, NONE), np.full(n, NONE)
-    best, total = np.full((n, 2, 2), -np.inf), np.full((n, 2, 2), -np.inf)
-    for i in range(len(pos)):
-        o = _logs(obs[i])
-        new, more = has[i] & (first == NONE), has[i] & (first != NONE)
-        if new.any():
-            eye = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)
-            best[new] = total[new] = eye[None] + o[new][:, None, :]
-        if more.any():
-            t = _logs(model.steps(pos[i] - last[more]))[:, None]
-            b, s = best[more][..., None] + t, total[more][..., None] + t
-            best[more], total[more] = b.max(2) + o[more][:, None], np.logaddexp(s[:, :, 0], s[:, :, 1]) + o[more][:, None]
-        first, last = np.where(new, pos[i], first), np.where(has[i], pos[i], last)
-    return {"first": first, "last": last, "best": best.reshape(n, 4), "total": total.reshape(n, 4)}
+
+    def some(model: Model, pos: np.ndarray, obs: np.ndarray, has: np.ndarray) -> tuple:
+        steps = _moves(model, pos, has) + obs[:, :, None]
+        any_, n = has.any(0), has.shape[1]
+        first, last = (np.where(any_, pos[i], NONE) for i in (has.argmax(0), len(pos) - 1 - has[::-1].argmax(0)))
+        return first, last, _product(steps, np.maximum).reshape(n, 4), _product(steps, np.logaddexp).reshape(n, 4)
+
+    return dict(zip(("first", "last", "best", "total"), _by_samples(some, (0, 0, 0, 0), model, pos, (obs, 1), (has, 1)), strict=True))
 
 
 def _paths(model: Model, pos: np.ndarray, obs: np.ndarray, has: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the best path to each state came from [site, sample, state], and the final scores; enter: scores at the first site."""
-    n = obs.shape[1]
-    came, score, last = np.zeros((len(pos), n, 2), np.int8), enter.copy(), np.full(n, NONE)
-    for i in range(len(pos)):
-        more = has[i] & (last != NONE)
-        if more.any():
-            s = score[more][..., None] + _logs(model.steps(pos[i] - last[more]))
-            came[i][more] = s.argmax(1)  # of equals the first, HW
-            score[more] = s.max(1)
-        score[has[i]] += _logs(obs[i])[has[i]]
-        last = np.where(has[i], pos[i], last)
+    """Where the best path to each state came from [row, sample, state], its own state where nothing moves, and the final scores; enter:
+    scores at the first row."""
+
+    def some(model: Model, pos: np.ndarray, obs: np.ndarray, has: np.ndarray, enter: np.ndarray) -> tuple:
+        moves = _moves(model, pos, has)
+        score = _all_scores(moves + obs[:, :, None], enter, np.maximum)
+        into = np.concatenate([enter[None], score[:-1]])[..., None] + moves
+        return into.argmax(2).astype(np.int8), score[-1]  # of equals the first, HW
+
+    came, score = _by_samples(some, (1, 0), model, pos, (obs, 1), (has, 1), (enter, 0))
     return came, score
 
 
 def _states(came: np.ndarray, has: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """States [site, sample] of the paths that end in `end`; -1 where a sample has no data."""
-    out, state = np.full(came.shape[:2], -1, np.int8), end.astype(np.int64)
-    firsts = np.where(has.any(0), has.argmax(0), -1)
-    for i in range(len(came) - 1, -1, -1):
-        out[i][has[i]] = state[has[i]]
-        back = has[i] & (firsts != i)
-        state = np.where(back, came[i][np.arange(len(state)), state], state)
-    return out
+    """States [row, sample] of the paths that end in `end`; -1 where a sample has no data."""
+    pick = lambda v, f: np.take_along_axis(f, v[..., None], -1)[..., 0]
+    end = end.astype(np.int8)
+    back = _after_each(came[:0:-1], end, lambda a, b: np.take_along_axis(b, a, -1), pick) if len(came) > 1 else np.empty((0, len(end)), np.int8)
+    return np.where(has, np.concatenate([back[::-1], end[None]]), -1).astype(np.int8)
 
 
 def _posterior(model: Model, pos: np.ndarray, obs: np.ndarray, has: np.ndarray, enter: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Probability of AZ [site, sample]; enter: log weights of the first site's states, after: those of what follows the last."""
-    n = obs.shape[1]
-    ahead, w, last = np.zeros((len(pos), n, 2)), enter.copy(), np.full(n, NONE)
-    for i in range(len(pos)):
-        more = has[i] & (last != NONE)
-        if more.any():
-            s = w[more][..., None] + _logs(model.steps(pos[i] - last[more]))
-            w[more] = np.logaddexp(s[:, 0], s[:, 1])
-        w[has[i]] += _logs(obs[i])[has[i]]
-        w -= w.max(1, keepdims=True)
-        ahead[i], last = w, np.where(has[i], pos[i], last)
-    out, w, nxt = np.zeros((len(pos), n)), after.copy(), np.full(n, NONE)
-    seen = _logs(np.ones((n, 2)))
-    for i in range(len(pos) - 1, -1, -1):
-        more = has[i] & (nxt != NONE)
-        if more.any():
-            s = _logs(model.steps(nxt[more] - pos[i])) + (w + seen)[more][:, None]
-            w[more] = np.logaddexp(s[..., 0], s[..., 1])
-        both = ahead[i] + w
-        out[i] = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
-        seen[has[i]] = _logs(obs[i])[has[i]]
-        w -= w.max(1, keepdims=True)
-        nxt = np.where(has[i], pos[i], nxt)
-    return out
+    """Probability of AZ [row, sample]; enter: log weights of the first row's states, after: those of what follows the last."""
+
+    def some(model: Model, pos: np.ndarray, obs: np.ndarray, has: np.ndarray, enter: np.ndarray, after: np.ndarray) -> tuple:
+        steps = _moves(model, pos, has) + obs[:, :, None]
+        both = _all_scores(steps, enter, np.logaddexp)
+        both[-1] += after
+        if len(pos) > 1:
+            both[:-1] += _all_scores(steps[:0:-1].swapaxes(-1, -2), after, np.logaddexp)[::-1]
+        return (np.exp(both[..., 1] - np.logaddexp(both[..., 0], both[..., 1])),)
+
+    return _by_samples(some, (1,), model, pos, (obs, 1), (has, 1), (enter, 0), (after, 0))[0]
 
 
 def autozygosity(observed: DataFrame, to_az: float = TO_AZ, to_hw: float = TO_HW, rate: float | None = None, per_site: bool = False, block: int = BLOCK) -> DataFrame:
     """Runs (sample_id, CHROM, begin, end, n sites, quality) of the best path's AZ state, or with per_site every site's state
     (sample_id, CHROM, POS, state, quality). quality: minus ten times the logarithm of the other state's probability, 99 at most, of runs
-    the mean. observed: see observations; all rows have their samples in one order.
+    the mean. observed: see observations and observations_at_positions; all rows have their samples in one order.
 
-    to_az and to_hw are transition probabilities per position, or with `rate`, a crossover rate, those of a crossover.
+    to_az and to_hw are transition probabilities per position, or with `rate`, a crossover rate, those of a crossover. Sites of one
+    position are as far apart as neighbouring ones; those of observations_at_positions are no step apart, and counted and scored each.
     """
     model = Model(to_az, to_hw, rate)
-    rows = observed.withColumn("b", F.floor(F.col("POS") / block))
+    rows = (settled(observed) if "n" in observed.columns else observed).withColumn("b", F.floor(F.col("POS") / block))
     key = ["CHROM", "b"]
 
     def transfers(k: tuple, table: pa.Table) -> pa.Table:
-        pos, ids, obs, has = _block(table)
+        pos, ids, obs, has, _ = _block(table)
         t = _transfers(model, pos, obs, has)
         use = t["first"] != NONE
         lists = lambda x: pa.array(list(x[use]), pa.list_(pa.float64()))
@@ -195,7 +263,7 @@ def autozygosity(observed: DataFrame, to_az: float = TO_AZ, to_hw: float = TO_HW
 
     def backs(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """By sample, the state at the block's first site for either state at its last, and the scores of the last."""
-        pos, ids, obs, has = _block(left)
+        pos, ids, obs, has, _ = _block(left)
         came, score = _paths(model, pos, obs, has, _by_sample(right, ids, "score", 2))
         origin = np.stack([_first_states(_states(came, has, np.full(len(ids), e)), has) for e in (0, 1)], -1)
         use = has.any(0)
@@ -222,7 +290,7 @@ def autozygosity(observed: DataFrame, to_az: float = TO_AZ, to_hw: float = TO_HW
     known = settled(scanned.join(ends, ["CHROM", "b", "sample_id"]))
 
     def finish(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        pos, ids, obs, has = _block(left)
+        pos, ids, obs, has, sites = _block(left)
         came, _ = _paths(model, pos, obs, has, _by_sample(right, ids, "score", 2))
         states = _states(came, has, _by_sample(right, ids, "ends", 1)[:, 0])
         p = _posterior(model, pos, obs, has, _by_sample(right, ids, "enter", 2), _by_sample(right, ids, "after", 2))
@@ -233,11 +301,13 @@ def autozygosity(observed: DataFrame, to_az: float = TO_AZ, to_hw: float = TO_HW
             at = np.flatnonzero(has[:, s])
             if not len(at):
                 continue
-            x = states[at, s]
+            if per_site:
+                at = np.repeat(at, sites[at, s])
+            x, size = states[at, s], np.ones(len(at), np.int64) if per_site else sites[at, s]
             begin = np.arange(len(at)) if per_site else np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             end = np.append(begin[1:], len(at)) - 1
             out["sample_id"] += [name] * len(begin)
-            for c, v in (("POS", pos[at[begin]]), ("last", pos[at[end]]), ("n", end - begin + 1), ("state", x[begin]), ("quality", np.add.reduceat(quality[at, s], begin))):
+            for c, v in (("POS", pos[at[begin]]), ("last", pos[at[end]]), ("n", np.add.reduceat(size, begin)), ("state", x[begin]), ("quality", np.add.reduceat(quality[at, s] * size, begin))):
                 out[c] += v.tolist()
         n = len(out["POS"])
         return pa.table({"CHROM": pa.array([k[0].as_py()] * n, pa.string()), "sample_id": pa.array(out["sample_id"], pa.string()), "POS": pa.array(out["POS"], pa.int64()), "last": pa.array(out["last"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "state": pa.array(out["state"], pa.int32()), "quality": pa.array(out["quality"], pa.float64())})

@@ -74,8 +74,8 @@ def with_fields(g: DataFrame) -> DataFrame:
     })
 
 
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical layout: site columns with ALT as an array and samples, an array of structs in the order of sample_id."""
+def nested(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("GT", "DP", "GQ", "AD")) -> DataFrame:
+    """Canonical layout: site columns with ALT as an array and samples, an array of structs of sample_id and fields in its order."""
     one = spread(sites(spark, sf_dir)).withColumn("s", F.sequence(F.lit(0), F.lit(N_SAMPLES - 1)))
     depth = lambda i: (F.col("site_id") * 7 + i * 13) % 60
     h = lambda i: (F.col("site_id") * 31 + i * 17 + (F.col("site_id") % 13) * i) % 10
@@ -83,10 +83,11 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(i):
         alts = F.when(h(i) < 5, 0).when(h(i) < 8, 1).otherwise(2)
         ad0 = (depth(i) - F.floor(depth(i) * alts / 2)).cast("int")
-        return F.struct(
-            i.alias("sample_id"), F.when(h(i) < 5, "0/0").when(h(i) < 8, "0/1").when(h(i) == 8, "1/1").otherwise("./.").alias("GT"),
-            depth(i).cast("int").alias("DP"), ((F.col("site_id") * 11 + i * 29) % 99).cast("int").alias("GQ"), F.array(ad0, depth(i).cast("int") - ad0).alias("AD"),
-        )
+        all_ = {
+            "GT": F.when(h(i) < 5, "0/0").when(h(i) < 8, "0/1").when(h(i) == 8, "1/1").otherwise("./."),
+            "DP": depth(i).cast("int"), "GQ": ((F.col("site_id") * 11 + i * 29) % 99).cast("int"), "AD": F.array(ad0, depth(i).cast("int") - ad0),
+        }
+        return F.struct(i.alias("sample_id"), *(all_[c].alias(c) for c in fields))
 
     return one.withColumn("samples", F.transform("s", make)).withColumn("ALT", F.split("ALT", ",")).drop("s")
 
