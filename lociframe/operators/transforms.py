@@ -14,9 +14,11 @@ def split_alleles(sites: DataFrame) -> DataFrame:
     return sites.select(*[c for c in sites.columns if c != "ALT"], F.posexplode("ALT").alias("_i", "ALT")).withColumn("allele", F.col("_i") + 1).drop("_i")
 
 
-def join_alleles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Biallelic rows of a site as one, ALT alleles sorted."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set("ALT")).alias("ALT"), F.max("QUAL").alias("QUAL"))
+def join_alleles(rows: DataFrame, keys: list[str], repeated: bool = False) -> DataFrame:
+    """Biallelic rows of a site as one, ALT alleles sorted: each once, or with `repeated` once for each different QUAL it has."""
+    if repeated:
+        rows = rows.select(*keys, "ALT", "QUAL").distinct()
+    return rows.groupBy(*keys).agg(F.array_sort((F.collect_list if repeated else F.collect_set)("ALT")).alias("ALT"), F.max("QUAL").alias("QUAL"))
 
 
 def remapped(gt: Column, allele: Column) -> Column:

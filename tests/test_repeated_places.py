@@ -56,3 +56,10 @@ def test_frequencies_are_not_taken_in_the_tasks_that_read(spark, events):
     calls = F.filter(F.split(F.array_join(F.col("samples")["GT"], "/"), "/"), lambda a: a != ".")
     lines = Z.observations_at_positions(t, F.size(F.filter(calls, lambda a: a != "0")) / F.size(calls))._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
     assert "_f" in lines[0] and "transform" in lines[0] and "transform" not in lines[1]
+
+
+@pytest.mark.parametrize("name", ["norm_join", "norm_split"])
+def test_alleles_joined_and_split(spark, con, events, name):
+    """An allele that several sites of a place have is joined once for each different QUAL, and split once."""
+    got, want = both(spark, con, events, name)
+    assert got == want and len({len(r[3].split(",")) for r in want}) > (name == "norm_join")
