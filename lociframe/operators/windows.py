@@ -27,8 +27,9 @@ def with_halo(sites: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
 
 
 def place(sites: DataFrame, *but: str) -> list[str]:
-    """The order of sites: by POS, then by the alleles, so that sites of one position come in one order always."""
-    return ["POS", *(c for c in ("REF", "ALT") if c in sites.columns and c not in but)]
+    """The order of sites: by POS, then by the alleles and site_id where there is one, so that sites of one position come in one order
+    always, in every window of an operator."""
+    return ["POS", *(c for c in ("REF", "ALT", "site_id") if c in sites.columns and c not in but)]
 
 
 def running(sites: DataFrame, name: str, value: Column, how: Callable[[Column], Column], inclusive: bool, by: tuple[str, ...] = ("CHROM",), block: int = BLOCK, order: list | None = None) -> DataFrame:
